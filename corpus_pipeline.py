@@ -22,10 +22,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document of the least id stays."""
-    groups = simhash.near_duplicates(docs, simhash.NEAR_COPIES)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near copies (five-word shingles) the document of the least id stays.
+
+    Rows that repeat a doc_id are one document. Rows without one can't be told apart
+    later; of those with the same text one stays.
+    """
+    groups = stage(simhash.near_duplicates(docs, simhash.NEAR_COPIES), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    repeated = stage(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        # Only rows of a repeated id are gathered, so texts are not sorted for the others.
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +44,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays as many times as the mix takes half or more of its words, at most three times."""
+    """A document stays as many times as the mix takes half or more of its words, at most three times.
+
+    Documents without words, and rows without a doc_id, stay once.
+    """
     taken = mixing.mix(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), "size", "taken")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
     taken = taken.withColumn("times", times).where("times > 0").select("of", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
-    return docs.join(taken, docs["doc_id"] == taken["of"]).select(*COLUMNS)
+    return docs.join(taken, docs["doc_id"] == taken["of"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
