@@ -19,7 +19,7 @@ add(
     """SELECT count(*) AS n_keys, count_if(present AND valid) AS n_valid, coalesce(bool_or(present AND NOT valid), FALSE) AS any_invalid FROM (
     SELECT v.vec_id, c.vec_id IS NOT NULL AS present, coalesce(c.scale > 0 AND c.norm > 0, FALSE) AS valid FROM {vectors} v LEFT JOIN {cache} c ON c.vec_id = v.vec_id)""",
 )
-add("S10_planning_keys", "SELECT sha, count(*) AS uses, min(file_id) AS first_file, sum(CAST(size AS BIGINT)) AS bytes FROM {files} GROUP BY sha")
+add("S10_planning_keys", "SELECT sha, count(*) AS uses, min(file_id) AS first_file, CAST(sum(size) AS BIGINT) AS bytes FROM {files} GROUP BY sha")
 add("S11_existing_keys", "SELECT v.vec_id, v.parent FROM {vectors} v WHERE EXISTS (SELECT 1 FROM {cache} c WHERE c.vec_id = v.vec_id)")
 add(
     "S16_verify_indexed",
