@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,10 @@ def require_empty(rows: DataFrame, what: str) -> None:
     found = rows.take(3)
     if found:
         raise ValueError(f"{what}: {found}")
+
+
+def hybrid_gate(keys: DataFrame, present: Column, valid: Column) -> DataFrame:
+    """One row: whether a search may use vectors, else why not. Only counts leave the scan."""
+    counts = keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("good"), F.count_if(present & ~valid).alias("bad"))
+    decision = F.when(F.col("good") == 0, "no_vectors").when(F.col("bad") > 0, "invalid_vector").when(F.col("good") < F.col("n"), "incomplete").otherwise("hybrid")
+    return counts.select(decision.alias("decision"))
