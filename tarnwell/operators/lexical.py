@@ -15,9 +15,10 @@ CANDIDATES = 20
 
 
 def postings(index_rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, term, tf_symbols, tf_body) of (chunk_id, symbol_tokens, body_tokens).
+    """(chunk_id, term, length, tf_symbols, tf_body) of (chunk_id, symbol_tokens, body_tokens).
 
-    With ``terms`` only their postings are made: the filter runs on the exploded
+    ``length`` is the row's number of tokens; it rides along, so that scoring needs no
+    join back to the rows. With ``terms`` only their postings are made: the filter runs on the exploded
     tokens, before anything is shuffled. A query set is small next to the corpus,
     but its size is not assumed: Spark broadcasts it only below its own threshold.
     """
@@ -25,30 +26,35 @@ def postings(index_rows: DataFrame, terms: DataFrame | None = None) -> DataFrame
         F.transform(F.coalesce("symbol_tokens", F.array()), lambda t: F.struct(t.alias("term"), F.lit(1).alias("s"))),
         F.transform(F.coalesce("body_tokens", F.array()), lambda t: F.struct(t.alias("term"), F.lit(0).alias("s"))),
     )
-    rows = index_rows.select("chunk_id", F.explode(tagged).alias("t")).select("chunk_id", "t.term", "t.s")
+    rows = index_rows.select("chunk_id", _length().alias("length"), F.explode(tagged).alias("t")).select("chunk_id", "length", "t.term", "t.s")
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("chunk_id", "term").agg(F.sum("s").alias("tf_symbols"), F.sum(1 - F.col("s")).alias("tf_body"))
+    return rows.groupBy("chunk_id", "term", "length").agg(F.sum("s").alias("tf_symbols"), F.sum(1 - F.col("s")).alias("tf_body"))
 
 
-def lengths(index_rows: DataFrame) -> DataFrame:
-    size = F.size(F.coalesce("symbol_tokens", F.array())) + F.size(F.coalesce("body_tokens", F.array()))
-    return index_rows.select("chunk_id", size.cast("long").alias("length"))
+def _length() -> Column:
+    return (F.size(F.coalesce("symbol_tokens", F.array())) + F.size(F.coalesce("body_tokens", F.array()))).cast("long")
 
 
-def bm25(found: DataFrame, sizes: DataFrame, query_terms: DataFrame, symbol_weight: float = SYMBOL_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
+def corpus_size(index_rows: DataFrame) -> DataFrame:
+    """One row: number of rows and their mean length."""
+    return index_rows.select(_length().alias("length")).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("length").alias("mean_length"))
+
+
+def bm25(found: DataFrame, corpus: DataFrame, query_terms: DataFrame, symbol_weight: float = SYMBOL_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
     """(qid, chunk_id, score, matched_terms, selected_terms): weighted BM25, higher is better.
 
+    ``found`` are the postings of the queries' terms, ``corpus`` their corpus's size.
     Field weights multiply the term frequency; a row counts once for a term in
     either field; the floor keeps very common terms from counting against a row.
+    The terms' weights are as many as the terms of the queries.
     """
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("length").alias("mean_length"))
     frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = frequency.join(F.broadcast(corpus)).select("term", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"), "mean_length")
     tf = symbol_weight * F.col("tf_symbols") + body_weight * F.col("tf_body")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    weighted = found.join(weights, "term").join(sizes, "chunk_id").select("term", "chunk_id", part.alias("part"))
+    weighted = found.join(weights, "term").select("term", "chunk_id", part.alias("part"))
     selected = query_terms.groupBy("qid").agg(F.countDistinct("term").alias("selected_terms"))
     sums = query_terms.select("qid", "term").distinct().join(weighted, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("matched_terms"))
     return sums.join(selected, "qid")

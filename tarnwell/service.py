@@ -88,7 +88,7 @@ class Index:
         terms = self.spark.createDataFrame([(0, t) for t in q.terms], "qid long, term string")
         anchors = [(0, i + 1, a.raw, a.normalized, lane) for lane, found in (("symbol", q.symbols), ("path", q.paths)) for i, a in enumerate(found)]
         anchors = self.spark.createDataFrame(anchors, "qid long, ord int, raw string, normalized string, lane string")
-        scored = lexical.bm25(lexical.postings(rows, terms), lexical.lengths(rows), terms, c.symbol_weight, c.body_weight)
+        scored = lexical.bm25(lexical.postings(rows, terms), lexical.corpus_size(rows), terms, c.symbol_weight, c.body_weight)
         exact = symbols.where(F.col("normalized_name") == q.exact_symbol).join(chunks.select("chunk_id", "qualified"), "chunk_id").where("original_name = qualified").select(F.lit(0).cast("long").alias("qid"), "chunk_id")
         named = lexical.symbol_lane(anchors.where("lane = 'symbol'"), symbols, chunks, files, c.candidate_k).cache()
         paths = lexical.path_lane(anchors.where("lane = 'path'"), chunks, files, c.candidate_k).cache()
