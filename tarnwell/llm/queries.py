@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, chat, embedding_dedup, mixing, quality, secret_scan, simhash, token_store, toxicity, url_filter
+from tarnwell.llm import bpe, chat, embedding_dedup, mixing, oracles, quality, secret_scan, simhash, token_store, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.junk_page(F.col("html")))
+    judged = url_filter.judge(pages, url_filter.junk_page(F.col("html")))
+    return judged.withColumns({c: F.round(c, 6) for c in ("share", "bound")})
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op7_chat_perspectives": chat.SQL}
+ORACLES: dict[str, str] = oracles.ORACLES
