@@ -5,16 +5,15 @@ from tarnwell.operators import chunking
 from tarnwell.sources import embedding as E
 
 
-class Picky(E.HashClient):
-    def embed(self, texts):
-        if "down" in texts:
-            raise E.Retryable("later")
-        if "bad" in texts:
-            return [(0, [float("nan")] * self.dimensions)]
-        return super().embed(texts)
-
-
 def test_capture_and_materialize(spark):
+    class Picky(E.HashClient):
+        def embed(self, texts):
+            if "down" in texts:
+                raise E.Retryable("later")
+            if "bad" in texts:
+                return [(0, [float("nan")] * self.dimensions)]
+            return super().embed(texts)
+
     keys = spark.createDataFrame([("1", "a"), ("1", "a"), ("2", "bb"), ("3", "down"), ("4", "bad"), ("5", "old"), ("6", "known")], "hash string, text string")
     bank = spark.createDataFrame([("6", [1.0] * 8, "x")], "hash string, vector array<float>, sha256 string")
     failures = spark.createDataFrame([(1, "5", "retryable"), (2, "5", "terminal"), (1, "2", "terminal"), (3, "2", "retryable")], "id long, hash string, classification string")
