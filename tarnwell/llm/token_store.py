@@ -27,6 +27,7 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,8 @@ MAGIC = b"TWIDS1"
 SAMPLE = 256
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that an encoder keeps at a time.
-CACHE = 300_000
+#: Words that an encoder keeps in each of two generations.
+CACHE = 400_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -113,14 +114,19 @@ class ByteEncoder:
 
     A byte-level vocabulary splits a text before a space that stands between words,
     whatever is around, so a text's ids are those of its space-led words one after
-    the other. Texts where a space has white space or an end of text next to other
-    white space, and those with a special token's string, are encoded whole.
+    the other; and a word's are those of the runs that the vocabulary's pattern cuts
+    it into. The library encodes each run once. Texts where a space has white space
+    before it and white space or the text's end after it, and those with a special
+    token's string, are encoded whole.
     """
 
+    _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     _TIED = re.compile(r"\s (?:\s|\Z)")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -129,38 +135,70 @@ class ByteEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.bare: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
+        self.runs_of = regex.compile(public_tokenizers.PATTERN).findall
+        self.before_space = [w + " " for w in self._WHITE]
+        # Two generations each: a full store becomes the older one, from which words
+        # that come again are taken over, so frequent words stay and memory is bounded.
+        self.runs: dict[str, bytes] = {}
+        self.older_runs: dict[str, bytes] = {}
+        self.words: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.older_words: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+
+    @classmethod
+    @lru_cache(maxsize=2)
+    def of(cls, path: str) -> ByteEncoder:
+        """The encoder of this process, so that a later task of a worker finds the words of earlier ones."""
+        return cls(path)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str], store: dict[str, bytes], lead: str) -> None:
-        new = [w for w in words if w not in store]
+    def _learn(self, words: set[str], lead: str) -> dict[str, bytes]:
+        """The store of words behind ``lead``, with these in it."""
+        store = self.words[lead]
+        new = words.difference(store)
         if len(store) + len(new) > CACHE:
-            store.clear()
-            store.update({"": b""} if not lead else {})
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            store.update(zip(part, self._whole([lead + w for w in part])))
+            self.older_words[lead], self.words[lead] = store, {}
+            store, new = self.words[lead], words
+        older = self.older_words[lead]
+        again = new.intersection(older)
+        store.update((w, older[w]) for w in again)
+        cut = [(w, self.runs_of(lead + w)) for w in new.difference(again)]
+        if len(self.runs) > CACHE:
+            self.older_runs, self.runs = self.runs, {}
+        runs, older = self.runs, self.older_runs
+        unknown = []
+        for r in {r for _, found in cut for r in found}.difference(runs):
+            if r in older:
+                runs[r] = older[r]
+            else:
+                unknown.append(r)
+        for at in range(0, len(unknown), 20_000):
+            part = unknown[at : at + 20_000]
+            runs.update(zip(part, self._whole(part)))
+        for w, found in cut:
+            store[w] = runs[found[0]] if len(found) == 1 else b"".join([runs[r] for r in found])
+        return store
+
+    def _is_tied(self, text: str) -> bool:
+        return any(w in text for w in self.before_space) and bool(self._TIED.search(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes; none for null."""
         out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if any(s in text for s in self.special) or self._TIED.search(text):
+            if any(s in text for s in self.special) or self._is_tied(text):
                 out[k] = self._whole([text])[0]
-                continue
-            words = text.split(" ")
-            first, rest = words[0], words[1:]
-            if first not in self.bare:
-                self._learn({first}, self.bare, "")
-            if not self.spaced.keys() >= (seen := set(rest)):
-                self._learn(seen, self.spaced, " ")
-            out[k] = self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+            else:
+                cut.append((k, text.split(" ")))
+        bare = self._learn({words[0] for _, words in cut}, "")
+        spaced = self._learn(set().union(*(words for _, words in cut)), " ").__getitem__
+        for k, words in cut:
+            rest = iter(words)
+            out[k] = bare[next(rest)] + b"".join(map(spaced, rest))
         return out
 
 
@@ -272,7 +310,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
 
         for b in batches:
             if encoder is None:
-                encoder = ByteEncoder(path)
+                encoder = ByteEncoder.of(path)
                 end = np.array([end_id], encoder.dtype).tobytes()
             for start in range(0, len(b), 256):
                 piece = b.iloc[start : start + 256]
@@ -288,8 +326,8 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    # At least some tasks for each core, at most what one shard holds in each.
-    n = int(max(size >> 28, min((size >> 20) + 1, 4 * spark.sparkContext.defaultParallelism)))
+    # At least some tasks for each core, and at most about 64 MB of text in each.
+    n = int(max(size >> 26, min((size >> 20) + 1, 4 * spark.sparkContext.defaultParallelism)))
     ranged = slim.withColumn("blank", F.col("doc_id").isNotNull()).repartitionByRange(n, "blank", "doc_id").sortWithinPartitions("blank", "doc_id", "text")
     wide = ranged.withColumn("doc_id", F.col("doc_id").cast("string")).select("doc_id", "text")
     manifest = stage(wide.mapInPandas(run, "shard int, part int, path string, n_docs long, n_ids long"), "manifest")
