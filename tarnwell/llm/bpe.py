@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 #: Words of more parts than this go to the heap.
 SHORT = 48
-#: Chunks between white space that an encoder keeps, and the longest kept one.
-CACHE, CACHED_LENGTH = 300_000, 64
+#: Words that an encoder keeps in each of two generations, and the longest kept one.
+CACHE, CACHED_LENGTH = 150_000, 64
 _NO_RANK = 1 << 30
 # The white space of Unicode.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -73,8 +74,18 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", _WHITE))
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.ids_of: dict[str, bytes] = {}
-        self.text_of: dict[str, bytes] = {}
+        # Two generations each: a full store becomes the older one, from which words
+        # that come again are taken over, so frequent words stay and memory is bounded.
+        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.older_chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.known_words: dict[str, list[int]] = {}
+        self.older_words: dict[str, list[int]] = {}
+
+    @classmethod
+    @lru_cache(maxsize=2)
+    def of(cls, path: str) -> WordBpe:
+        """The coder of this process, so that a later task of a worker finds the words of earlier ones."""
+        return cls(path)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -120,7 +131,16 @@ class WordBpe:
         return [p for p, dead in zip(parts, gone) if not dead]
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = [i for w in self.words.findall(chunk) for i in self.merge(w.encode())]
+        ids: list[int] = []
+        if len(self.known_words) >= CACHE:
+            self.older_words, self.known_words = self.known_words, {}
+        for w in self.words.findall(chunk):
+            found = self.known_words.get(w)
+            if found is None:
+                found = self.older_words.get(w) or self.merge(w.encode())
+                if len(w) <= CACHED_LENGTH:
+                    self.known_words[w] = found
+            ids += found
         return np.array(ids, "<u4").tobytes(), " ".join(map(self.tokens.__getitem__, ids)).encode()
 
     def _plain(self, text: str) -> tuple[list[bytes], list[bytes]]:
@@ -132,20 +152,19 @@ class WordBpe:
             text = text.replace("Σ", "σ")
         text = text.lower()
         chunks = [c for c in _SPACE.split(text) if c] if _CONTROLS.search(text) else text.split()
-        ids, texts = self.ids_of, self.text_of
-        new = {c for c in set(chunks) if c not in ids}
+        seen = set(chunks)
+        new = seen.difference(self.chunks)
         if new:
-            if len(ids) + len(new) > CACHE:
-                ids.clear()
-                texts.clear()
-                new = set(chunks)
+            if len(self.chunks) + len(new) > CACHE:
+                self.older_chunks, self.chunks = self.chunks, {}
+                new = seen
             for c in new:
-                ids[c], texts[c] = self._chunk(c)
-        out = list(map(ids.__getitem__, chunks)), list(map(texts.__getitem__, chunks))
+                self.chunks[c] = self.older_chunks.get(c) or self._chunk(c)
+        rows = list(map(self.chunks.__getitem__, chunks))
         for c in new:
             if len(c) > CACHED_LENGTH:
-                del ids[c], texts[c]
-        return out
+                del self.chunks[c]
+        return [r[0] for r in rows], [r[1] for r in rows]
 
     def encode_bytes(self, text: str | None) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8)."""
@@ -176,7 +195,7 @@ def _encoded(docs: DataFrame, path: str, row, columns: str, names: list[str]) ->
     def run(batches):
         coder = None
         for b in batches:
-            coder = coder or WordBpe(path)
+            coder = coder or WordBpe.of(path)
             for start in range(0, len(b), 256):
                 piece = b.iloc[start : start + 256]
                 yield pd.DataFrame([(i, *row(*coder.encode_bytes(t))) for i, t in zip(piece["doc_id"], piece["text"])], columns=names).astype({"doc_id": "Int64"})
