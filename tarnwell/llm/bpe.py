@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.llm.common import small_batches
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words of more parts than this go to the heap.
 SHORT = 48
@@ -200,6 +202,7 @@ def _encoded(docs: DataFrame, path: str, row, columns: str, names: list[str]) ->
                 piece = b.iloc[start : start + 256]
                 yield pd.DataFrame([(i, *row(*coder.encode_bytes(t))) for i, t in zip(piece["doc_id"], piece["text"])], columns=names).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, columns)
 
 

@@ -36,6 +36,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that a Python worker gets at a time: at some kilobytes a text a few megabytes.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXT_ROWS rows, unless they are smaller already.
+
+    The default of 10,000 rows of whole texts takes some 100 MB of each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     trimmed = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.llm.common import small_batches
+
 #: Fixed patterns, in the order in which kinds are listed: (kind, pattern, group, least characters).
 PATTERNS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
@@ -119,6 +121,7 @@ def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
                 out.append((i, n[0], n[1], n[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), n[3]))
             yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return slim.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
@@ -145,4 +148,5 @@ def redact(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     def cleaned(s: pd.Series) -> pd.Series:
         return s.map(clean, na_action="ignore")
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(text, cleaned(F.col(text)))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import connected_components, hook, stage
+from tarnwell.llm.common import connected_components, hook, small_batches, stage
 
 #: Leaves of one subtree that one piece of work holds; larger ones are split.
 CHUNK = 4096
@@ -105,6 +105,7 @@ def fingerprints(docs: DataFrame, p: SimHash = SimHash()) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [_text_fingerprints(t, p) for t in b["text"]]})
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return slim.mapInPandas(run, "doc_id long, fp binary")
 
