@@ -39,7 +39,8 @@ class SimHash:
     of their XXH64 with ``seed``, each further one of the hashes mixed again. Two fingerprints are joined if one of their words
     differs in at most ``budget`` bits and all together in at most ``total_budget``.
     ``rotations`` leading blocks of ``lead_bits`` bits are tried for each word; more
-    blocks than ``budget``, none overlapping, make the join complete.
+    blocks than ``budget``, none overlapping, make the join complete. With ``distinct``
+    a shingle that a text repeats counts once.
     """
 
     width: int = 3
@@ -49,6 +50,7 @@ class SimHash:
     total_budget: int = 2
     rotations: int = 3
     lead_bits: int = 21
+    distinct: bool = False
 
     @property
     def complete(self) -> bool:
@@ -89,6 +91,7 @@ def _remixed(h: np.ndarray) -> np.ndarray:
 
 def _text_fingerprints(text: str | None, p: SimHash) -> bytes:
     h, out = shingle_hashes(text, p.width, p.seed), []
+    h = np.unique(h) if p.distinct else h
     for i in range(p.words):
         out.append(fingerprint(h).to_bytes(8, "big"))
         h = _remixed(h) if i + 1 < p.words else h
@@ -293,4 +296,4 @@ def near_duplicates(docs: DataFrame, p: SimHash = SimHash(), chunk: int = CHUNK)
 #: more. For random hyperplanes a similarity j differs in acos(2j / (1 + j)) / pi of the
 #: bits, 15 % at 0.8: 77 +- 8 of 512 bits. A pair at 0.8 agrees on a leading block of 16
 #: bits with probability 0.07, so on one of the 32 with 0.9; above, soon with 1.
-NEAR_COPIES = SimHash(width=5, words=8, budget=14, total_budget=84, rotations=4, lead_bits=16)
+NEAR_COPIES = SimHash(width=5, words=8, budget=14, total_budget=84, rotations=4, lead_bits=16, distinct=True)

@@ -102,3 +102,15 @@ def test_near_copies_of_five_word_shingles(spark):
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), NEAR_COPIES).collect()}
     assert all(got[i] // 10 == i // 10 for i, _ in rows)
     assert sum(got[i] == i // 10 * 10 for i, _ in rows) >= 0.95 * len(rows)
+
+
+def test_near_copies_count_a_repeated_shingle_once(spark):
+    rng = random.Random(4)
+    vocab = [f"word{i}" for i in range(2000)]
+    line = rng.choices(vocab, k=9)
+    rows = []
+    for g in range(10):
+        one, other = rng.choices(vocab, k=150), rng.choices(vocab, k=150)
+        rows += [(3 * g, " ".join(one + 40 * line)), (3 * g + 1, " ".join(other + 40 * line)), (3 * g + 2, " ".join(one + 2 * line))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), NEAR_COPIES).collect()}
+    assert got == {i: i - 2 if i % 3 == 2 else i for i, _ in rows}
