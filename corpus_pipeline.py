@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, mixing, secret_scan, simhash, toxicity
+from tarnwell.llm import bpe, mixing, near_copies, secret_scan, toxicity
 from tarnwell.llm.common import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,12 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document of the least id stays.
+    """Of each group of near copies (shingle-set similarity of 0.8 or more) the document of the least id stays.
 
     Rows that repeat a doc_id are one document. Rows without one can't be told apart
     later; of those with the same text one stays.
     """
-    groups = stage(simhash.near_duplicates(docs, simhash.NEAR_COPIES), "groups")
+    groups = stage(near_copies.near_copies(docs), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id")
     kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
     repeated = stage(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
