@@ -35,7 +35,7 @@ add("S18_postings_after_delete", "SELECT p.chunk_id, p.term, p.tf_body FROM {pos
 add(
     "S19_replacement_coverage",
     """SELECT coalesce(e.vec_id, c.vec_id) AS vec_id, CASE WHEN c.vec_id IS NULL THEN 'missing' ELSE 'extra' END AS problem
-    FROM (SELECT vec_id FROM {vectors} WHERE parent < 40) e FULL JOIN (SELECT vec_id FROM {cache}) c ON c.vec_id = e.vec_id WHERE e.vec_id IS NULL OR c.vec_id IS NULL""",
+    FROM (SELECT vec_id FROM {vectors}) e FULL JOIN (SELECT vec_id FROM {cache}) c ON c.vec_id = e.vec_id WHERE e.vec_id IS NULL OR c.vec_id IS NULL""",
 )
 add("S20_upsert_latest", "SELECT key, id, status, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id DESC) AS k FROM {log}) WHERE k = 1")
 add(
@@ -108,7 +108,7 @@ add(
 
 # --- joins ---------------------------------------------------------------------------------
 
-add("J01_matches_chunks_files", "SELECT s.qid, s.chunk_id, c.chunk_id IS NULL OR f.file_id IS NULL AS orphaned, f.path FROM {text_scores} s LEFT JOIN {chunks} c ON c.chunk_id = s.chunk_id AND c.chunk_id % 50 <> 7 LEFT JOIN {files} f ON f.file_id = c.file_id WHERE s.matched_terms >= 8")
+add("J01_matches_chunks_files", "SELECT s.qid, s.chunk_id, c.chunk_id IS NULL OR f.file_id IS NULL AS orphaned, f.path FROM {text_scores} s LEFT JOIN {chunks} c ON c.chunk_id = s.chunk_id LEFT JOIN {live} f ON f.file_id = c.file_id")
 add("J04_segments_chunks_files", "SELECT v.vec_id, v.parent, c.qualified, f.path FROM {vectors} v JOIN {chunks} c ON c.chunk_id = v.parent JOIN {files} f ON f.file_id = c.file_id")
 add("J05_keys_to_cache", "SELECT v.vec_id, c.scale IS NOT NULL AS stored, c.profile FROM (SELECT DISTINCT vec_id FROM {vectors}) v LEFT JOIN {cache} c ON c.vec_id = v.vec_id AND c.profile = 1")
 add(
@@ -131,7 +131,7 @@ add("J14_shared_key_fanout", "SELECT s.qid, f.sha, c.chunk_id, s.score FROM (SEL
 add("J15_lexical_outer_join", "SELECT coalesce(t.qid, s.qid) AS qid, coalesce(t.chunk_id, s.chunk_id) AS chunk_id, t.rank AS text_rank, s.rank AS symbol_rank FROM {text_lane} t FULL JOIN {symbol_lane} s ON s.qid = t.qid AND s.chunk_id = t.chunk_id")
 add("J16_lexical_vector_outer", "SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.parent, b.parent) AS parent, a.rank AS lexical_rank, b.rank AS vector_rank FROM {label_lane} a FULL JOIN {vector_lane} b ON b.qid = a.qid AND b.parent = a.parent")
 add("J19_hit_to_node", "SELECT v.qid, e.source AS node, min(v.rank) AS rank FROM {vector_lane} v JOIN {edges} e ON e.source = v.parent GROUP BY v.qid, e.source")
-add("J20_direct_bridge", "SELECT least(source, target) AS a, greatest(source, target) AS b, CAST(sum(n) AS BIGINT) AS n FROM {edges} WHERE source < 100 AND target < 100 GROUP BY least(source, target), greatest(source, target)")
+add("J20_direct_bridge", "SELECT least(source, target) AS a, greatest(source, target) AS b, CAST(sum(n) AS BIGINT) AS n FROM {edges} GROUP BY least(source, target), greatest(source, target)")
 add("J22_inversions", "SELECT a.qid, count(*) AS pairs, count_if(ea.rank > eb.rank) AS inversions, count_if(a.score = b.score) AS ties FROM {ranked} a JOIN {ranked} b ON b.qid = a.qid AND a.rank < b.rank JOIN {exact_ranked} ea ON ea.qid = a.qid AND ea.item = a.item JOIN {exact_ranked} eb ON eb.qid = b.qid AND eb.item = b.item GROUP BY a.qid")
 add("J23_gold_unmapped", "SELECT j.qid, j.item FROM {judgments} j WHERE j.grade = 2 AND NOT EXISTS (SELECT 1 FROM {cache} c WHERE c.vec_id = j.item)")
 add("J24_attachments_labels", "SELECT h.qid, h.item, h.rank, j.grade, j.hard, c.answerable FROM {ranked} h LEFT JOIN {judgments} j ON j.qid = h.qid AND j.item = h.item LEFT JOIN {cases} c ON c.qid = h.qid")
@@ -145,7 +145,7 @@ add(
 
 # --- aggregates -------------------------------------------------------------------------------
 
-add("A02_matched_terms", "SELECT qid, chunk_id, matched_terms, selected_terms FROM {text_scores} WHERE matched_terms > 3")
+add("A02_matched_terms", "SELECT qid, chunk_id, matched_terms, selected_terms FROM {text_scores}")
 add("A08_segment_coverage", "SELECT v.parent, count(*) AS segments, count_if(c.scale > 0) AS covered FROM {vectors} v LEFT JOIN {cache} c ON c.vec_id = v.vec_id GROUP BY v.parent")
 add(
     "A09_status_counts",
@@ -294,7 +294,7 @@ add("U01_lane_union", "SELECT qid, chunk_id FROM {text_lane} UNION SELECT qid, c
 add("U04_difference", "SELECT path, 'deleted' AS side FROM (SELECT path FROM {files} EXCEPT SELECT path FROM {live}) UNION ALL SELECT path, 'added' FROM (SELECT path FROM {live} EXCEPT SELECT path FROM {files})")
 add("U05_future_keys", "SELECT sha FROM {live} UNION SELECT sha FROM {files} WHERE file_id % 10 = 7")
 add("U06_group_sets", "SELECT a.qid, count(DISTINCT a.group_id) AS required, count(DISTINCT CASE WHEN r.rank <= 10 THEN a.group_id END) AS reached, count(DISTINCT CASE WHEN r.rank <= 10 THEN a.group_id END) - count(DISTINCT CASE WHEN r.rank <= 3 THEN a.group_id END) AS gained FROM {spans} a LEFT JOIN {ranked} r ON r.qid = a.qid AND r.item = a.item GROUP BY a.qid")
-add("U07_disjoint_gates", "SELECT count(*) AS overlapping FROM (SELECT item FROM {judgments} WHERE grade = 2 AND qid = 1 INTERSECT SELECT item FROM {judgments} WHERE hard AND qid = 1)")
+add("U07_disjoint_gates", "SELECT count(*) AS overlapping FROM (SELECT qid, item FROM {judgments} WHERE grade = 2 INTERSECT SELECT qid, item FROM {judgments} WHERE hard)")
 add("U08_plan_equality", "SELECT (SELECT count(*) FROM (SELECT path, sha FROM {files} EXCEPT SELECT path, sha FROM {live})) AS only_left, (SELECT count(*) FROM (SELECT path, sha FROM {live} EXCEPT SELECT path, sha FROM {files})) AS only_right")
 add("U10_presence_or", "SELECT s.qid, s.group_id, bool_or(a.rank IS NOT NULL OR b.rank IS NOT NULL) AS present FROM {spans} s LEFT JOIN {ranked} a ON a.qid = s.qid AND a.item = s.item AND a.rank <= 5 LEFT JOIN {exact_ranked} b ON b.qid = s.qid AND b.item = s.item AND b.rank <= 5 GROUP BY s.qid, s.group_id")
 
