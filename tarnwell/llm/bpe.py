@@ -13,26 +13,28 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import string
+import struct
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tarnwell.llm.common import small_batches
+from tarnwell.llm.common import Store, held, per_text
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of more parts than this go to the heap.
 SHORT = 48
-#: Words that an encoder keeps in each of two generations, and the longest kept one.
-CACHE, CACHED_LENGTH = 150_000, 64
+#: Chunks that an encoder keeps in each of two generations.
+CACHE = 200_000
 _NO_RANK = 1 << 30
 # The white space of Unicode.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = regex.compile(f"[{_WHITE}]+")
+#: Letters below this have long been letters in every Unicode table.
+_LATIN_END = "\u0250"
 #: Python splits at these too, the vocabulary doesn't.
 _CONTROLS = regex.compile(r"[\x1c-\x1f]")
 
@@ -76,18 +78,8 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", _WHITE))
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        # Two generations each: a full store becomes the older one, from which words
-        # that come again are taken over, so frequent words stay and memory is bounded.
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
-        self.older_chunks: dict[str, tuple[bytes, bytes]] = {}
-        self.known_words: dict[str, list[int]] = {}
-        self.older_words: dict[str, list[int]] = {}
-
-    @classmethod
-    @lru_cache(maxsize=2)
-    def of(cls, path: str) -> WordBpe:
-        """The coder of this process, so that a later task of a worker finds the words of earlier ones."""
-        return cls(path)
+        self.chunks = Store(self._chunk, CACHE)
+        self.tails = Store(self._word, 10_000)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -132,21 +124,21 @@ class WordBpe:
                     heapq.heappush(heap, (m[0], x, parts[x], parts[y]))
         return [p for p, dead in zip(parts, gone) if not dead]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids: list[int] = []
-        if len(self.known_words) >= CACHE:
-            self.older_words, self.known_words = self.known_words, {}
-        for w in self.words.findall(chunk):
-            found = self.known_words.get(w)
-            if found is None:
-                found = self.older_words.get(w) or self.merge(w.encode())
-                if len(w) <= CACHED_LENGTH:
-                    self.known_words[w] = found
-            ids += found
-        return np.array(ids, "<u4").tobytes(), " ".join(map(self.tokens.__getitem__, ids)).encode()
-
-    def _plain(self, text: str) -> tuple[list[bytes], list[bytes]]:
-        """(ids, decoded) of each chunk between white space of a text without special tokens."""
+    def _word(self, word: str) -> bytes:
+        ids = self.merge(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of what stands between white space. Letters are one word, and so is the punctuation after them."""
+        body = chunk.rstrip(string.punctuation)
+        if not body.isalpha() or not body.isascii() and max(body) >= _LATIN_END:
+            return b"".join(map(self._word, self.words.findall(chunk)))
+        if len(body) == len(chunk):
+            return self._word(chunk)
+        return self.chunks[body] + self.tails[chunk[len(body) :]]
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
@@ -154,70 +146,77 @@ class WordBpe:
             text = text.replace("Σ", "σ")
         text = text.lower()
         chunks = [c for c in _SPACE.split(text) if c] if _CONTROLS.search(text) else text.split()
-        seen = set(chunks)
-        new = seen.difference(self.chunks)
-        if new:
-            if len(self.chunks) + len(new) > CACHE:
-                self.older_chunks, self.chunks = self.chunks, {}
-                new = seen
-            for c in new:
-                self.chunks[c] = self.older_chunks.get(c) or self._chunk(c)
-        rows = list(map(self.chunks.__getitem__, chunks))
-        for c in new:
-            if len(c) > CACHED_LENGTH:
-                del self.chunks[c]
-        return [r[0] for r in rows], [r[1] for r in rows]
-
-    def encode_bytes(self, text: str | None) -> tuple[bytes, bytes]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8)."""
+        return b"".join(map(self.chunks.__getitem__, chunks))
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         text = text or ""
         if self.marks is None or not self.marks.search(text):
-            ids, texts = self._plain(text)
-        else:
-            ids, texts, at = [], [], 0
-            for m in [*self.marks.finditer(text), None]:
-                more = self._plain(text[at : m.start() if m else len(text)])
-                ids += more[0]
-                texts += more[1]
-                if m:
-                    ids.append(np.array([self.special[m.group()]], "<u4").tobytes())
-                    texts.append(m.group().encode())
-                    at = m.end()
-        return b"".join(ids), b" ".join(t for t in texts if t)
+            return self._plain(text)
+        ids, at = [], 0
+        for m in [*self.marks.finditer(text), None]:
+            ids.append(self._plain(text[at : m.start() if m else len(text)]))
+            if m:
+                ids.append(struct.pack("<I", self.special[m.group()]))
+                at = m.end()
+        return b"".join(ids)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids) -> str:
         """The tokens with a space between; ids that the vocabulary lacks are left out."""
-        return " ".join(self.tokens[i] for i in ids if 0 <= i < self.size and self.tokens[i])
-
+        return " ".join([t for i in ids if 0 <= i < self.size and (t := self.tokens[i])])
 
-def _encoded(docs: DataFrame, path: str, row, columns: str, names: list[str]) -> DataFrame:
-    def run(batches):
-        coder = None
-        for b in batches:
-            coder = coder or WordBpe.of(path)
-            for start in range(0, len(b), 256):
-                piece = b.iloc[start : start + 256]
-                yield pd.DataFrame([(i, *row(*coder.encode_bytes(t))) for i, t in zip(piece["doc_id"], piece["text"])], columns=names).astype({"doc_id": "Int64"})
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, columns)
+def _coder(path: str) -> WordBpe:
+    return held(("bpe", path), lambda: WordBpe(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, ids (array of int), n_tokens."""
-    row = lambda ids, _: (np.frombuffer(ids, "<u4").astype("i4"), len(ids) // 4)
-    return _encoded(docs, path or vocabulary_path(), row, "doc_id long, ids array<int>, n_tokens long", ["doc_id", "ids", "n_tokens"])
+    """One row per document: doc_id, ids (array of int), n_tokens.
+
+    Null and empty texts have no token. Repeated rows come back repeated, a null
+    doc_id stays null, an empty table gives no rows. Only doc_id and text are read,
+    so columns named like the results don't clash.
+    """
+    path = path or vocabulary_path()
+
+    def start():
+        coder = _coder(path)
+
+        def rows(texts):
+            blobs = list(map(coder.encode_bytes, texts))
+            n = np.array([len(b) // 4 for b in blobs], np.int64)
+            values = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(blobs))])
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends), values), n]
+
+        return rows
+
+    return per_text(docs, {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}, start)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no token. Repeated rows come back repeated, a null
-    doc_id stays null, an empty table gives no rows. Only doc_id and text are read.
+    doc_id stays null, an empty table gives no rows. Only doc_id and text are read,
+    so columns named like the results don't clash.
     """
-    row = lambda ids, text: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    return _encoded(docs, path or vocabulary_path(), row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", names)
+    path = path or vocabulary_path()
+
+    def start():
+        coder = _coder(path)
+
+        def rows(texts):
+            out: tuple[list, list, list] = ([], [], [])
+            for ids in map(coder.encode_bytes, texts):
+                out[0].append(len(ids) // 4)
+                out[1].append(hashlib.sha256(ids).hexdigest())
+                out[2].append(hashlib.sha256(coder.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
+            return list(out)
+
+        return rows
+
+    return per_text(docs, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, start)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,40 +21,158 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is configured."""
+    """The folder that all executors share; one of our own only on a local master that has none configured."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tarnwell-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Bytes that a writer of a staged table holds before it closes a row group.
+ROW_GROUP = 16 << 20
+
+#: Paths staged within each scope that is open.
+_scopes: list[list[str]] = []
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    where, files = _hadoop_path(spark, path)
+    files.delete(where, True)
+
+
+def write(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder; its path. It is deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tarnwell-{name}-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    where, files = _hadoop_path(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage: work above a staged table is neither repeated for a
     second reader nor lost with an executor. The schema is passed to the reader,
-    so an empty table comes back with its columns.
+    so an empty table comes back with its columns. The table goes with the open
+    ``scope``, or with the one around that if it is to be kept, else when the
+    application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnwell-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = write(df, name)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged within, and not kept, are deleted at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
 
+#: Texts that a worker turns into Python strings at a time: at most so many, of so many bytes together if there are several.
+PIECE_ROWS, PIECE_BYTES = 256, 4 << 20
 
-#: Rows of whole texts that a Python worker gets at a time: at some kilobytes a text a few megabytes.
-TEXT_ROWS = 1000
+_SPARK_NAMES = {
+    pa.int32(): "int",
+    pa.int64(): "long",
+    pa.float64(): "double",
+    pa.bool_(): "boolean",
+    pa.string(): "string",
+    pa.binary(): "binary",
+    pa.list_(pa.int32()): "array<int>",
+    pa.list_(pa.int64()): "array<long>",
+}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to TEXT_ROWS rows, unless they are smaller already.
+def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of bounded rows and bytes of text; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        upto = int(np.searchsorted(ends, before + PIECE_BYTES, "right"))
+        upto = min(max(upto, at + 1), at + PIECE_ROWS)
+        yield batch.slice(at, upto - at)
+        at = upto
 
-    The default of 10,000 rows of whole texts takes some 100 MB of each worker.
+
+def per_text(docs: DataFrame, columns: dict[str, pa.DataType], start: Callable[[], Callable[[list[str | None]], list]]) -> DataFrame:
+    """One row per document: doc_id, then ``columns`` as a function of the text gives them.
+
+    ``start`` runs once a task and returns the function from a list of texts to a list
+    of columns. doc_id stays an Arrow long, so that every id and null is exact. Whole
+    texts go through in pieces, whatever the session's batches are.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), *columns.items()])
+
+    def run(batches):
+        judge = None
+        for batch in batches:
+            for piece in pieces(batch):
+                judge = judge or start()
+                found = judge(piece.column("text").to_pylist())
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(found, columns.values())]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *arrays], schema=schema)
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {_SPARK_NAMES[t]}" for n, t in columns.items())]))
+
+
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What ``make`` gives, kept in this worker process for its later tasks.
+
+    Only the last key's value is kept, so that a worker that serves several operators
+    one after the other holds the tables and stores of one.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+class Store(dict):
+    """Values of words, made when first asked for and kept in bounded memory.
+
+    There are two generations: a full store becomes the older one, from which words
+    that come again are taken over, so frequent words stay. Words over ``longest``
+    characters are not kept.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > TEXT_ROWS:
-        spark.conf.set(key, TEXT_ROWS)
+
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
+        return value
 
 
 def word_count(text: Column) -> Column:

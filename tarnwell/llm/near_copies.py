@@ -1,9 +1,9 @@
 """Near copies by exact Jaccard similarity of shingle sets.
 
-Texts of equal shingle sets are one node. Bands of MinHash values find candidates:
-every node of a band's bucket hangs on the least node of it, so a bucket costs one
-edge a node. Only nodes of one component of these edges are compared, by their whole
-sets; a pair is left out only if links found before connect it already.
+Texts of equal shingle sets are one node. The trie self-join over SimHash fingerprints
+of the sets finds candidates, with budgets well above what a near copy needs. Only nodes
+of one component of the candidate links are compared, by their whole sets; a pair is left
+out only if links found before connect it already.
 
 A component of more than ``chunk`` nodes is compared in chunks. Its chunks are joined
 within themselves, then one node of each group found stands for it; what still falls
@@ -14,48 +14,34 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import connected_components, small_batches, stage
-from tarnwell.llm.simhash import NEAR_COPIES, shingle_hashes
+from tarnwell.llm.common import connected_components, pieces, scope, stage
+from tarnwell.llm.simhash import SimHash, near_copy_search, near_pairs, set_fingerprints, shingle_hashes
 
 #: Two texts are near copies if their shingle sets have this Jaccard similarity, as a fraction, or more.
 AT_LEAST = (4, 5)
-#: A pair at 0.8 agrees on a band of five values with probability 0.33, on none of 32 bands with 3 in a million.
-BANDS, BAND_ROWS = 32, 5
 #: Nodes that one piece of work holds of either side.
 CHUNK = 512
-#: Parts that a bucket's nodes are dealt to when they look up the least of them.
-SALTS = 8
 #: Words of 64 bits of the filter by which sets that no piece needs are left out before they are shuffled.
 FILTER_WORDS = 1 << 18
 
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.binary()), ("shingles", pa.binary())])
 
 
-def _bands(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of a set's MinHash values; none for the empty set."""
-    if not len(shingles):
-        return np.empty(0, np.int64)
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1 << 12):
-        least = np.minimum(least, (shingles[at : at + (1 << 12), None] * _FACTORS).min(axis=0))
-    return np.array([xxhash.xxh3_64_intdigest(band.tobytes(), seed=k) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
-
-
-def _sketches(batches, width: int, seed: int):
-    for b in batches:
-        sets = [np.unique(shingle_hashes(t, width, seed)) for t in b["text"]]
-        yield pd.DataFrame(
-            {
-                "doc_id": b["doc_id"],
-                "node": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
-                "bands": [_bands(s) for s in sets],
-                "shingles": [s.tobytes() for s in sets],
-            }
-        )
+def _sketches(batches, p: SimHash):
+    for batch in batches:
+        for b in pieces(batch):
+            sets = [np.unique(shingle_hashes(t, p.width, p.seed)) for t in b.column("text").to_pylist()]
+            made = [
+                pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
+                pa.array([set_fingerprints(s, p) for s in sets], pa.binary()),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *made], schema=_SKETCH)
 
 
 def _links(nodes: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -138,15 +124,6 @@ def _compared(rows: DataFrame, prints: DataFrame) -> DataFrame:
     return stage(whole.mapInPandas(_compare, "a long, b long"), "links")
 
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) of every node to the least node of each bucket that it shares."""
-    rows = prints.select("node", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.col("node"), F.lit(SALTS)).cast("int"))
-    parts = rows.groupBy("band", "salt").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = parts.groupBy("band").agg(F.min("low").alias("least"), F.max("high").alias("high")).where("least < high")
-    shared = stage(shared.select("band", "least"), "buckets").withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-    return rows.join(shared, ["band", "salt"]).select(F.col("least").alias("a"), F.col("node").alias("b"))
-
-
 def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with ``grp``, the least node that the links lead to."""
     found = connected_components(links).select(F.col("node").alias("of"), F.col("root").alias("to"))
@@ -190,24 +167,34 @@ def _linked(members: DataFrame, prints: DataFrame, chunk: int) -> DataFrame:
     return _grouped(members, links)
 
 
-def near_copies(docs: DataFrame, chunk: int = CHUNK, width: int = NEAR_COPIES.width, seed: int = NEAR_COPIES.seed) -> DataFrame:
-    """One row per document: doc_id, component_id.
+def text_key(text: str = "text"):
+    """What tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, component_id, key (of its text), component_key.
 
-    Documents link if their shingle sets have a Jaccard similarity of AT_LEAST or more;
-    ``component_id`` is the smallest doc_id reachable by links, itself included. Texts
+    Documents link if their sets of five-word shingles have a Jaccard similarity of
+    AT_LEAST or more; ``component_id`` is the smallest doc_id reachable by links, itself
+    included, and ``component_key`` the smallest key among that id's texts there. Texts
     without words are copies of each other. Repeated rows come back repeated. A null
     doc_id keeps its row; it is the component's id only if no document of the group has
     one. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
-    small_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = slim.mapInPandas(lambda batches: _sketches(batches, width, seed), "doc_id long, node long, bands array<long>, shingles binary")
-    prints = stage(prints.withColumn("row", F.monotonically_increasing_id()), "sketches")
-    nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row")), "nodes")
-    roots = connected_components(_candidates(prints))
-    members = _linked(nodes.join(roots, "node").select("root", "node", "row"), prints, chunk)
-    linked = stage(nodes.select("node", "least_id").join(members.select("node", "grp"), "node"), "linked")
-    least = stage(linked.groupBy("grp").agg(F.min("least_id").alias("group_id")), "least")
-    moved = linked.join(least, "grp").select("node", "group_id")
-    placed = nodes.join(moved, "node", "left").select("node", F.coalesce("group_id", "least_id").alias("component_id"))
-    return prints.select("doc_id", "node").join(stage(placed, "components"), "node", "left").select("doc_id", "component_id")
+    p = near_copy_search(docs.count())
+    with scope(docs.sparkSession):
+        slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
+        prints = slim.mapInArrow(lambda batches: _sketches(batches, p), "doc_id long, key long, node long, fp binary, shingles binary")
+        prints = stage(prints.withColumn("row", F.monotonically_increasing_id()), "sketches")
+        first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+        nodes = stage(prints.groupBy("node").agg(F.min(first).alias("least"), F.min("row").alias("row"), F.min("fp").alias("fp")), "nodes")
+        roots = connected_components(near_pairs(nodes.select("node", "fp"), p))
+        members = _linked(nodes.join(roots, "node").select("root", "node", "row"), prints, chunk)
+        linked = stage(nodes.select("node", "least").join(members.select("node", "grp"), "node"), "linked")
+        least = stage(linked.groupBy("grp").agg(F.min("least").alias("group_least")), "least")
+        moved = linked.join(least, "grp").select("node", "group_least")
+        placed = nodes.join(moved, "node", "left").select("node", F.coalesce("group_least", "least").alias("first"))
+        placed = stage(placed.select("node", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("component_key")), "components")
+        out = prints.select("doc_id", "key", "node").join(placed, "node", "left")
+        return stage(out.select("doc_id", "component_id", "key", "component_key"), "groups", keep=True)

@@ -6,9 +6,12 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.llm.common import per_text
+
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -97,7 +100,12 @@ def judge_text(text: str | None) -> tuple:
     return n, chars, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeats, failed, not failed and lost <= MOST_LOST * chars, lost
 
 
-COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"]
+#: What ``judge_text`` gives.
+COLUMNS = {
+    **dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), pa.int64()),
+    **dict.fromkeys(("base_failed", "kept"), pa.bool_()),
+    "lost_chars": pa.int64(),
+}
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -105,22 +113,21 @@ def judge(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and so fails. Repeated rows come back repeated,
     a null doc_id stays null, an empty table gives no rows. Only doc_id and text are
-    read; a document's whole text is judged in one task.
+    read, so columns named like the results don't clash; a document's whole text is
+    judged in one task.
     """
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame([(i, *judge_text(t)) for i, t in zip(b["doc_id"], b["text"])], columns=COLUMNS).astype({"doc_id": "Int64"})
-
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInPandas(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long")
+    return per_text(docs, COLUMNS, lambda: lambda texts: list(zip(*map(judge_text, texts))))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their failing lines removed; other columns as they are."""
+    """The documents that stay, with their failing lines removed; other columns as they are.
+
+    Null and empty texts have no words and go. Repeated rows are judged alike, ids are
+    not looked at, an empty table gives no rows, and other columns pass whatever their names.
+    """
 
     @F.pandas_udf("string")
     def cleaned(s: pd.Series) -> pd.Series:
         return s.map(lambda t: clean_lines(t)[0] if judge_text(t)[6] else None, na_action="ignore")
 
-    return docs.withColumn("text", cleaned("text")).where("text IS NOT NULL")
+    return docs.withColumn("text", cleaned(F.col("text").cast("string"))).where("text IS NOT NULL")

@@ -12,13 +12,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import small_batches
+from tarnwell.llm.common import held, per_text
 
 #: Fixed patterns, in the order in which kinds are listed: (kind, pattern, group, least characters).
 PATTERNS = (
@@ -34,6 +34,8 @@ RATIO = 2.2
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
+#: What stands between the separators of a run.
+_PIECE = re.compile(r"[A-Za-z0-9+]{%d,}" % LEAST_RUN)
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 # Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -46,8 +48,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
 def _encoding(path: str):
+    return held(("secret_scan", path), lambda: _load(path))
+
+
+def _load(path: str):
     import public_tokenizers
     import tiktoken
 
@@ -67,16 +72,26 @@ def known_string(run: str) -> bool:
 
 
 def random_runs(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int]]:
-    """Spans of the runs that the vocabulary spells inefficiently."""
+    """Spans of the runs that the vocabulary spells inefficiently.
+
+    A run that passes as a whole is looked at again by the pieces between its
+    separators, since words joined to a random string make up for its tokens.
+    """
+
+    def is_random(run: str) -> bool:
+        return len(run) >= LEAST_RUN and not known_string(run) and len(run) < ratio * len(_encoding(path).encode_ordinary(run))
+
     found = []
     for m in _RUN.finditer(text):
         # Separators and padding at the ends belong to the text around.
         run = m.group().strip("=/_-+")
+        start = m.start() + m.group().index(run)
         if len(run) < LEAST_RUN or known_string(run):
             continue
-        if len(run) < ratio * len(_encoding(path).encode_ordinary(run)):
-            start = m.start() + m.group().index(run)
+        if is_random(run):
             found.append((start, start + len(run)))
+        else:
+            found += [(start + x.start(), start + x.end()) for x in _PIECE.finditer(run) if x.end() - x.start() < len(run) and is_random(x.group())]
     return found
 
 
@@ -108,28 +123,25 @@ def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Offsets are code points, ends exclusive. A null or empty text has no span. Every
     row gives a row, repeated ones too; a null doc_id stays null; an empty table
-    gives none. Only doc_id and text are read.
+    gives none. Only doc_id and text are read, so columns named like the results
+    don't clash.
     """
     path = path or vocabulary_path()
+    kinds = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "n_random": pa.int64()}
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["text"]):
-                base, spans = scan_text(t, path)
-                n = [sum(k == x for _, k, _ in spans) for x in range(len(KINDS))]
-                out.append((i, n[0], n[1], n[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), n[3]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]).astype({"doc_id": "Int64"})
+    def row(text):
+        base, spans = scan_text(text, path)
+        n = [sum(k == x for _, k, _ in spans) for x in range(len(KINDS))]
+        return n[0], n[1], n[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), n[3]
 
-    small_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return per_text(docs, kinds, lambda: lambda texts: list(zip(*map(row, texts))))
 
 
 def redact(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """The documents with each secret replaced by ``[kind]``; overlapping spans become one.
 
-    Texts without a secret, null texts and all other columns stay as they are.
+    Texts without a secret, null and empty texts and all other columns, whatever their
+    names, stay as they are. Every row stays, repeated ones too; an empty table stays empty.
     """
     path = path or vocabulary_path()
 
@@ -148,5 +160,4 @@ def redact(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     def cleaned(s: pd.Series) -> pd.Series:
         return s.map(clean, na_action="ignore")
 
-    small_batches(docs.sparkSession)
-    return docs.withColumn(text, cleaned(F.col(text)))
+    return docs.withColumn(text, cleaned(F.col(text).cast("string")))

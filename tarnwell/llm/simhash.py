@@ -15,15 +15,17 @@ each piece leave it, never all pairs.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import connected_components, hook, small_batches, stage
+from tarnwell.llm.common import connected_components, hook, per_text, scope, stage
 
 #: Leaves of one subtree that one piece of work holds; larger ones are split.
 CHUNK = 4096
@@ -40,7 +42,8 @@ class SimHash:
     differs in at most ``budget`` bits and all together in at most ``total_budget``.
     ``rotations`` leading blocks of ``lead_bits`` bits are tried for each word; more
     blocks than ``budget``, none overlapping, make the join complete. With ``distinct``
-    a shingle that a text repeats counts once.
+    a shingle that a text repeats counts once. ``total_budget`` is taken over the first
+    ``checked`` words.
     """
 
     width: int = 3
@@ -51,6 +54,7 @@ class SimHash:
     rotations: int = 3
     lead_bits: int = 21
     distinct: bool = False
+    checked: int = 8
 
     @property
     def complete(self) -> bool:
@@ -75,9 +79,10 @@ def fingerprint(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype(">u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    # Sums of 255 bits fit a byte, which adds many at a time.
+    for at in range(0, len(hashes), 255):
+        part = hashes[at : at + 255].astype(">u8")
+        counts += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -89,28 +94,26 @@ def _remixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _text_fingerprints(text: str | None, p: SimHash) -> bytes:
-    h, out = shingle_hashes(text, p.width, p.seed), []
-    h = np.unique(h) if p.distinct else h
+def set_fingerprints(h: np.ndarray, p: SimHash) -> bytes:
+    """The fingerprints of an array of shingle hashes, one after the other."""
+    out = []
     for i in range(p.words):
         out.append(fingerprint(h).to_bytes(8, "big"))
         h = _remixed(h) if i + 1 < p.words else h
     return b"".join(out)
 
 
+def _text_fingerprints(text: str | None, p: SimHash) -> bytes:
+    h = shingle_hashes(text, p.width, p.seed)
+    return set_fingerprints(np.unique(h) if p.distinct else h, p)
+
+
 def fingerprints(docs: DataFrame, p: SimHash = SimHash()) -> DataFrame:
     """One row per document: doc_id, fp (binary, 8 bytes a word, most significant first).
 
     Null and empty texts have no shingle and the fingerprint zero.
     """
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [_text_fingerprints(t, p) for t in b["text"]]})
-
-    small_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInPandas(run, "doc_id long, fp binary")
+    return per_text(docs, {"fp": pa.binary()}, lambda: lambda texts: [[_text_fingerprints(t, p) for t in texts]])
 
 
 def _as_words(fps) -> np.ndarray:
@@ -204,10 +207,10 @@ PIECE = ["word", "rotation", "lead", "chunk_a", "chunk_b"]
 
 def _join_pieces(rows: pd.DataFrame, p: SimHash) -> pd.DataFrame:
     """Links of the pieces in ``rows``, which are whole and follow one another, as a forest."""
-    fps = _as_words(rows["fp"].tolist())
-    word, turn = rows["word"].to_numpy(np.int64), rows["rotation"].to_numpy(np.int64)
+    turn = rows["rotation"].to_numpy(np.int64)
+    fps = _as_words(rows["fp"].tolist()) if p.words > 1 else None
     by = (turn * p.lead_bits % 64).astype(np.uint64)
-    own = fps[np.arange(len(fps)), word]
+    own = rows["own"].to_numpy(np.int64).view(np.uint64)
     back = np.where(by > 0, np.uint64(64) - by, np.uint64(0))
     key = np.where(by > 0, (own << by) | (own >> back), own)
     piece = np.cumsum((rows[PIECE] != rows[PIECE].shift()).any(axis=1).to_numpy())
@@ -215,7 +218,8 @@ def _join_pieces(rows: pd.DataFrame, p: SimHash) -> pd.DataFrame:
     two = first != rows["chunk_b"].to_numpy(np.int64)
     side = np.where(two, chunk != first, 0)
     order = np.lexsort([key, side, piece])
-    fps, key, piece, side, two = fps[order], key[order], piece[order], side[order], two[order]
+    key, piece, side, two = key[order], piece[order], side[order], two[order]
+    fps = fps[order] if fps is not None else None
     node = rows["node"].to_numpy(np.int64)[order]
     low = np.flatnonzero(np.diff(piece, prepend=-1) != 0)
     high = np.append(low[1:], len(piece))
@@ -225,8 +229,11 @@ def _join_pieces(rows: pd.DataFrame, p: SimHash) -> pd.DataFrame:
     roots = roots[(roots[:, 0] < roots[:, 1]) & (roots[:, 2] < roots[:, 3])]
     labels = np.arange(len(node))
     for a, b in _Trie(key).walk(roots, p.lead_bits, p.budget):
-        if p.words > 1:
-            near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= p.total_budget
+        if fps is not None:
+            # What is connected already need not be looked at, however many copies there are.
+            apart = np.flatnonzero(labels[a] != labels[b])
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= p.total_budget
             a, b = a[near], b[near]
         labels = hook(labels, a, b)
     moved = np.flatnonzero(labels != np.arange(len(labels)))
@@ -253,18 +260,21 @@ def near_pairs(nodes: DataFrame, p: SimHash = SimHash(), chunk: int = CHUNK) ->
     ranks = F.sequence(F.lit(0), F.lit(p.words * p.rotations - 1))
     rows = nodes.select("node", "fp", F.explode(ranks).alias("rank"))
     rows = rows.withColumns({"word": F.expr(f"rank div {p.rotations}").cast("int"), "rotation": F.expr(f"rank % {p.rotations}").cast("int")})
-    rows = rows.withColumn("bits", F.conv(F.hex(F.expr("substring(fp, word * 8 + 1, 8)")), 16, -10).cast("long"))
+    rows = rows.withColumn("own", F.conv(F.hex(F.expr("substring(fp, word * 8 + 1, 8)")), 16, -10).cast("long"))
     rows = rows.withColumn("turn", (F.col("rotation") * p.lead_bits) % 64)
-    turned = F.expr("CASE WHEN turn = 0 THEN bits ELSE shiftleft(bits, turn) | shiftrightunsigned(bits, 64 - turn) END")
-    rows = rows.withColumn("lead", F.shiftrightunsigned(turned, 64 - p.lead_bits)).select("word", "rotation", "lead", "node", "fp")
+    turned = F.expr("CASE WHEN turn = 0 THEN own ELSE shiftleft(own, turn) | shiftrightunsigned(own, 64 - turn) END")
+    rows = rows.withColumn("lead", F.shiftrightunsigned(turned, 64 - p.lead_bits))
+    rows = rows.withColumn("fp", F.expr(f"substring(fp, 1, {8 * p.checked})")) if p.words > 1 else rows
+    more = ["fp"] if p.words > 1 else []
+    rows = rows.select("word", "rotation", "lead", "node", "own", *more)
     # Most leading blocks hold one leaf, which links with nothing; only shared ones go on.
     shared = rows.groupBy("word", "rotation", "lead").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1")
     shared = stage(shared.select("word", "rotation", "lead", F.ceil(F.col("leaves") / chunk).cast("int").alias("chunks")), "shared")
     rows = rows.join(shared, ["word", "rotation", "lead"])
-    rows = rows.withColumn("chunk", F.expr("CAST(pmod(xxhash64(fp), chunks) AS INT)"))
+    rows = rows.withColumn("chunk", F.expr("CAST(pmod(xxhash64(node), chunks) AS INT)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     rows = rows.withColumn("chunk_a", F.least("chunk", "other")).withColumn("chunk_b", F.greatest("chunk", "other"))
-    rows = rows.select(*PIECE, "chunk", "node", "fp").repartition(*PIECE).sortWithinPartitions(*PIECE)
+    rows = rows.select(*PIECE, "chunk", "node", "own", *more).repartition(*PIECE).sortWithinPartitions(*PIECE)
     return rows.mapInPandas(lambda batches: _join_sorted(batches, p), "a long, b long")
 
 
@@ -278,22 +288,36 @@ def near_duplicates(docs: DataFrame, p: SimHash = SimHash(), chunk: int = CHUNK)
     only if no document of the group has one. An empty table gives no rows. Other
     columns are not read, whatever their names.
     """
-    prints = stage(fingerprints(docs, p), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    nodes = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = stage(connected_components(near_pairs(nodes.select("node", "fp"), p, chunk)), "roots")
-    # Only nodes with a link are in roots; each group takes the least id of its nodes.
-    linked = stage(nodes.select("node", "least_id").join(roots, "node"), "linked")
-    least = stage(linked.groupBy("root").agg(F.min("least_id").alias("group_id")), "least")
-    moved = linked.select("node", F.col("root").alias("of")).join(least, F.col("of") == least["root"]).select("node", "group_id")
-    placed = nodes.join(moved, "node", "left")
-    placed = stage(placed.select(F.col("fp").alias("node_fp"), F.coalesce("group_id", "least_id").alias("component_id")), "components")
+    with scope(docs.sparkSession):
+        prints = stage(fingerprints(docs, p), "fingerprints", keep=True)
+        distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+        nodes = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        roots = stage(connected_components(near_pairs(nodes.select("node", "fp"), p, chunk)), "roots")
+        # Only nodes with a link are in roots; each group takes the least id of its nodes.
+        linked = stage(nodes.select("node", "least_id").join(roots, "node"), "linked")
+        least = stage(linked.groupBy("root").agg(F.min("least_id").alias("group_id")), "least")
+        moved = linked.select("node", F.col("root").alias("of")).join(least, F.col("of") == least["root"]).select("node", "group_id")
+        placed = nodes.join(moved, "node", "left")
+        placed = stage(placed.select(F.col("fp").alias("node_fp"), F.coalesce("group_id", "least_id").alias("component_id")), "components", keep=True)
     out = prints.join(placed, prints["fp"] == placed["node_fp"], "left")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: Stage settings for near copies: five-word shingles, shingle-set similarity of 0.8 or
-#: more. For random hyperplanes a similarity j differs in acos(2j / (1 + j)) / pi of the
-#: bits, 15 % at 0.8: 77 +- 8 of 512 bits. A pair at 0.8 agrees on a leading block of 16
-#: bits with probability 0.07, so on one of the 32 with 0.9; above, soon with 1.
-NEAR_COPIES = SimHash(width=5, words=8, budget=14, total_budget=84, rotations=4, lead_bits=16, distinct=True)
+#: Share of the bits in which two sets of shingle-set similarity 0.8 differ: acos(2j / (1 + j)) / pi.
+APART = math.acos(1.6 / 1.8) / math.pi
+
+
+def near_copy_search(documents: int, missed: float = 0.002) -> SimHash:
+    """Settings by which the join finds pairs of shingle sets with a similarity of 0.8 or more.
+
+    Such a pair agrees on a leading block of b bits with probability (1 - APART) ** b.
+    The blocks grow with the logarithm of the number of documents, so that a subtree
+    holds some hundreds of unlike leaves at any size, and there are as many blocks as
+    leave less than ``missed`` of the pairs at 0.8 without one in common; of closer ones
+    far less. The budgets lie well above the bits expected at 0.8 (8 of those behind a
+    block, 77 of 512), so what is found is a candidate, to be compared exactly.
+    """
+    lead = min(20, max(12, round(math.log2(max(1, documents))) - 6))
+    blocks = math.ceil(math.log(missed) / math.log(1 - (1 - APART) ** lead))
+    words = max(8, math.ceil(blocks / (64 // lead)))
+    return SimHash(width=5, words=words, budget=18, total_budget=128, rotations=64 // lead, lead_bits=lead, distinct=True)

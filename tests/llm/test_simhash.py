@@ -4,7 +4,7 @@ from collections import defaultdict
 import xxhash
 
 from tarnwell.llm.common import connected_components
-from tarnwell.llm.simhash import NEAR_COPIES, SimHash, near_duplicates
+from tarnwell.llm.simhash import SimHash, near_copy_search, near_duplicates
 
 
 def brute_fingerprint(text):
@@ -87,24 +87,29 @@ def test_components_by_rounds_equal_one_task(spark):
     assert one == many and len({n for n, _ in one}) == len(one)
 
 
-def test_near_copies_of_five_word_shingles(spark):
+def edited(rng, words, n, vocab):
+    at = rng.randrange(len(words) - n)
+    return words[:at] + rng.choices(vocab, k=n) + words[at + n :]
+
+
+def test_candidates_at_the_threshold(spark):
+    """Of pairs with a shingle-set similarity of 0.8 to 0.85 nearly all are candidates; unrelated ones never."""
     rng = random.Random(8)
-    vocab = [f"word{i}" for i in range(2000)]
-    rows = []
-    for g in range(30):
-        words = rng.choices(vocab, k=300)
-        rows.append((10 * g, " ".join(words)))
-        for c in range(1, 4):
-            w = list(words)
-            for _ in range(2):
-                w[rng.randrange(300)] = rng.choice(vocab)
-            rows.append((10 * g + c, " ".join(w)))
-    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), NEAR_COPIES).collect()}
-    assert all(got[i] // 10 == i // 10 for i, _ in rows)
-    assert sum(got[i] == i // 10 * 10 for i, _ in rows) >= 0.95 * len(rows)
-
-
-def test_near_copies_count_a_repeated_shingle_once(spark):
+    vocab = [f"word{i}" for i in range(4000)]
+    rows, near = [], 0
+    for g in range(300):
+        words = rng.choices(vocab, k=rng.choice([14, 60, 300]))
+        other = edited(rng, words, max(1, (len(words) - 4) // 9 - 4), vocab)
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            near += 1
+            rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_copy_search(10_000)).collect()}
+    assert near >= 100 and all(got[i] // 2 == i // 2 for i, _ in rows)
+    assert sum(got[i] == i - 1 for i, _ in rows if i % 2) >= 0.98 * near
+
+
+def test_candidates_count_a_repeated_shingle_once(spark):
     rng = random.Random(4)
     vocab = [f"word{i}" for i in range(2000)]
     line = rng.choices(vocab, k=9)
@@ -112,5 +117,13 @@ def test_near_copies_count_a_repeated_shingle_once(spark):
     for g in range(10):
         one, other = rng.choices(vocab, k=150), rng.choices(vocab, k=150)
         rows += [(3 * g, " ".join(one + 40 * line)), (3 * g + 1, " ".join(other + 40 * line)), (3 * g + 2, " ".join(one + 2 * line))]
-    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), NEAR_COPIES).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_copy_search(10_000)).collect()}
     assert got == {i: i - 2 if i % 3 == 2 else i for i, _ in rows}
+
+
+def test_settings_grow_with_the_documents():
+    for n in (0, 10, 10_000, 10**6, 10**9):
+        p = near_copy_search(n)
+        assert p.rotations * p.lead_bits <= 64 and p.words >= p.checked
+        apart = 0.151
+        assert (1 - (1 - apart) ** p.lead_bits) ** (p.words * p.rotations) < 0.003
