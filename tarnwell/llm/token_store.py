@@ -21,27 +21,29 @@ the files of the attempts that counted.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import shared_dir, stage
+from tarnwell.llm.bpe import byte_letters
+from tarnwell.llm.common import Store, held, pieces, shared_dir, stage
 
 MAGIC = b"TWIDS1"
 SAMPLE = 256
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that an encoder keeps in each of two generations.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -88,7 +90,7 @@ class EliasFano:
         return bits.reshape(count, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
 
     def block(self, number: int) -> np.ndarray:
-        """Numbers number * SAMPLE and on, up to SAMPLE of them."""
+        """Numbers number * SAMPLE and on, up to SAMPLE of them, as 64 bits (from 2 ** 63 on they look negative)."""
         first = number * SAMPLE
         count = min(SAMPLE, self.n - first)
         start = int(self.samples[number])
@@ -102,7 +104,7 @@ class EliasFano:
         """Number k, counted from 0."""
         if not 0 <= k < self.n:
             raise IndexError(k)
-        return int(self.block(k // SAMPLE)[k % SAMPLE])
+        return int(self.block(k // SAMPLE)[k % SAMPLE]) % (1 << 64)
 
     def blocks(self):
         for number in range(len(self.samples)):
@@ -114,19 +116,20 @@ class ByteEncoder:
 
     A byte-level vocabulary splits a text before a space that stands between words,
     whatever is around, so a text's ids are those of its space-led words one after
-    the other; and a word's are those of the runs that the vocabulary's pattern cuts
-    it into. The library encodes each run once. Texts where a space has white space
-    before it and white space or the text's end after it, and those with a special
-    token's string, are encoded whole.
+    the other, and a word's those of the runs that its pre-tokenizer cuts it into.
+    The library's model encodes each different word once. Texts where a space has white
+    space before it and white space or the text's end after it, and those with a special
+    token's string, go through the library whole; so do all texts with a vocabulary
+    that isn't of this kind.
     """
 
     _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     _TIED = re.compile(r"\s (?:\s|\Z)")
+    #: Letters below this have long been letters in every Unicode table.
+    _LATIN_END = "\u0250"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -134,71 +137,70 @@ class ByteEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.dtype = f"<u{self.width}"
-        self.runs_of = regex.compile(public_tokenizers.PATTERN).findall
+        self.dtype, self.packed = f"<u{self.width}", "<%d" + ("H" if self.width == 2 else "I")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        self.by_words = spec["normalizer"] is None and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
+        if self.by_words:
+            self.model, self.runs = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = dict(enumerate(byte_letters()))
         self.before_space = [w + " " for w in self._WHITE]
-        # Two generations each: a full store becomes the older one, from which words
-        # that come again are taken over, so frequent words stay and memory is bounded.
-        self.runs: dict[str, bytes] = {}
-        self.older_runs: dict[str, bytes] = {}
-        self.words: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-        self.older_words: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-
-    @classmethod
-    @lru_cache(maxsize=2)
-    def of(cls, path: str) -> ByteEncoder:
-        """The encoder of this process, so that a later task of a worker finds the words of earlier ones."""
-        return cls(path)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str], lead: str) -> dict[str, bytes]:
-        """The store of words behind ``lead``, with these in it."""
-        store = self.words[lead]
-        new = words.difference(store)
-        if len(store) + len(new) > CACHE:
-            self.older_words[lead], self.words[lead] = store, {}
-            store, new = self.words[lead], words
-        older = self.older_words[lead]
-        again = new.intersection(older)
-        store.update((w, older[w]) for w in again)
-        cut = [(w, self.runs_of(lead + w)) for w in new.difference(again)]
-        if len(self.runs) > CACHE:
-            self.older_runs, self.runs = self.runs, {}
-        runs, older = self.runs, self.older_runs
-        unknown = []
-        for r in {r for _, found in cut for r in found}.difference(runs):
-            if r in older:
-                runs[r] = older[r]
-            else:
-                unknown.append(r)
-        for at in range(0, len(unknown), 20_000):
-            part = unknown[at : at + 20_000]
-            runs.update(zip(part, self._whole(part)))
-        for w, found in cut:
-            store[w] = runs[found[0]] if len(found) == 1 else b"".join([runs[r] for r in found])
-        return store
+        self.tails = Store(self._run, 10_000)
+        self.spaced, self.bare = Store(self._spaced, CACHE), Store(self._bare, CACHE // 4)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _ids(self, letters: str) -> bytes:
+        """Ids of one run, given as the letters that stand for its bytes."""
+        ids = [t.id for t in self.model(letters)]
+        return struct.pack(self.packed % len(ids), *ids)
+
+    def _run(self, run: str) -> bytes:
+        return self._ids(run.encode().decode("latin-1").translate(self.letters))
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join([self._ids(letters) for letters, _ in self.runs(text)])
+
+    def _one_kind(self, body: str) -> bool:
+        """Whether a word holds nothing but letters, or but digits, by every Unicode table."""
+        return body.isalpha() and (body.isascii() or max(body) < self._LATIN_END) or body.isascii() and body.isdigit()
+
+    def _spaced(self, word: str) -> bytes:
+        """Ids of a word behind a space."""
+        return self._word(" ", word, self.spaced)
+
+    def _bare(self, word: str) -> bytes:
+        return self._word("", word, self.bare)
+
+    def _word(self, lead: str, word: str, store: Store) -> bytes:
+        """Letters, or digits, are one run; so is the punctuation after them, and a line end between words."""
+        body = word.rstrip(string.punctuation)
+        if not body or len(body) == len(word) and self._one_kind(body):
+            return self._run(lead + word)
+        if self._one_kind(body):
+            return store[body] + self.tails[word[len(body) :]]
+        first, line_end, rest = word.partition("\n")
+        if first and rest and not first[-1].isspace() and not rest[0].isspace():
+            return store[first] + self.tails[line_end] + self.bare[rest]
+        return self._cut(lead + word)
 
     def _is_tied(self, text: str) -> bool:
         return any(w in text for w in self.before_space) and bool(self._TIED.search(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes; none for null."""
-        out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        for k, text in enumerate(texts):
+        out: list[bytes] = []
+        ids = self.spaced.__getitem__
+        for text in texts:
             if not text:
-                continue
-            if any(s in text for s in self.special) or self._is_tied(text):
-                out[k] = self._whole([text])[0]
+                out.append(b"")
+            elif not self.by_words or any(s in text for s in self.special) or self._is_tied(text):
+                out.append(self._whole(text))
             else:
-                cut.append((k, text.split(" ")))
-        bare = self._learn({words[0] for _, words in cut}, "")
-        spaced = self._learn(set().union(*(words for _, words in cut)), " ").__getitem__
-        for k, words in cut:
-            rest = iter(words)
-            out[k] = bare[next(rest)] + b"".join(map(spaced, rest))
+                words = iter(text.split(" "))
+                out.append(self.bare[next(words)] + b"".join(map(ids, words)))
         return out
 
 
@@ -260,7 +262,7 @@ class Shard:
             held = self.read(at, int(ends[-1]))
             starts = np.concatenate([[at], ends[:-1]]) - at
             for doc, s, e in zip(ids, starts, ends - at):
-                yield (None if self.null_ids else int(doc) + self.least), held[s:e]
+                yield (None if self.null_ids else int(doc) % (1 << 64) + self.least), held[s:e]
             at = int(ends[-1])
 
 
@@ -280,7 +282,7 @@ def _write_shard(path: str, doc_ids: list[int], null_ids: bool, blobs: list[byte
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID, shard_bytes: int = 64 << 20) -> DataFrame:
     """Encode and write all documents; the manifest: shard, part, path, n_docs, n_ids, start.
 
-    Shards are in ascending doc_id order, nulls first, repeated ids by text; ``start``
+    Shards are in ascending doc_id order, nulls first, repeated ids by a hash of the text; ``start``
     is the number of ids before the shard. A task closes a file at ``shard_bytes`` of
     ids and begins the next ``part``, so its memory is bounded by that and one text.
     """
@@ -291,46 +293,45 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     def run(batches):
         from pyspark import TaskContext
 
-        context, encoder = TaskContext.get(), None
-        shard, part = context.partitionId(), 0
+        shard, part = TaskContext.get().partitionId(), 0
+        encoder, end = None, b""
         ids: list[int] = []
         blobs: list[bytes] = []
-        held, null_ids = 0, False
-        end = None
+        kept, null_ids = 0, False
 
         def close():
-            nonlocal part, held
+            nonlocal part, kept
             name = f"{folder}/ids-{shard:06d}-{part:04d}-{uuid.uuid4().hex[:8]}.twids"
-            n = _write_shard(name, ids, null_ids, blobs, encoder)
-            row = pd.DataFrame({"shard": [shard], "part": [part], "path": [name], "n_docs": [len(blobs)], "n_ids": [n]})
-            part, held = part + 1, 0
+            row = [shard], [part], [name], [len(blobs)], [_write_shard(name, ids, null_ids, blobs, encoder)]
+            part, kept = part + 1, 0
             ids.clear()
             blobs.clear()
-            return row
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _MANIFEST)], schema=_MANIFEST)
 
-        for b in batches:
+        for batch in batches:
             if encoder is None:
-                encoder = ByteEncoder.of(path)
+                encoder = held(("token_store", path), lambda: ByteEncoder(path))
                 end = np.array([end_id], encoder.dtype).tobytes()
-            for start in range(0, len(b), 256):
-                piece = b.iloc[start : start + 256]
-                for doc, blank, blob in zip(piece["doc_id"], piece["doc_id"].isna(), encoder.encode(piece["text"].tolist())):
-                    if blobs and (held >= shard_bytes or blank != null_ids):
+            for piece in pieces(batch):
+                for doc, blob in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist())):
+                    if blobs and (kept >= shard_bytes or (doc is None) != null_ids):
                         yield close()
-                    null_ids = bool(blank)
-                    ids.append(0 if blank else int(doc))
+                    null_ids = doc is None
+                    ids.append(doc or 0)
                     blobs.append(blob + end)
-                    held += len(blob) + len(end)
+                    kept += len(blob) + len(end)
         if blobs:
             yield close()
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     # At least some tasks for each core, and at most about 64 MB of text in each.
     n = int(max(size >> 26, min((size >> 20) + 1, 4 * spark.sparkContext.defaultParallelism)))
-    ranged = slim.withColumn("blank", F.col("doc_id").isNotNull()).repartitionByRange(n, "blank", "doc_id").sortWithinPartitions("blank", "doc_id", "text")
-    wide = ranged.withColumn("doc_id", F.col("doc_id").cast("string")).select("doc_id", "text")
-    manifest = stage(wide.mapInPandas(run, "shard int, part int, path string, n_docs long, n_ids long"), "manifest")
+    # Rows of one id, or of none, are dealt on by a hash of their text.
+    keys = ["blank", "doc_id", "of_text"]
+    ranged = slim.withColumns({"blank": F.col("doc_id").isNotNull(), "of_text": F.xxhash64("text")})
+    ranged = ranged.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "text").select("doc_id", "text")
+    manifest = stage(ranged.mapInArrow(run, "shard int, part int, path string, n_docs long, n_ids long"), "manifest")
     # One row for each file.
     order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
@@ -341,25 +342,33 @@ def read(manifest: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for file, at in zip(b["path"], b["start"]):
-                shard, out = Shard.open(file), []
-                for doc, ids in shard.documents():
+            for file, at in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
+                out: list[tuple] = []
+                for doc, ids in Shard.open(file).documents():
                     out.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
                     if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                        yield _rows(out)
                         out = []
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield _rows(out)
 
     n = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(n).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+_MANIFEST = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names)
 
 
 def write_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write all documents and read the files back: doc_id, start, n_tokens, ids_crc32.
 
-    A null or empty text holds the end id alone; null doc_ids come first, repeated
-    rows one after the other; an empty table has no file and gives no rows. Only
-    doc_id and text are read.
+    A null or empty text holds the end id alone; null doc_ids come first; rows of one
+    doc_id follow one another, ordered by a hash of the text; an empty table has no
+    file and gives no rows. Only doc_id and text are read.
     """
     return read(write(docs, path=path))
