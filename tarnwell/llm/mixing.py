@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment. DataFrame functions only.
 
-The mix is made of blocks of about ``block`` words. Blocks go to sources by the
+The mix is made of equal blocks of words, at most ``block`` of them and at least so few
+that the least target has BLOCKS of them. Blocks go to sources by the
 highest quotients target / (2k - 1), then, by the same rule, from a source to its
 groups of shards and from a group to its shards, in proportion to the blocks these
 hold. No apportionment has more than ``fan_out`` parties below the sources, so a
@@ -23,6 +24,8 @@ from tarnwell.llm.common import stage, word_count
 
 #: Weights by the rank of a source, repeating.
 CYCLE = (5.0, 2.0, 1.0)
+#: The least target is made of so many blocks, so that a block is half a percent of it, or one word.
+BLOCKS = 200
 #: No target is above this many times its source's size.
 CEILING = 3
 
@@ -97,26 +100,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = CYCLE, ceiling: int = CEILIN
 
     ``taken`` is how many of the document's words the mix takes, repeats counted: 0
     to ``ceiling`` times its size. The order in a shard is by a seeded hash of
-    doc_id and size, so reruns agree; repeated rows are told apart only by their
-    position, which changes nothing but which of them is taken. A null text has size
+    doc_id, size and text, so reruns agree, and rows that share a doc_id or have none are
+    spread like others; rows that are equal in all of these are told apart only by their
+    position, which changes nothing but which of them is taken, and come back as often. A null text has size
     0 and takes nothing; a null source is a source of its own, ranked last; a source
     without words has target 0. An empty table gives no rows. Only doc_id, text and
     source are read.
     """
-    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("of_text"))
     sizes = stage(sizes, "sizes")
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
     sources = sources.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
     # One row for each source, all of which fit the windows above.
-    sources = sources.withColumn("_all", F.lit(0)).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block))
+    whole = Window.partitionBy()
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(whole)
+    sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / BLOCKS))).cast("long"))
+    sources = sources.withColumn("_all", F.lit(0)).withColumn("_seats", F.round(F.sum("target").over(whole) / F.col("block")))
     sources = stage(sainte_lague(sources, ["_all"], ["source"], "target", "_seats", "blocks").drop("_all", "_seats"), "sources")
     at = sources.select(F.col("source").alias("of"), "n_shards")
     placed = sizes.join(at, sizes["source"].eqNullSafe(at["of"]), "left").drop("of")
-    placed = placed.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    placed = placed.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "of_text")).drop("of_text")
     placed = stage(placed.withColumn("shard", F.expr("CAST(pmod(xxhash64(order), n_shards) AS INT)")).drop("n_shards"), "placed")
 
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    shards = shards.withColumn("n", F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long")).where("words > 0")
+    blocks = sources.select(F.col("source").alias("of"), "block")
+    shards = shards.where("words > 0").join(blocks, shards["source"].eqNullSafe(blocks["of"])).drop("of")
+    shards = shards.withColumn("n", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long")).drop("block")
     shards = stage(shards.withColumn("part", F.expr(f"shard div {fan_out}").cast("int")), "shards")
     parts = shards.groupBy("source", "part").agg(F.sum("n").alias("part_n"))
     totals = shards.groupBy(F.col("source").alias("of")).agg((F.sum("n") * ceiling).alias("blocks_most"))
