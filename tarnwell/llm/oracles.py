@@ -24,7 +24,8 @@ FROM vectors v LEFT JOIN components c ON c.a = v.vec_id LEFT JOIN counts n ON n.
 
 def _url_filter() -> str:
     u = url_filter
-    two = ", ".join(f"'{s}'" for s in u.TWO_LABEL_SUFFIXES)
+    two = f"regexp_matches(two, '{u.TWO_LABELS}')"
+    address = f"regexp_matches(name, '{u.ADDRESS}')"
     ordered = sorted(u.RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in ordered]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, ordered)) + " END"
@@ -46,8 +47,8 @@ WITH cut AS (
 ), labelled AS (
   SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE bad) AS DOUBLE) AS bad FROM judged WHERE bad IS NOT NULL GROUP BY host
 ), hosts AS (
-  SELECT *, CASE WHEN two IN ({two}) THEN array_to_string(labels[-3:], '.') ELSE two END AS domain, CASE WHEN two IN ({two}) THEN two ELSE labels[-1] END AS suffix
-  FROM (SELECT *, array_to_string(labels[-2:], '.') AS two FROM (SELECT *, string_split(host, '.') AS labels FROM labelled))
+  SELECT *, CASE WHEN {address} THEN name WHEN {two} THEN array_to_string(labels[-3:], '.') ELSE two END AS domain, CASE WHEN {address} THEN '(address)' WHEN {two} THEN two ELSE labels[-1] END AS suffix
+  FROM (SELECT *, array_to_string(labels[-2:], '.') AS two FROM (SELECT *, string_split(name, '.') AS labels FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM labelled)))
 ), suffix_rows AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM labelled) AS parent FROM hosts GROUP BY suffix
 ), suffixes AS (SELECT suffix, alpha / (alpha + beta) AS mean FROM ({level("suffix_rows")})),

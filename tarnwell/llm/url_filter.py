@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import stage
 
-# Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.au", "org.uk")
+# Second labels under which countries register names.
+SECOND_LABELS = ("ac", "co", "com", "ed", "edu", "gob", "gouv", "gov", "go", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "sch")
+#: A suffix of two labels: one of these before a country's.
+TWO_LABELS = r"^(" + "|".join(SECOND_LABELS) + r")\.[a-z]{2}$"
+ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
 
 #: (host, path prefix, verdict); a rule holds for its host and all subdomains.
 RULES = (
@@ -64,13 +67,21 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return (none, none) if name is None else (name, verdict)
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host; a host of one label is both."""
-    labels = F.split(host, r"\.")
+def levels(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host without its port; a host of one label is both.
+
+    A suffix has one label, or two where these are a country's (TWO_LABELS) or among
+    ``suffixes``, such as a public list's. An address is a domain of its own under the
+    suffix "(address)".
+    """
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    labels = F.split(name, r"\.")
     two = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".")
-    double = two.isin(*TWO_LABEL_SUFFIXES)
+    double = two.rlike(TWO_LABELS) | two.isin(*suffixes) if suffixes else two.rlike(TWO_LABELS)
     three = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 2), 3), ".")
-    return F.when(double, three).otherwise(two), F.when(double, two).otherwise(F.element_at(labels, -1))
+    address = name.rlike(ADDRESS)
+    domain = F.when(address, name).when(double, three).otherwise(two)
+    return domain, F.when(address, F.lit("(address)")).when(double, two).otherwise(F.element_at(labels, -1))
 
 
 def junk_page(html: Column) -> Column:

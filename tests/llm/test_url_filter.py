@@ -1,4 +1,5 @@
 import math
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ PAGES = [
     (6, None, None), (7, "no scheme", 1), (8, "http://xorg/es/", 0), (9, "http://b.net", None), (10, "http://b.net/a?b://c/d", 0), (10, "http://b.net/a?b://c/d", 0), (None, "http://c.net/ü/ß", 0), (11, "://only/p", 1),
     (12, "http://a.co.uk:80/x", 1), (13, "http://org/", 0), (14, "http://example.org", 1), (15, "http://h.net\n/x\ny", 0),
 ]
+PAGES += [(50, "http://10.0.0.1/x", 1), (51, "http://77.9.0.1:8080/", 0), (52, "http://x.co.in/", 1), (53, "http://y.co.in/", 0), (54, "http://a.com:8080/", 1), (55, "http://" + "a" * 3000 + ".net/" + "p/" * 50_000, 0)]
 PAGES += [(100 + k, f"http://bad.net/{k}", int(k % 10 != 0)) for k in range(400)] + [(600 + k, f"http://s{k}.good.net/", 0) for k in range(50)]
 
 
@@ -29,8 +31,11 @@ def posterior(rows):
     for h, y in rows:
         n[h] += 1
         bad[h] += y
-    dom = {h: h if len(h.split(".")) < 2 else ".".join(h.split(".")[-3 if ".".join(h.split(".")[-2:]) == "co.uk" else -2 :]) for h in n}
-    suf = {h: ".".join(h.split(".")[-2:]) if ".".join(h.split(".")[-2:]) == "co.uk" else h.split(".")[-1] for h in n}
+    bare = {h: re.sub(r":\d*$", "", h) for h in n}
+    address = {h: re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", b) is not None for h, b in bare.items()}
+    two = {h: ".".join(b.split(".")[-2:]) for h, b in bare.items()}
+    dom = {h: b if address[h] else ".".join(b.split(".")[-3:]) if two[h] in ("co.uk", "co.in") else two[h] for h, b in bare.items()}
+    suf = {h: "(address)" if address[h] else two[h] if two[h] in ("co.uk", "co.in") else b.split(".")[-1] for h, b in bare.items()}
 
     def level(items, parent):
         v = {k: max(0.001, min(0.999, parent[k])) for k in items}
@@ -82,8 +87,10 @@ def test_against_plain(spark):
 
 
 def test_levels_and_junk(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("localhost",), ("",)], "h string")
+    df = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("localhost",), ("",), ("10.0.0.1",), ("a.com:8080",), ("q.x.co.in:1",), ("[::1]",)], "h string")
     d, s = levels(F.col("h"))
-    assert [tuple(r) for r in df.select(d, s).collect()] == [("b.co.uk", "co.uk"), ("x.com", "com"), ("localhost", "localhost"), ("", "")]
+    assert [tuple(r) for r in df.select(d, s).collect()] == [("b.co.uk", "co.uk"), ("x.com", "com"), ("localhost", "localhost"), ("", ""), ("10.0.0.1", "(address)"), ("a.com", "com"), ("x.co.in", "co.in"), ("[::1]", "(address)")]
+    d, s = levels(F.col("h"), ["b.com"])
+    assert [tuple(r) for r in spark.createDataFrame([("x.a.b.com",)], "h string").select(d, s).collect()] == [("a.b.com", "b.com")]
     html = spark.createDataFrame([("plain text here",), ("a### b%%% c&amp;&amp;&amp;",), (None,), ("",)], "t string")
     assert [r[0] for r in html.select(junk_page(F.col("t"))).collect()] == [False, True, None, False]
