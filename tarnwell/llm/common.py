@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -51,6 +52,14 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted with the open scope, or else when the application ends."""
+    where, files = _hadoop_path(spark, path)
+    files.deleteOnExit(where)
+    if _scopes:
+        _scopes[-1].append(path)
+
+
 def write(df: DataFrame, name: str) -> str:
     """Write ``df`` to the shared folder; its path. It is deleted when the application ends."""
     spark = df.sparkSession
@@ -76,6 +85,25 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _arrow_path(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def open_out(path: str):
+    """A file to write in the shared folder, local or in a store that Arrow knows."""
+    system, where = _arrow_path(path)
+    system.create_dir(os.path.dirname(where), recursive=True)
+    return system.open_output_stream(where)
+
+
+def open_in(path: str):
+    """A file of the shared folder to read at any place."""
+    system, where = _arrow_path(path)
+    return system.open_input_file(where)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that are staged within, and not kept, are deleted at the end."""

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.llm.bpe import byte_letters
-from tarnwell.llm.common import Store, held, pieces, shared_dir, stage
+from tarnwell.llm.common import Store, held, open_in, open_out, pieces, shared_dir, stage
 
 MAGIC = b"TWIDS1"
 SAMPLE = 256
@@ -204,22 +204,6 @@ class ByteEncoder:
         return out
 
 
-def open_out(path: str):
-    """A file to write in the shared folder, local or in a store that Arrow knows."""
-    from pyarrow import fs
-
-    system, where = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    system.create_dir(os.path.dirname(where), recursive=True)
-    return system.open_output_stream(where)
-
-
-def open_in(path: str):
-    from pyarrow import fs
-
-    system, where = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return system.open_input_file(where)
-
-
 @dataclass
 class Shard:
     """A shard opened for reading."""

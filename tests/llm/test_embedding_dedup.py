@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tarnwell.llm.embedding_dedup import near_duplicates, quantise, tile_links
+from tarnwell.llm.embedding_dedup import Tile, near_duplicates, quantise, tile_links
 
 
 def brute(rows, threshold):
@@ -69,7 +69,7 @@ def test_bounds_hold_and_few_pairs_are_checked():
     guess = (codes.astype(float) @ codes.astype(float).T) * scale[:, None] * scale
     assert (np.abs(guess - x @ x.T) <= error[:, None] * (1 + error) + error + 1e-9).all()
     found, checked = set(), 0
-    for i, j, _, n in tile_links(x, None, 0.95, strip=64):
+    for i, j, _, n in tile_links(Tile.of(x), None, 0.95, strip=64):
         found |= set(zip(i.tolist(), j.tolist()))
         checked += n
     want = {(i, j) for i in range(400) for j in range(i + 1, 400) if x[i] @ x[j] >= 0.95}
