@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +16,12 @@ def edges(occurrences: DataFrame) -> DataFrame:
     return kept.groupBy("source", "target", "kind", "zone").agg(F.count(F.lit(1)).alias("n"), F.min("occ_id").alias("best_id"), F.countDistinct("role").alias("roles"))
 
 
+def dangling(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, target, missing) for each end of an edge that ``nodes`` (node) lacks."""
+    lost = lambda end: edge_rows.join(nodes, F.col(end) == F.col("node"), "left_anti").select("source", "target", F.lit(end).alias("missing"))
+    return lost("source").unionByName(lost("target"))
+
+
 def one_hop(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """Edges of each seed in both directions: (qid, seed, other, direction, ..).
 
@@ -37,20 +46,22 @@ def frontier(hops: DataFrame, per_bucket: int = 2, most: int = 32) -> DataFrame:
     return rows.select("qid", "seed", "other", "direction", "zone", "kind", "n", "best_id", "bucket_rank", "rank")
 
 
-def pareto(rows: DataFrame, keys: list[str], up: list[str], down: list[str], ident: str) -> DataFrame:
-    """Rows of each group that no other row dominates: as good in all of ``up`` (more) and ``down`` (less), better in one."""
-    fields = [*keys, ident, *up, *down]
-    a, b = rows.select(*fields).alias("a"), rows.select(*fields).alias("b")
+def pareto(rows: DataFrame, keys: list[str], up: list[str], down: str, ident: str) -> DataFrame:
+    """Rows of each group that no other row dominates: as good in all of ``up`` (more) and in ``down`` (less), better in one.
+
+    Of rows that are equal in ``up`` only those of the least ``down`` can stay, so a
+    group is first reduced to one row for each combination of ``up``, of which even a
+    group with very many rows has few; these are held against each other.
+    """
+    fields = [*keys, ident, *up, down]
+    least = rows.groupBy(*keys, *up).agg(F.min(down).alias(down))
+    a, b = least.alias("a"), least.alias("b")
     at = lambda s, c: F.col(f"{s}.{c}")
-    good, better = F.lit(True), F.lit(False)
-    for c in up:
-        good, better = good & (at("b", c) >= at("a", c)), better | (at("b", c) > at("a", c))
-    for c in down:
-        good, better = good & (at("b", c) <= at("a", c)), better | (at("b", c) < at("a", c))
-    same = F.lit(True)
-    for c in keys:
-        same = same & (at("a", c) == at("b", c))
-    return a.join(b, same & good & better, "left_anti").select(*fields)
+    same = reduce(and_, (at("a", c) == at("b", c) for c in keys))
+    good = reduce(and_, (at("b", c) >= at("a", c) for c in up)) & (at("b", down) <= at("a", down))
+    other = reduce(or_, (at("b", c) > at("a", c) for c in up))
+    front = a.join(b, same & good & other, "left_anti")
+    return rows.select(*fields).join(front, [*keys, *up, down], "left_semi").select(*fields)
 
 
 def reserve_bridges(rows: DataFrame, capacity: int = 2) -> DataFrame:

@@ -36,9 +36,14 @@ def _length() -> Column:
     return (F.size(F.coalesce("symbol_tokens", F.array())) + F.size(F.coalesce("body_tokens", F.array()))).cast("long")
 
 
-def corpus_size(index_rows: DataFrame) -> DataFrame:
-    """One row: number of rows and their mean length."""
-    return index_rows.select(_length().alias("length")).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("length").alias("mean_length"))
+def row_lengths(index_rows: DataFrame) -> DataFrame:
+    """(chunk_id, length): number of tokens of each row."""
+    return index_rows.select("chunk_id", _length().alias("length"))
+
+
+def corpus_size(lengths: DataFrame) -> DataFrame:
+    """One row: number of rows and their mean length, of ``row_lengths``."""
+    return lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("length").alias("mean_length"))
 
 
 def bm25(found: DataFrame, corpus: DataFrame, query_terms: DataFrame, symbol_weight: float = SYMBOL_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
@@ -109,16 +114,49 @@ def symbol_lane(anchors: DataFrame, symbols: DataFrame, chunks: DataFrame, files
     return _anchored(rows, [F.col("path"), F.col("qualified"), F.col("start_byte"), F.col("chunk_id")], limit)
 
 
-def path_lane(anchors: DataFrame, chunks: DataFrame, files: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """Chunks whose file's path is an anchor, ends in it, or holds its words in order; three tiers.
+#: Letters of a piece of a path by which an infix finds the paths that may hold it.
+GRAM = 3
+
+
+def _last(path: Column) -> Column:
+    return F.element_at(F.split(F.lower(path), "/"), -1)
+
+
+def path_ends(anchors: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, path, anchor's columns) of the files whose path is the anchor's ``raw`` or ends in it; ``tier`` 1 or 2.
 
-    A pattern has no equi-key, so each file is held against the anchors of all
-    queries; these are the few fragments that look like paths.
+    Both have the same last step, by which they are joined.
+    """
+    held = anchors.withColumns({"suffix": F.concat(F.lit("%/"), escape_like(F.col("raw"))), "anchor_step": _last(F.col("raw"))})
+    rows = files.select("file_id", "path", _last(F.col("path")).alias("step")).join(held, F.col("step") == F.col("anchor_step"))
+    equal, ends = F.expr("path = raw"), F.expr("path ILIKE suffix ESCAPE '!'")
+    return rows.where(equal | ends).withColumn("tier", F.when(equal, 1).otherwise(2)).drop("step", "anchor_step", "suffix")
+
+
+def path_holds(anchors: DataFrame, files: DataFrame) -> DataFrame:
+    """The same for the files whose path holds the words of ``normalized`` in order; tier 3.
+
+    Such a path holds the first letters of the longest word, so paths are cut into
+    pieces of that length and joined by them; only words shorter than a piece are held
+    against every path.
     """
-    suffix = F.concat(F.lit("%/"), escape_like(F.col("raw")))
     infix = F.concat(F.lit("%"), F.replace(F.col("normalized"), F.lit(" "), F.lit("%")), F.lit("%"))
-    looked = anchors.select("qid", "ord", "raw", "normalized", suffix.alias("suffix"), infix.alias("infix"))
-    equal, ends, holds = F.expr("path = raw"), F.expr("path ILIKE suffix ESCAPE '!'"), F.expr("lower(path) LIKE infix ESCAPE '!'")
-    rows = files.select("file_id", "path").join(looked, equal | ends | holds).withColumn("tier", F.when(equal, 1).when(ends, 2).otherwise(3))
+    words = F.split("normalized", " ")
+    longest = F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    held = anchors.withColumns({"infix": infix, "gram": F.when(F.length(longest) >= GRAM, F.substring(longest, 1, GRAM))})
+    paths = files.select("file_id", "path", F.lower("path").alias("lower_path"))
+    starts = F.when(F.length("lower_path") >= GRAM, F.sequence(F.lit(1), F.length("lower_path") - GRAM + 1))
+    cut = paths.withColumn("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("lower_path"), i, F.lit(GRAM))))))
+    found = cut.join(held.where("gram IS NOT NULL"), F.col("piece") == F.col("gram")).drop("piece")
+    short = paths.join(held.where("gram IS NULL"), F.expr("lower_path LIKE infix ESCAPE '!'"))
+    rows = found.where(F.expr("lower_path LIKE infix ESCAPE '!'")).unionByName(short)
+    return rows.drop("infix", "gram", "lower_path").withColumn("tier", F.lit(3))
+
+
+def path_lane(anchors: DataFrame, chunks: DataFrame, files: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """Chunks whose file's path is an anchor, ends in it, or holds its words in order; three tiers."""
+    looked = anchors.select("qid", "ord", "raw", "normalized")
+    both = path_ends(looked, files).unionByName(path_holds(looked, files))
+    rows = both.groupBy("qid", "ord", "raw", "normalized", "file_id", "path").agg(F.min("tier").alias("tier"))
     rows = rows.join(chunks.select("chunk_id", "file_id", "qualified", "start_byte"), "file_id")
     return _anchored(rows, [F.col("path"), F.col("start_byte"), F.col("qualified"), F.col("chunk_id")], limit)

@@ -6,6 +6,7 @@ fold with a small state over the ordered array of one query or file.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,15 +71,24 @@ def pack_clusters(rows: DataFrame, keys: list[str], files: int, budget: int) ->
     return items.select(*keys, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("o")).select(*keys, "o.*")
 
 
+def _groups(sizes, most: int, budget: int) -> list[int]:
+    out, group, n, used = [], 0, 0, 0
+    for size in sizes:
+        if n and (n >= most or used + size > budget):
+            group, n, used = group + 1, 0, 0
+        n, used = n + 1, used + size
+        out.append(group)
+    return out
+
+
 def next_fit(items: Column, size: str, most: int, budget: int) -> Column:
-    """Group numbers, from 0, of an ordered array of structs: a group closes when the next item does not fit."""
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+    """Group numbers, from 0, of an ordered array of structs: a group closes when the next item does not fit.
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] > 0) & ((s["n"] >= most) | (s["used"] + x[size] > budget))
-        g = (s["g"] + F.when(full, 1).otherwise(0)).cast("int")
-        n = F.when(full, F.lit(1)).otherwise(s["n"] + 1).cast("int")
-        used = F.when(full, x[size]).otherwise(s["used"] + x[size]).cast("long")
-        return F.struct(g.alias("g"), n.alias("n"), used.alias("used"), F.concat(s["out"], F.array(g)).alias("out"))
+    One pass over the sizes in an Arrow batch; a fold of SQL would copy its output at each item.
+    """
+
+    @F.pandas_udf("array<int>")
+    def groups(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda a: _groups(a.tolist(), most, budget), na_action="ignore")
 
-    return F.aggregate(items, start, step, lambda s: s["out"])
+    return groups(F.transform(items, lambda x: x[size].cast("long")))

@@ -70,8 +70,34 @@ def require_empty(rows: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {found}")
 
 
-def hybrid_gate(keys: DataFrame, present: Column, valid: Column) -> DataFrame:
-    """One row: whether a search may use vectors, else why not. Only counts leave the scan."""
-    counts = keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("good"), F.count_if(present & ~valid).alias("bad"))
-    decision = F.when(F.col("good") == 0, "no_vectors").when(F.col("bad") > 0, "invalid_vector").when(F.col("good") < F.col("n"), "incomplete").otherwise("hybrid")
-    return counts.select(decision.alias("decision"))
+# Reasons for a search without vectors.
+PAID_QUERY_DISABLED = "PAID_QUERY_DISABLED"
+RECONCILIATION_REQUIRED = "PROFILE_RECONCILIATION_REQUIRED"
+SNAPSHOT_INVALID = "VECTOR_SNAPSHOT_INVALID"
+NO_VALID_VECTORS = "NO_VALID_DOCUMENT_VECTORS"
+KEY_MISSING = "API_KEY_MISSING"
+EMBEDDING_FAILED = "QUERY_EMBEDDING_FAILED"
+PROFILE_CHANGED = "QUERY_PROFILE_CHANGED_DURING_REQUEST"
+
+
+def vector_counts(keys: DataFrame, present: Column, valid: Column) -> DataFrame:
+    """One row (n, good, bad) of the stored vectors; only counts leave the scan."""
+    return keys.agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("good"), F.count_if(present & ~valid).alias("bad"))
+
+
+def gate_reason(paid: Column, matches: Column, client: Column) -> Column:
+    """Why a search over ``vector_counts`` may not use vectors; empty if it may.
+
+    What needs no look at the vectors comes first. An invalid row forbids their use
+    even where others are valid; missing ones don't.
+    """
+    reason = F.when(~paid, PAID_QUERY_DISABLED).when(~matches, RECONCILIATION_REQUIRED).when(F.col("bad") > 0, SNAPSHOT_INVALID)
+    return reason.when(F.col("good") == 0, NO_VALID_VECTORS).when(~client, KEY_MISSING).otherwise("")
+
+
+def reconciled(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """(key, outcome, label) of two passes (key, grade, grp): a conflict if only one gives grade 2 or the groups of two such differ, else the lower grade."""
+    other = two.select(F.col(key).alias("of"), F.col("grade").alias("second"), F.col("grp").alias("second_grp"))
+    rows = one.join(other, F.col(key) == F.col("of"))
+    apart = ((F.col("grade") == 2) != (F.col("second") == 2)) | ((F.col("grade") == 2) & ~F.col("grp").eqNullSafe(F.col("second_grp")))
+    return rows.select(key, F.when(apart, "conflict").otherwise("agreed").alias("outcome"), F.when(~apart, F.least("grade", "second")).alias("label"))

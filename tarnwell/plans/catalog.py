@@ -48,7 +48,6 @@ add(
     """SELECT state, count(*) AS n FROM (SELECT key, max_by(CASE status WHEN 'signup' THEN 'building' WHEN 'view' THEN 'building' WHEN 'click' THEN 'ready' WHEN 'purchase' THEN 'published' ELSE 'failed' END, id) AS state FROM {log} GROUP BY key) GROUP BY state""",
 )
 add("S24_collect_inactive", "SELECT profile, count(*) AS rows_dropped, CAST(sum(LISTLEN(codes)) AS BIGINT) AS bytes_dropped FROM {cache} WHERE profile <> 1 GROUP BY profile")
-add("S25_graph_integrity", "SELECT o.occ_id, o.source, o.target FROM {occurrences} o WHERE NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey = o.source) OR NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey = o.target)")
 add("S27_migrate_rows", "SELECT vec_id, scale, norm, profile, '' AS lineage, CASE WHEN scale > 0 THEN 'ready' ELSE 'terminal' END AS state, 5 AS schema_version FROM {cache} WHERE norm > 0")
 add("S28_rekey_reusable", "SELECT v.vec_id, c.profile AS old_profile, 9 AS new_profile FROM {vectors} v JOIN {cache} c ON c.vec_id = v.vec_id AND c.scale = v.scale AND c.norm = v.norm WHERE c.profile <> 1 AND c.scale > 0")
 
@@ -63,7 +62,6 @@ add(
     LEFT JOIN (SELECT qid, count(*) AS n_lane FROM {symbol_lane} GROUP BY qid) l ON l.qid = f.qid)""",
 )
 add("P07_like_escape", "SELECT path FROM {files} WHERE path LIKE 'src1!_%' ESCAPE '!' OR path LIKE '%/en/1%' ESCAPE '!' OR lower(path) LIKE '%/de/%9.txt'")
-add("P08_language_by_extension", "SELECT language, count(*) AS n, count_if(path LIKE '%.txt') AS n_text, count_if(path LIKE '%.go' OR path LIKE '%.ts') AS n_code, language IN ('en', 'de') AS enabled FROM {files} GROUP BY language")
 add("P10_profiles_match", "SELECT profile, count(*) AS n, profile = 1 AS active FROM {cache} GROUP BY profile")
 add(
     "P11_vector_validity",
@@ -84,23 +82,12 @@ add(
     """SELECT v.vec_id, CASE WHEN c.vec_id IS NOT NULL AND c.scale > 0 THEN 'ready' WHEN f.terminal THEN 'failed' ELSE 'pending' END AS state FROM {vectors} v
     LEFT JOIN {cache} c ON c.vec_id = v.vec_id LEFT JOIN (SELECT key, max_by(terminal, id) AS terminal FROM {log} GROUP BY key) f ON f.key = v.vec_id""",
 )
-add(
-    "P14_file_role",
-    """SELECT path, CASE WHEN path LIKE '%src1/%' THEN 'EXAMPLE' WHEN path LIKE '%/de/%' THEN 'BENCHMARK' WHEN path LIKE '%/fr/%' OR path LIKE '%7.txt' THEN 'TEST' ELSE 'PRODUCTION' END AS role FROM {files}""",
-)
-add("P15_deprecated_trait", "SELECT chunk_id, lower(substring(body, 1, 200)) LIKE '%license%' AS deprecated FROM {chunks}")
 add("P16_structural_tier", "SELECT occ_id, CASE WHEN kind = 'CALL' AND zone = 'BODY' THEN 1 WHEN kind = 'MEMBER' AND zone = 'BODY' THEN 2 WHEN zone = 'SIGNATURE' AND kind = 'TYPE_REF' THEN 3 ELSE 4 END AS tier FROM {occurrences}")
-add(
-    "P17_query_intent",
-    """SELECT qid, coalesce(bool_or(term IN ('the', 'from', 'in')), FALSE) AS asks_callers, coalesce(bool_or(term IN ('of', 'to', 'by')), FALSE) AS asks_callees, coalesce(bool_or(term IN ('test', 'example')), FALSE) AS asks_tests,
-    CASE WHEN count_if(term IN ('the', 'from', 'in')) > count_if(term IN ('of', 'to', 'by')) THEN 'REVERSE' ELSE 'FORWARD' END AS direction FROM {query_terms} GROUP BY qid""",
-)
 add(
     "P18_mismatch_features",
     """SELECT o.occ_id, CASE WHEN o.role = 'PRODUCTION' THEN 0 ELSE 1 END AS role_mismatch, CASE WHEN o.zone = 'BODY' THEN 0 ELSE 1 END AS zone_mismatch, CASE WHEN o.source = o.target THEN 1 ELSE 0 END AS self_cycle,
     CASE WHEN o.kind = 'CALL' THEN 0 WHEN o.kind = 'MEMBER' THEN 1 ELSE 2 END AS kind_distance FROM {occurrences} o""",
 )
-add("P19_closure_role", "SELECT role, CASE role WHEN 'PRODUCTION' THEN 'core' WHEN 'TEST' THEN 'support' ELSE 'other' END AS class, count(*) AS n FROM {occurrences} GROUP BY role")
 add(
     "P22_freshness",
     """SELECT f.path, CASE WHEN l.path IS NULL THEN 'deleted' WHEN l.sha = f.sha THEN 'current' ELSE 'stale' END AS freshness FROM (SELECT DISTINCT path FROM {lexical_fused} r JOIN {files} x ON x.file_id = r.chunk_id) h JOIN {files} f ON f.path = h.path LEFT JOIN {live} l ON l.path = f.path""",
@@ -119,11 +106,6 @@ add(
 add("J07_latest_failure", "SELECT key, max_by(value, id) AS value, max_by(status, id) AS status FROM {log} WHERE terminal GROUP BY key")
 add("J08_exact_symbol_flag", "SELECT c.chunk_id, EXISTS (SELECT 1 FROM {symbols} s WHERE s.chunk_id = c.chunk_id AND s.original_name = c.qualified AND s.normalized_name LIKE '% bolt') AS exact FROM {chunks} c")
 add("J09_meta_singleton", "SELECT f.file_id, f.path, m.active_generation, m.manifest_rows FROM {files} f CROSS JOIN (SELECT 2 AS active_generation, count(*) AS manifest_rows FROM {files}) m")
-add(
-    "J10_enclosing_parent",
-    """SELECT occ_id, lo, hi FROM (SELECT o.occ_id, r.lo, r.hi, row_number() OVER (PARTITION BY o.occ_id ORDER BY r.hi - r.lo, r.lo) AS k
-    FROM {occurrences} o JOIN (SELECT lo, hi FROM (VALUES (0, 60), (0, 20), (10, 30), (25, 50), (40, 45)) AS t(lo, hi)) r ON o.bytes >= r.lo AND o.bytes < r.hi) WHERE k = 1""",
-)
 add("J11_hits_contain_gold", "SELECT r.qid, r.item, r.rank, j.grade FROM {ranked} r JOIN {judgments} j ON j.qid = r.qid AND j.item = r.item WHERE j.grade > 0")
 add("J12_live_vs_indexed", "SELECT coalesce(l.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'added' WHEN l.path IS NULL THEN 'deleted' WHEN l.sha = f.sha THEN 'reused' ELSE 'changed' END AS status FROM {live} l FULL JOIN {files} f ON f.path = l.path")
 add("J13_key_presence", "SELECT v.vec_id, EXISTS (SELECT 1 FROM {cache} c WHERE c.vec_id = v.vec_id) AS in_bank, EXISTS (SELECT 1 FROM {log} g WHERE g.key = v.vec_id AND g.terminal) AS failed FROM {vectors} v")
@@ -165,14 +147,6 @@ add(
     LEFT JOIN {ranked} r ON r.qid = s.qid AND r.item = s.item GROUP BY s.qid, k.k, s.group_id, s.alternative) GROUP BY qid, k, group_id) GROUP BY qid, k""",
 )
 add("A16_hard_negative_hit", "SELECT j.qid, k.k, coalesce(bool_or(r.rank <= k.k), FALSE) AS hard_hit FROM {judgments} j CROSS JOIN (SELECT k FROM (VALUES (1), (5), (20)) AS t(k)) k LEFT JOIN {ranked} r ON r.qid = j.qid AND r.item = j.item WHERE j.hard GROUP BY j.qid, k.k")
-add(
-    "A17_metric_summaries",
-    """SELECT k, language, cohort, count(*) AS cases, count_if(answerable) AS answerable_cases, round(avg(CASE WHEN answerable THEN hit END), 6) AS hit_rate, round(avg(CASE WHEN answerable THEN mrr END), 6) AS mrr FROM (
-    SELECT c.qid, c.answerable, c.language, h.cohort, k.k, CASE WHEN f.first_rank <= k.k THEN 1 ELSE 0 END AS hit, CASE WHEN f.first_rank <= k.k THEN 1.0 / CAST(f.first_rank AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS mrr
-    FROM {cases} c JOIN {cohorts} h ON h.qid = c.qid CROSS JOIN (SELECT k FROM (VALUES (1), (5), (20)) AS t(k)) k
-    LEFT JOIN (SELECT r.qid, min(r.rank) AS first_rank FROM {ranked} r JOIN {judgments} j ON j.qid = r.qid AND j.item = r.item WHERE j.grade = 2 GROUP BY r.qid) f ON f.qid = c.qid)
-    GROUP BY GROUPING SETS ((k, language), (k, cohort))""",
-)
 add("A18_lexical_control", "SELECT qid, chunk_id, count(*) AS matched FROM (SELECT t.qid, p.chunk_id, t.term FROM {query_terms} t JOIN {postings} p ON p.term = t.term) GROUP BY qid, chunk_id HAVING count(*) >= 4")
 add(
     "A19_codec_fidelity",
@@ -250,21 +224,10 @@ add(
     "SELECT dimension, value, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT 'kind' AS dimension, kind AS value, bytes FROM {occurrences} UNION ALL SELECT 'zone', zone, bytes FROM {occurrences} UNION ALL SELECT 'role', role, bytes FROM {occurrences}) GROUP BY dimension, value",
 )
 add("A41_rollup_check", f"SELECT (SELECT count(*) FROM {{ranked}}) AS by_rows, (SELECT count(*) FROM ({_SCOPES}) s JOIN {{ranked}} r ON r.qid = s.qid WHERE s.scope = 'global') AS by_scope")
-add(
-    "A42_label_reconciliation",
-    """SELECT a.doc_id, CASE WHEN a.quality = 1 AND b.second = 1 THEN 'agreed' WHEN a.quality <> b.second THEN 'conflict' ELSE 'agreed low' END AS outcome, least(a.quality, b.second) AS label
-    FROM {labels} a JOIN (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END AS second FROM {labels}) b ON b.doc_id = a.doc_id""",
-)
 add("A45_baseline_vs_augmented", "SELECT c.language, count(*) AS queries, count_if(v.hits > 0) AS baseline, count_if(v.hits > 0 OR h.hits > 0) AS augmented FROM {cases} c LEFT JOIN (SELECT qid, count_if(rank <= 3 AND parent % 2 = 0) AS hits FROM {vector_lane} GROUP BY qid) v ON v.qid = c.qid LEFT JOIN (SELECT qid, count_if(rank <= 3 AND parent % 2 = 0) AS hits FROM {hybrid_fused} GROUP BY qid) h ON h.qid = c.qid GROUP BY GROUPING SETS ((c.language), ())")
 
 # --- windows ------------------------------------------------------------------------------------
 
-add("W01_lane_ranks", "SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM {scores}")
-add(
-    "W02_tie_ranks",
-    "SELECT qid, vec_id, rank() OVER (PARTITION BY qid ORDER BY r DESC) AS tie_start, rank() OVER (PARTITION BY qid ORDER BY r DESC) + count(*) OVER (PARTITION BY qid, r) - 1 AS tie_end, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT qid, vec_id, round(score, 2) AS r FROM {scores})",
-)
-add("W03_boundary_ties", "SELECT qid, k, bool_or(start_rank <= k AND end_rank > k) AS spans FROM (SELECT qid, rank() OVER (PARTITION BY qid ORDER BY r DESC) AS start_rank, rank() OVER (PARTITION BY qid ORDER BY r DESC) + count(*) OVER (PARTITION BY qid, r) - 1 AS end_rank FROM (SELECT qid, round(score, 2) AS r FROM {scores})) CROSS JOIN (SELECT k FROM (VALUES (1), (5), (20)) AS t(k)) GROUP BY qid, k")
 add("W04_running_bytes", "SELECT t.qid, t.chunk_id, t.total, count_if(t.total <= b.bytes) AS budgets_met FROM (SELECT r.qid, r.chunk_id, CAST(sum(f.size) OVER (PARTITION BY r.qid ORDER BY r.rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM {lexical_fused} r JOIN {files} f ON f.file_id = r.chunk_id) t CROSS JOIN {budgets} b GROUP BY t.qid, t.chunk_id, t.total")
 add("W05_first_occurrence", "SELECT source, target, occ_id, row_number() OVER (PARTITION BY source ORDER BY occ_id) AS admitted FROM (SELECT source, target, occ_id, row_number() OVER (PARTITION BY source, target ORDER BY occ_id) AS k FROM {occurrences}) WHERE k = 1")
 add("W06_source_ordinals", "SELECT occ_id, source, row_number() OVER (PARTITION BY source ORDER BY ordinal, bytes, occ_id) AS source_ordinal FROM {occurrences}")
@@ -273,7 +236,6 @@ add("W13_seed_ranges", "SELECT qid, count_if(rank <= 5) AS primary_seeds, count_
 
 # --- sorts and limits ------------------------------------------------------------------------------
 
-add("T05_vector_order", "SELECT qid, vec_id, parent, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent, vec_id) AS position FROM {scores}")
 add("T08_control_order", "SELECT qid, chunk_id, matched, rank FROM (SELECT q.qid, q.chunk_id, q.matched, row_number() OVER (PARTITION BY q.qid ORDER BY CASE WHEN e.chunk_id IS NULL THEN 1 ELSE 0 END, q.matched DESC, f.path, q.chunk_id) AS rank FROM (SELECT t.qid, p.chunk_id, count(*) AS matched FROM {query_terms} t JOIN {postings} p ON p.term = t.term GROUP BY t.qid, p.chunk_id) q JOIN {files} f ON f.file_id = q.chunk_id LEFT JOIN {exact_names} e ON e.qid = q.qid AND e.chunk_id = q.chunk_id) WHERE rank <= 20")
 add("T09_top_anchors", "SELECT qid, parent, numerator, denominator, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY numerator * 5040 / denominator DESC, numerator DESC, parent) AS rank FROM (SELECT qid, parent, count_if(label = query_label) AS numerator, count(*) AS denominator FROM {scores} GROUP BY qid, parent)) WHERE rank <= 2")
 add(
@@ -282,7 +244,6 @@ add(
     row_number() OVER (PARTITION BY source ORDER BY in_total DESC, best_id, target, kind, zone) AS by_popularity, row_number() OVER (PARTITION BY source ORDER BY out_total + in_total, best_id, target, kind, zone) AS by_specificity FROM (
     SELECT *, sum(n) OVER (PARTITION BY source) AS out_total, sum(n) OVER (PARTITION BY target) AS in_total FROM {edges})""",
 )
-add("T11_best_fact", "SELECT source, target, min(best_id) AS first_fact, max_by(kind, n * 10000000000000000 - best_id) AS best_kind FROM {edges} GROUP BY source, target")
 add("T12_prefix_rerank", "SELECT source, target, best_id, row_number() OVER (PARTITION BY source ORDER BY n DESC, best_id) AS rank FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY CASE WHEN zone = 'BODY' THEN 0 ELSE 1 END, CASE WHEN kind = 'CALL' THEN 0 ELSE 1 END) AS prefix FROM {edges}) WHERE prefix = 1")
 add("T15_bundle_selection", "SELECT v.qid, e.source, e.target, e.kind FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, best_id) AS k FROM {edges}) e JOIN {vector_lane} v ON v.parent = e.source WHERE e.k = 1 AND v.rank <= 2")
 add("T16_seed_union", "SELECT qid, parent, min(place) AS place FROM (SELECT qid, parent, rank AS place FROM {vector_lane} WHERE rank <= 5 UNION ALL SELECT qid, parent, 5 + rank FROM {label_lane} WHERE rank <= 5) GROUP BY qid, parent")
@@ -303,15 +264,12 @@ add("U10_presence_or", "SELECT s.qid, s.group_id, bool_or(a.rank IS NOT NULL OR
 add("R02_reference_scores", "SELECT s.qid, s.vec_id, s.score, e.score AS reference FROM {scores} s JOIN {exact_scores} e ON e.qid = s.qid AND e.vec_id = s.vec_id")
 add("R04_lane_sources", "SELECT qid, parent, CASE WHEN lexical_rank IS NOT NULL AND vector_rank IS NOT NULL THEN 'both' WHEN vector_rank IS NOT NULL THEN 'vector' ELSE 'fts' END AS score_source, rank FROM {hybrid_fused}")
 add("R06_arm_evidence", "SELECT c.qid, a.arm, coalesce(max(CASE WHEN a.arm = 'codec' THEN r.n WHEN a.arm = 'exact' THEN e.n END), 0) AS returned FROM {cases} c CROSS JOIN (SELECT arm FROM (VALUES ('codec'), ('exact'), ('failed')) AS t(arm)) a LEFT JOIN (SELECT qid, count(*) AS n FROM {ranked} GROUP BY qid) r ON r.qid = c.qid LEFT JOIN (SELECT qid, count(*) AS n FROM {exact_ranked} GROUP BY qid) e ON e.qid = c.qid GROUP BY c.qid, a.arm")
-add("R07_one_query_vector", "SELECT qid, count(DISTINCT query_label) AS vectors FROM (SELECT qid, query_label FROM {scores} UNION ALL SELECT qid, query_label FROM {exact_scores}) GROUP BY qid HAVING count(DISTINCT query_label) > 1")
-add("R09_taxonomy_guard", "SELECT qid, count_if(cohort LIKE 'label-%') AS labels, count_if(cohort LIKE 'task-%') AS tasks FROM {cohorts} GROUP BY qid HAVING count_if(cohort LIKE 'label-%') <> 1 OR count_if(cohort LIKE 'task-%') <> 1")
 add("R11_key_states", "SELECT v.parent, count_if(c.scale > 0) AS ready, count_if(c.vec_id IS NULL) AS pending, count_if(c.scale = 0) AS invalid FROM {vectors} v LEFT JOIN {cache} c ON c.vec_id = v.vec_id GROUP BY v.parent")
 add("R12_terminal_history", "SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY id) AS attempt FROM {log} WHERE terminal")
 add("R14_migration", "SELECT vec_id, scale, norm, '' AS source_profile, profile AS serving_profile FROM {cache} WHERE scale > 0 AND norm > 0")
 add("R16_rematerialize", "SELECT v.vec_id, v.scale, v.norm, c.profile FROM {vectors} v JOIN {cache} c ON c.vec_id = v.vec_id AND c.profile = 2")
 add("R18_related_body", "SELECT e.source, f.file_id, CASE WHEN f.size <= 1024 THEN 'whole' ELSE 'too_large' END AS outcome, CASE WHEN f.size <= 1024 THEN f.size END AS bytes FROM (SELECT DISTINCT source, target FROM {edges}) e JOIN {files} f ON f.file_id = e.target")
 add("R19_node_traits", "SELECT p.p_partkey AS node, p.p_brand AS package, count(o.occ_id) AS n FROM {part} p LEFT JOIN {occurrences} o ON o.source = p.p_partkey AND o.zone = 'SIGNATURE' GROUP BY p.p_partkey, p.p_brand")
-add("R20_ranking_sorted", "SELECT qid, vec_id FROM (SELECT qid, vec_id, score, lag(score) OVER (PARTITION BY qid ORDER BY rank) AS before FROM {vector_lane}) WHERE before < score")
 add("R24_grading_complete", "SELECT r.qid, r.item FROM {ranked} r WHERE r.rank <= 5 AND NOT EXISTS (SELECT 1 FROM {judgments} j WHERE j.qid = r.qid AND j.item = r.item)")
 add("R27_source_reproof", "SELECT f.path, l.sha IS NOT DISTINCT FROM f.sha AS proven FROM {files} f LEFT JOIN {live} l ON l.path = f.path")
 add("R33_usage_by_operation", "SELECT status, terminal, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM {log} GROUP BY status, terminal")

@@ -128,30 +128,3 @@ def _r05(d: Data) -> DataFrame:
     from pyspark.sql import Window
 
     return d.query_terms.select("qid", "term", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).alias("rank")).where("rank <= 16")
-
-
-@frame("R08_recomputation", "SELECT qid, item FROM {ranked} WHERE rank < 0")
-def _r08(d: Data) -> DataFrame:
-    """Differences between stored evidence and its recomputation, from both sides; none is expected."""
-    from tarnwell.operators import vector
-
-    stored = d.ranked.select("qid", "item", "rank")
-    again = vector.segment_ranks(d.scores.repartition(3)).where("rank <= 20").select("qid", F.col("vec_id").alias("item"), "rank")
-    return stored.exceptAll(again).unionAll(again.exceptAll(stored)).select("qid", "item")
-
-
-@frame("P21_hybrid_gate", "SELECT CASE WHEN n_valid = 0 THEN 'no_vectors' WHEN n_bad > 0 THEN 'invalid_vector' WHEN n_valid < n_keys THEN 'incomplete' ELSE 'hybrid' END AS decision FROM (SELECT count(*) AS n_keys, count_if(coalesce(c.scale, 0) > 0) AS n_valid, count_if(c.scale <= 0) AS n_bad FROM {vectors} v LEFT JOIN {cache} c ON c.vec_id = v.vec_id)")
-def _p21(d: Data) -> DataFrame:
-    from tarnwell.operators.store import hybrid_gate
-
-    rows = d.vectors.select("vec_id").join(d.cache.select("vec_id", "scale"), "vec_id", "left")
-    return hybrid_gate(rows, F.col("scale").isNotNull(), F.coalesce(F.col("scale"), F.lit(0)) > 0)
-
-
-@frame("P20_config_impact", None)
-def _p20(d: Data) -> DataFrame:
-    """What each change of the configuration requires."""
-    from tarnwell.sources.config import impact, resolve
-
-    changes = ["{}", '{"rrf_k": 61}', '{"dimensions": 512}', '{"segment_target_bytes": 2048}', '{"languages": ["go"]}']
-    return d.spark.createDataFrame([(c, impact(resolve("{}"), resolve(c))) for c in changes], "change string, impact string")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as X
 from tarnwell.functions import vectors as V
-from tarnwell.operators import evaluation, fusion, graph, packing
+from tarnwell.operators import evaluation, fusion, graph, lexical, packing, ranking
 from tarnwell.plans import lanes
 from tarnwell.plans.relations import Data
 
@@ -158,13 +158,13 @@ _STATS = "SELECT source, target, kind, zone, n, best_id, roles FROM {edges} WHER
     AND (b.n > a.n OR b.roles > a.roles OR b.target < a.target))""",
 )
 def _j21(d: Data) -> DataFrame:
-    return graph.pareto(d.edges.where("n >= 2"), ["source"], ["n", "roles"], ["target"], "best_id").select("source", "best_id", "n", "roles", "target")
+    return graph.pareto(d.edges.where("n >= 2"), ["source"], ["n", "roles"], "target", "best_id").select("source", "best_id", "n", "roles", "target")
 
 
 @frame("T14_pareto_winner", f"""SELECT source, min(best_id) AS best_id FROM (SELECT a.source, a.best_id FROM ({_STATS}) a WHERE NOT EXISTS (SELECT 1 FROM ({_STATS}) b WHERE b.source = a.source AND b.n >= a.n AND b.roles >= a.roles AND b.target <= a.target
     AND (b.n > a.n OR b.roles > a.roles OR b.target < a.target))) GROUP BY source HAVING count(*) = 1""")
 def _t14(d: Data) -> DataFrame:
-    left = graph.pareto(d.edges.where("n >= 2"), ["source"], ["n", "roles"], ["target"], "best_id")
+    left = graph.pareto(d.edges.where("n >= 2"), ["source"], ["n", "roles"], "target", "best_id")
     return left.groupBy("source").agg(F.min("best_id").alias("best_id"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
 
 
@@ -357,10 +357,16 @@ def _u02(d: Data) -> DataFrame:
     return rows.select("qid", F.array_join(F.array_distinct(F.flatten(F.col("f.w"))), " ").alias("terms"))
 
 
-@frame("U03_token_intersection", "SELECT a.qid, b.qid AS other, count(*) AS shared FROM {query_terms} a JOIN {query_terms} b ON b.term = a.term AND b.qid > a.qid GROUP BY a.qid, b.qid HAVING count(*) >= 5")
+@frame(
+    "U03_token_intersection",
+    """WITH lists AS (SELECT qid, list(term ORDER BY rank) AS terms FROM {query_terms} GROUP BY qid)
+    SELECT a.qid, array_to_string(list_filter(a.terms, lambda t: list_contains(b.terms, t)), ' ') AS shared FROM lists a JOIN lists b ON b.qid = a.qid + 1""",
+)
 def _u03(d: Data) -> DataFrame:
-    a, b = d.query_terms.select("qid", "term"), d.query_terms.select(F.col("qid").alias("other"), "term")
-    return a.join(b, "term").where("other > qid").groupBy("qid", "other").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 5")
+    """Terms of each query that the next one has too, in the first one's order."""
+    lists = d.query_terms.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("terms"))
+    after = lists.select((F.col("qid") - 1).alias("before"), F.col("terms").alias("others"))
+    return lists.join(after, F.col("qid") == F.col("before")).select("qid", F.array_join(F.array_intersect("terms", "others"), " ").alias("shared"))
 
 
 @frame("U09_sorted_unique", "SELECT source, array_to_string(list_sort(list_distinct(list(target))), ',') AS targets FROM {occurrences} GROUP BY source")
@@ -389,16 +395,53 @@ def _j02(d: Data) -> DataFrame:
 
 @frame("J03_path_matches", "SELECT a.qid, f.file_id FROM {anchors} a JOIN {files} f ON f.path = a.raw OR f.path ILIKE '%/' || replace(replace(replace(a.raw, '!', '!!'), '%', '!%'), '_', '!_') ESCAPE '!' WHERE a.lane = 'path'")
 def _j03(d: Data) -> DataFrame:
-    a = d.anchors.where("lane = 'path'").select("qid", "raw", F.concat(F.lit("%/"), X.escape_like(F.col("raw"))).alias("pattern"))
-    return d.files.join(a, F.expr("path = raw OR path ILIKE pattern ESCAPE '!'")).select("qid", "file_id")
+    return lexical.path_ends(d.anchors.where("lane = 'path'").select("qid", "raw"), d.files).select("qid", "file_id")
 
 
 @frame("R23_review_packets", "SELECT f.sha, count(*) AS copies, min(f.file_id) AS first_file, array_to_string(list_sort(list_distinct(list(f.language))), ',') AS families, row_number() OVER (ORDER BY sha256('pass-1' || f.sha)) AS place FROM {files} f GROUP BY f.sha")
 def _r23(d: Data) -> DataFrame:
     rows = d.files.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("file_id").alias("first_file"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("families"))
-    # A blinded global order needs one: the packets of a review are few; over more, sort by the key instead.
+    # A blinded global order, numbered in as many parts as the key's first digits make.
     key = F.sha2(F.encode(F.concat(F.lit("pass-1"), "sha"), "UTF-8"), 256)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(key)))
+    rows = rows.withColumns({"key": key, "one": F.lit(0)})
+    return ranking.ordinal(rows, ["one"], F.substring("key", 1, 3), [F.col("key")], "place").drop("key", "one")
+
+
+# --- whole rankings ------------------------------------------------------------------------------------
+
+def _step() -> Column:
+    """A thousandth of the score range, the best first."""
+    return F.floor(F.col("score") * -1000)
+
+
+@frame("W01_lane_ranks", "SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM {scores}")
+def _w01(d: Data) -> DataFrame:
+    return ranking.ordinal(d.scores.select("qid", "vec_id", "score"), ["qid"], _step(), [F.desc("score"), F.col("vec_id")], "rank").select("qid", "vec_id", "rank")
+
+
+@frame("T05_vector_order", "SELECT qid, vec_id, parent, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent, vec_id) AS position FROM {scores}")
+def _t05(d: Data) -> DataFrame:
+    rows = d.scores.select("qid", "vec_id", "parent", "score")
+    return ranking.ordinal(rows, ["qid"], _step(), [F.desc("score"), F.col("parent"), F.col("vec_id")], "position").select("qid", "vec_id", "parent", "score", "position")
+
+
+@frame(
+    "W02_tie_ranks",
+    "SELECT qid, vec_id, rank() OVER (PARTITION BY qid ORDER BY r DESC) AS tie_start, rank() OVER (PARTITION BY qid ORDER BY r DESC) + count(*) OVER (PARTITION BY qid, r) - 1 AS tie_end, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT qid, vec_id, floor(score * 100) AS r FROM {scores})",
+)
+def _w02(d: Data) -> DataFrame:
+    rows = d.scores.select("qid", "vec_id", F.floor(F.col("score") * 100).alias("r"))
+    return rows.join(ranking.tie_ranks(rows, "qid", "r"), ["qid", "r"]).select("qid", "vec_id", "tie_start", "tie_end", "n")
+
+
+@frame(
+    "W03_boundary_ties",
+    "SELECT qid, k, bool_or(start_rank <= k AND end_rank > k) AS spans FROM (SELECT qid, rank() OVER (PARTITION BY qid ORDER BY r DESC) AS start_rank, rank() OVER (PARTITION BY qid ORDER BY r DESC) + count(*) OVER (PARTITION BY qid, r) - 1 AS end_rank FROM (SELECT qid, floor(score * 100) AS r FROM {scores})) CROSS JOIN (SELECT k FROM (VALUES (1), (5), (20)) AS t(k)) GROUP BY qid, k",
+)
+def _w03(d: Data) -> DataFrame:
+    ties = ranking.tie_ranks(d.scores.select("qid", F.floor(F.col("score") * 100).alias("r")), "qid", "r")
+    ks = ties.withColumn("k", F.explode(F.array(F.lit(1), F.lit(5), F.lit(20))))
+    return ks.groupBy("qid", "k").agg(F.bool_or((F.col("tie_start") <= F.col("k")) & (F.col("tie_end") > F.col("k"))).alias("spans"))
 
 
 @frame("V01_vector_dot", "SELECT q.vec_id AS a, v.vec_id AS b, CAST(list_sum(list_transform(list_zip(q.codes, v.codes), lambda z: CAST(z[1] AS BIGINT) * z[2])) AS BIGINT) AS product FROM {vectors} q JOIN {vectors} v ON v.parent = q.parent AND v.vec_id > q.vec_id")

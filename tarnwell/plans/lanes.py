@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.operators import fusion, lexical, vector
-from tarnwell.plans.relations import Data, relation
+from tarnwell.plans.relations import QUERY_STEP, Data, relation
 
 _BM25 = """SELECT qid, chunk_id, round(sum(part), 6) AS score, count(*) AS matched_terms, any_value(selected_terms) AS selected_terms FROM (
   SELECT t.qid, p.chunk_id, s.selected_terms, w.idf * (5.0 * tf_symbols + tf_body) * 2.2 / ((5.0 * tf_symbols + tf_body) + 1.2 * (0.25 + 0.75 * z.length / c.mean_length)) AS part
@@ -21,7 +21,7 @@ GROUP BY qid, chunk_id"""
 
 @relation("text_scores", _BM25)
 def _text_scores(d: Data) -> DataFrame:
-    return lexical.bm25(d.postings, lexical.corpus_size(d.index_rows), d.query_terms)
+    return lexical.bm25(d.postings, lexical.corpus_size(d.row_lengths), d.query_terms)
 
 
 @relation("exact_names", "SELECT DISTINCT a.qid, s.chunk_id FROM {anchors} a JOIN {symbols} s ON s.normalized_name = a.normalized JOIN {chunks} c ON c.chunk_id = s.chunk_id AND s.original_name = c.qualified WHERE a.lane = 'symbol'")
@@ -148,28 +148,22 @@ def _judgments(d: Data) -> DataFrame:
     return rows.select("qid", F.col("vec_id").alias("item"), grade.alias("grade"), F.expr("label = (query_label + 5) % 10").alias("hard"))
 
 
-@relation("cases", "SELECT vec_id AS qid, label, CASE WHEN label < 5 THEN 'go' ELSE 'ts' END AS language, vec_id % 4 <> 3 AS answerable FROM {embeddings} WHERE vec_id < 20")
+@relation("cases", f"SELECT vec_id AS qid, label, CASE WHEN label < 5 THEN 'go' ELSE 'ts' END AS language, (vec_id // {QUERY_STEP}) % 4 <> 3 AS answerable FROM {{embeddings}} WHERE vec_id % {QUERY_STEP} = 0")
 def _cases(d: Data) -> DataFrame:
-    return d.embeddings.where("vec_id < 20").selectExpr("vec_id AS qid", "label", "CASE WHEN label < 5 THEN 'go' ELSE 'ts' END AS language", "vec_id % 4 <> 3 AS answerable")
+    return d.embeddings.where(f"vec_id % {QUERY_STEP} = 0").selectExpr("vec_id AS qid", "label", "CASE WHEN label < 5 THEN 'go' ELSE 'ts' END AS language", f"(vec_id div {QUERY_STEP}) % 4 <> 3 AS answerable")
 
 
-@relation("cohorts", "SELECT vec_id AS qid, 'label-' || label % 3 AS cohort FROM {embeddings} WHERE vec_id < 20 UNION SELECT vec_id, 'task-' || vec_id % 2 FROM {embeddings} WHERE vec_id < 20")
+@relation("cohorts", "SELECT qid, 'label-' || label % 3 AS cohort FROM {cases} UNION SELECT qid, CASE WHEN answerable THEN 'task-find' ELSE 'task-none' END FROM {cases}")
 def _cohorts(d: Data) -> DataFrame:
-    rows = d.embeddings.where("vec_id < 20").selectExpr("vec_id AS qid", "explode(array(concat('label-', label % 3), concat('task-', vec_id % 2))) AS cohort")
+    task = F.when(F.col("answerable"), F.lit("task-find")).otherwise(F.lit("task-none"))
+    rows = d.cases.select("qid", F.explode(F.array(F.concat(F.lit("label-"), (F.col("label") % 3).cast("string")), task)).alias("cohort"))
     return rows.distinct()
 
 
-@relation(
-    "spans",
-    """SELECT qid, item, 'g' || item % 3 AS group_id, 'a' || item % 2 AS alternative FROM (
-    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY item) AS k FROM {judgments} WHERE grade = 2) WHERE k <= 8""",
-)
+@relation("spans", "SELECT qid, item, 'g' || item % 16 AS group_id, 'a' || (item // 16) % 4 AS alternative FROM {judgments} WHERE grade = 2")
 def _spans(d: Data) -> DataFrame:
-    """Required spans: groups of alternatives, each a set of items; some of the query's direct answers."""
-    from pyspark.sql import Window
-
-    rows = d.judgments.where("grade = 2").withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("item"))).where("k <= 8")
-    return rows.selectExpr("qid", "item", "concat('g', item % 3) AS group_id", "concat('a', item % 2) AS alternative")
+    """Required spans: groups of alternatives, each a set of items; the query's direct answers."""
+    return d.judgments.where("grade = 2").selectExpr("qid", "item", "concat('g', item % 16) AS group_id", "concat('a', (item div 16) % 4) AS alternative")
 
 
 # --- relation graph and logs --------------------------------------------------------------
@@ -179,7 +173,7 @@ _OUTCOME = "CASE WHEN l_quantity < 30 THEN 'RESOLVED_UNIQUE' WHEN l_quantity < 4
 
 
 def _occurrence_sql(base: str) -> str:
-    return f"""SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS occ_id, l_partkey AS source, l_suppkey AS target, {_KIND} AS kind, CASE WHEN l_linestatus = 'F' THEN 'BODY' ELSE 'SIGNATURE' END AS zone,
+    return f"""SELECT lpad(CAST(l_orderkey AS VARCHAR(20)), 15, '0') || '.' || l_linenumber || '.' || lpad(CAST(l_partkey AS VARCHAR(20)), 12, '0') || '.' || lpad(CAST(l_suppkey AS VARCHAR(20)), 12, '0') AS occ_id, l_partkey AS source, l_suppkey AS target, {_KIND} AS kind, CASE WHEN l_linestatus = 'F' THEN 'BODY' ELSE 'SIGNATURE' END AS zone,
     l_linenumber AS ordinal, {_OUTCOME} AS outcome, CASE WHEN l_tax < 0.03 THEN 'PRODUCTION' WHEN l_tax < 0.05 THEN 'TEST' WHEN l_tax < 0.07 THEN 'BENCHMARK' ELSE 'EXAMPLE' END AS role, CAST(l_quantity AS BIGINT) AS bytes FROM {base}"""
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tarnwell.plans.code  # noqa: F401  adds its plans
+import tarnwell.plans.rules  # noqa: F401
 from tarnwell.plans.catalog import PORTABLE
 from tarnwell.plans.frames import FRAMES, runner
 from tarnwell.plans.relations import oracle, portable

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import text as X
 from tarnwell.functions import vectors as V
+from tarnwell.sources.published import published
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -207,16 +208,33 @@ def _index_rows(d: Data) -> DataFrame:
     WHERE term IN (SELECT term FROM {query_terms}) GROUP BY chunk_id, term""",
 )
 def _postings(d: Data) -> DataFrame:
+    return d.all_postings.join(d.query_terms.select("term").distinct(), "term", "left_semi").select("chunk_id", "term", "length", "tf_symbols", "tf_body")
+
+
+@relation("all_postings", "SELECT * FROM {postings}")
+def _all_postings(d: Data) -> DataFrame:
+    """The inverted index of all chunks, made once and ordered by term; a plan reads what its terms need."""
     from tarnwell.operators.lexical import postings
 
-    return postings(d.index_rows, d.query_terms)
+    build = lambda: postings(d.index_rows).repartitionByRange("term").sortWithinPartitions("term")
+    return published(d.spark, "postings", [f"{d.dir}/documents.parquet", f"{d.dir}/part.parquet"], build)
+
+
+@relation("row_lengths", "SELECT chunk_id, len(symbol_tokens) + len(body_tokens) AS length FROM {index_rows}")
+def _row_lengths(d: Data) -> DataFrame:
+    from tarnwell.operators.lexical import row_lengths
+
+    build = lambda: row_lengths(d.index_rows)
+    return published(d.spark, "lengths", [f"{d.dir}/documents.parquet", f"{d.dir}/part.parquet"], build)
 
 
 # --- vectors ------------------------------------------------------------------------
 
 DIMENSIONS = 32
-N_QUERIES = 20
-N_PARENTS = 50
+#: Every row whose id is divisible by this is a query, against all rows.
+QUERY_STEP = 50
+#: Vectors of one parent.
+SEGMENTS = 10
 
 _UNIT = f"list_transform(embedding[1:{DIMENSIONS}], lambda v: CAST(CAST(v AS DOUBLE) / len AS FLOAT))"
 
@@ -226,11 +244,11 @@ _UNIT = f"list_transform(embedding[1:{DIMENSIONS}], lambda v: CAST(CAST(v AS DOU
     f"""SELECT vec_id, parent, label, unit, scale, codes, CAST(sqrt(CAST(list_sum(list_transform(codes, lambda c: c * c)) AS DOUBLE)) * CAST(scale AS DOUBLE) AS FLOAT) AS norm FROM (
     SELECT *, list_transform(unit, lambda v: greatest(-127, least(127, CAST(round(CAST(v AS DOUBLE) / CAST(scale AS DOUBLE)) AS INT)))) AS codes FROM (
     SELECT *, CAST(list_max(list_transform(unit, lambda v: abs(CAST(v AS DOUBLE)))) / 127 AS FLOAT) AS scale FROM (
-    SELECT vec_id, vec_id % {N_PARENTS} AS parent, label, {_UNIT} AS unit FROM (
+    SELECT vec_id, vec_id // {SEGMENTS} AS parent, label, {_UNIT} AS unit FROM (
     SELECT *, sqrt(list_reduce(list_transform(embedding[1:{DIMENSIONS}], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda a, b: a + b)) AS len FROM {{embeddings}}))))""",
 )
 def _vectors(d: Data) -> DataFrame:
-    unit = d.embeddings.select("vec_id", (F.col("vec_id") % N_PARENTS).alias("parent"), "label", V.reduce_and_normalize(F.col("embedding"), DIMENSIONS).alias("unit"))
+    unit = d.embeddings.select("vec_id", F.expr(f"vec_id div {SEGMENTS}").alias("parent"), "label", V.reduce_and_normalize(F.col("embedding"), DIMENSIONS).alias("unit"))
     scaled = unit.withColumn("scale", V.scale_of(F.col("unit")))
     coded = scaled.withColumn("codes", V.codes_of(F.col("unit"), F.col("scale")))
     return coded.withColumn("norm", V.code_norm(F.col("codes"), F.col("scale")))
@@ -243,13 +261,13 @@ _CODE_DOT = "list_sum(list_transform(list_zip(q.codes, v.codes), lambda z: CAST(
     "scores",
     f"""SELECT q.vec_id AS qid, v.vec_id, v.parent, q.label AS query_label, v.label, round(greatest(-1.0, least(1.0,
     CAST({_CODE_DOT} AS DOUBLE) * CAST(q.scale AS DOUBLE) * CAST(v.scale AS DOUBLE) / (CAST(q.norm AS DOUBLE) * CAST(v.norm AS DOUBLE)))), 6) AS score
-    FROM {{vectors}} v JOIN {{vectors}} q ON q.vec_id < {N_QUERIES} AND v.vec_id >= {N_QUERIES}""",
+    FROM {{vectors}} v JOIN {{vectors}} q ON q.vec_id % {QUERY_STEP} = 0""",
 )
 def _scores(d: Data) -> DataFrame:
     from tarnwell.operators.vector import score_all
 
     v = d.vectors.select("vec_id", "parent", "label", "codes", "scale", "norm")
-    return score_all(v.where(F.col("vec_id") < N_QUERIES), v.where(F.col("vec_id") >= N_QUERIES), N_QUERIES)
+    return score_all(v.where(F.col("vec_id") % QUERY_STEP == 0), v)
 
 
 _EXACT = "list_reduce(list_transform(list_zip(q.unit, v.unit), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)), lambda a, b: a + b)"
@@ -258,10 +276,10 @@ _EXACT = "list_reduce(list_transform(list_zip(q.unit, v.unit), lambda z: CAST(z[
 @relation(
     "exact_scores",
     f"""SELECT q.vec_id AS qid, v.vec_id, v.parent, q.label AS query_label, v.label, round({_EXACT}, 6) AS score
-    FROM {{vectors}} v JOIN {{vectors}} q ON q.vec_id < {N_QUERIES} AND v.vec_id >= {N_QUERIES}""",
+    FROM {{vectors}} v JOIN {{vectors}} q ON q.vec_id % {QUERY_STEP} = 0""",
 )
 def _exact_scores(d: Data) -> DataFrame:
     from tarnwell.operators.vector import score_exact
 
     v = d.vectors.select("vec_id", "parent", "label", "unit")
-    return score_exact(v.where(F.col("vec_id") < N_QUERIES), v.where(F.col("vec_id") >= N_QUERIES), N_QUERIES)
+    return score_exact(v.where(F.col("vec_id") % QUERY_STEP == 0), v)

@@ -15,7 +15,9 @@ DDL = {
     "chunks": "id long, file_id long, kind string, symbol string, qualified_symbol string, signature string, start_byte int, end_byte int, start_line int, end_line int, source_body string",
     "chunk_projections": "chunk_id long, projection_kind string, ordinal int, start_byte int, end_byte int",
     "symbols": "chunk_id long, original_name string, normalized_name string",
-    "postings": "chunk_id long, term string, tf_symbols long, tf_body long",
+    "postings": "chunk_id long, term string, length long, tf_symbols long, tf_body long",
+    "row_lengths": "chunk_id long, length long",
+    "chunk_vectors": "hash string, dimensions int, codes array<int>, scale float, norm float",
     "segments": "id long, chunk_id long, segment_number int, canonical_input_sha256 string, canonical_text_profile string, serving_profile string, display_start_byte int, display_end_byte int",
     "segment_projections": "segment_id long, ordinal int, start_byte int, end_byte int",
     "vector_cache": "canonical_input_sha256 string, dimensions int, codec_id string, codec_version int, codes array<tinyint>, scale float, norm float, source_profile string, materialized_at string, serving_profile string",

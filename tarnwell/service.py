@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as X
@@ -13,8 +13,8 @@ from tarnwell.functions import vectors as V
 from tarnwell.operators import chunking, fusion, lexical, packing, store
 from tarnwell.operators.query import effective_shape, plan_query
 from tarnwell.sources import worktree
-from tarnwell.sources.config import Config
-from tarnwell.sources.embedding import Client, embed
+from tarnwell.sources.config import Config, profiles
+from tarnwell.sources.embedding import Client, Retryable, call, embed
 from tarnwell.sources.generations import GenerationStore
 
 
@@ -41,91 +41,166 @@ class Index:
         return worktree.files_frame(self.spark, self.root, self.config.source_cap_bytes)
 
     def reindex(self, dry_run: bool = False) -> Plan:
-        """Bring the index to the worktree's state; only new and changed files are scanned again."""
+        """Bring the index to the worktree's state; only new and changed files are scanned again.
+
+        Postings and lengths of the new chunks are made once, here; those of kept chunks
+        are taken over. Vectors are kept by the hash of a chunk's text, so they outlive it.
+        """
         at = self.store.active()
         live = self._live().cache()
         old = self.store.read("files", at).select("path", F.col("indexed_sha256").alias("sha"))
         plan = store.change_plan(live, old).cache()
-        counts = {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n = {k: counts.get(k, 0) for k in ("added", "changed", "deleted", "reused")}
-        if dry_run or not (n["added"] + n["changed"] + n["deleted"]):
+        try:
+            counts = {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+            n = {k: counts.get(k, 0) for k in ("added", "changed", "deleted", "reused")}
+            if dry_run or not (n["added"] + n["changed"] + n["deleted"]):
+                return Plan(**n, applied=False, generation=at["generation"])
+            files = live.select(F.xxhash64("path").alias("id"), "path", "language", F.col("sha").alias("indexed_sha256"), F.lit(0).cast("long").alias("observed_mtime_ns"), F.col("size").cast("long").alias("observed_size"))
+            fresh = live.join(plan.where("status IN ('added', 'changed')").select("path"), "path", "left_semi")
+            scanned = chunking.chunk_files(fresh).withColumn("file_id", F.xxhash64("path"))
+            new = scanned.select(
+                F.xxhash64("path", "qualified", "start_byte").alias("id"), "file_id", "kind", "symbol", F.col("qualified").alias("qualified_symbol"), "signature",
+                *(F.col(c).cast("int").alias(c) for c in ("start_byte", "end_byte", "start_line", "end_line")), F.col("body").alias("source_body"),
+            ).cache()
+            keep = plan.where("status = 'reused'").select(F.xxhash64("path").alias("file_id"))
+            kept = self.store.read("chunks", at).join(keep, "file_id", "left_semi")
+            held = kept.select(F.col("id").alias("chunk_id"))
+            rows = self._tokens(new)
+            postings = self.store.read("postings", at).join(held, "chunk_id", "left_semi").unionByName(lexical.postings(rows))
+            lengths = self.store.read("row_lengths", at).join(held, "chunk_id", "left_semi").unionByName(lexical.row_lengths(rows))
+            tables = {
+                "files": files,
+                "chunks": kept.unionByName(new),
+                # Ordered by term, so that a query reads the row groups of its terms only.
+                "postings": postings.repartitionByRange("term").sortWithinPartitions("term"),
+                "row_lengths": lengths,
+            }
+            digest = store.manifest_tree(live.select("path", "sha")).first()["manifest"]
+            state = self.store.publish(at["generation"], tables, digest)
+            new.unpersist()
+            return Plan(**n, applied=True, generation=state["generation"])
+        finally:
+            plan.unpersist()
             live.unpersist()
-            return Plan(**n, applied=False, generation=at["generation"])
-        files = live.select(F.xxhash64("path").alias("id"), "path", "language", F.col("sha").alias("indexed_sha256"), F.lit(0).cast("long").alias("observed_mtime_ns"), F.col("size").cast("long").alias("observed_size"))
-        fresh = live.join(plan.where("status IN ('added', 'changed')").select("path"), "path", "left_semi")
-        scanned = chunking.chunk_files(fresh).withColumn("file_id", F.xxhash64("path"))
-        new = scanned.select(
-            F.xxhash64("path", "qualified", "start_byte").alias("id"), "file_id", "kind", "symbol", F.col("qualified").alias("qualified_symbol"), "signature",
-            *(F.col(c).cast("int").alias(c) for c in ("start_byte", "end_byte", "start_line", "end_line")), F.col("body").alias("source_body"),
-        )
-        keep = plan.where("status = 'reused'").select(F.xxhash64("path").alias("file_id"))
-        chunks = self.store.read("chunks", at).join(keep, "file_id", "left_semi").unionByName(new)
-        digest = store.manifest_digest(live.select("path", "sha")).first()["manifest"]
-        state = self.store.publish(at["generation"], {"files": files, "chunks": chunks}, digest)
-        live.unpersist()
-        return Plan(**n, applied=True, generation=state["generation"])
+
+    @staticmethod
+    def _tokens(chunks: DataFrame) -> DataFrame:
+        named = X.normalize_identifier(F.concat_ws(" ", "symbol", "qualified_symbol"))
+        return chunks.select(F.col("id").alias("chunk_id"), X.index_tokens(F.concat_ws(" ", "symbol", "qualified_symbol", named)).alias("symbol_tokens"), X.index_tokens(F.concat_ws(" ", "signature", "source_body")).alias("body_tokens"))
+
+    def _inputs(self, at: dict) -> DataFrame:
+        """(chunk_id, hash, text) of the chunks' canonical texts."""
+        files = self.store.read("files", at).select(F.col("id").alias("file_id"), "path")
+        rows = self.store.read("chunks", at).join(files, "file_id")
+        text = chunking.canonical_text(path=F.col("path"), symbol=F.col("qualified_symbol"), body=F.col("source_body"))
+        return rows.select(F.col("id").alias("chunk_id"), text.alias("text")).withColumn("hash", F.sha2(F.encode("text", "UTF-8"), 256))
+
+    def _profile(self) -> str:
+        return profiles(self.config)["storage"]
+
+    def embed_documents(self) -> dict:
+        """Ask the provider for the vectors that are missing and publish them; the counts.
+
+        Vectors made under another profile are left behind. Texts that fail are counted
+        and asked for again the next time.
+        """
+        if self.client is None:
+            raise ValueError("no embedding client")
+        at, client, size = self.store.active(), self.client, self.config.dimensions
+        stored = self.store.read("chunk_vectors", at) if at.get("profile") == self._profile() else self.store.read("chunk_vectors", {"tables": {}})
+        wanted = self._inputs(at).groupBy("hash").agg(F.min("text").alias("text"))
+        missing = wanted.join(stored.select("hash"), "hash", "left_anti")
+        answered = embed(missing, lambda: client, size, self.config.request_inputs, self.config.request_bytes, self.config.retry_seconds).cache()  # asked once
+        try:
+            unit = answered.where("error IS NULL").withColumn("unit", V.reduce_and_normalize(F.col("vector"), size))
+            coded = unit.withColumn("scale", V.scale_of(F.col("unit"))).withColumn("codes", V.codes_of(F.col("unit"), F.col("scale"))).withColumn("norm", V.code_norm(F.col("codes"), F.col("scale")))
+            new = coded.select("hash", F.lit(size).alias("dimensions"), F.col("codes").cast("array<int>").alias("codes"), F.col("scale").cast("float").alias("scale"), F.col("norm").cast("float").alias("norm"))
+            state = self.store.publish(at["generation"], {"chunk_vectors": stored.unionByName(new)}, profile=self._profile())
+            counts = answered.agg(F.count(F.lit(1)).alias("requested"), F.count("error").alias("failed")).first()
+        finally:
+            answered.unpersist()
+        return {"requested": counts["requested"], "failed": counts["failed"], "generation": state["generation"]}
 
     # --- search ----------------------------------------------------------------------
 
-    def _relations(self, at: dict) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    def _relations(self, at: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
         files = self.store.read("files", at).select(F.col("id").alias("file_id"), "path", "language", F.col("indexed_sha256").alias("sha"))
         chunks = self.store.read("chunks", at).select(F.col("id").alias("chunk_id"), "file_id", "kind", "symbol", F.col("qualified_symbol").alias("qualified"), "signature", "start_byte", "end_byte", "start_line", "end_line", F.col("source_body").alias("body"))
         names = chunks.select("chunk_id", F.explode(F.array_distinct(F.array("symbol", "qualified"))).alias("original_name"))
-        symbols = names.withColumn("normalized_name", X.normalize_identifier(F.col("original_name")))
-        named = X.normalize_identifier(F.concat_ws(" ", "symbol", "qualified"))
-        rows = chunks.select("chunk_id", X.index_tokens(F.concat_ws(" ", "symbol", "qualified", named)).alias("symbol_tokens"), X.index_tokens(F.concat_ws(" ", "signature", "body")).alias("body_tokens"))
-        return files, chunks, symbols, rows
+        return files, chunks, names.withColumn("normalized_name", X.normalize_identifier(F.col("original_name")))
 
     def search(self, text: str, k: int | None = None, max_inline_bytes: int = 0, mode: str = "fts") -> dict:
-        """Ranked chunks of a query, with bodies under a byte budget and the freshness of each file."""
+        """Ranked chunks of a query, with bodies under a byte budget and the freshness of each file.
+
+        A hybrid search whose gate is closed falls back to words alone and says why.
+        """
         c = self.config
         k = c.return_k if k is None else k
         if not 1 <= k <= 20 or mode not in ("fts", "hybrid"):
             raise ValueError("k must be 1 to 20, mode fts or hybrid")
         q = plan_query(text, c.query_max_bytes, c.query_max_tokens, c.query_max_token_runes)
         at = self.store.active()
-        files, chunks, symbols, rows = self._relations(at)
+        files, chunks, symbols = self._relations(at)
         terms = self.spark.createDataFrame([(0, t) for t in q.terms], "qid long, term string")
         anchors = [(0, i + 1, a.raw, a.normalized, lane) for lane, found in (("symbol", q.symbols), ("path", q.paths)) for i, a in enumerate(found)]
         anchors = self.spark.createDataFrame(anchors, "qid long, ord int, raw string, normalized string, lane string")
-        scored = lexical.bm25(lexical.postings(rows, terms), lexical.corpus_size(rows), terms, c.symbol_weight, c.body_weight)
+        # At most ``query_max_tokens`` terms, which the scan of the postings gets as a filter.
+        found = self.store.read("postings", at).where(F.col("term").isin(list(q.terms)))
+        corpus = lexical.corpus_size(self.store.read("row_lengths", at))
+        scored = lexical.bm25(found, corpus, terms, c.symbol_weight, c.body_weight)
         exact = symbols.where(F.col("normalized_name") == q.exact_symbol).join(chunks.select("chunk_id", "qualified"), "chunk_id").where("original_name = qualified").select(F.lit(0).cast("long").alias("qid"), "chunk_id")
         named = lexical.symbol_lane(anchors.where("lane = 'symbol'"), symbols, chunks, files, c.candidate_k).cache()
         paths = lexical.path_lane(anchors.where("lane = 'path'"), chunks, files, c.candidate_k).cache()
-        lanes = [("text", lexical.text_lane(scored, chunks, files, exact, c.candidate_k)), ("symbol", named), ("path", paths)]
-        ranked = fusion.fuse(lanes, "chunk_id", c.candidate_k, ["symbol", "path", "text"], k=c.rrf_k)
-        why = None
-        if mode == "hybrid":
-            why = "no_client" if self.client is None else None
-            if why is None:
-                ranked = self._hybrid(text, chunks, ranked)
-        top = ranked.where(F.col("rank") <= k)
-        hits = top.join(chunks, "chunk_id").join(files, "file_id").withColumn("bytes", F.octet_length("body").cast("long"))
-        budget = min(max_inline_bytes, c.inline_cap_bytes)
-        packed = packing.pack_bodies(hits.select("qid", F.col("rank"), F.col("chunk_id").alias("id"), F.col("bytes").alias("parent_bytes"), F.lit(None).cast("long").alias("segment_bytes")), budget)
-        packed = packed.select(F.col("id").alias("chunk_id"), "outcome", "used_bytes")
-        out = hits.join(packed, "chunk_id").withColumn("inline", F.when(F.col("outcome") == "parent", F.col("body"))).orderBy("rank")
-        result = [r.asDict() for r in out.drop("body").collect()]
+        try:
+            lanes = [("text", lexical.text_lane(scored, chunks, files, exact, c.candidate_k)), ("symbol", named), ("path", paths)]
+            ranked = fusion.fuse(lanes, "chunk_id", c.candidate_k, ["symbol", "path", "text"], k=c.rrf_k)
+            why = None
+            if mode == "hybrid":
+                lane, why = self._vector_lane(text, at)
+                if lane is not None:
+                    ranked = fusion.fuse([("lexical", ranked), ("vector", lane)], "chunk_id", c.candidate_k, ["lexical", "vector"], k=c.rrf_k)
+            top = ranked.where(F.col("rank") <= k)
+            hits = top.join(chunks, "chunk_id").join(files, "file_id").withColumn("bytes", F.octet_length("body").cast("long"))
+            budget = min(max_inline_bytes, c.inline_cap_bytes)
+            packed = packing.pack_bodies(hits.select("qid", F.col("rank"), F.col("chunk_id").alias("id"), F.col("bytes").alias("parent_bytes"), F.lit(None).cast("long").alias("segment_bytes")), budget)
+            packed = packed.select(F.col("id").alias("chunk_id"), "outcome", "used_bytes")
+            out = hits.join(packed, "chunk_id").withColumn("inline", F.when(F.col("outcome") == "parent", F.col("body"))).orderBy("rank")
+            result = [r.asDict() for r in out.drop("body").collect()]
+            shape = effective_shape(q, named.count(), paths.count())
+        finally:
+            named.unpersist()
+            paths.unpersist()
         for r in result:
             r["freshness"] = self._freshness(r["path"], r["sha"])
-        return {"shape": effective_shape(q, named.count(), paths.count()), "hits": result, "used_bytes": sum(r["used_bytes"] for r in result), "fallback": why, "generation": at["generation"]}
-
-    def _hybrid(self, text: str, chunks: DataFrame, ranked: DataFrame) -> DataFrame:
-        client = self.client
-        inputs = chunks.select(F.col("chunk_id").cast("string").alias("hash"), F.col("body").alias("text"))
-        size = len(client.embed(["probe"])[0][1])
-        stored = embed(inputs, lambda: client, size).where("error IS NULL").select(F.col("hash").cast("long").alias("chunk_id"), "vector")
+        return {"shape": shape, "hits": result, "used_bytes": sum(r["used_bytes"] for r in result), "fallback": why, "generation": at["generation"]}
+
+    def _vector_lane(self, text: str, at: dict) -> tuple[DataFrame | None, str | None]:
+        """(qid, chunk_id, score, rank) from the stored vectors and one request for the query's, or why there is none."""
+        c, size = self.config, self.config.dimensions
+        active = self._inputs(at).select("chunk_id", "hash")
+        stored = active.join(self.store.read("chunk_vectors", at), "hash", "left")
+        valid = F.coalesce((F.col("dimensions") == size) & (F.size("codes") == size) & (F.col("scale") > 0) & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+        flags = [F.lit(c.allow_paid_query_embedding), F.lit(at.get("profile") == self._profile()), F.lit(self.client is not None)]
+        counts = store.vector_counts(stored, F.col("scale").isNotNull(), valid) if c.allow_paid_query_embedding else self.spark.createDataFrame([(0, 0, 0)], "n long, good long, bad long")
+        reason = counts.select(store.gate_reason(*flags).alias("reason")).first()["reason"]
+        if reason:
+            return None, reason
+        try:
+            vector = call(self.client, [text], size, c.retry_seconds)[0]
+        except (Retryable, ValueError, OSError):
+            return None, store.EMBEDDING_FAILED
+        if self.store.active().get("profile") != at.get("profile"):
+            return None, store.PROFILE_CHANGED
         unit = V.reduce_and_normalize(F.col("vector"), size)
-        stored = stored.withColumn("unit", unit).withColumn("scale", V.scale_of(F.col("unit"))).withColumn("codes", V.codes_of(F.col("unit"), F.col("scale"))).withColumn("norm", V.code_norm(F.col("codes"), F.col("scale")))
-        query = self.spark.createDataFrame([(client.embed([text])[0][1],)], "vector array<float>").withColumn("unit", unit)
+        query = self.spark.createDataFrame([(vector,)], "vector array<float>").withColumn("unit", unit)
         query = query.withColumn("qs", V.scale_of(F.col("unit"))).withColumn("qc", V.codes_of(F.col("unit"), F.col("qs"))).withColumn("qn", V.code_norm(F.col("qc"), F.col("qs")))
-        both = stored.join(F.broadcast(query.select("qs", "qc", "qn")))  # one row
+        both = stored.where(valid).join(F.broadcast(query.select("qs", "qc", "qn")))  # one row
         score = V.code_cosine(V.code_dot(F.col("qc"), F.col("codes")), F.col("qs"), F.col("qn"), F.col("scale"), F.col("norm"))
-        from pyspark.sql import Window
-
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-        lane = both.select(F.lit(0).cast("long").alias("qid"), "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.config.candidate_k)
-        return fusion.fuse([("lexical", ranked), ("vector", lane)], "chunk_id", self.config.candidate_k, ["lexical", "vector"], k=self.config.rrf_k)
+        lane = both.select(F.lit(0).cast("long").alias("qid"), "chunk_id", score.alias("score"))
+        # The top of one query: cut in every task first, then numbered.
+        lane = lane.orderBy(F.desc("score"), "chunk_id").limit(c.candidate_k).withColumn("rank", F.row_number().over(order))
+        return lane, None
 
     def _freshness(self, path: str, sha: str) -> str:
         try:

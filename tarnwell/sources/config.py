@@ -42,6 +42,9 @@ class Config:
     request_bytes: int = 262144
     workers: int = 4
     dimensions: int = 1024
+    allow_paid_query_embedding: bool = False
+    embedding_model: str = "default"
+    vector_codec: str = "int8"
     retry_seconds: tuple[int, ...] = (10, 20, 30)
     languages: tuple[str, ...] = ("go", "ts", "tsx")
 
@@ -89,6 +92,11 @@ def resolve(text: str) -> Config:
         value = getattr(config, name)
         if not isinstance(value, int) or isinstance(value, bool) or not low <= value <= high:
             raise ConfigError(f"{name}: {value!r} is not within {low}..{high}")
+    if not isinstance(config.allow_paid_query_embedding, bool):
+        raise ConfigError("allow_paid_query_embedding must be true or false")
+    for name in ("embedding_model", "vector_codec"):
+        if not isinstance(getattr(config, name), str) or not getattr(config, name).strip():
+            raise ConfigError(f"{name} must be a name")
     if config.dimensions not in DIMENSIONS:
         raise ConfigError(f"dimensions: {config.dimensions}")
     if config.return_k > config.candidate_k:
@@ -119,9 +127,10 @@ def fingerprint(domain: str, value: object) -> str:
 PROFILES = {
     "index": (("schema_version", "languages", "source_cap_bytes"), ()),
     "canonical": (("segment_target_bytes",), ("index",)),
-    "source": (("dimensions",), ("canonical",)),
-    "storage": (("schema_version",), ("source",)),
-    "policy": (("return_k", "candidate_k", "rrf_k", "symbol_weight", "body_weight", "inline_cap_bytes"), ()),
+    "source": (("embedding_model",), ("canonical",)),
+    "space": (("dimensions",), ("source",)),
+    "storage": (("vector_codec",), ("space",)),
+    "policy": (("return_k", "candidate_k", "rrf_k", "symbol_weight", "body_weight", "inline_cap_bytes", "allow_paid_query_embedding"), ()),
 }
 
 
@@ -134,7 +143,7 @@ def profiles(config: Config) -> dict[str, str]:
 
 
 def impact(old: Config, new: Config) -> str:
-    """What a change requires, the strongest first: schema, index, canonical, source, storage, policy or none."""
+    """What a change requires, the strongest first: schema, index, canonical, source, space, storage, policy or none."""
     if old.schema_version != new.schema_version:
         return "schema"
     a, b = profiles(old), profiles(new)

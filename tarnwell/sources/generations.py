@@ -7,8 +7,8 @@ import json
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.schemas import schema
@@ -21,24 +21,46 @@ class Conflict(RuntimeError):
 class GenerationStore:
     """Tables of a folder by generation. Readers keep the generation that they opened.
 
-    Data is written by Spark to a folder of its own; publication replaces the
-    pointer file atomically after comparing it with the base generation, under a
-    lock of the driver. A failed write leaves the pointer as it was.
+    Data is written by Spark to folders of its own. A generation is published by
+    creating its state file, which only one publisher can do; nothing is locked, so a
+    publisher that dies leaves nothing to clear away. A state that was not written to its
+    end carries no valid checksum and is passed over, as is a failed write of data.
+    Folder and states are reached through Hadoop's file systems, so they may lie in any
+    store that the executors share.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
+        master = spark.sparkContext.master
+        if "://" not in root and master != "local" and not master.startswith("local["):
+            raise ValueError("on a cluster the folder must be the URI of a shared store")
+        self._paths = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._paths(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._paths(self.root))
+
+    def _state(self, generation: int) -> dict | None:
+        """A published state; None if there is none or it was not written to its end."""
+        path = self._paths(f"{self.root}/generation-{generation:09d}.json")
+        if not self._files.exists(path):
+            return None
+        source = self._files.open(path)
+        try:
+            text = bytes(source.readAllBytes()).decode("utf-8", "replace")
+        finally:
+            source.close()
+        digest, _, body = text.partition("\n")
+        return json.loads(body) if hashlib.sha256(body.encode()).hexdigest() == digest else None
 
-    @property
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "CURRENT.json")
+    def _published(self) -> list[int]:
+        found = [str(f.getPath().getName()) for f in self._files.listStatus(self._paths(self.root))]
+        return sorted((int(n[11:20]) for n in found if n.startswith("generation-") and n.endswith(".json")), reverse=True)
 
     def active(self) -> dict:
-        if not os.path.exists(self._pointer):
-            return {"generation": 0, "tables": {}, "manifest": ""}
-        with open(self._pointer, encoding="utf-8") as f:
-            return json.load(f)
+        for generation in self._published():
+            state = self._state(generation)
+            if state is not None:
+                return state
+        return {"generation": 0, "tables": {}, "manifest": "", "profile": ""}
 
     def read(self, table: str, at: dict | None = None) -> DataFrame:
         """A table of a generation; empty, with its schema, before the first."""
@@ -47,31 +69,30 @@ class GenerationStore:
             return self.spark.createDataFrame([], schema(table))
         return self.spark.read.parquet(where)
 
-    @contextmanager
-    def _lock(self):
-        path = os.path.join(self.root, "LOCK")
-        handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        try:
-            yield
-        finally:
-            os.close(handle)
-            os.unlink(path)
-
-    def publish(self, base: int, tables: dict[str, DataFrame], manifest: str = "") -> dict:
+    def publish(self, base: int, tables: dict[str, DataFrame], manifest: str | None = None, profile: str | None = None) -> dict:
         """Make a new generation of the given tables; the others stay. Raises Conflict if ``base`` is not active."""
         now = self.active()
         if now["generation"] != base:
             raise Conflict(f"base {base}, active {now['generation']}")
         written = dict(now["tables"])
         for name, df in tables.items():
-            path = os.path.join(self.root, f"{name}-{base + 1}-{uuid.uuid4().hex[:8]}")
+            path = f"{self.root}/{name}-{base + 1}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(path)
             written[name] = path
-        with self._lock():
-            if self.active()["generation"] != base:
-                raise Conflict(f"base {base}, active {self.active()['generation']}")
-            state = {"generation": base + 1, "tables": written, "manifest": manifest}
-            replace_file(self._pointer, json.dumps(state, sort_keys=True).encode())
+        # Numbers of states that were not written to their end are not used again.
+        number = max([base, *self._published()]) + 1
+        state = {"generation": number, "tables": written, "manifest": now["manifest"] if manifest is None else manifest, "profile": now.get("profile", "") if profile is None else profile}
+        if self.active()["generation"] != base:
+            raise Conflict(f"base {base}, active {self.active()['generation']}")
+        body = json.dumps(state, sort_keys=True)
+        try:
+            out = self._files.create(self._paths(f"{self.root}/generation-{number:09d}.json"), False)
+        except Py4JJavaError as e:
+            raise Conflict(f"generation {number} is being published") from e
+        try:
+            out.write(bytearray(f"{hashlib.sha256(body.encode()).hexdigest()}\n{body}".encode()))
+        finally:
+            out.close()
         return state
 
 

@@ -189,7 +189,7 @@ def test_config():
         with pytest.raises(C.ConfigError):
             C.resolve(bad)
     assert C.canonical_json({"b": 1.0, "a": [True, None, "é"], "\U0001f600": 1, "ﬀ": 2}) == '{"a":[true,null,"é"],"b":1,"😀":1,"ﬀ":2}'
-    assert [C.impact(base, C.resolve(x)) for x in ("{}", '{"rrf_k": 61}', '{"dimensions": 512}', '{"segment_target_bytes": 2048}', '{"languages": ["go"]}')] == ["none", "policy", "source", "canonical", "index"]
+    assert [C.impact(base, C.resolve(x)) for x in ("{}", '{"rrf_k": 61}', '{"dimensions": 512}', '{"segment_target_bytes": 2048}', '{"languages": ["go"]}')] == ["none", "policy", "space", "canonical", "index"]
 
 
 def test_embedding(spark):
@@ -247,7 +247,8 @@ def test_index_end_to_end(spark, tree, tmp_path):
     assert found("special_location.go")["path"] == "special_location.go"
     out = index.search("Sum adds", max_inline_bytes=2000)
     assert out["hits"][0]["inline"].startswith("// Sum adds.") and 0 < out["used_bytes"] <= 2000 and out["hits"][0]["freshness"] == "current"
-    assert index.search("twice", mode="hybrid")["hits"][0]["rank"] == 1
+    out = index.search("twice", mode="hybrid")
+    assert out["hits"][0]["rank"] == 1 and out["fallback"] == "PAID_QUERY_DISABLED"
     (tree / "geo/geo.go").write_text(GO.replace("Sum", "Total"))
     (tree / "lib/tool.ts").unlink()
     status = index.status()
@@ -260,6 +261,76 @@ def test_index_end_to_end(spark, tree, tmp_path):
         index.read_span("special_location.go", 1, 1, "0" * 64)
 
 
+def test_hybrid_search_from_stored_vectors(spark, tree, tmp_path):
+    from dataclasses import replace
+
+    from tarnwell.service import Index
+    from tarnwell.sources.config import Config
+
+    class Counted(E.HashClient):
+        texts: list = []
+        fails = False
+
+        def embed(self, texts):
+            self.texts.extend(texts)
+            if self.fails:
+                raise E.Retryable("no")
+            return super().embed(texts)
+
+    paid = replace(Config(), allow_paid_query_embedding=True, dimensions=512, retry_seconds=())
+    client, folder = Counted(512), str(tmp_path / "index")
+    index = Index(spark, str(tree), folder, paid, client)
+    index.reindex()
+    why = lambda i: i.search("twice", mode="hybrid")["fallback"]
+    assert why(index) == "PROFILE_RECONCILIATION_REQUIRED" and not client.texts
+    done = index.embed_documents()
+    assert done["requested"] > 0 and done["failed"] == 0
+    assert index.embed_documents()["requested"] == 0
+    client.texts.clear()
+    out = index.search("twice", mode="hybrid")
+    assert client.texts == ["twice"] and out["fallback"] is None
+    assert any(h["vector_rank"] is not None for h in out["hits"])
+    assert why(Index(spark, str(tree), folder, paid, None)) == "API_KEY_MISSING"
+    assert why(Index(spark, str(tree), folder, replace(paid, dimensions=1024), client)) == "PROFILE_RECONCILIATION_REQUIRED"
+    assert why(Index(spark, str(tree), folder, replace(paid, allow_paid_query_embedding=False), client)) == "PAID_QUERY_DISABLED"
+    Counted.fails = True
+    assert why(index) == "QUERY_EMBEDDING_FAILED"
+    Counted.fails = False
+    at = index.store.active()
+    vectors = index.store.read("chunk_vectors", at)
+    index.store.publish(at["generation"], {"chunk_vectors": vectors.selectExpr("hash", "dimensions", "codes", "CAST(0 AS FLOAT) AS scale", "norm")})
+    assert why(index) == "VECTOR_SNAPSHOT_INVALID"
+    index.store.publish(index.store.active()["generation"], {"chunk_vectors": vectors.limit(0)})
+    assert why(index) == "NO_VALID_DOCUMENT_VECTORS"
+
+
+def test_postings_follow_the_files(spark, tree, tmp_path):
+    from tarnwell.operators import lexical
+    from tarnwell.service import Index
+
+    index = Index(spark, str(tree), str(tmp_path / "index"))
+    index.reindex()
+    (tree / "geo/geo.go").write_text(GO.replace("Sum", "Total"))
+    (tree / "lib/tool.ts").unlink()
+    index.reindex()
+    at = index.store.active()
+    stored = index.store.read("postings", at)
+    again = lexical.postings(index._tokens(index.store.read("chunks", at))).select(*stored.columns)
+    assert stored.exceptAll(again).isEmpty() and again.exceptAll(stored).isEmpty()
+
+
+def test_generation_after_a_crash(spark, tmp_path):
+    s = G.GenerationStore(spark, str(tmp_path / "g"))
+    row = spark.createDataFrame([(1, 2)], "chunk_id long, length long")
+    assert s.publish(0, {"row_lengths": row})["generation"] == 1
+    (tmp_path / "g" / "generation-000000002.json").write_text("half a sta")
+    assert s.active()["generation"] == 1
+    state = s.publish(1, {"row_lengths": row.unionAll(row)})
+    assert state["generation"] == 3 and s.read("row_lengths").count() == 2
+    with pytest.raises(G.Conflict):
+        s.publish(1, {"row_lengths": row})
+
+
 def test_stream_publishes_last_versions(spark, tmp_path):
     from tarnwell.streaming.files import deduplicated, publisher
 

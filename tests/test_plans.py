@@ -55,7 +55,7 @@ def test_bm25_equals_an_independent_index(spark):
     rows = [(1, ["ring", "small"], "a b c ring ring".split()), (2, ["bolt"], "ring bolt x y z z z".split()), (3, [], "a a a bolt".split()), (4, ["gear"], ["q"])] + [(k, ["pad"], ["fill"] * (k % 5 + 1)) for k in range(5, 20)]
     df = spark.createDataFrame(rows, "chunk_id long, symbol_tokens array<string>, body_tokens array<string>")
     terms = spark.createDataFrame([(0, "ring"), (0, "bolt"), (1, "a"), (1, "gear")], "qid long, term string")
-    got = {(r.qid, r.chunk_id): r.score for r in lexical.bm25(lexical.postings(df, terms), lexical.corpus_size(df), terms).collect()}
+    got = {(r.qid, r.chunk_id): r.score for r in lexical.bm25(lexical.postings(df, terms), lexical.corpus_size(lexical.row_lengths(df)), terms).collect()}
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(symbols, body)")
     for i, s, b in rows:
