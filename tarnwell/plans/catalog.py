@@ -148,11 +148,6 @@ add(
 )
 add("A16_hard_negative_hit", "SELECT j.qid, k.k, coalesce(bool_or(r.rank <= k.k), FALSE) AS hard_hit FROM {judgments} j CROSS JOIN (SELECT k FROM (VALUES (1), (5), (20)) AS t(k)) k LEFT JOIN {ranked} r ON r.qid = j.qid AND r.item = j.item WHERE j.hard GROUP BY j.qid, k.k")
 add("A18_lexical_control", "SELECT qid, chunk_id, count(*) AS matched FROM (SELECT t.qid, p.chunk_id, t.term FROM {query_terms} t JOIN {postings} p ON p.term = t.term) GROUP BY qid, chunk_id HAVING count(*) >= 4")
-add(
-    "A19_codec_fidelity",
-    """SELECT e.qid, count(*) AS reference, count_if(r.item IS NOT NULL) AS retained, count_if(r.item IS NULL) AS missing, max(CASE WHEN e.rank = 1 AND coalesce(r.rank, 0) <> 1 THEN 1 ELSE 0 END) AS top1_mismatch,
-    round(avg(CAST(abs(e.rank - r.rank) AS DOUBLE)), 6) AS mean_displacement, max(abs(e.rank - r.rank)) AS max_displacement FROM {exact_ranked} e LEFT JOIN {ranked} r ON r.qid = e.qid AND r.item = e.item GROUP BY e.qid""",
-)
 add(
     "A20_fusion_diagnostics",
     """SELECT qid, count(*) AS candidates, count_if(l IS NOT NULL AND v IS NOT NULL) AS both_lanes, count_if(v IS NULL) AS lexical_only, count_if(l IS NULL) AS vector_only, round(CAST(count_if(l IS NOT NULL AND v IS NOT NULL) AS DOUBLE) / count(*), 6) AS jaccard,

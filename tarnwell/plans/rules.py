@@ -308,3 +308,44 @@ def _t11(d: Data) -> DataFrame:
     """The kind of the edge with most occurrences, of equals the one that occurs first."""
     place = F.struct((-F.col("n")).alias("less"), "best_id")
     return d.edges.groupBy("source", "target").agg(F.min("best_id").alias("first_fact"), F.min_by("kind", place).alias("best_kind"))
+
+
+@frame(
+    "A19_codec_fidelity",
+    """WITH e AS (SELECT e.qid, e.item, e.rank, r.rank AS found, r.score, j.grade FROM {exact_ranked} e LEFT JOIN {ranked} r ON r.qid = e.qid AND r.item = e.item LEFT JOIN {judgments} j ON j.qid = e.qid AND j.item = e.item),
+    p AS (SELECT a.qid, count(*) AS pairs, count(*) FILTER (a.found > b.found) AS inversions, count(*) FILTER (a.score = b.score) AS ties FROM e a JOIN e b ON b.qid = a.qid AND b.rank > a.rank AND a.found IS NOT NULL AND b.found IS NOT NULL GROUP BY a.qid)
+    SELECT e.qid, count(*) AS reference, count(found) AS retained, count(*) - count(found) AS missing, max(CASE WHEN e.rank = 1 AND coalesce(found, 0) <> 1 THEN 1 ELSE 0 END) AS top1_mismatch,
+    count(*) FILTER (grade = 2) AS gold, count(*) FILTER (grade = 2 AND found IS NOT NULL) AS gold_retained, round(avg(abs(e.rank - found)), 6) AS mean_displacement, quantile_disc(abs(e.rank - found), 0.5) AS median_displacement,
+    quantile_disc(abs(e.rank - found), 0.95) AS p95_displacement, max(abs(e.rank - found)) AS max_displacement, any_value(round(coalesce(CAST(p.inversions AS DOUBLE) / p.pairs, 0), 6)) AS inversion_rate, any_value(round(coalesce(CAST(p.ties AS DOUBLE) / p.pairs, 0), 6)) AS tie_rate
+    FROM e LEFT JOIN p ON p.qid = e.qid GROUP BY e.qid""",
+)
+def _a19(d: Data) -> DataFrame:
+    """How the coded ranking keeps the exact one's top: what is missing, gold, displacement of ranks, pairs in the wrong order or tied."""
+    rows = d.exact_ranked.select("qid", "item", "rank").join(d.ranked.select("qid", "item", F.col("rank").alias("found"), "score"), ["qid", "item"], "left")
+    rows = rows.join(d.judgments.select("qid", "item", "grade"), ["qid", "item"], "left")
+    # A query's list is cut to its top before, so these arrays and their pairs are small.
+    listed = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "found", "score", "grade"))).alias("l"))
+    kept = F.filter("l", lambda x: x["found"].isNotNull())
+    pairs = F.flatten(F.transform(F.col("kept"), lambda a: F.transform(F.filter(F.col("kept"), lambda b: b["rank"] > a["rank"]), lambda b: F.struct((a["found"] > b["found"]).alias("turned"), (a["score"] == b["score"]).alias("tied")))))
+    listed = listed.withColumn("kept", kept).withColumn("pairs", pairs)
+    moved = F.array_sort(F.transform("kept", lambda x: F.abs(x["rank"] - x["found"])))
+    listed = listed.withColumn("moved", moved).withColumn("n", F.size("moved"))
+    nearest = lambda q: F.when(F.col("n") > 0, F.element_at("moved", F.ceil(F.col("n") * q).cast("int")))
+    total = F.aggregate("moved", F.lit(0).cast("long"), lambda s, v: s + v)
+    share = lambda field: F.round(F.when(F.size("pairs") > 0, F.size(F.filter("pairs", lambda x: x[field])) / F.size("pairs")).otherwise(F.lit(0.0)), 6)
+    count = lambda c: c.cast("long")
+    return listed.select(
+        "qid",
+        count(F.size("l")).alias("reference"),
+        count(F.col("n")).alias("retained"),
+        count(F.size("l") - F.col("n")).alias("missing"),
+        F.when(F.exists("l", lambda x: (x["rank"] == 1) & (F.coalesce(x["found"], F.lit(0)) != 1)), 1).otherwise(0).alias("top1_mismatch"),
+        count(F.size(F.filter("l", lambda x: x["grade"] == 2))).alias("gold"),
+        count(F.size(F.filter("kept", lambda x: x["grade"] == 2))).alias("gold_retained"),
+        F.round(F.when(F.col("n") > 0, total / F.col("n")), 6).alias("mean_displacement"),
+        nearest(0.5).alias("median_displacement"),
+        nearest(0.95).alias("p95_displacement"),
+        F.array_max("moved").alias("max_displacement"),
+        share("turned").alias("inversion_rate"),
+        share("tied").alias("tie_rate"),
+    )
