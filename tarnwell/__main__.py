@@ -1,4 +1,4 @@
-"""Command line: index, search, status, span over a worktree."""
+"""Command line: index, embed, search, status, span over a worktree."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import os
 from pyspark.sql import SparkSession
 
 from tarnwell.service import Index
-from tarnwell.sources.config import resolve
+from tarnwell.sources.config import Config, resolve
+from tarnwell.sources.http_embedding import HttpClient
 
 
 def main(args: list[str] | None = None) -> int:
@@ -17,13 +18,16 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--root", default=".")
     p.add_argument("--folder", help="where the index is kept; <root>/.tarnwell unless given")
     p.add_argument("--config", help="a JSON file")
+    p.add_argument("--embedding-url", help="an HTTP provider of embeddings; its key is read from TARNWELL_EMBEDDING_KEY")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("index").add_argument("--dry-run", action="store_true")
     sub.add_parser("status")
+    sub.add_parser("embed")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("-k", type=int)
     s.add_argument("--max-inline-bytes", type=int, default=0)
+    s.add_argument("--mode", choices=("fts", "hybrid"), default="fts")
     r = sub.add_parser("span")
     r.add_argument("path")
     r.add_argument("start", type=int)
@@ -34,13 +38,19 @@ def main(args: list[str] | None = None) -> int:
         with open(a.config, encoding="utf-8") as f:
             config = resolve(f.read())
     spark = SparkSession.builder.appName("tarnwell").config("spark.ui.enabled", "false").getOrCreate()
-    index = Index(spark, a.root, a.folder or os.path.join(a.root, ".tarnwell"), config)
+    client, key = None, os.environ.get("TARNWELL_EMBEDDING_KEY", "")
+    if a.embedding_url and key:
+        known = config or Config()
+        client = HttpClient(a.embedding_url, key, known.embedding_model, known.dimensions, "query" if a.command == "search" else "document")
+    index = Index(spark, a.root, a.folder or os.path.join(a.root, ".tarnwell"), config, client)
     if a.command == "index":
         out = index.reindex(a.dry_run).__dict__
     elif a.command == "status":
         out = index.status()
+    elif a.command == "embed":
+        out = index.embed_documents()
     elif a.command == "search":
-        out = index.search(a.query, a.k, a.max_inline_bytes)
+        out = index.search(a.query, a.k, a.max_inline_bytes, a.mode)
     else:
         out = index.read_span(a.path, a.start, a.end)
     print(json.dumps(out, default=str, ensure_ascii=False))

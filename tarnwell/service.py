@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as X
@@ -174,12 +174,16 @@ class Index:
             r["freshness"] = self._freshness(r["path"], r["sha"])
         return {"shape": shape, "hits": result, "used_bytes": sum(r["used_bytes"] for r in result), "fallback": why, "generation": at["generation"]}
 
+    @staticmethod
+    def _valid(size: int) -> Column:
+        return F.coalesce((F.col("dimensions") == size) & (F.size("codes") == size) & (F.col("scale") > 0) & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+
     def _vector_lane(self, text: str, at: dict) -> tuple[DataFrame | None, str | None]:
         """(qid, chunk_id, score, rank) from the stored vectors and one request for the query's, or why there is none."""
         c, size = self.config, self.config.dimensions
         active = self._inputs(at).select("chunk_id", "hash")
         stored = active.join(self.store.read("chunk_vectors", at), "hash", "left")
-        valid = F.coalesce((F.col("dimensions") == size) & (F.size("codes") == size) & (F.col("scale") > 0) & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+        valid = self._valid(size)
         flags = [F.lit(c.allow_paid_query_embedding), F.lit(at.get("profile") == self._profile()), F.lit(self.client is not None)]
         counts = store.vector_counts(stored, F.col("scale").isNotNull(), valid) if c.allow_paid_query_embedding else self.spark.createDataFrame([(0, 0, 0)], "n long, good long, bad long")
         reason = counts.select(store.gate_reason(*flags).alias("reason")).first()["reason"]
@@ -208,6 +212,17 @@ class Index:
         except (FileNotFoundError, ValueError):
             return "deleted"
 
+    def evaluation_session(self) -> dict:
+        """A generation to evaluate against: pinned, and refused unless every chunk has a valid vector of this profile."""
+        at, size = self.store.active(), self.config.dimensions
+        if at.get("profile") != self._profile():
+            raise ValueError(store.RECONCILIATION_REQUIRED)
+        stored = self._inputs(at).select("hash").distinct().join(self.store.read("chunk_vectors", at), "hash", "left")
+        n = store.vector_counts(stored, F.col("scale").isNotNull(), self._valid(size)).first()
+        if not n["n"] or n["good"] < n["n"]:
+            raise ValueError(f"{n['good']} of {n['n']} texts have a valid vector")
+        return at
+
     # --- spans and status ---------------------------------------------------------------
 
     def read_span(self, path: str, start_line: int, end_line: int, expected_sha256: str | None = None) -> dict:

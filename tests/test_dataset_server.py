@@ -52,3 +52,90 @@ def test_server():
     assert by_id[1]["result"] == {"files": 3} and by_id["s"]["result"] == {"q": "x", "k": None, "budget": 5, "mode": "fts"}
     assert [by_id[i]["error"]["code"] for i in (3, 4, 5, 6, 7)] == [-32602, -32601, -32602, -32603, -32602]
     assert sorted(a["error"]["code"] for a in answers if a["id"] is None) == [-32700, -32700, -32600, -32600]
+
+
+def test_server_calls_off_and_refuses(monkeypatch):
+    import threading
+
+    import tarnwell.server as module
+
+    begun, go = threading.Event(), threading.Event()
+
+    class Slow(Stub):
+        def status(self):
+            begun.set()
+            go.wait(10)
+            return {}
+
+    ask = lambda i, m, **p: json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}) + "\n"
+
+    class Lines:
+        def __init__(self, lines):
+            self.lines = iter(lines)
+
+        def readline(self, most):
+            line = next(self.lines, "")
+            return line() if callable(line) else line
+
+    def after_first():
+        begun.wait(10)
+        return ask(1, "status")
+
+    def let_go():
+        go.set()
+        return ask(3, "search", query="x", max_inline_bytes=1)
+
+    out = io.StringIO()
+    Server(Slow(), out).serve(Lines([ask(1, "status"), after_first, ask("1", "search", query="x", max_inline_bytes=1), json.dumps({"jsonrpc": "2.0", "method": "notifications/cancelled", "params": {"requestId": 1}}) + "\n", let_go]))
+    answers = [json.loads(line) for line in out.getvalue().splitlines()]
+    assert [a for a in answers if a["id"] == 1] == [{"jsonrpc": "2.0", "id": 1, "error": {"code": -32600, "message": "the id is in use"}}]
+    assert {a["id"] for a in answers} == {1, "1", 3}
+    monkeypatch.setattr(module, "MAX_FRAME", 50)
+    found = list(module.frames(io.StringIO("short\n" + "x" * 500 + "\nlast")))
+    assert found == ["short\n", None, "last"]
+
+
+def test_http_provider():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tarnwell.sources.embedding import Retryable, call
+    from tarnwell.sources.http_embedding import HttpClient, retry_after
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], body))
+            text = body["input"][0]
+            status = {"busy": 429, "wrong": 400}.get(text, 200)
+            rows = [{"index": i, "embedding": [1.0, float(i)]} for i in range(len(body["input"]))][::-1]
+            data = json.dumps({"data": "none" if text == "shape" else rows, "model": body["model"]}).encode()
+            self.send_response(status)
+            if status == 429:
+                self.send_header("Retry-After", "7")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = HttpClient(f"http://127.0.0.1:{server.server_port}/", "secret", "m", 2, timeout=5)
+    assert call(client, ["a", "b"], 2, ()) == [[1.0, 0.0], [1.0, 1.0]]
+    assert seen[0][0] == "Bearer secret" and seen[0][1]["output_dimension"] == 2 and "secret" not in repr(client)
+    assert client.as_query().input_type == "query"
+    with pytest.raises(Retryable) as e:
+        client.embed(["busy"])
+    assert e.value.after == 7
+    for text in ("wrong", "shape", ""):
+        with pytest.raises(ValueError):
+            client.embed([text])
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(Retryable):
+        client.embed(["a"])
+    assert retry_after("Thu, 01 Jan 1970 00:01:40 GMT", 40.0) == 60.0 and retry_after("soon") is None

@@ -290,6 +290,7 @@ def test_hybrid_search_from_stored_vectors(spark, tree, tmp_path):
     out = index.search("twice", mode="hybrid")
     assert client.texts == ["twice"] and out["fallback"] is None
     assert any(h["vector_rank"] is not None for h in out["hits"])
+    assert index.evaluation_session()["generation"] == index.store.active()["generation"]
     assert why(Index(spark, str(tree), folder, paid, None)) == "API_KEY_MISSING"
     assert why(Index(spark, str(tree), folder, replace(paid, dimensions=1024), client)) == "PROFILE_RECONCILIATION_REQUIRED"
     assert why(Index(spark, str(tree), folder, replace(paid, allow_paid_query_embedding=False), client)) == "PAID_QUERY_DISABLED"
@@ -302,6 +303,8 @@ def test_hybrid_search_from_stored_vectors(spark, tree, tmp_path):
     assert why(index) == "VECTOR_SNAPSHOT_INVALID"
     index.store.publish(index.store.active()["generation"], {"chunk_vectors": vectors.limit(0)})
     assert why(index) == "NO_VALID_DOCUMENT_VECTORS"
+    with pytest.raises(ValueError, match="0 of"):
+        index.evaluation_session()
 
 
 def test_postings_follow_the_files(spark, tree, tmp_path):
