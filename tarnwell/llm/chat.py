@@ -7,7 +7,8 @@ end mark of the assistant's turns.
 
 A rendered dialogue is cut into segments of ``segment`` consecutive turn numbers,
 so that a conversation of any length is built in bounded pieces on many tasks; most
-dialogues are one segment.
+dialogues are one segment. Where very many rows share a segment (rows without a
+conversation or a turn, say), it is cut on into parts of ``most`` rows.
 """
 
 from __future__ import annotations
@@ -16,16 +17,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import stage
+from tarnwell.operators.ranking import ordinal
 
 SEGMENT = 64
+#: Rows of a segment from which on it is cut into parts.
+MOST = 1024
 HEAD, BODY, END = "<|", "|>\n", "<|end|>\n"
 SYSTEM = "system"
 
 
-def perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """One row per conversation, speaker and segment of turns.
+def _parted(rows: DataFrame, most: int) -> DataFrame:
+    """Add ``part``: 0, and on in segments of more than ``most`` rows, by the turns' order.
 
-    Returns conv_id, speaker, segment, n_turns, n_own (the speaker's turns in it),
+    Only such segments are numbered, in pieces of equal turn, role and beginning of the text.
+    """
+    large = stage(rows.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most), "large")
+    if large.isEmpty():
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    large = large.select(F.col("conv_id").alias("of"), F.col("segment").alias("of_segment"))
+    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("segment") == F.col("of_segment"))
+    some = rows.join(large, same, "left_semi").withColumn("name", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")))
+    piece = F.struct("turn", "role", F.substring("text", 1, 16).alias("begin"))
+    some = ordinal(some, ["name", "segment"], piece, [F.col("turn"), F.col("role"), F.col("text")], "place").drop("name")
+    some = some.withColumn("part", F.floor((F.col("place") - 1) / most)).drop("place")
+    return rows.join(large, same, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(some)
+
+
+def perspectives(turns: DataFrame, segment: int = SEGMENT, most: int = MOST) -> DataFrame:
+    """One row per conversation, speaker, segment of turns and part of it.
+
+    Returns conv_id, speaker, segment, part, n_turns, n_own (the speaker's turns in it),
     text, mask ("start:end" code point spans, end exclusive, comma-joined) and
     n_train (characters under the mask).
 
@@ -44,7 +65,7 @@ def perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     rows = rows.withColumn("segment", F.floor(F.col("turn") / segment))
     # The turns of a segment come together first, so that each is shuffled once, not once a speaker.
     turn = F.struct("turn", "role", "text")
-    packed = stage(rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(turn)).alias("turns")), "segments")
+    packed = stage(_parted(rows, most).groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns")), "segments")
     speakers = packed.select("conv_id", F.explode(F.array_distinct(F.col("turns.role"))).alias("speaker")).distinct()
     speakers = stage(speakers.where(F.col("speaker") != SYSTEM).withColumnRenamed("conv_id", "of"), "speakers")
     both = packed.join(speakers, packed["conv_id"].eqNullSafe(speakers["of"]))
@@ -69,6 +90,7 @@ def perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         "conv_id",
         "speaker",
         "segment",
+        "part",
         F.size("turns").cast("long").alias("n_turns"),
         F.size(F.filter("turns", lambda t: t["role"] == own)).cast("long").alias("n_own"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
@@ -85,18 +107,20 @@ WITH rows AS (
   SELECT *, CAST(floor(turn / {SEGMENT}) AS BIGINT) AS segment FROM rows
 ), speakers AS (
   SELECT DISTINCT conv_id AS c, role AS speaker FROM rows WHERE role <> '{SYSTEM}'
+), cut AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn, role, text) - 1) // {MOST} AS part FROM parted
 ), pieces AS (
-  SELECT conv_id, speaker, segment, turn, role, text, role = speaker AS own,
+  SELECT conv_id, speaker, segment, part, turn, role, text, role = speaker AS own,
     '{HEAD}' || CASE WHEN role = speaker THEN 'assistant' WHEN role = '{SYSTEM}' THEN '{SYSTEM}' ELSE 'user:' || role END || '|>' || chr(10) AS head,
     text || '<|end|>' || chr(10) AS body
-  FROM parted JOIN speakers ON conv_id IS NOT DISTINCT FROM c
+  FROM cut JOIN speakers ON conv_id IS NOT DISTINCT FROM c
 ), placed AS (
   SELECT *, row_number() OVER w AS k, sum(length(head) + length(body)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM pieces WINDOW w AS (PARTITION BY conv_id, speaker, segment ORDER BY turn, role, text)
+  FROM pieces WINDOW w AS (PARTITION BY conv_id, speaker, segment, part ORDER BY turn, role, text)
 )
-SELECT conv_id, speaker, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+SELECT conv_id, speaker, segment, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
   string_agg(head || body, '' ORDER BY k) AS text,
   coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ',' ORDER BY k) FILTER (own), '') AS mask,
   CAST(coalesce(sum(length(body)) FILTER (own), 0) AS BIGINT) AS n_train
-FROM placed GROUP BY conv_id, speaker, segment
+FROM placed GROUP BY conv_id, speaker, segment, part
 """

@@ -150,20 +150,21 @@ def test_elias_fano():
             ef.select(n)
 
 
-def plain_perspectives(rows):
+def plain_perspectives(rows, most=1024):
     rows = [(c, t or 0, r or "unknown", x or "") for c, t, r, x in rows]
     out = {}
     for c in {r[0] for r in rows}:
         for s in {r[2] for r in rows if r[0] == c} - {"system"}:
             for g in {r[1] // 64 for r in rows if r[0] == c}:
-                text, mask = "", []
-                turns = sorted((t, r, x) for k, t, r, x in rows if k == c and t // 64 == g)
-                for _, r, x in turns:
-                    text += "<|" + ("assistant" if r == s else "system" if r == "system" else f"user:{r}") + "|>\n"
-                    if r == s:
-                        mask.append(f"{len(text)}:{len(text) + len(x) + 8}")
-                    text += x + "<|end|>\n"
-                out[c, s, g] = (len(turns), len(mask), text, ",".join(mask))
+                every = sorted((t, r, x) for k, t, r, x in rows if k == c and t // 64 == g)
+                for p in range(0, len(every), most):
+                    text, mask, turns = "", [], every[p : p + most]
+                    for _, r, x in turns:
+                        text += "<|" + ("assistant" if r == s else "system" if r == "system" else f"user:{r}") + "|>\n"
+                        if r == s:
+                            mask.append(f"{len(text)}:{len(text) + len(x) + 8}")
+                        text += x + "<|end|>\n"
+                    out[c, s, g, p // most] = (len(turns), len(mask), text, ",".join(mask))
     return out
 
 
@@ -172,9 +173,12 @@ def test_chat(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "anna", "bob"]) if t else "system", rng.choice(["hi é🙂", "", None, "a\nb"])) for c in range(20) for t in range(rng.randrange(1, 150))]
     rows += [(None, 1, "user", "x"), (None, None, None, "y"), (77, 2, "user", "same"), (77, 2, "user", "same"), (78, 0, "system", "only"), (79, -70, "user", "neg")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, speaker string")
-    got = chat.perspectives(df).collect()
-    want = plain_perspectives(rows)
-    assert {(r.conv_id, r.speaker, r.segment): (r.n_turns, r.n_own, r.text, r.mask) for r in got} == want and len(got) == len(want)
+    rows.append((80, 1, "user", "long " * 40_000))
+    df = df.union(spark.createDataFrame([(*rows[-1], "clash")], df.schema))
+    for most in (1024, 7):
+        got = chat.perspectives(df, most=most).collect()
+        want = plain_perspectives(rows, most)
+        assert {(r.conv_id, r.speaker, r.segment, r.part): (r.n_turns, r.n_own, r.text, r.mask) for r in got} == want and len(got) == len(want)
     for r in got:
         spans = [tuple(map(int, s.split(":"))) for s in r.mask.split(",") if s]
         assert r.n_train == sum(e - s for s, e in spans) and all(r.text[s:e].endswith("<|end|>\n") for s, e in spans)
