@@ -115,6 +115,25 @@ def scope(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+#: Rows of whole texts that a Python worker gets at a time: at some kilobytes a text a few megabytes.
+TEXT_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` in a sibling of its session, whose Arrow batches have at most TEXT_ROWS rows.
+
+    The default of 10,000 rows of whole texts takes some 100 MB of each worker. The
+    sibling has all settings of the caller's session, which itself stays as it is.
+    """
+    spark = df.sparkSession
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(own.conf.get(key))
+    own.conf.set(key, min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS)
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan), own)
+
+
 #: Texts that a worker turns into Python strings at a time: at most so many, of so many bytes together if there are several.
 PIECE_ROWS, PIECE_BYTES = 256, 4 << 20
 
@@ -147,7 +166,7 @@ def per_text(docs: DataFrame, columns: dict[str, pa.DataType], start: Callable[[
 
     ``start`` runs once a task and returns the function from a list of texts to a list
     of columns. doc_id stays an Arrow long, so that every id and null is exact. Whole
-    texts go through in pieces, whatever the session's batches are.
+    texts go through in small batches and pieces.
     """
     schema = pa.schema([("doc_id", pa.int64()), *columns.items()])
 
@@ -160,7 +179,7 @@ def per_text(docs: DataFrame, columns: dict[str, pa.DataType], start: Callable[[
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(found, columns.values())]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *arrays], schema=schema)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return slim.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {_SPARK_NAMES[t]}" for n, t in columns.items())]))
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import connected_components, pieces, scope, stage
+from tarnwell.llm.common import connected_components, pieces, scope, small_batches, stage
 from tarnwell.llm.simhash import SimHash, near_copy_search, near_pairs, set_fingerprints, shingle_hashes
 
 #: Two texts are near copies if their shingle sets have this Jaccard similarity, as a fraction, or more.
@@ -29,19 +29,23 @@ CHUNK = 512
 #: Words of 64 bits of the filter by which sets that no piece needs are left out before they are shuffled.
 FILTER_WORDS = 1 << 18
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.binary()), ("shingles", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.binary())])
+_SET = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
 
-def _sketches(batches, p: SimHash):
+def _node(s: np.ndarray) -> int:
+    """A name of a shingle set."""
+    return xxhash.xxh3_64_intdigest(s.tobytes())
+
+
+def _made(batches, p: SimHash, schema: pa.Schema, make):
+    """Columns that ``make`` gives of each piece's shingle sets, behind those that the piece has."""
     for batch in batches:
         for b in pieces(batch):
             sets = [np.unique(shingle_hashes(t, p.width, p.seed)) for t in b.column("text").to_pylist()]
-            made = [
-                pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
-                pa.array([set_fingerprints(s, p) for s in sets], pa.binary()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *made], schema=_SKETCH)
+            node = pa.array(np.array([_node(s) for s in sets], np.uint64).view(np.int64))
+            own = [b.column(n) for n in schema.names if n in b.schema.names]
+            yield pa.RecordBatch.from_arrays([*own, node, pa.array([make(s) for s in sets], pa.binary())], schema=schema)
 
 
 def _links(nodes: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -103,23 +107,31 @@ def _compare(batches):
         yield links(held)
 
 
-def _needed(prints: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row, shingles) of ``prints`` for every row of ``rows`` and a few others.
+def parted_by(held: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``held`` whose ``key`` may be among ``rows``', rows whose key certainly isn't).
 
-    The sets are far larger than what says which are needed, so they are held against
-    a bit filter of bounded size first and only what passes is shuffled.
+    Texts and sets are far larger than what says which are concerned, so they are held
+    against a bit filter of bounded size first, and only what passes need be shuffled.
     """
-    place = f"pmod(xxhash64(row), {FILTER_WORDS * 64})"
-    bits = lambda df: df.withColumns({"word": F.expr(f"{place} div 64"), "bit": F.expr(f"shiftleft(1L, CAST({place} % 64 AS INT))")})
-    words = stage(bits(rows.select("row")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+    place = f"pmod(xxhash64({key}), {FILTER_WORDS * 64})"
+    bits = lambda df: df.withColumns({"_word": F.expr(f"{place} div 64"), "_bit": F.expr(f"shiftleft(1L, CAST({place} % 64 AS INT))")})
+    words = stage(bits(rows.select(key)).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "filter")
     # At most FILTER_WORDS rows of two longs are broadcast.
-    held = bits(prints.select("row", "shingles")).join(F.broadcast(words), "word").where("(bits & bit) <> 0")
-    return held.select("row", "shingles")
+    marked = bits(held).join(F.broadcast(words), "_word", "left").withColumn("_hit", F.coalesce(F.expr("(_bits & _bit) <> 0"), F.lit(False)))
+    return marked.where("_hit").select(*held.columns), marked.where("NOT _hit").select(*held.columns)
+
+
+def _sets(slim: DataFrame, members: DataFrame, p: SimHash) -> DataFrame:
+    """(node, shingles) of the members' nodes, made anew from the texts that are needed."""
+    texts = parted_by(slim.select("key", "text"), members, "key")[0].select("text")
+    made = small_batches(texts).mapInArrow(lambda batches: _made(batches, p, _SET, lambda s: s.tobytes()), "node long, shingles binary")
+    return stage(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def _compared(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (a, b) within the pieces of ``rows`` (root, piece, side, node, grp, row)."""
-    whole = rows.join(_needed(prints, rows), "row").select("root", "piece", "side", "node", "grp", "shingles")
+def _compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) within the pieces of ``rows`` (root, piece, side, node, grp)."""
+    # Sorted and merged at every size, as the sets of many rows can't be sent to all tasks.
+    whole = rows.join(parted_by(sets, rows, "node")[0].hint("merge"), "node").select("root", "piece", "side", "node", "grp", "shingles")
     whole = whole.repartition("root", "piece").sortWithinPartitions("root", "piece")
     return stage(whole.mapInPandas(_compare, "a long, b long"), "links")
 
@@ -136,18 +148,18 @@ def _split(members: DataFrame) -> DataFrame:
     return members.join(several, "root", "left_semi")
 
 
-def _linked(members: DataFrame, prints: DataFrame, chunk: int) -> DataFrame:
-    """``members`` (root, node, row) with the group ``grp`` that each node's near copies make."""
+def _linked(members: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
+    """``members`` (root, node) with the group ``grp`` that each node's near copies make."""
     one_piece = lambda rows: rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / chunk)).cast("string")).withColumn("side", F.lit(0))
     sized = lambda rows: rows.join(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
     members = stage(sized(members), "members").withColumn("grp", F.col("node"))
-    links = _compared(one_piece(members), prints)
+    links = _compared(one_piece(members), sets)
     members = _grouped(members, links)
     large = stage(_split(members.where(F.col("n") > chunk)).drop("n"), "large")
     if large.isEmpty():
         return members
     # One node a group stands for it: links between these join whole groups at once.
-    links = links.unionByName(_compared(one_piece(sized(large.where("node = grp"))), prints))
+    links = links.unionByName(_compared(one_piece(sized(large.where("node = grp"))), sets))
     large = stage(_split(_grouped(large, links)), "large")
     # A group of a chunk or more has chunks of its own, which need no comparison among themselves.
     groups = large.groupBy("root", "grp").agg(F.count(F.lit(1)).alias("of_grp"))
@@ -155,7 +167,7 @@ def _linked(members: DataFrame, prints: DataFrame, chunk: int) -> DataFrame:
     rest = groups.groupBy("root").agg(F.coalesce(F.sum(F.when(~own, F.col("of_grp"))), F.lit(0)).alias("rest"))
     parts = F.greatest(F.lit(1), F.ceil(F.when(own, F.col("of_grp")).otherwise(F.col("rest")) / chunk))
     name = F.concat_ws("-", F.when(own, F.col("grp").cast("string")).otherwise(F.lit("rest")), F.pmod(F.xxhash64("node"), parts).cast("string"))
-    dealt = large.join(groups, ["root", "grp"]).join(rest, "root").withColumns({"chunk": name, "alone": F.when(own, F.col("grp"))}).select("root", "node", "grp", "row", "chunk", "alone")
+    dealt = large.join(groups, ["root", "grp"]).join(rest, "root").withColumns({"chunk": name, "alone": F.when(own, F.col("grp"))}).select("root", "node", "grp", "chunk", "alone")
     dealt = stage(dealt, "dealt")
     chunks = dealt.groupBy("root", "chunk").agg(F.first("alone").alias("alone"))
     other = chunks.select(F.col("root").alias("of"), F.col("chunk").alias("chunk_b"), F.col("alone").alias("alone_b"))
@@ -163,7 +175,7 @@ def _linked(members: DataFrame, prints: DataFrame, chunk: int) -> DataFrame:
     pairs = pairs.where("NOT coalesce(alone = alone_b, false)").select("root", "chunk", "chunk_b")
     pairs = stage(pairs.withColumn("piece", F.concat_ws(",", "chunk", "chunk_b")), "chunks")
     sides = pairs.select("root", "piece", F.col("chunk"), F.lit(0).alias("side")).unionByName(pairs.where("chunk < chunk_b").select("root", "piece", F.col("chunk_b").alias("chunk"), F.lit(1).alias("side")))
-    links = links.unionByName(_compared(dealt.join(sides, ["root", "chunk"]), prints))
+    links = links.unionByName(_compared(dealt.join(sides, ["root", "chunk"]), sets))
     return _grouped(members, links)
 
 
@@ -185,12 +197,13 @@ def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     p = near_copy_search(docs.count())
     with scope(docs.sparkSession):
         slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
-        prints = slim.mapInArrow(lambda batches: _sketches(batches, p), "doc_id long, key long, node long, fp binary, shingles binary")
-        prints = stage(prints.withColumn("row", F.monotonically_increasing_id()), "sketches")
+        prints = small_batches(slim).mapInArrow(lambda batches: _made(batches, p, _SKETCH, lambda s: set_fingerprints(s, p)), "doc_id long, key long, node long, fp binary")
+        prints = stage(prints, "sketches")
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-        nodes = stage(prints.groupBy("node").agg(F.min(first).alias("least"), F.min("row").alias("row"), F.min("fp").alias("fp")), "nodes")
-        roots = connected_components(near_pairs(nodes.select("node", "fp"), p))
-        members = _linked(nodes.join(roots, "node").select("root", "node", "row"), prints, chunk)
+        nodes = stage(prints.groupBy("node").agg(F.min(first).alias("least"), F.min("fp").alias("fp")), "nodes")
+        roots = connected_components(stage(near_pairs(nodes.select("node", "fp"), p), "links"))
+        members = stage(nodes.select("node", F.col("least.key").alias("key")).join(roots, "node"), "members")
+        members = _linked(members.select("root", "node"), _sets(slim, members, p), chunk)
         linked = stage(nodes.select("node", "least").join(members.select("node", "grp"), "node"), "linked")
         least = stage(linked.groupBy("grp").agg(F.min("least").alias("group_least")), "least")
         moved = linked.join(least, "grp").select("node", "group_least")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import per_text
+from tarnwell.llm.common import per_text, small_batches
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -130,4 +130,4 @@ def clean(docs: DataFrame) -> DataFrame:
     def cleaned(s: pd.Series) -> pd.Series:
         return s.map(lambda t: clean_lines(t)[0] if judge_text(t)[6] else None, na_action="ignore")
 
-    return docs.withColumn("text", cleaned(F.col("text").cast("string"))).where("text IS NOT NULL")
+    return small_batches(docs).withColumn("text", cleaned(F.col("text").cast("string"))).where("text IS NOT NULL")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import held, per_text
+from tarnwell.llm.common import held, per_text, small_batches
 
 #: Fixed patterns, in the order in which kinds are listed: (kind, pattern, group, least characters).
 PATTERNS = (
@@ -160,4 +160,4 @@ def redact(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     def cleaned(s: pd.Series) -> pd.Series:
         return s.map(clean, na_action="ignore")
 
-    return docs.withColumn(text, cleaned(F.col(text).cast("string")))
+    return small_batches(docs).withColumn(text, cleaned(F.col(text).cast("string")))

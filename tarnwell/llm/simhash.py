@@ -29,6 +29,8 @@ from tarnwell.llm.common import connected_components, hook, per_text, scope, sta
 
 #: Leaves of one subtree that one piece of work holds; larger ones are split.
 CHUNK = 4096
+#: Leading blocks (some 24 bytes each) that are sent to all tasks.
+SENT_BLOCKS = 250_000
 #: Node pairs that the walk expands at a time.
 FRONTIER = 1 << 18
 
@@ -42,8 +44,8 @@ class SimHash:
     differs in at most ``budget`` bits and all together in at most ``total_budget``.
     ``rotations`` leading blocks of ``lead_bits`` bits are tried for each word; more
     blocks than ``budget``, none overlapping, make the join complete. With ``distinct``
-    a shingle that a text repeats counts once. ``total_budget`` is taken over the first
-    ``checked`` words.
+    a shingle that a text repeats counts once. ``total_budget`` is taken over a word and
+    the ``checked`` - 1 that follow it, the first after the last.
     """
 
     width: int = 3
@@ -54,7 +56,7 @@ class SimHash:
     rotations: int = 3
     lead_bits: int = 21
     distinct: bool = False
-    checked: int = 8
+    checked: int = 4
 
     @property
     def complete(self) -> bool:
@@ -208,9 +210,9 @@ PIECE = ["word", "rotation", "lead", "chunk_a", "chunk_b"]
 def _join_pieces(rows: pd.DataFrame, p: SimHash) -> pd.DataFrame:
     """Links of the pieces in ``rows``, which are whole and follow one another, as a forest."""
     turn = rows["rotation"].to_numpy(np.int64)
-    fps = _as_words(rows["fp"].tolist()) if p.words > 1 else None
+    fps = _as_words(rows["fp"].tolist())
     by = (turn * p.lead_bits % 64).astype(np.uint64)
-    own = rows["own"].to_numpy(np.int64).view(np.uint64)
+    own = fps[:, 0]
     back = np.where(by > 0, np.uint64(64) - by, np.uint64(0))
     key = np.where(by > 0, (own << by) | (own >> back), own)
     piece = np.cumsum((rows[PIECE] != rows[PIECE].shift()).any(axis=1).to_numpy())
@@ -218,8 +220,7 @@ def _join_pieces(rows: pd.DataFrame, p: SimHash) -> pd.DataFrame:
     two = first != rows["chunk_b"].to_numpy(np.int64)
     side = np.where(two, chunk != first, 0)
     order = np.lexsort([key, side, piece])
-    key, piece, side, two = key[order], piece[order], side[order], two[order]
-    fps = fps[order] if fps is not None else None
+    fps, key, piece, side, two = fps[order], key[order], piece[order], side[order], two[order]
     node = rows["node"].to_numpy(np.int64)[order]
     low = np.flatnonzero(np.diff(piece, prepend=-1) != 0)
     high = np.append(low[1:], len(piece))
@@ -229,7 +230,7 @@ def _join_pieces(rows: pd.DataFrame, p: SimHash) -> pd.DataFrame:
     roots = roots[(roots[:, 0] < roots[:, 1]) & (roots[:, 2] < roots[:, 3])]
     labels = np.arange(len(node))
     for a, b in _Trie(key).walk(roots, p.lead_bits, p.budget):
-        if fps is not None:
+        if p.words > 1:
             # What is connected already need not be looked at, however many copies there are.
             apart = np.flatnonzero(labels[a] != labels[b])
             a, b = a[apart], b[apart]
@@ -260,21 +261,21 @@ def near_pairs(nodes: DataFrame, p: SimHash = SimHash(), chunk: int = CHUNK) ->
     ranks = F.sequence(F.lit(0), F.lit(p.words * p.rotations - 1))
     rows = nodes.select("node", "fp", F.explode(ranks).alias("rank"))
     rows = rows.withColumns({"word": F.expr(f"rank div {p.rotations}").cast("int"), "rotation": F.expr(f"rank % {p.rotations}").cast("int")})
-    rows = rows.withColumn("own", F.conv(F.hex(F.expr("substring(fp, word * 8 + 1, 8)")), 16, -10).cast("long"))
+    rows = rows.withColumn("fp", F.expr(f"substring(concat(fp, fp), word * 8 + 1, {8 * min(p.checked, p.words)})"))
+    rows = rows.withColumn("own", F.conv(F.hex(F.expr("substring(fp, 1, 8)")), 16, -10).cast("long"))
     rows = rows.withColumn("turn", (F.col("rotation") * p.lead_bits) % 64)
     turned = F.expr("CASE WHEN turn = 0 THEN own ELSE shiftleft(own, turn) | shiftrightunsigned(own, 64 - turn) END")
-    rows = rows.withColumn("lead", F.shiftrightunsigned(turned, 64 - p.lead_bits))
-    rows = rows.withColumn("fp", F.expr(f"substring(fp, 1, {8 * p.checked})")) if p.words > 1 else rows
-    more = ["fp"] if p.words > 1 else []
-    rows = rows.select("word", "rotation", "lead", "node", "own", *more)
+    rows = rows.withColumn("lead", F.shiftrightunsigned(turned, 64 - p.lead_bits)).select("word", "rotation", "lead", "node", "fp")
     # Most leading blocks hold one leaf, which links with nothing; only shared ones go on.
     shared = rows.groupBy("word", "rotation", "lead").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1")
     shared = stage(shared.select("word", "rotation", "lead", F.ceil(F.col("leaves") / chunk).cast("int").alias("chunks")), "shared")
+    # The blocks are counted: few go to all tasks, so that the rows are shuffled once.
+    shared = F.broadcast(shared) if shared.count() <= SENT_BLOCKS else shared
     rows = rows.join(shared, ["word", "rotation", "lead"])
     rows = rows.withColumn("chunk", F.expr("CAST(pmod(xxhash64(node), chunks) AS INT)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     rows = rows.withColumn("chunk_a", F.least("chunk", "other")).withColumn("chunk_b", F.greatest("chunk", "other"))
-    rows = rows.select(*PIECE, "chunk", "node", "own", *more).repartition(*PIECE).sortWithinPartitions(*PIECE)
+    rows = rows.select(*PIECE, "chunk", "node", "fp").repartition(*PIECE).sortWithinPartitions(*PIECE)
     return rows.mapInPandas(lambda batches: _join_sorted(batches, p), "a long, b long")
 
 
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, p: SimHash = SimHash(), chunk: int = CHUNK)
         prints = stage(fingerprints(docs, p), "fingerprints", keep=True)
         distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
         nodes = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        roots = stage(connected_components(near_pairs(nodes.select("node", "fp"), p, chunk)), "roots")
+        roots = stage(connected_components(stage(near_pairs(nodes.select("node", "fp"), p, chunk), "links")), "roots")
         # Only nodes with a link are in roots; each group takes the least id of its nodes.
         linked = stage(nodes.select("node", "least_id").join(roots, "node"), "linked")
         least = stage(linked.groupBy("root").agg(F.min("least_id").alias("group_id")), "least")
@@ -315,9 +316,9 @@ def near_copy_search(documents: int, missed: float = 0.002) -> SimHash:
     holds some hundreds of unlike leaves at any size, and there are as many blocks as
     leave less than ``missed`` of the pairs at 0.8 without one in common; of closer ones
     far less. The budgets lie well above the bits expected at 0.8 (8 of those behind a
-    block, 77 of 512), so what is found is a candidate, to be compared exactly.
+    block, 39 of 256), so what is found is a candidate, to be compared exactly.
     """
     lead = min(20, max(12, round(math.log2(max(1, documents))) - 6))
     blocks = math.ceil(math.log(missed) / math.log(1 - (1 - APART) ** lead))
-    words = max(8, math.ceil(blocks / (64 // lead)))
-    return SimHash(width=5, words=words, budget=18, total_budget=128, rotations=64 // lead, lead_bits=lead, distinct=True)
+    words = max(4, math.ceil(blocks / (64 // lead)))
+    return SimHash(width=5, words=words, budget=18, total_budget=64, rotations=64 // lead, lead_bits=lead, distinct=True)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.llm.bpe import byte_letters
-from tarnwell.llm.common import Store, held, open_in, open_out, pieces, shared_dir, stage
+from tarnwell.llm.common import Store, held, open_in, open_out, pieces, shared_dir, small_batches, stage
 
 MAGIC = b"TWIDS1"
 SAMPLE = 256
@@ -315,7 +315,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     keys = ["blank", "doc_id", "of_text"]
     ranged = slim.withColumns({"blank": F.col("doc_id").isNotNull(), "of_text": F.xxhash64("text")})
     ranged = ranged.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "text").select("doc_id", "text")
-    manifest = stage(ranged.mapInArrow(run, "shard int, part int, path string, n_docs long, n_ids long"), "manifest")
+    manifest = stage(small_batches(ranged).mapInArrow(run, "shard int, part int, path string, n_docs long, n_ids long"), "manifest")
     # One row for each file.
     order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
