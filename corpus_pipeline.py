@@ -41,8 +41,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = groups.groupBy("doc_id", "key").agg(F.max(first).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
     marked = stage(rows.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "stays"), "marked")
     keyed = docs.withColumn("row_key", near_copies.text_key())
+    # Most rows are told to stay by their key alone, so that their texts are not shuffled.
+    keyed, clear = near_copies.parted_by(keyed, marked.select(F.col("of_key").alias("row_key")), "row_key")
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row_key") == F.col("of_key"))
-    kept = keyed.join(marked, same, "left_anti")
+    kept = clear.unionByName(keyed.join(marked.hint("merge"), same, "left_anti"))
     repeated = marked.where("stays")
     if not repeated.isEmpty():
         # Only rows that repeat are gathered, so texts are not sorted for the others.
@@ -77,7 +79,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.groupBy(F.col("doc_id.doc_id").alias("of_id"), F.col("doc_id.row_key").alias("of_key")).agg(F.sum(times).cast("int").alias("times"), F.count(F.lit(1)).alias("n"))
     taken = stage(taken.where("times > 0"), "taken")
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row_key") == F.col("of_key"))
-    out = keyed.join(taken.where("n = 1"), same)
+    # Sorted and merged at every size, as the takes of many documents can't be sent to all tasks.
+    out = keyed.join(taken.where("n = 1").hint("merge"), same)
     repeated = taken.where("n > 1")
     if not repeated.isEmpty():
         once = keyed.join(repeated.select("of_id", "of_key"), same, "left_semi").dropDuplicates(["doc_id", "row_key"])
