@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwell.llm import chat, quality, url_filter
+from tarnwell.llm import chat, collocations, quality, url_filter
 
 #: Cosine of all pairs in double precision, links, and reachability by a recursive query.
 EMBEDDING_NEAR_DEDUP = """
@@ -108,4 +108,5 @@ ORACLES = {
     "op5_quality_rules": QUALITY_RULES,
     "op7_chat_perspectives": chat.SQL,
     "op9_url_filter": URL_FILTER,
+    "op11_collocations": collocations.SQL,
 }
