@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 #: Bytes that a writer of a staged table holds before it closes a row group.
 ROW_GROUP = 16 << 20
 
-#: Paths staged within each scope that is open.
-_scopes: list[list[str]] = []
+#: Paths staged within each scope that is open in this thread or task.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -56,8 +57,8 @@ def forget(spark: SparkSession, path: str) -> None:
     """Have a folder deleted with the open scope, or else when the application ends."""
     where, files = _hadoop_path(spark, path)
     files.deleteOnExit(where)
-    if _scopes:
-        _scopes[-1].append(path)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
 
 
 def write(df: DataFrame, name: str) -> str:
@@ -80,8 +81,9 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     application ends.
     """
     path = write(df, name)
-    if len(_scopes) > keep:
-        _scopes[-1 - keep].append(path)
+    scopes = _scopes.get()
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -107,11 +109,13 @@ def open_in(path: str):
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that are staged within, and not kept, are deleted at the end."""
-    _scopes.append([])
+    mine: list[str] = []
+    before = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in mine:
             remove(spark, path)
 
 

@@ -3,8 +3,9 @@
 The test takes every run of key characters of a whole text that is long enough. A
 byte-pair vocabulary was merged from ordinary text, so it spells words in few
 tokens and random strings in many: a run with few characters a token is random.
-Known digests (hex of a digest's length) and identifiers (UUIDs, plain numbers,
-runs of one letter case without digits) are left out first.
+Known digests (hex of a digest's length, Base64 after the digest's name) and UUIDs
+are cut out of a run first, whatever stands around them, and what is left is tested;
+plain numbers and runs of one kind of letter are left out too.
 """
 
 from __future__ import annotations
@@ -40,6 +41,15 @@ _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 # Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+#: What is known within a run: hex digests and UUIDs that no letter or digit touches, and the
+#: Base64 of a digest after its name.
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|"
+    + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in DIGEST_LENGTHS)
+    + r")(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:md5|sha-?(?:1|224|256|384|512))[=_/-](?:"
+    + "|".join(f"[A-Za-z0-9+/]{{{-(-n * 2 // 3)}}}(?![A-Za-z0-9+/])={{0,2}}" for n in DIGEST_LENGTHS)
+    + ")"
+)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -83,18 +93,28 @@ def random_runs(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, i
 
     found = []
     for m in _RUN.finditer(text):
-        # Separators and padding at the ends belong to the text around.
-        run = m.group().strip("=/_-+")
-        start = m.start() + m.group().index(run)
-        if len(run) < LEAST_RUN or known_string(run):
-            continue
-        if is_random(run):
-            found.append((start, start + len(run)))
-        else:
-            found += [(start + x.start(), start + x.end()) for x in _PIECE.finditer(run) if x.end() - x.start() < len(run) and is_random(x.group())]
+        for begin, end in _unknown(m.group()):
+            # Separators and padding at the ends belong to the text around.
+            run = m.group()[begin:end].strip("=/_-+")
+            start = m.start() + m.group().index(run, begin)
+            if len(run) < LEAST_RUN or known_string(run):
+                continue
+            if is_random(run):
+                found.append((start, start + len(run)))
+            else:
+                found += [(start + x.start(), start + x.end()) for x in _PIECE.finditer(run) if x.end() - x.start() < len(run) and is_random(x.group())]
     return found
 
 
+def _unknown(run: str) -> list[tuple[int, int]]:
+    """The stretches of a run around the known strings in it."""
+    out, at = [], 0
+    for m in _KNOWN.finditer(run):
+        out.append((at, m.start()))
+        at = m.end()
+    return [*out, (at, len(run))]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the fixed patterns, in order."""
     found = []

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.llm.bpe import byte_letters
-from tarnwell.llm.common import Store, held, open_in, open_out, pieces, shared_dir, small_batches, stage
+from tarnwell.llm.common import Store, forget, held, open_in, open_out, pieces, shared_dir, small_batches, stage
 
 MAGIC = b"TWIDS1"
 SAMPLE = 256
@@ -353,6 +353,10 @@ def write_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     A null or empty text holds the end id alone; null doc_ids come first; rows of one
     doc_id follow one another, ordered by a hash of the text; an empty table has no
-    file and gives no rows. Only doc_id and text are read.
+    file and gives no rows. Only doc_id and text are read. The files are deleted with
+    the open scope, or else when the application ends.
     """
-    return read(write(docs, path=path))
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/tarnwell-ids-{uuid.uuid4().hex}"
+    forget(spark, folder)
+    return read(write(docs, folder, path))

@@ -1,5 +1,6 @@
 """Per-text operators against plain versions, and their edge cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -50,6 +51,14 @@ def test_secret_scan(spark):
         s, e = text.index(secret), text.index(secret) + len(secret)
         assert any(a <= s and e <= b for a, b in secret_scan.random_runs(text, secret_scan.vocabulary_path())), before
     assert not secret_scan.random_runs("see production/database/master/configuration_of_the_thing there", secret_scan.vocabulary_path())
+    u, h40, h64 = "3f2b8c1e-9d4a-4e7b-8a61-0c5d2f9b7e13", hashlib.sha1(b"x").hexdigest(), hashlib.sha256(b"x").hexdigest()
+    b64 = base64.b64encode(hashlib.sha256(b"x").digest()).decode()
+    for known in (f"id={u}", f"user-{u}", f"/images/{u}/a", f"commit/{h40}", f"org/blob/{h40}/README", f"sha256={h64}", f"sha256-{b64}", f"SHA256={h64.upper()}", f"{u}_{u}"):
+        assert not secret_scan.random_runs(f"see {known} there", secret_scan.vocabulary_path()), known
+        for before in (known, known.replace(u, secret).replace(h40, secret).replace(h64, secret).replace(b64, secret)):
+            text = f"see {before}/{secret} there"
+            found = secret_scan.random_runs(text, secret_scan.vocabulary_path())
+            assert any(a <= text.rindex(secret) and text.rindex(secret) + len(secret) <= b for a, b in found), text
     by_id = {r.doc_id: r for r in got}
     assert by_id[9000].n_random == 1 and "random:4:28" in by_id[9000].spans
     assert by_id[6].spans == by_id[-7].spans == ""
@@ -150,21 +159,20 @@ def test_elias_fano():
             ef.select(n)
 
 
-def plain_perspectives(rows, most=1024):
+def plain_perspectives(rows):
     rows = [(c, t or 0, r or "unknown", x or "") for c, t, r, x in rows]
     out = {}
     for c in {r[0] for r in rows}:
-        for s in {r[2] for r in rows if r[0] == c} - {"system"}:
-            for g in {r[1] // 64 for r in rows if r[0] == c}:
-                every = sorted((t, r, x) for k, t, r, x in rows if k == c and t // 64 == g)
-                for p in range(0, len(every), most):
-                    text, mask, turns = "", [], every[p : p + most]
-                    for _, r, x in turns:
-                        text += "<|" + ("assistant" if r == s else "system" if r == "system" else f"user:{r}") + "|>\n"
-                        if r == s:
-                            mask.append(f"{len(text)}:{len(text) + len(x) + 8}")
-                        text += x + "<|end|>\n"
-                    out[c, s, g, p // most] = (len(turns), len(mask), text, ",".join(mask))
+        turns = sorted((t, r, x) for k, t, r, x in rows if k == c)
+        for s in {r for _, r, _ in turns} - {"system"}:
+            parts, mask, at = [], [], 0
+            for _, r, x in turns:
+                head = "<|" + ("assistant" if r == s else "system" if r == "system" else f"user:{r}") + "|>\n"
+                parts += [head, x + "<|end|>\n"]
+                at += len(head) + len(parts[-1])
+                if r == s:
+                    mask.append(f"{at - len(parts[-1])}:{at}")
+            out[c, s] = (0, len(turns), len(mask), "".join(parts), ",".join(mask))
     return out
 
 
@@ -177,14 +185,37 @@ def test_chat(spark):
     df = df.union(spark.createDataFrame([(*rows[-1], "clash")], df.schema))
     for most in (1024, 7):
         got = chat.perspectives(df, most=most).collect()
-        want = plain_perspectives(rows, most)
-        assert {(r.conv_id, r.speaker, r.segment, r.part): (r.n_turns, r.n_own, r.text, r.mask) for r in got} == want and len(got) == len(want)
+        want = plain_perspectives(rows)
+        assert {(r.conv_id, r.speaker): (r.part, r.n_turns, r.n_own, r.text, r.mask) for r in got} == want and len(got) == len(want)
     for r in got:
         spans = [tuple(map(int, s.split(":"))) for s in r.mask.split(",") if s]
         assert r.n_train == sum(e - s for s, e in spans) and all(r.text[s:e].endswith("<|end|>\n") for s, e in spans)
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_chat_of_very_many_turns(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("1L AS conv_id", "IF(id % 9 = 0, NULL, id) AS turn", "IF(id % 3 = 0, 'anna', 'bob') AS role", "concat('turn ', id) AS text")
+    got = {r.speaker: (r.part, r.n_turns, r.n_own, r.text, r.mask) for r in chat.perspectives(df).collect()}
+    rows = [(1, None if k % 9 == 0 else k, "anna" if k % 3 == 0 else "bob", f"turn {k}") for k in range(n)]
+    assert got == {s: row for (_, s), row in plain_perspectives(rows).items()}
+
+
+def test_chat_goes_on_in_further_rows(spark):
+    """Rows of a dialogue that is too long for one, put together again."""
+    rows = [(1, t, ("anna", "bob")[t % 2], f"text {t} " * (t % 7)) for t in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(chat.perspectives(df, most_chars=4000).where("speaker = 'anna'").collect(), key=lambda r: r.part)
+    _, n_turns, n_own, text, mask = plain_perspectives(rows)[1, "anna"]
+    assert len(got) > 3 and "".join(r.text for r in got) == text
+    assert (sum(r.n_turns for r in got), sum(r.n_own for r in got)) == (n_turns, n_own)
+    moved, at = [], 0
+    for r in got:
+        moved += [f"{int(a) + at}:{int(b) + at}" for a, b in (s.split(":") for s in r.mask.split(",") if s)]
+        at += len(r.text)
+    assert ",".join(moved) == mask
+
+
 def test_chat_sql(spark):
     import duckdb
 
