@@ -7,18 +7,21 @@ popped is complete. Counts of parts are joined to the phrases afterwards.
 
 Distribution: suffixes are dealt out by ranges of themselves, which begin with
 language and first word, so a very common first word, pair or phrase spreads over
-several tasks. Only the prefixes of a task's first and last suffix can go on in
-another task; these few are marked and added up by phrase. Equal suffixes are counted
-together before they are shuffled.
-
-Words are written as codes of three bytes for the most frequent ones (a dictionary of
-bounded size) and in full for others. Where the dictionary holds every word that is
-frequent enough for a phrase, suffixes end before any other word. Neither changes a
-result, only how much is shuffled.
+several tasks. The ranges' bounds come from a sample and only balance the tasks. Only
+the prefixes of a task's first and last suffix can go on in another task; these few are
+marked and added up by phrase. Equal suffixes are counted together before they are
+shuffled. Single words are counted first, as the dictionary needs that anyway.
+
+Words are written as codes of one to three bytes, the most frequent ones in the
+fewest (a dictionary of bounded size), and others in full. Where the dictionary holds
+every word that is frequent enough for a phrase, suffixes end before any other word.
+Neither changes a result, only how much is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -37,13 +40,15 @@ NO_LANG = "und"
 #: Words with a code of their own; so many are sent to all tasks (some tens of megabytes).
 CODES = 1 << 18
 #: Different suffixes or words that a task counts before it hands them on.
-HELD = 200_000
+HELD = 500_000
 
 _BREAK = b"\xff"  # no byte of UTF-8
 # A-Z lowered, the ends of pieces, and tabs as spaces.
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\v\f\r\t", bytes(range(97, 123)) + _BREAK * 10 + b" ")
-#: The first byte of a word in full; those of codes are less.
-_FULL = 0xF0
+#: First bytes of codes of two and three bytes and of a word in full; all others are codes of one byte.
+_TWO, _THREE, _FULL = 0x80, 0xC0, 0xF0
+#: Sampled suffixes for each range.
+_SAMPLED = 100
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -51,25 +56,48 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_PLAIN).replace(_BREAK, b" " + _BREAK + b" ").split()
 
 
-def _head(lang: str) -> bytes:
-    """The language, ended by a zero byte."""
-    return lang.encode().replace(b"\1", b"\1\1").replace(b"\0", b"\1\2") + b"\0"
+def code_of(place: int) -> bytes:
+    """The code of the word of this place by frequency. No code begins another."""
+    if place < _TWO:
+        return bytes([place])
+    place -= _TWO
+    if place < (_THREE - _TWO) << 8:
+        return bytes([_TWO + (place >> 8), place & 255])
+    place -= (_THREE - _TWO) << 8
+    return bytes([_THREE + (place >> 16), place >> 8 & 255, place & 255])
 
 
-def _unhead(head: bytes) -> str:
-    return head.replace(b"\1\2", b"\0").replace(b"\1\1", b"\1").decode()
+_ESCAPED = {b"\1": b"\1", b"\2": b"\0", b"\3": b"\v"}
+
+
+def _in_full(lang: str, word: bytes) -> bytes:
+    """A word without a code: its language, a vertical tab, the word and a zero byte."""
+    # Words hold no line feed, so that it can stand for a zero byte in them.
+    lang = lang.encode().replace(b"\1", b"\1\1").replace(b"\0", b"\1\2").replace(b"\v", b"\1\3")
+    return bytes([_FULL]) + lang + b"\v" + word.replace(b"\0", b"\n") + b"\0"
+
+
+def _from_full(code: bytes) -> tuple[str, bytes]:
+    lang, _, word = code[1:-1].partition(b"\v")
+    lang = re.sub(rb"\x01(.)", lambda m: _ESCAPED[m.group(1)], lang)
+    return lang.decode(), word.replace(b"\n", b"\0")
+
+
+def _end(key: bytes, at: int) -> int:
+    """Where the code that begins at ``at`` ends."""
+    first = key[at]
+    return at + 1 if first < _TWO else at + 2 if first < _THREE else at + 3 if first < _FULL else key.index(0, at) + 1
 
 
 class _Codes(dict):
     """Codes of one language's words; none for what no phrase can hold."""
 
-    def __init__(self, known: dict[bytes, int], complete: bool):
-        super().__init__((w, i.to_bytes(3, "big")) for w, i in known.items())
-        self.complete = complete
+    def __init__(self, lang: str, known: dict[bytes, int], complete: bool):
+        super().__init__((w, code_of(i)) for w, i in known.items())
+        self.lang, self.complete = lang, complete
 
     def __missing__(self, word: bytes) -> bytes:
-        # Words hold no line feed, so that it can stand for the zero byte that ends a word.
-        return b"" if self.complete or word == _BREAK else bytes([_FULL]) + word.replace(b"\0", b"\n") + b"\0"
+        return b"" if self.complete or word == _BREAK else _in_full(self.lang, word)
 
 
 def _grouped(piece: pa.RecordBatch) -> dict[str, list[bytes]]:
@@ -120,30 +148,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _suffixes(docs: DataFrame, sent, most: int) -> DataFrame:
-    """Different suffixes of each task: key (language, then codes), n."""
-    schema = pa.schema([("key", pa.binary()), ("n", pa.int64())])
+def _suffixes(docs: DataFrame, sent, most: int, bounds: list[bytes]) -> DataFrame:
+    """Different suffixes of two words and more of each task: key (codes), range, n."""
+    schema = pa.schema([("key", pa.binary()), ("range", pa.int32()), ("n", pa.int64())])
 
     def each(piece, coders):
         for lang, words in _grouped(piece).items():
             if lang not in coders:
                 known, complete = sent.value
-                coders[lang] = (_head(lang), _Codes(known.get(lang, {}), complete))
-            head, coder = coders[lang]
-            codes = list(map(coder.__getitem__, words))
+                coders[lang] = _Codes(lang, known.get(lang, {}), complete)
+            codes = list(map(coders[lang].__getitem__, words))
             at = np.zeros(len(codes) + 1, np.int64)
             np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)), out=at[1:])
-            places = np.flatnonzero(at[1:] > at[:-1])
-            breaks = np.append(np.flatnonzero(at[1:] == at[:-1]), len(codes))
+            there = at[1:] > at[:-1]
+            breaks = np.append(np.flatnonzero(~there), len(codes))
+            places = np.flatnonzero(there[:-1] & there[1:])  # a word with another after it
             ends = np.minimum(places + most, breaks[np.searchsorted(breaks, places)])
             joined = b"".join(codes)
-            yield [head + joined[a:b] for a, b in zip(at[places].tolist(), at[ends].tolist())]
+            yield [joined[a:b] for a, b in zip(at[places].tolist(), at[ends].tolist())]
 
     def run(batches):
         coders: dict = {}
-        yield from _counted(batches, lambda piece: each(piece, coders), schema, lambda keys, n: [keys, n])
+        yield from _counted(batches, lambda piece: each(piece, coders), schema, lambda keys, n: [keys, [bisect_right(bounds, k) for k in keys], n])
 
-    return docs.mapInArrow(run, "key binary, n long")
+    return docs.mapInArrow(run, "key binary, range int, n long")
 
 
 def prefix_counts(rows, least: int) -> Iterator[tuple[bytes, int, int, bool]]:
@@ -151,7 +179,7 @@ def prefix_counts(rows, least: int) -> Iterator[tuple[bytes, int, int, bool]]:
 
     Open are the prefixes of the first and of the last suffix, which may go on before or after.
     """
-    prefixes: list[bytes] = []  # of the last suffix: its language, then one word more each
+    prefixes: list[bytes] = []  # of the last suffix, one word more each
     counts: list[int] = []
     first = 0  # so many of them have been there since the first suffix
 
@@ -162,7 +190,7 @@ def prefix_counts(rows, least: int) -> Iterator[tuple[bytes, int, int, bool]]:
             counts[-1] += n
         opened = len(prefixes) < first
         first = min(first, len(prefixes))
-        return (prefix, len(prefixes), n, opened) if opened or n >= least else None
+        return (prefix, len(prefixes) + 1, n, opened) if opened or n >= least else None
 
     begun = False
     for key, n in rows:
@@ -171,10 +199,7 @@ def prefix_counts(rows, least: int) -> Iterator[tuple[bytes, int, int, bool]]:
                 yield found
         at = len(prefixes[-1]) if prefixes else 0
         while at < len(key):
-            if not prefixes or key[at] >= _FULL:
-                at = key.index(0, at) + 1
-            else:
-                at += 3
+            at = _end(key, at)
             prefixes.append(key[:at])
             counts.append(0)
         counts[-1] += n
@@ -198,9 +223,14 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, c
     for i, row in enumerate(chosen):
         known[row["lang"]][bytes(row["word"])] = i
     sent = spark.sparkContext.broadcast((dict(known), complete))
-    # Written before it is dealt out, so that the ranges are not found by cutting all texts twice.
-    suffixes = stage(_suffixes(docs, sent, most), "suffixes")
-    suffixes = suffixes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("key")).sortWithinPartitions(F.desc("key"))
+    # Bounds of the ranges by a sample of texts; they change how even the tasks are and nothing else.
+    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    wanted = _SAMPLED * n_ranges
+    some = _suffixes(docs.sample(min(1.0, 50 * wanted / max(n_words, 1)), seed=1), sent, most, []).select("key")
+    keys = sorted(bytes(r["key"]) for r in some.orderBy(F.xxhash64("key")).limit(wanted).collect())
+    bounds = sorted({keys[k * len(keys) // n_ranges] for k in range(1, n_ranges)}) if keys else []
+    suffixes = _suffixes(docs, sent, most, bounds).repartitionById(len(bounds) + 1, F.col("range")).drop("range").sortWithinPartitions(F.desc("key"))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64()), ("open", pa.bool_())])
 
     def rows(batches):
@@ -208,22 +238,17 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, c
             yield from zip(batch.column("key").to_pylist(), batch.column("n").to_pylist())
 
     def run(batches):
-        spelled = [w for _, w in sorted((i, w) for of in sent.value[0].values() for w, i in of.items())]
+        spelled = {code_of(i): (lang, w) for lang, of in sent.value[0].items() for w, i in of.items()}
         found = []
 
         def spell(key: bytes) -> tuple[str, str]:
-            at = key.index(0)
-            lang, parts = _unhead(key[:at]), []
-            at += 1
+            at, parts = 0, []
             while at < len(key):
-                if key[at] >= _FULL:
-                    end = key.index(0, at)
-                    parts.append(key[at + 1 : end].replace(b"\n", b"\0"))
-                    at = end + 1
-                else:
-                    parts.append(spelled[int.from_bytes(key[at : at + 3], "big")])
-                    at += 3
-            return lang, b" ".join(parts).decode()
+                end = _end(key, at)
+                code = key[at:end]
+                parts.append(spelled[code] if code in spelled else _from_full(code))
+                at = end
+            return parts[0][0], b" ".join(w for _, w in parts).decode()
 
         def batch():
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
@@ -231,7 +256,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, c
             return out
 
         for key, k, f, opened in prefix_counts(rows(batches), least):
-            if k:
+            if k > 1:
                 found.append((*spell(key), k, f, opened))
                 if len(found) == 10_000:
                     yield batch()
@@ -240,7 +265,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, c
 
     counted = stage(suffixes.mapInArrow(run, "lang string, phrase string, words int, f long, open boolean"), "prefixes")
     parts = counted.where("open").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return stage(counted.where("NOT open").drop("open").unionByName(parts), "phrases", keep=True), totals
+    single = frequent.select("lang", F.col("word").cast("string").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))
+    return stage(counted.where("NOT open").drop("open").unionByName(parts).unionByName(single), "phrases", keep=True), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, absorbed: int = ABSORBED, top: int = TOP, codes: int = CODES) -> DataFrame:

@@ -79,7 +79,8 @@ def test_one_common_pair_over_many_tasks(spark):
 def test_stack_is_cut_anywhere():
     """Parts of the sorted suffixes, counted apart, add up to the whole."""
     rng = random.Random(3)
-    keys = Counter(b"l\0" + b"".join(rng.choice([b"\0\0\1", b"\0\0\2", b"\xf0q\0"]) for _ in range(rng.randrange(1, 6))) for _ in range(500))
+    codes = [c.code_of(0), c.code_of(300), c.code_of(1 << 17), c._in_full("l", b"q")]
+    keys = Counter(b"".join(rng.choice(codes) for _ in range(rng.randrange(1, 6))) for _ in range(500))
     rows = sorted(keys.items(), reverse=True)
     whole = {p: n for p, _, n, _ in c.prefix_counts(iter(rows), 1)}
     for _ in range(50):
@@ -94,6 +95,14 @@ def test_stack_is_cut_anywhere():
         assert total == whole
 
 
+def test_codes_are_read_back():
+    codes = [c.code_of(i) for i in range(c.CODES)]
+    assert len(set(codes)) == c.CODES and all(c._end(x, 0) == len(x) for x in codes)
+    for lang, word in (("en", b"w"), ("", b"a\x00b"), ("x\x01\x00\x0b\x03y", "é\x01\x03".encode()), ("\x01\x03", b"\x01")):
+        code = c._in_full(lang, word)
+        assert c._from_full(code) == (lang, word) and c._end(code + b"\x05", 0) == len(code)
+
+
 def test_large_numbers_are_exact(spark):
     assert spark.sql("SELECT (CAST(900000000000000 AS DECIMAL(18,0)) * CAST(1000 * 9000000000000000 AS DECIMAL(20,0))) div (CAST(900000000000001 AS DECIMAL(18,0)) * CAST(900000000000003 AS DECIMAL(18,0))) AS x").first().x == 1000 * 900000000000000 * 9000000000000000 // (900000000000001 * 900000000000003)
 
