@@ -6,14 +6,16 @@ from functools import reduce
 from operator import and_, or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.operators.traits import structural_tier, tier_place
+
 
 def edges(occurrences: DataFrame) -> DataFrame:
     """Distinct resolved edges without self-loops: occurrences, least occurrence id, roles."""
-    kept = occurrences.where("source <> target AND outcome = 'RESOLVED_UNIQUE'")
-    return kept.groupBy("source", "target", "kind", "zone").agg(F.count(F.lit(1)).alias("n"), F.min("occ_id").alias("best_id"), F.countDistinct("role").alias("roles"))
+    kept = occurrences.where("source <> target AND outcome = 'RESOLVED_UNIQUE'").withColumn("tier", structural_tier(F.col("kind"), F.col("zone")))
+    return kept.groupBy("source", "target", "kind", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("occ_id").alias("best_id"), F.countDistinct("role").alias("roles"))
 
 
 def dangling(edge_rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -35,15 +37,115 @@ def one_hop(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def frontier(hops: DataFrame, per_bucket: int = 2, most: int = 32) -> DataFrame:
-    """Top ``per_bucket`` of each (qid, seed, direction, zone), each neighbour once, at most ``most``."""
-    bucket = Window.partitionBy("qid", "seed", "direction", "zone").orderBy(F.desc("n"), "best_id", "other")
-    rows = hops.withColumn("bucket_rank", F.row_number().over(bucket)).where(F.col("bucket_rank") <= per_bucket)
-    once = Window.partitionBy("qid", "other").orderBy("bucket_rank", F.desc("n"), "best_id")
-    rows = rows.withColumn("k", F.row_number().over(once)).where("k = 1")
-    order = Window.partitionBy("qid").orderBy("bucket_rank", F.desc("n"), "best_id", "other")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return rows.select("qid", "seed", "other", "direction", "zone", "kind", "n", "best_id", "bucket_rank", "rank")
+def statistics(edge_rows: DataFrame) -> DataFrame:
+    """Each edge with its strata: of its source, kind and tier the occurrences and targets, of its target the same."""
+    out = Window.partitionBy("source", "kind", "tier")
+    back = Window.partitionBy("target", "kind", "tier")
+    return edge_rows.withColumns(
+        {"source_n": F.sum("n").over(out), "source_targets": F.count(F.lit(1)).over(out), "target_n": F.sum("n").over(back), "target_sources": F.count(F.lit(1)).over(back)}
+    )
+
+
+def share_key() -> Column:
+    """n / source_n as an integer that orders fractions exactly while the product of two denominators is below 10^18."""
+    return F.expr("(CAST(n AS DECIMAL(19, 0)) * CAST(1000000000000000000 AS DECIMAL(19, 0))) div CAST(source_n AS DECIMAL(20, 0))")
+
+
+def edge_order() -> list[Column]:
+    """Order of edge views: direction, tier, share of the source, how few targets and sources, anchor, endpoint's rank, best occurrence."""
+    return [
+        F.asc("mismatch"),
+        tier_place(F.col("tier")).asc(),
+        share_key().desc(),
+        F.asc("source_targets"),
+        F.asc("target_sources"),
+        F.asc("target_n"),
+        F.asc("anchor"),
+        F.asc("endpoint_rank"),
+        F.asc("best_id"),
+        F.asc("source"),
+        F.asc("target"),
+        F.asc("kind"),
+    ]
+
+
+def views(edge_rows: DataFrame, anchors: DataFrame, dense: DataFrame, most_dense: int = 20) -> DataFrame:
+    """Edges at each query's anchors, seen from the anchor: both directions, without loops.
+
+    ``anchors`` has qid, node, anchor (1, 2) and wanted (the query's direction); ``dense``
+    has qid, node and rank. A bridge is an edge whose ends are the query's two anchors.
+    """
+    a = anchors.select("qid", "node", "anchor", "wanted")
+    plain = edge_rows.where("source <> target")
+    seen = [
+        plain.join(a, F.col(mine) == F.col("node")).select("qid", "anchor", "wanted", F.col("node"), F.col(other).alias("endpoint"), F.lit(direction).alias("direction"), *edge_rows.columns)
+        for mine, other, direction in (("source", "target", "FORWARD"), ("target", "source", "REVERSE"))
+    ]
+    rows = seen[0].unionByName(seen[1])
+    pairs = anchors.groupBy("qid").agg(F.array_sort(F.collect_set("node")).alias("pair"))
+    ranks = dense.select(F.col("qid").alias("of"), F.col("node").alias("at"), F.col("rank").alias("endpoint_rank"))
+    rows = rows.join(pairs, "qid").join(ranks, (F.col("qid") == F.col("of")) & (F.col("endpoint") == F.col("at")), "left").drop("of", "at")
+    both = (F.size("pair") == 2) & (F.col("pair") == F.array_sort(F.array("source", "target")))
+    return rows.select(
+        *(c for c in rows.columns if c not in ("pair", "wanted", "endpoint_rank")),
+        F.when(F.col("wanted") == F.col("direction"), 0).otherwise(1).alias("mismatch"),
+        F.coalesce("endpoint_rank", F.lit(most_dense + 1)).alias("endpoint_rank"),
+        F.col("endpoint_rank").isNotNull().alias("dense"),
+        both.alias("bridge"),
+    )
+
+
+def frontier(view_rows: DataFrame, per_bucket: int = 2) -> DataFrame:
+    """Top ``per_bucket`` views of each (qid, anchor, direction, tier) bucket, then each edge once, ranked.
+
+    Two anchors, two directions and four tiers bound a query to 32 edges. A bridge that
+    the tops of both its buckets leave out takes the last place in the first of them. A
+    bucket has one bridge at most, since a tier has one kind, so none lacks a place.
+    """
+    bucket = Window.partitionBy("qid", "anchor", "direction", "tier")
+    edge = Window.partitionBy("qid", "source", "target", "kind", "tier")
+    rows = view_rows.withColumn("bucket_rank", F.row_number().over(bucket.orderBy(*edge_order())))
+    # Does any of a bridge's views survive by itself? If not its first view is reserved a place.
+    rows = rows.withColumn("view", F.row_number().over(edge.orderBy(*edge_order()))).withColumn("safe", F.min("bucket_rank").over(edge) <= per_bucket)
+    reserved = F.col("bridge") & ~F.col("safe") & (F.col("view") == 1)
+    first = F.when(reserved | (F.col("bridge") & (F.col("bucket_rank") <= per_bucket)), 0).otherwise(1)
+    rows = rows.withColumn("place", F.row_number().over(bucket.orderBy(first, *edge_order()))).where(F.col("place") <= per_bucket)
+    rows = rows.withColumn("k", F.row_number().over(edge.orderBy(*edge_order()))).where("k = 1")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*edge_order()))).drop("view", "safe", "place", "k")
+
+
+def select_edge(frontier_rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """The edge that each of three policies takes of a query's frontier, or why it abstains.
+
+    cap_only takes the first; bridge the first that joins the two anchors; graph_only
+    that bridge, else the one edge that no other of its tier dominates among those seen
+    forward to endpoints outside the dense ranks, if exactly one is left over all tiers.
+    Returns qid, policy, outcome, source, target, kind, tier.
+    """
+    edge = F.struct("rank", "source", "target", "kind", "tier")
+    own = frontier_rows.where("NOT bridge AND direction = 'FORWARD' AND NOT dense")
+    fields = ("source", "target", "kind", "tier", "rank", "n", "source_n", "source_targets", "target_sources")
+    a = own.select("qid", *fields)
+    b = own.select(F.col("qid").alias("b_qid"), *(F.col(c).alias(f"b_{c}") for c in fields))
+    # Fractions are compared by their cross products.
+    mine, theirs = (F.expr(f"CAST({x} AS DECIMAL(19, 0)) * CAST({y} AS DECIMAL(19, 0))") for x, y in (("n", "b_source_n"), ("b_n", "source_n")))
+    no_worse = (theirs >= mine) & (F.col("b_source_targets") <= F.col("source_targets")) & (F.col("b_target_sources") <= F.col("target_sources"))
+    better = (theirs > mine) | (F.col("b_source_targets") < F.col("source_targets")) | (F.col("b_target_sources") < F.col("target_sources"))
+    left = a.join(b, (F.col("qid") == F.col("b_qid")) & (F.col("tier") == F.col("b_tier")) & no_worse & better, "left_anti")
+    found = frontier_rows.groupBy("qid").agg(F.min(edge).alias("first"), F.min(F.when(F.col("bridge"), edge)).alias("bridge"))
+    alone = left.groupBy("qid").agg(F.count(F.lit(1)).alias("survivors"), F.min(edge).alias("winner"))
+    rows = queries.select("qid").join(found, "qid", "left").join(alone, "qid", "left")
+    n = F.coalesce("survivors", F.lit(0))
+    graph_only = F.when(F.col("bridge").isNotNull(), F.struct(F.lit("DIRECT_BRIDGE").alias("outcome"), F.col("bridge").alias("edge"))).otherwise(
+        F.struct(
+            F.when(n == 0, F.lit("NO_CANDIDATE")).when(n == 1, F.lit("ONE_WINNER")).otherwise(F.lit("MULTIPLE_WINNERS")).alias("outcome"),
+            F.when(n == 1, F.col("winner")).alias("edge"),
+        )
+    )
+    one = lambda name, column, lost: F.struct(F.lit(name).alias("policy"), F.when(F.col(column).isNull(), F.lit(lost)).otherwise(F.lit("SELECTED")).alias("outcome"), F.col(column).alias("edge"))
+    policies = F.array(one("cap_only", "first", "NO_FRONTIER_EDGE"), one("bridge", "bridge", "NO_DIRECT_ANCHOR_BRIDGE"), F.struct(F.lit("graph_only").alias("policy"), graph_only["outcome"].alias("outcome"), graph_only["edge"].alias("edge")))
+    rows = rows.select("qid", F.explode(policies).alias("p"))
+    return rows.select("qid", "p.policy", "p.outcome", "p.edge.source", "p.edge.target", "p.edge.kind", "p.edge.tier")
 
 
 def pareto(rows: DataFrame, keys: list[str], up: list[str], down: str, ident: str) -> DataFrame:

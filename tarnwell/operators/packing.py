@@ -37,10 +37,11 @@ def pack_bodies(ranked: DataFrame, budget: int) -> DataFrame:
     return items.select("qid", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("o")).select("qid", "o.*")
 
 
-def pack_count_bytes(rows: DataFrame, keys: list[str], count: int, budget: int) -> DataFrame:
+def pack_count_bytes(rows: DataFrame, keys: list[str], count: int | Column, budget: int | Column) -> DataFrame:
     """Take rows in order while their number and bytes allow; a row too large is passed over.
 
-    Takes (*keys, ord, id, bytes); returns the taken rows with the bytes used so far.
+    Takes (*keys, ord, id, bytes); returns the taken rows with the bytes used so far. The
+    bounds may be columns of the keys, so that many cells are packed in one pass.
     """
     items = _ordered(rows, keys, "ord", ["id", "bytes"])
     kind = "array<struct<ord:bigint,id:bigint,total:bigint>>"
@@ -55,7 +56,7 @@ def pack_count_bytes(rows: DataFrame, keys: list[str], count: int, budget: int)
     return items.select(*keys, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("o")).select(*keys, "o.*")
 
 
-def pack_clusters(rows: DataFrame, keys: list[str], files: int, budget: int) -> DataFrame:
+def pack_clusters(rows: DataFrame, keys: list[str], files: int | Column, budget: int | Column) -> DataFrame:
     """The same with a bound on distinct files instead of rows; takes (*keys, ord, id, path, bytes)."""
     items = _ordered(rows, keys, "ord", ["id", "path", "bytes"])
     kind = "array<struct<ord:bigint,id:bigint,total:bigint>>"

@@ -73,6 +73,57 @@ def intents(tokens: Column) -> dict[str, Column]:
     }
 
 
+# Structural tiers, the strongest first, by kind of relation and zone.
+TIERS = ("DECLARATION_CONTRACT", "EXECUTABLE_DEPENDENCY", "BODY_REFERENCE", "DECLARATION_STRUCTURE")
+
+
+def structural_tier(kind: Column, zone: Column) -> Column:
+    """Tier of a resolved occurrence: declared types, then calls, then types in bodies, then members; null for anything else."""
+    typed = kind == "TYPE_REF"
+    return (
+        F.when(typed & zone.isin("SIGNATURE", "TYPE_BODY"), F.lit(TIERS[0]))
+        .when(kind == "CALL", F.lit(TIERS[1]))
+        .when(typed & zone.isin("BODY", "INITIALIZER"), F.lit(TIERS[2]))
+        .when(kind == "MEMBER", F.lit(TIERS[3]))
+    )
+
+
+def tier_place(tier: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, TIERS)), tier).cast("int")
+
+
+def admission_prefix(feature: dict[str, Column], fact: dict[str, Column]) -> dict[str, Column]:
+    """What a fact is held against a query by, in order; less is better, overlaps count against zero.
+
+    ``feature`` has the query's tokens and the columns of ``intents``; ``fact`` has kind,
+    zone, role, flow, direction, file_role, context, anchor_tokens, endpoint_tokens,
+    anchor_path, endpoint_path, anchor_deprecated and endpoint_deprecated.
+    """
+    bit = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0))
+    shared = lambda name: -F.size(F.array_intersect(feature["tokens"], fact[name]))
+    named = feature["roles"] != ""
+    qualifier = (feature["deprecated"] & ~fact["anchor_deprecated"] & ~fact["endpoint_deprecated"]) | (named & ~F.array_contains(F.split(feature["roles"], ","), fact["file_role"]))
+    declared = fact["zone"].isin("SIGNATURE", "TYPE_BODY")
+    value = (fact["direction"] == "FORWARD") & (fact["kind"] == "TYPE_REF") & (fact["zone"] == "SIGNATURE") & (fact["role"] == "TYPE_VALUE_PARAMETER")
+    intent = (
+        (feature["signature"] & ~(declared & (fact["kind"] == "TYPE_REF")))
+        | (feature["mutation"] & (fact["flow"] != "ASSIGNMENT"))
+        | (feature["returns"] & (fact["flow"] != "RETURN"))
+        | (feature["condition"] & (fact["flow"] != "CONDITION"))
+        | (feature["direction"] != fact["direction"])
+    )
+    return {
+        "qualifier_mismatch": bit(qualifier),
+        "value_parameter_mismatch": bit(feature["value_parameter"] & ~value),
+        "context_overlap": shared("context"),
+        "endpoint_overlap": shared("endpoint_tokens"),
+        "anchor_overlap": shared("anchor_tokens"),
+        "intent_mismatch": bit(intent),
+        "other_file": bit(fact["anchor_path"] != fact["endpoint_path"]),
+        "not_production": bit(~named & (fact["file_role"] != "PRODUCTION")),
+    }
+
+
 def closure_class(role: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in CLOSURE_CLASSES.items() for x in pair)), role)
 

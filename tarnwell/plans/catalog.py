@@ -82,12 +82,6 @@ add(
     """SELECT v.vec_id, CASE WHEN c.vec_id IS NOT NULL AND c.scale > 0 THEN 'ready' WHEN f.terminal THEN 'failed' ELSE 'pending' END AS state FROM {vectors} v
     LEFT JOIN {cache} c ON c.vec_id = v.vec_id LEFT JOIN (SELECT key, max_by(terminal, id) AS terminal FROM {log} GROUP BY key) f ON f.key = v.vec_id""",
 )
-add("P16_structural_tier", "SELECT occ_id, CASE WHEN kind = 'CALL' AND zone = 'BODY' THEN 1 WHEN kind = 'MEMBER' AND zone = 'BODY' THEN 2 WHEN zone = 'SIGNATURE' AND kind = 'TYPE_REF' THEN 3 ELSE 4 END AS tier FROM {occurrences}")
-add(
-    "P18_mismatch_features",
-    """SELECT o.occ_id, CASE WHEN o.role = 'PRODUCTION' THEN 0 ELSE 1 END AS role_mismatch, CASE WHEN o.zone = 'BODY' THEN 0 ELSE 1 END AS zone_mismatch, CASE WHEN o.source = o.target THEN 1 ELSE 0 END AS self_cycle,
-    CASE WHEN o.kind = 'CALL' THEN 0 WHEN o.kind = 'MEMBER' THEN 1 ELSE 2 END AS kind_distance FROM {occurrences} o""",
-)
 add(
     "P22_freshness",
     """SELECT f.path, CASE WHEN l.path IS NULL THEN 'deleted' WHEN l.sha = f.sha THEN 'current' ELSE 'stale' END AS freshness FROM (SELECT DISTINCT path FROM {lexical_fused} r JOIN {files} x ON x.file_id = r.chunk_id) h JOIN {files} f ON f.path = h.path LEFT JOIN {live} l ON l.path = f.path""",
@@ -104,22 +98,19 @@ add(
     LEFT JOIN (SELECT key, max(id) AS id, max_by(status, id) AS status FROM {log} WHERE terminal GROUP BY key) f ON f.key = v.vec_id""",
 )
 add("J07_latest_failure", "SELECT key, max_by(value, id) AS value, max_by(status, id) AS status FROM {log} WHERE terminal GROUP BY key")
-add("J08_exact_symbol_flag", "SELECT c.chunk_id, EXISTS (SELECT 1 FROM {symbols} s WHERE s.chunk_id = c.chunk_id AND s.original_name = c.qualified AND s.normalized_name LIKE '% bolt') AS exact FROM {chunks} c")
+add("J08_exact_symbol_flag", "SELECT c.chunk_id, EXISTS (SELECT 1 FROM {symbols} s JOIN {anchors} a ON a.normalized = s.normalized_name WHERE s.chunk_id = c.chunk_id AND s.original_name = c.qualified AND a.lane = 'symbol') AS exact FROM {chunks} c")
 add("J09_meta_singleton", "SELECT f.file_id, f.path, m.active_generation, m.manifest_rows FROM {files} f CROSS JOIN (SELECT 2 AS active_generation, count(*) AS manifest_rows FROM {files}) m")
-add("J11_hits_contain_gold", "SELECT r.qid, r.item, r.rank, j.grade FROM {ranked} r JOIN {judgments} j ON j.qid = r.qid AND j.item = r.item WHERE j.grade > 0")
 add("J12_live_vs_indexed", "SELECT coalesce(l.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'added' WHEN l.path IS NULL THEN 'deleted' WHEN l.sha = f.sha THEN 'reused' ELSE 'changed' END AS status FROM {live} l FULL JOIN {files} f ON f.path = l.path")
 add("J13_key_presence", "SELECT v.vec_id, EXISTS (SELECT 1 FROM {cache} c WHERE c.vec_id = v.vec_id) AS in_bank, EXISTS (SELECT 1 FROM {log} g WHERE g.key = v.vec_id AND g.terminal) AS failed FROM {vectors} v")
 add("J14_shared_key_fanout", "SELECT s.qid, f.sha, c.chunk_id, s.score FROM (SELECT qid, parent, max(score) AS score FROM {scores} GROUP BY qid, parent) s JOIN {files} k ON k.file_id = s.parent JOIN {files} f ON f.sha = k.sha JOIN {chunks} c ON c.file_id = f.file_id")
 add("J15_lexical_outer_join", "SELECT coalesce(t.qid, s.qid) AS qid, coalesce(t.chunk_id, s.chunk_id) AS chunk_id, t.rank AS text_rank, s.rank AS symbol_rank FROM {text_lane} t FULL JOIN {symbol_lane} s ON s.qid = t.qid AND s.chunk_id = t.chunk_id")
 add("J16_lexical_vector_outer", "SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.parent, b.parent) AS parent, a.rank AS lexical_rank, b.rank AS vector_rank FROM {label_lane} a FULL JOIN {vector_lane} b ON b.qid = a.qid AND b.parent = a.parent")
 add("J19_hit_to_node", "SELECT v.qid, e.source AS node, min(v.rank) AS rank FROM {vector_lane} v JOIN {edges} e ON e.source = v.parent GROUP BY v.qid, e.source")
-add("J20_direct_bridge", "SELECT least(source, target) AS a, greatest(source, target) AS b, CAST(sum(n) AS BIGINT) AS n FROM {edges} GROUP BY least(source, target), greatest(source, target)")
 add("J22_inversions", "SELECT a.qid, count(*) AS pairs, count_if(ea.rank > eb.rank) AS inversions, count_if(a.score = b.score) AS ties FROM {ranked} a JOIN {ranked} b ON b.qid = a.qid AND a.rank < b.rank JOIN {exact_ranked} ea ON ea.qid = a.qid AND ea.item = a.item JOIN {exact_ranked} eb ON eb.qid = b.qid AND eb.item = b.item GROUP BY a.qid")
 add("J23_gold_unmapped", "SELECT j.qid, j.item FROM {judgments} j WHERE j.grade = 2 AND NOT EXISTS (SELECT 1 FROM {cache} c WHERE c.vec_id = j.item)")
 add("J24_attachments_labels", "SELECT h.qid, h.item, h.rank, j.grade, j.hard, c.answerable FROM {ranked} h LEFT JOIN {judgments} j ON j.qid = h.qid AND j.item = h.item LEFT JOIN {cases} c ON c.qid = h.qid")
 add("J25_hint_endpoints", "SELECT e.source, e.target, min(v.rank) AS first_rank FROM {edges} e JOIN {vector_lane} v ON v.parent = e.target GROUP BY e.source, e.target")
 add("J26_neighbour_of_gold", "SELECT DISTINCT n.a AS node FROM (SELECT source AS a, target AS b FROM {edges} UNION ALL SELECT target, source FROM {edges}) n WHERE EXISTS (SELECT 1 FROM {vector_lane} v WHERE v.parent = n.b AND v.rank <= 2)")
-add("J27_probe_equality", "(SELECT source, target, kind FROM {occurrences} WHERE ordinal = 1 EXCEPT SELECT source, target, kind FROM {occurrences} WHERE ordinal = 2)")
 add(
     "J28_status_full_join",
     """SELECT count_if(l.path IS NOT NULL AND f.path IS NOT NULL AND l.sha <> f.sha) AS stale, count_if(f.path IS NULL) AS unindexed, count_if(l.path IS NULL) AS deleted, count_if(l.sha = f.sha) AS current FROM {live} l FULL JOIN {files} f ON f.path = l.path""",
@@ -147,18 +138,6 @@ add(
     LEFT JOIN {ranked} r ON r.qid = s.qid AND r.item = s.item GROUP BY s.qid, k.k, s.group_id, s.alternative) GROUP BY qid, k, group_id) GROUP BY qid, k""",
 )
 add("A16_hard_negative_hit", "SELECT j.qid, k.k, coalesce(bool_or(r.rank <= k.k), FALSE) AS hard_hit FROM {judgments} j CROSS JOIN (SELECT k FROM (VALUES (1), (5), (20)) AS t(k)) k LEFT JOIN {ranked} r ON r.qid = j.qid AND r.item = j.item WHERE j.hard GROUP BY j.qid, k.k")
-add("A18_lexical_control", "SELECT qid, chunk_id, count(*) AS matched FROM (SELECT t.qid, p.chunk_id, t.term FROM {query_terms} t JOIN {postings} p ON p.term = t.term) GROUP BY qid, chunk_id HAVING count(*) >= 4")
-add(
-    "A20_fusion_diagnostics",
-    """SELECT qid, count(*) AS candidates, count_if(l IS NOT NULL AND v IS NOT NULL) AS both_lanes, count_if(v IS NULL) AS lexical_only, count_if(l IS NULL) AS vector_only, round(CAST(count_if(l IS NOT NULL AND v IS NOT NULL) AS DOUBLE) / count(*), 6) AS jaccard,
-    count_if(f <= 5 AND coalesce(v, 99) > 5) AS rescued, count_if(coalesce(f, 99) > 5 AND v <= 5) AS harmed FROM (
-    SELECT u.qid, u.parent, u.l, u.v, h.rank AS f FROM (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.parent, b.parent) AS parent, a.rank AS l, b.rank AS v FROM {label_lane} a FULL JOIN {vector_lane} b ON b.qid = a.qid AND b.parent = a.parent) u
-    LEFT JOIN {hybrid_fused} h ON h.qid = u.qid AND h.parent = u.parent) GROUP BY qid""",
-)
-add(
-    "A21_body_diagnostics",
-    """SELECT r.qid, CAST(sum(f.size) AS BIGINT) AS bytes, count(DISTINCT f.sha) AS distinct_bodies, round(1 - CAST(count(DISTINCT f.sha) AS DOUBLE) / count(*), 6) AS duplicate_ratio, count_if(f.size > 4096) AS too_large FROM {lexical_fused} r JOIN {files} f ON f.file_id = r.chunk_id GROUP BY r.qid""",
-)
 add(
     "A22_interval_union",
     """SELECT source, CAST(sum(hi - lo) AS BIGINT) AS covered, count(*) AS islands FROM (SELECT source, island, min(lo) AS lo, max(hi) AS hi FROM (
@@ -174,22 +153,10 @@ add(
     UNION ALL SELECT s.qid, s.group_id, 3, max(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) FROM {spans} s LEFT JOIN {ranked} r ON r.qid = s.qid AND r.item = s.item GROUP BY s.qid, s.group_id) GROUP BY qid, group_id""",
 )
 add("A24_first_loss_counts", "SELECT coalesce(stage, 'none') AS first_loss, count(*) AS n FROM (SELECT s.qid, s.group_id, CASE WHEN max(CASE WHEN r.rank IS NULL THEN 0 ELSE 1 END) = 0 THEN 'candidate' WHEN max(CASE WHEN r.rank <= 5 THEN 1 ELSE 0 END) = 0 THEN 'return_limit' END AS stage FROM {spans} s LEFT JOIN {ranked} r ON r.qid = s.qid AND r.item = s.item GROUP BY s.qid, s.group_id) GROUP BY coalesce(stage, 'none')")
-add("A25_usage_totals", "SELECT status, count(*) AS requests, round(sum(CASE WHEN value > 5 THEN value END), 6) AS observed_tokens FROM {log} GROUP BY status")
 add("A26_outcome_counts", "SELECT outcome, count(*) AS n FROM {occurrences} GROUP BY outcome")
-add(
-    "A27_edge_statistics",
-    """SELECT e.source, e.target, e.kind, e.zone, e.n, e.best_id, s.out_total, s.out_targets, t.in_total, t.in_sources FROM {edges} e
-    JOIN (SELECT source, kind, zone, CAST(sum(n) AS BIGINT) AS out_total, count(DISTINCT target) AS out_targets FROM {edges} GROUP BY source, kind, zone) s ON s.source = e.source AND s.kind = e.kind AND s.zone = e.zone
-    JOIN (SELECT target, kind, zone, CAST(sum(n) AS BIGINT) AS in_total, count(DISTINCT source) AS in_sources FROM {edges} GROUP BY target, kind, zone) t ON t.target = e.target AND t.kind = e.kind AND t.zone = e.zone""",
-)
 add("A28_role_slices", "SELECT target, count_if(role = 'PRODUCTION') AS production, count_if(role = 'TEST') AS test, count_if(role = 'BENCHMARK') AS benchmark, count_if(role = 'EXAMPLE') AS example FROM {occurrences} GROUP BY target")
-add("A29_anchor_coverage", "SELECT a.qid, p.chunk_id, count(*) AS numerator, max(n.selected) AS denominator FROM {query_terms} a JOIN {postings} p ON p.term = a.term JOIN (SELECT qid, count(*) AS selected FROM {query_terms} GROUP BY qid) n ON n.qid = a.qid WHERE p.tf_body >= 2 GROUP BY a.qid, p.chunk_id")
 add("A30_score_distribution", "SELECT qid, count(*) AS n, min(score) AS least, max(score) AS most, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation, round(max(score) - min(score), 6) AS span FROM {scores} GROUP BY qid")
-add(
-    "A31_endpoint_features",
-    """SELECT source AS endpoint, count(*) AS n_edges, count(DISTINCT kind) AS n_kinds, max(n) AS best, CAST(max(n) - coalesce(max(CASE WHEN k = 2 THEN n END), 0) AS BIGINT) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, best_id) AS k FROM {edges}) GROUP BY source""",
-)
-add("A33_one_hop_clusters", "SELECT target, zone, count(DISTINCT source) AS members, min(kind || '/' || zone) AS first_label, CAST(sum(n) AS BIGINT) AS n FROM {edges} GROUP BY target, zone")
+add("A33_one_hop_clusters", "SELECT target, tier, count(DISTINCT source) AS members, min(kind || '/' || tier) AS first_label, CAST(sum(n) AS BIGINT) AS n FROM {edges} GROUP BY target, tier")
 add(
     "A34_packaging_completeness",
     """SELECT qid, min(present) = 1 AS complete, count_if(present = 0) AS missing_groups, min(best_missing) AS best_missing_rank FROM (
@@ -201,7 +168,6 @@ add(
     JOIN (SELECT c.qid, b.most, count_if(j.grade = 2 AND r.rank <= b.most) AS hits FROM {cases} c CROSS JOIN {budgets} b LEFT JOIN {ranked} r ON r.qid = c.qid LEFT JOIN {judgments} j ON j.qid = r.qid AND j.item = r.item GROUP BY c.qid, b.most) x ON x.most = b.most
     JOIN (SELECT c.qid, count_if(j.grade = 2 AND r.rank <= 1) AS hits FROM {cases} c LEFT JOIN {ranked} r ON r.qid = c.qid LEFT JOIN {judgments} j ON j.qid = r.qid AND j.item = r.item GROUP BY c.qid) y ON y.qid = x.qid GROUP BY b.most""",
 )
-add("A36_packaging_gates", "SELECT CASE WHEN hits = 0 THEN 'reject' WHEN CAST(hits AS DOUBLE) / n >= 0.5 THEN 'keep' ELSE 'inconclusive' END AS decision, hits, n FROM (SELECT count(*) AS n, count_if(grade = 2) AS hits FROM {ranked} r LEFT JOIN {judgments} j ON j.qid = r.qid AND j.item = r.item WHERE r.rank = 1)")
 add(
     "A37_budget_controls",
     """SELECT r.qid, b.most, b.bytes, count(*) AS candidates, count_if(r.rank <= b.most AND f.size <= b.bytes) AS emitted, count_if(r.rank > b.most OR f.size > b.bytes) AS omitted, CAST(sum(CASE WHEN r.rank <= b.most AND f.size <= b.bytes THEN f.size ELSE 0 END) AS BIGINT) AS emitted_bytes
@@ -213,33 +179,18 @@ add(
     FROM {ranked} r CROSS JOIN {budgets} b LEFT JOIN {judgments} j ON j.qid = r.qid AND j.item = r.item LEFT JOIN {spans} s ON s.qid = r.qid AND s.item = r.item WHERE r.rank <= b.most GROUP BY r.qid, b.most""",
 )
 _SCOPES = "SELECT c.qid, 'global' AS scope FROM {cases} c UNION ALL SELECT c.qid, 'language:' || c.language FROM {cases} c UNION ALL SELECT h.qid, 'cohort:' || h.cohort FROM {cohorts} h"
-add("A39_scope_rollups", f"SELECT s.scope, count(DISTINCT s.qid) AS queries, count(*) AS rows_seen, count_if(j.grade = 2) AS direct FROM ({_SCOPES}) s JOIN {{ranked}} r ON r.qid = s.qid LEFT JOIN {{judgments}} j ON j.qid = r.qid AND j.item = r.item GROUP BY s.scope")
-add(
-    "A40_delivery_rollups",
-    "SELECT dimension, value, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT 'kind' AS dimension, kind AS value, bytes FROM {occurrences} UNION ALL SELECT 'zone', zone, bytes FROM {occurrences} UNION ALL SELECT 'role', role, bytes FROM {occurrences}) GROUP BY dimension, value",
-)
 add("A41_rollup_check", f"SELECT (SELECT count(*) FROM {{ranked}}) AS by_rows, (SELECT count(*) FROM ({_SCOPES}) s JOIN {{ranked}} r ON r.qid = s.qid WHERE s.scope = 'global') AS by_scope")
-add("A45_baseline_vs_augmented", "SELECT c.language, count(*) AS queries, count_if(v.hits > 0) AS baseline, count_if(v.hits > 0 OR h.hits > 0) AS augmented FROM {cases} c LEFT JOIN (SELECT qid, count_if(rank <= 3 AND parent % 2 = 0) AS hits FROM {vector_lane} GROUP BY qid) v ON v.qid = c.qid LEFT JOIN (SELECT qid, count_if(rank <= 3 AND parent % 2 = 0) AS hits FROM {hybrid_fused} GROUP BY qid) h ON h.qid = c.qid GROUP BY GROUPING SETS ((c.language), ())")
 
 # --- windows ------------------------------------------------------------------------------------
 
 add("W04_running_bytes", "SELECT t.qid, t.chunk_id, t.total, count_if(t.total <= b.bytes) AS budgets_met FROM (SELECT r.qid, r.chunk_id, CAST(sum(f.size) OVER (PARTITION BY r.qid ORDER BY r.rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM {lexical_fused} r JOIN {files} f ON f.file_id = r.chunk_id) t CROSS JOIN {budgets} b GROUP BY t.qid, t.chunk_id, t.total")
-add("W05_first_occurrence", "SELECT source, target, occ_id, row_number() OVER (PARTITION BY source ORDER BY occ_id) AS admitted FROM (SELECT source, target, occ_id, row_number() OVER (PARTITION BY source, target ORDER BY occ_id) AS k FROM {occurrences}) WHERE k = 1")
 add("W06_source_ordinals", "SELECT occ_id, source, row_number() OVER (PARTITION BY source ORDER BY ordinal, bytes, occ_id) AS source_ordinal FROM {occurrences}")
 add("W12_tail_after_head", "SELECT qid, parent, row_number() OVER (PARTITION BY qid ORDER BY part, rank, parent) AS rank FROM (SELECT qid, parent, 0 AS part, rank FROM {hybrid_fused} WHERE rank <= 5 UNION ALL SELECT v.qid, v.parent, 1, v.rank FROM {vector_lane} v WHERE NOT EXISTS (SELECT 1 FROM {hybrid_fused} h WHERE h.qid = v.qid AND h.parent = v.parent AND h.rank <= 5)) WHERE rank <= 20")
 add("W13_seed_ranges", "SELECT qid, count_if(rank <= 5) AS primary_seeds, count_if(rank <= 20) AS all_seeds, max(CASE WHEN rank <= 5 THEN score END) AS best FROM {vector_lane} GROUP BY qid")
 
 # --- sorts and limits ------------------------------------------------------------------------------
 
-add("T08_control_order", "SELECT qid, chunk_id, matched, rank FROM (SELECT q.qid, q.chunk_id, q.matched, row_number() OVER (PARTITION BY q.qid ORDER BY CASE WHEN e.chunk_id IS NULL THEN 1 ELSE 0 END, q.matched DESC, f.path, q.chunk_id) AS rank FROM (SELECT t.qid, p.chunk_id, count(*) AS matched FROM {query_terms} t JOIN {postings} p ON p.term = t.term GROUP BY t.qid, p.chunk_id) q JOIN {files} f ON f.file_id = q.chunk_id LEFT JOIN {exact_names} e ON e.qid = q.qid AND e.chunk_id = q.chunk_id) WHERE rank <= 20")
-add("T09_top_anchors", "SELECT qid, parent, numerator, denominator, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY numerator * 5040 / denominator DESC, numerator DESC, parent) AS rank FROM (SELECT qid, parent, count_if(label = query_label) AS numerator, count(*) AS denominator FROM {scores} GROUP BY qid, parent)) WHERE rank <= 2")
-add(
-    "T10_edge_policies",
-    """SELECT source, target, kind, zone, row_number() OVER (PARTITION BY source ORDER BY n DESC, best_id, target, kind, zone) AS by_frequency, row_number() OVER (PARTITION BY source ORDER BY CAST(n AS DOUBLE) / out_total DESC, best_id, target, kind, zone) AS by_share,
-    row_number() OVER (PARTITION BY source ORDER BY in_total DESC, best_id, target, kind, zone) AS by_popularity, row_number() OVER (PARTITION BY source ORDER BY out_total + in_total, best_id, target, kind, zone) AS by_specificity FROM (
-    SELECT *, sum(n) OVER (PARTITION BY source) AS out_total, sum(n) OVER (PARTITION BY target) AS in_total FROM {edges})""",
-)
-add("T12_prefix_rerank", "SELECT source, target, best_id, row_number() OVER (PARTITION BY source ORDER BY n DESC, best_id) AS rank FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY CASE WHEN zone = 'BODY' THEN 0 ELSE 1 END, CASE WHEN kind = 'CALL' THEN 0 ELSE 1 END) AS prefix FROM {edges}) WHERE prefix = 1")
+add("T12_prefix_rerank", "SELECT source, target, best_id, row_number() OVER (PARTITION BY source ORDER BY n DESC, best_id) AS rank FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY CASE tier WHEN 'DECLARATION_CONTRACT' THEN 0 WHEN 'EXECUTABLE_DEPENDENCY' THEN 1 WHEN 'BODY_REFERENCE' THEN 2 ELSE 3 END) AS prefix FROM {edges}) WHERE prefix = 1")
 add("T15_bundle_selection", "SELECT v.qid, e.source, e.target, e.kind FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, best_id) AS k FROM {edges}) e JOIN {vector_lane} v ON v.parent = e.source WHERE e.k = 1 AND v.rank <= 2")
 add("T16_seed_union", "SELECT qid, parent, min(place) AS place FROM (SELECT qid, parent, rank AS place FROM {vector_lane} WHERE rank <= 5 UNION ALL SELECT qid, parent, 5 + rank FROM {label_lane} WHERE rank <= 5) GROUP BY qid, parent")
 add("T18_return_limit", "SELECT qid, parent, rank FROM {hybrid_fused} WHERE rank <= 5")
@@ -258,13 +209,11 @@ add("U10_presence_or", "SELECT s.qid, s.group_id, bool_or(a.rank IS NOT NULL OR
 
 add("R02_reference_scores", "SELECT s.qid, s.vec_id, s.score, e.score AS reference FROM {scores} s JOIN {exact_scores} e ON e.qid = s.qid AND e.vec_id = s.vec_id")
 add("R04_lane_sources", "SELECT qid, parent, CASE WHEN lexical_rank IS NOT NULL AND vector_rank IS NOT NULL THEN 'both' WHEN vector_rank IS NOT NULL THEN 'vector' ELSE 'fts' END AS score_source, rank FROM {hybrid_fused}")
-add("R06_arm_evidence", "SELECT c.qid, a.arm, coalesce(max(CASE WHEN a.arm = 'codec' THEN r.n WHEN a.arm = 'exact' THEN e.n END), 0) AS returned FROM {cases} c CROSS JOIN (SELECT arm FROM (VALUES ('codec'), ('exact'), ('failed')) AS t(arm)) a LEFT JOIN (SELECT qid, count(*) AS n FROM {ranked} GROUP BY qid) r ON r.qid = c.qid LEFT JOIN (SELECT qid, count(*) AS n FROM {exact_ranked} GROUP BY qid) e ON e.qid = c.qid GROUP BY c.qid, a.arm")
 add("R11_key_states", "SELECT v.parent, count_if(c.scale > 0) AS ready, count_if(c.vec_id IS NULL) AS pending, count_if(c.scale = 0) AS invalid FROM {vectors} v LEFT JOIN {cache} c ON c.vec_id = v.vec_id GROUP BY v.parent")
 add("R12_terminal_history", "SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY id) AS attempt FROM {log} WHERE terminal")
 add("R14_migration", "SELECT vec_id, scale, norm, '' AS source_profile, profile AS serving_profile FROM {cache} WHERE scale > 0 AND norm > 0")
 add("R16_rematerialize", "SELECT v.vec_id, v.scale, v.norm, c.profile FROM {vectors} v JOIN {cache} c ON c.vec_id = v.vec_id AND c.profile = 2")
 add("R18_related_body", "SELECT e.source, f.file_id, CASE WHEN f.size <= 1024 THEN 'whole' ELSE 'too_large' END AS outcome, CASE WHEN f.size <= 1024 THEN f.size END AS bytes FROM (SELECT DISTINCT source, target FROM {edges}) e JOIN {files} f ON f.file_id = e.target")
 add("R19_node_traits", "SELECT p.p_partkey AS node, p.p_brand AS package, count(o.occ_id) AS n FROM {part} p LEFT JOIN {occurrences} o ON o.source = p.p_partkey AND o.zone = 'SIGNATURE' GROUP BY p.p_partkey, p.p_brand")
-add("R24_grading_complete", "SELECT r.qid, r.item FROM {ranked} r WHERE r.rank <= 5 AND NOT EXISTS (SELECT 1 FROM {judgments} j WHERE j.qid = r.qid AND j.item = r.item)")
 add("R27_source_reproof", "SELECT f.path, l.sha IS NOT DISTINCT FROM f.sha AS proven FROM {files} f LEFT JOIN {live} l ON l.path = f.path")
 add("R33_usage_by_operation", "SELECT status, terminal, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM {log} GROUP BY status, terminal")

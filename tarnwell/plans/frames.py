@@ -126,8 +126,8 @@ FRAMES["T07_provider_order"] = (lambda d: _j17(d).where("rank <= 20").select("qi
 # --- joins over the graph -------------------------------------------------------------------
 
 _SEEDS = "SELECT qid, parent AS seed FROM {vector_lane} WHERE rank <= 2"
-_HOPS = f"""SELECT qid, seed, target AS other, 'FORWARD' AS direction, kind, zone, n, best_id FROM {{edges}} JOIN ({_SEEDS}) ON source = seed WHERE source <> target
-UNION ALL SELECT qid, seed, source, 'REVERSE', kind, zone, n, best_id FROM {{edges}} JOIN ({_SEEDS}) ON target = seed"""
+_HOPS = f"""SELECT qid, seed, target AS other, 'FORWARD' AS direction, kind, tier, n, best_id FROM {{edges}} JOIN ({_SEEDS}) ON source = seed WHERE source <> target
+UNION ALL SELECT qid, seed, source, 'REVERSE', kind, tier, n, best_id FROM {{edges}} JOIN ({_SEEDS}) ON target = seed"""
 
 
 def _hops(d: Data) -> DataFrame:
@@ -139,38 +139,9 @@ def _j18(d: Data) -> DataFrame:
     return _hops(d)
 
 
-@frame(
-    "T13_frontier",
-    f"""SELECT qid, seed, other, direction, zone, kind, n, best_id, bucket_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bucket_rank, n DESC, best_id, other) AS rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY qid, other ORDER BY bucket_rank, n DESC, best_id) AS k FROM (
-    SELECT *, row_number() OVER (PARTITION BY qid, seed, direction, zone ORDER BY n DESC, best_id, other) AS bucket_rank FROM ({_HOPS})) WHERE bucket_rank <= 2) WHERE k = 1) WHERE rank <= 32""",
-)
-def _t13(d: Data) -> DataFrame:
-    return graph.frontier(_hops(d))
-
-
-_STATS = "SELECT source, target, kind, zone, n, best_id, roles FROM {edges} WHERE n >= 2"
-
-
-@frame(
-    "J21_pareto",
-    f"""SELECT a.source, a.best_id, a.n, a.roles, a.target FROM ({_STATS}) a WHERE NOT EXISTS (SELECT 1 FROM ({_STATS}) b WHERE b.source = a.source AND b.n >= a.n AND b.roles >= a.roles AND b.target <= a.target
-    AND (b.n > a.n OR b.roles > a.roles OR b.target < a.target))""",
-)
-def _j21(d: Data) -> DataFrame:
-    return graph.pareto(d.edges.where("n >= 2"), ["source"], ["n", "roles"], "target", "best_id").select("source", "best_id", "n", "roles", "target")
-
-
-@frame("T14_pareto_winner", f"""SELECT source, min(best_id) AS best_id FROM (SELECT a.source, a.best_id FROM ({_STATS}) a WHERE NOT EXISTS (SELECT 1 FROM ({_STATS}) b WHERE b.source = a.source AND b.n >= a.n AND b.roles >= a.roles AND b.target <= a.target
-    AND (b.n > a.n OR b.roles > a.roles OR b.target < a.target))) GROUP BY source HAVING count(*) = 1""")
-def _t14(d: Data) -> DataFrame:
-    left = graph.pareto(d.edges.where("n >= 2"), ["source"], ["n", "roles"], "target", "best_id")
-    return left.groupBy("source").agg(F.min("best_id").alias("best_id"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
-
-
 @frame("W11_bridge_reservation", None)
 def _w11(d: Data) -> DataFrame:
-    rows = _hops(d).select("qid", F.concat_ws("/", F.col("seed").cast("string"), "direction", "zone").alias("bucket"), F.col("other").alias("id"), F.col("n").alias("rank"))
+    rows = _hops(d).select("qid", F.concat_ws("/", F.col("seed").cast("string"), "direction", "tier").alias("bucket"), F.col("other").alias("id"), F.col("n").alias("rank"))
     least = rows.groupBy("qid", "bucket", "id").agg(F.min("rank").alias("rank"))
     ends = least.groupBy("qid", "id").agg(F.count(F.lit(1)).alias("buckets"))
     return graph.reserve_bridges(least.join(ends, ["qid", "id"]).withColumn("bridge", F.col("buckets") > 1).drop("buckets"))
@@ -311,10 +282,10 @@ def _c06(d: Data) -> DataFrame:
 # --- digests and sets ---------------------------------------------------------------------------------
 
 
-@frame("A32_hint_disclosure", "SELECT source, n_hints, strlen(hints) AS bytes, sha256(hints) AS digest FROM (SELECT source, count(*) AS n_hints, string_agg(kind || ':' || zone || ':' || n, ';' ORDER BY kind || ':' || zone || ':' || n) AS hints FROM (SELECT source, kind, zone, CAST(sum(n) AS BIGINT) AS n FROM {edges} GROUP BY source, kind, zone) GROUP BY source)")
+@frame("A32_hint_disclosure", "SELECT source, n_hints, strlen(hints) AS bytes, sha256(hints) AS digest FROM (SELECT source, count(*) AS n_hints, string_agg(kind || ':' || tier || ':' || n, ';' ORDER BY kind || ':' || tier || ':' || n) AS hints FROM (SELECT source, kind, tier, CAST(sum(n) AS BIGINT) AS n FROM {edges} GROUP BY source, kind, tier) GROUP BY source)")
 def _a32(d: Data) -> DataFrame:
-    sums = d.edges.groupBy("source", "kind", "zone").agg(F.sum("n").alias("n"))
-    hints = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "zone", F.col("n").cast("string")))), ";")
+    sums = d.edges.groupBy("source", "kind", "tier").agg(F.sum("n").alias("n"))
+    hints = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "tier", F.col("n").cast("string")))), ";")
     rows = sums.groupBy("source").agg(F.count(F.lit(1)).alias("n_hints"), hints.alias("hints"))
     return rows.select("source", "n_hints", F.octet_length("hints").cast("long").alias("bytes"), F.sha2(F.encode("hints", "UTF-8"), 256).alias("digest"))
 
@@ -337,9 +308,9 @@ def _a44(d: Data) -> DataFrame:
     return least.groupBy("qid").agg(F.max("g").alias("best"), F.min("g").alias("worst"))
 
 
-@frame("A46_logical_digest", "SELECT source, sha256(string_agg(target || '|' || kind || '|' || zone || '|' || n, chr(10) ORDER BY target || '|' || kind || '|' || zone || '|' || n)) AS digest FROM {edges} GROUP BY source")
+@frame("A46_logical_digest", "SELECT source, sha256(string_agg(target || '|' || kind || '|' || tier || '|' || n, chr(10) ORDER BY target || '|' || kind || '|' || tier || '|' || n)) AS digest FROM {edges} GROUP BY source")
 def _a46(d: Data) -> DataFrame:
-    line = F.concat_ws("|", F.col("target").cast("string"), "kind", "zone", F.col("n").cast("string"))
+    line = F.concat_ws("|", F.col("target").cast("string"), "kind", "tier", F.col("n").cast("string"))
     rows = d.edges.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
     return rows.select("source", F.sha2(F.encode("lines", "UTF-8"), 256).alias("digest"))
 

@@ -173,7 +173,7 @@ _OUTCOME = "CASE WHEN l_quantity < 30 THEN 'RESOLVED_UNIQUE' WHEN l_quantity < 4
 
 
 def _occurrence_sql(base: str) -> str:
-    return f"""SELECT lpad(CAST(l_orderkey AS VARCHAR(20)), 15, '0') || '.' || l_linenumber || '.' || lpad(CAST(l_partkey AS VARCHAR(20)), 12, '0') || '.' || lpad(CAST(l_suppkey AS VARCHAR(20)), 12, '0') AS occ_id, l_partkey AS source, l_suppkey AS target, {_KIND} AS kind, CASE WHEN l_linestatus = 'F' THEN 'BODY' ELSE 'SIGNATURE' END AS zone,
+    return f"""SELECT lpad(CAST(l_orderkey AS VARCHAR(20)), 15, '0') || '.' || l_linenumber || '.' || lpad(CAST(l_partkey AS VARCHAR(20)), 12, '0') || '.' || lpad(CAST(l_suppkey AS VARCHAR(20)), 12, '0') AS occ_id, l_partkey AS source, l_suppkey AS target, {_KIND} AS kind, CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'INITIALIZER' ELSE 'BODY' END WHEN l_linenumber % 2 = 0 THEN 'TYPE_BODY' ELSE 'SIGNATURE' END AS zone,
     l_linenumber AS ordinal, {_OUTCOME} AS outcome, CASE WHEN l_tax < 0.03 THEN 'PRODUCTION' WHEN l_tax < 0.05 THEN 'TEST' WHEN l_tax < 0.07 THEN 'BENCHMARK' ELSE 'EXAMPLE' END AS role, CAST(l_quantity AS BIGINT) AS bytes FROM {base}"""
 
 
@@ -182,7 +182,11 @@ def _occurrences(d: Data) -> DataFrame:
     return d.spark.sql(_occurrence_sql("{rows}"), rows=d.lineitem)
 
 
-_EDGES = "SELECT source, target, kind, zone, count(*) AS n, min(occ_id) AS best_id, count(DISTINCT role) AS roles FROM {occurrences} WHERE source <> target AND outcome = 'RESOLVED_UNIQUE' GROUP BY source, target, kind, zone"
+TIER_ROWS = """SELECT * FROM (VALUES ('TYPE_REF', 'SIGNATURE', 'DECLARATION_CONTRACT', 1), ('TYPE_REF', 'TYPE_BODY', 'DECLARATION_CONTRACT', 1), ('TYPE_REF', 'BODY', 'BODY_REFERENCE', 3), ('TYPE_REF', 'INITIALIZER', 'BODY_REFERENCE', 3),
+  ('CALL', 'SIGNATURE', 'EXECUTABLE_DEPENDENCY', 2), ('CALL', 'TYPE_BODY', 'EXECUTABLE_DEPENDENCY', 2), ('CALL', 'BODY', 'EXECUTABLE_DEPENDENCY', 2), ('CALL', 'INITIALIZER', 'EXECUTABLE_DEPENDENCY', 2),
+  ('MEMBER', 'SIGNATURE', 'DECLARATION_STRUCTURE', 4), ('MEMBER', 'TYPE_BODY', 'DECLARATION_STRUCTURE', 4), ('MEMBER', 'BODY', 'DECLARATION_STRUCTURE', 4), ('MEMBER', 'INITIALIZER', 'DECLARATION_STRUCTURE', 4)) AS t(kind, zone, tier, place)"""
+
+_EDGES = f"SELECT source, target, kind, tier, count(*) AS n, min(occ_id) AS best_id, count(DISTINCT role) AS roles FROM {{occurrences}} JOIN ({TIER_ROWS}) USING (kind, zone) WHERE source <> target AND outcome = 'RESOLVED_UNIQUE' GROUP BY source, target, kind, tier"
 
 
 @relation("edges", _EDGES)

@@ -33,17 +33,15 @@ OTHER: dict[str, str] = {
     "J06_keys_cache_failures": """SELECT vec_id, (SELECT scale FROM {cache} c WHERE c.vec_id = v.vec_id) AS scale, (SELECT status FROM {log} g WHERE g.key = v.vec_id AND terminal ORDER BY id DESC LIMIT 1) AS last_status,
     (SELECT max(id) FROM {log} g WHERE g.key = v.vec_id AND terminal) AS last_id FROM {vectors} v""",
     "J07_latest_failure": "SELECT key, value, status FROM {log} l WHERE terminal AND NOT EXISTS (SELECT 1 FROM {log} m WHERE m.terminal AND m.key = l.key AND m.id > l.id)",
-    "J08_exact_symbol_flag": "SELECT chunk_id, ends_with(normalized, ' bolt') AND qualified <> '' AS exact FROM (SELECT c.chunk_id, c.qualified, coalesce(min(s.normalized_name), '') AS normalized FROM {chunks} c LEFT JOIN {symbols} s ON s.chunk_id = c.chunk_id AND s.original_name = c.qualified GROUP BY c.chunk_id, c.qualified)",
+    "J08_exact_symbol_flag": "SELECT chunk_id, chunk_id IN (SELECT chunk_id FROM {exact_names}) AS exact FROM {chunks}",
     "J12_live_vs_indexed": """SELECT path, 'added' AS status FROM (SELECT path FROM {live} EXCEPT SELECT path FROM {files}) UNION ALL SELECT path, 'deleted' FROM (SELECT path FROM {files} EXCEPT SELECT path FROM {live})
     UNION ALL SELECT path, 'reused' FROM (SELECT path, sha FROM {live} INTERSECT SELECT path, sha FROM {files}) UNION ALL SELECT path, 'changed' FROM (SELECT path, sha FROM {live} WHERE path IN (SELECT path FROM {files}) EXCEPT SELECT path, sha FROM {files})""",
     "J13_key_presence": "SELECT vec_id, c.n IS NOT NULL AS in_bank, g.n IS NOT NULL AS failed FROM {vectors} v LEFT JOIN (SELECT vec_id, count(*) AS n FROM {cache} GROUP BY vec_id) c USING (vec_id) LEFT JOIN (SELECT key AS vec_id, count(*) AS n FROM {log} WHERE terminal GROUP BY key) g USING (vec_id)",
-    "J20_direct_bridge": "SELECT a, b, CAST(count(*) AS BIGINT) AS n FROM (SELECT least(source, target) AS a, greatest(source, target) AS b FROM {occurrences} WHERE outcome = 'RESOLVED_UNIQUE' AND source <> target) GROUP BY a, b",
     "J22_inversions": """SELECT a.qid, count(*) AS pairs, CAST(sum(CASE WHEN (SELECT rank FROM {exact_ranked} e WHERE e.qid = a.qid AND e.item = a.item) > (SELECT rank FROM {exact_ranked} e WHERE e.qid = b.qid AND e.item = b.item) THEN 1 ELSE 0 END) AS BIGINT) AS inversions,
     CAST(sum(CASE WHEN a.score = b.score THEN 1 ELSE 0 END) AS BIGINT) AS ties FROM {ranked} a JOIN {ranked} b ON b.qid = a.qid AND b.rank > a.rank
     WHERE (a.qid, a.item) IN (SELECT (qid, item) FROM {exact_ranked}) AND (b.qid, b.item) IN (SELECT (qid, item) FROM {exact_ranked}) GROUP BY a.qid""",
     "J23_gold_unmapped": "SELECT qid, item FROM {judgments} WHERE grade = 2 AND item NOT IN (SELECT vec_id FROM {cache})",
     "J26_neighbour_of_gold": "SELECT source AS node FROM {edges} WHERE target IN (SELECT parent FROM {vector_lane} WHERE rank <= 2) UNION SELECT target FROM {edges} WHERE source IN (SELECT parent FROM {vector_lane} WHERE rank <= 2)",
-    "J27_probe_equality": "SELECT source, target, kind FROM (SELECT source, target, kind, bool_or(ordinal = 1) AS one, bool_or(ordinal = 2) AS two FROM {occurrences} GROUP BY source, target, kind) WHERE one AND NOT two",
     "J28_status_full_join": """SELECT (SELECT count(*) FROM {live} l JOIN {files} f ON f.path = l.path AND f.sha <> l.sha) AS stale, (SELECT count(*) FROM {live} WHERE path NOT IN (SELECT path FROM {files})) AS unindexed,
     (SELECT count(*) FROM {files} WHERE path NOT IN (SELECT path FROM {live})) AS deleted, (SELECT count(*) FROM {live} l JOIN {files} f ON f.path = l.path AND f.sha = l.sha) AS current""",
     # --- aggregates
@@ -60,13 +58,9 @@ OTHER: dict[str, str] = {
     near AS (SELECT DISTINCT s.qid, s.group_id FROM {spans} s JOIN {ranked} r ON r.qid = s.qid AND r.item = s.item WHERE r.rank <= 5)
     SELECT first_loss, n FROM (SELECT 'candidate' AS first_loss, (SELECT count(*) FROM (FROM g EXCEPT FROM found)) AS n UNION ALL SELECT 'return_limit', (SELECT count(*) FROM (FROM found EXCEPT FROM near)) UNION ALL SELECT 'none', (SELECT count(*) FROM near)) WHERE n > 0""",
     "A26_outcome_counts": "SELECT CASE WHEN l_quantity < 30 THEN 'RESOLVED_UNIQUE' WHEN l_quantity < 40 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS outcome, count(*) AS n FROM {lineitem} GROUP BY 1",
-    "A27_edge_statistics": """SELECT source, target, kind, zone, n, best_id, CAST(sum(n) OVER out AS BIGINT) AS out_total, count(target) OVER out AS out_targets, CAST(sum(n) OVER back AS BIGINT) AS in_total, count(source) OVER back AS in_sources
-    FROM {edges} WINDOW out AS (PARTITION BY source, kind, zone), back AS (PARTITION BY target, kind, zone)""",
     "A28_role_slices": "SELECT target, coalesce(production, 0) AS production, coalesce(test, 0) AS test, coalesce(benchmark, 0) AS benchmark, coalesce(example, 0) AS example FROM (PIVOT (SELECT target, lower(role) AS role FROM {occurrences}) ON role IN ('production', 'test', 'benchmark', 'example') USING count(*) GROUP BY target)",
-    "A31_endpoint_features": """SELECT source AS endpoint, count(*) AS n_edges, len(list_distinct(list(kind))) AS n_kinds, list_reverse_sort(list(n))[1] AS best, CAST(list_reverse_sort(list(n))[1] - coalesce(list_reverse_sort(list(n))[2], 0) AS BIGINT) AS gap FROM {edges} GROUP BY source""",
     "A41_rollup_check": "SELECT (SELECT sum(n) FROM (SELECT qid, count(*) AS n FROM {ranked} GROUP BY qid))::BIGINT AS by_rows, (SELECT count(*) FROM {ranked} WHERE qid IN (SELECT qid FROM {cases})) AS by_scope",
     # --- windows, orders, sets
-    "W05_first_occurrence": "SELECT source, target, occ_id, row_number() OVER (PARTITION BY source ORDER BY occ_id) AS admitted FROM (SELECT source, target, min(occ_id) AS occ_id FROM {occurrences} GROUP BY source, target)",
     "W13_seed_ranges": "SELECT qid, len(list_filter(r, lambda x: x <= 5)) AS primary_seeds, len(list_filter(r, lambda x: x <= 20)) AS all_seeds, best FROM (SELECT qid, list(rank) AS r, max(score) AS best FROM {vector_lane} GROUP BY qid)",
     "T16_seed_union": "SELECT qid, parent, least(min(v), min(l)) AS place FROM (SELECT qid, parent, rank AS v, NULL AS l FROM {vector_lane} WHERE rank <= 5 UNION ALL SELECT qid, parent, NULL, rank + 5 FROM {label_lane} WHERE rank <= 5) GROUP BY qid, parent",
     "T18_return_limit": "SELECT qid, parent, rank FROM {hybrid_fused} h WHERE (SELECT count(*) FROM {hybrid_fused} o WHERE o.qid = h.qid AND o.rank < h.rank) < 5",
@@ -77,25 +71,16 @@ OTHER: dict[str, str] = {
     "U08_plan_equality": "SELECT (SELECT count(DISTINCT (path, sha)) FROM {files} WHERE (path, sha) NOT IN (SELECT (path, sha) FROM {live})) AS only_left, (SELECT count(DISTINCT (path, sha)) FROM {live} WHERE (path, sha) NOT IN (SELECT (path, sha) FROM {files})) AS only_right",
     "A15_requirement_coverage": """WITH k AS (SELECT unnest([1, 5, 10, 20]) AS k), a AS (SELECT s.qid, k.k, s.group_id, s.alternative, bool_and(s.item IN (SELECT item FROM {ranked} r WHERE r.qid = s.qid AND r.rank <= k.k)) AS whole FROM {spans} s CROSS JOIN k GROUP BY ALL),
     g AS (SELECT qid, k, group_id, bool_or(whole) AS covered FROM a GROUP BY ALL) SELECT qid, k, round(CAST(count(*) FILTER (covered) AS DOUBLE) / count(*), 6) AS coverage, bool_and(covered) AS complete FROM g GROUP BY qid, k""",
-    "A20_fusion_diagnostics": """WITH u AS (SELECT qid, parent FROM {label_lane} UNION SELECT qid, parent FROM {vector_lane}), both_of AS (SELECT qid, parent FROM {label_lane} INTERSECT SELECT qid, parent FROM {vector_lane}),
-    r AS (SELECT u.qid, u.parent, (SELECT rank FROM {hybrid_fused} h WHERE h.qid = u.qid AND h.parent = u.parent) AS f, (SELECT rank FROM {vector_lane} v WHERE v.qid = u.qid AND v.parent = u.parent) AS v, (SELECT rank FROM {label_lane} l WHERE l.qid = u.qid AND l.parent = u.parent) AS l FROM u)
-    SELECT qid, count(*) AS candidates, (SELECT count(*) FROM both_of b WHERE b.qid = r.qid) AS both_lanes, count(*) FILTER (v IS NULL) AS lexical_only, count(*) FILTER (l IS NULL) AS vector_only,
-    round(CAST((SELECT count(*) FROM both_of b WHERE b.qid = r.qid) AS DOUBLE) / count(*), 6) AS jaccard, count(*) FILTER (f <= 5 AND (v IS NULL OR v > 5)) AS rescued, count(*) FILTER (v <= 5 AND (f IS NULL OR f > 5)) AS harmed FROM r GROUP BY qid""",
-    "A21_body_diagnostics": "SELECT qid, CAST(list_sum(list(size)) AS BIGINT) AS bytes, len(list_distinct(list(sha))) AS distinct_bodies, round(1 - CAST(len(list_distinct(list(sha))) AS DOUBLE) / count(*), 6) AS duplicate_ratio, count(*) FILTER (size > 4096) AS too_large FROM {lexical_fused} JOIN {files} ON file_id = chunk_id GROUP BY qid",
     "A23_stage_trace": """SELECT qid, group_id, CASE WHEN NOT bool_or(e.rank IS NOT NULL) THEN 1 WHEN NOT bool_or(r.rank IS NOT NULL) THEN 2 WHEN NOT bool_or(coalesce(r.rank, 99) <= 5) THEN 3 END AS first_loss
     FROM {spans} s LEFT JOIN {exact_ranked} e USING (qid, item) LEFT JOIN {ranked} r USING (qid, item) GROUP BY qid, group_id""",
-    "A25_usage_totals": "SELECT event_type AS status, count(event_id) AS requests, round(sum(value) FILTER (value > 5), 6) AS observed_tokens FROM {events} GROUP BY event_type",
     "A30_score_distribution": "SELECT qid, len(s) AS n, list_min(s) AS least, list_max(s) AS most, round(list_avg(s), 6) AS mean, round(list_stddev_pop(s), 6) AS deviation, round(list_max(s) - list_min(s), 6) AS span FROM (SELECT qid, list(score) AS s FROM {scores} GROUP BY qid)",
-    "A33_one_hop_clusters": "SELECT target, zone, len(list_distinct(list(source))) AS members, list_sort(list(concat(kind, '/', zone)))[1] AS first_label, CAST(list_sum(list(n)) AS BIGINT) AS n FROM {edges} GROUP BY target, zone",
+    "A33_one_hop_clusters": "SELECT target, tier, len(list_distinct(list(source))) AS members, list_sort(list(concat(kind, '/', tier)))[1] AS first_label, CAST(list_sum(list(n)) AS BIGINT) AS n FROM {edges} GROUP BY target, tier",
     "A34_packaging_completeness": """WITH g AS (SELECT s.qid, s.group_id, min(r.rank) AS best FROM {spans} s LEFT JOIN {ranked} r USING (qid, item) GROUP BY s.qid, s.group_id),
     late AS (SELECT s.qid, min(r.rank) FILTER (r.rank > 5) AS rank FROM {spans} s JOIN {ranked} r USING (qid, item) GROUP BY s.qid)
     SELECT g.qid, count(*) FILTER (best IS NULL OR best > 5) = 0 AS complete, count(*) FILTER (best IS NULL OR best > 5) AS missing_groups, any_value(late.rank) AS best_missing_rank FROM g LEFT JOIN late ON late.qid = g.qid GROUP BY g.qid""",
     "A38_cell_outcomes": """WITH c AS (SELECT r.qid, b.most, r.item, j.grade, j.hard FROM {ranked} r JOIN {budgets} b ON r.rank <= b.most LEFT JOIN {judgments} j USING (qid, item))
     SELECT c.qid, c.most, count(*) FILTER (grade = 2) AS direct, count(*) FILTER (grade = 1) AS support, count(*) FILTER (grade IS NULL OR grade = 0) AS noise, count(*) FILTER (hard) AS hard_negative,
     count(DISTINCT (SELECT group_id FROM {spans} s WHERE s.qid = c.qid AND s.item = c.item)) AS groups FROM c GROUP BY c.qid, c.most""",
-    "A40_delivery_rollups": """SELECT 'kind' AS dimension, kind AS value, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM {occurrences} GROUP BY kind UNION ALL SELECT 'zone', zone, count(*), CAST(sum(bytes) AS BIGINT) FROM {occurrences} GROUP BY zone
-    UNION ALL SELECT 'role', role, count(*), CAST(sum(bytes) AS BIGINT) FROM {occurrences} GROUP BY role""",
-    "J11_hits_contain_gold": "SELECT qid, item, (SELECT rank FROM {ranked} r WHERE r.qid = j.qid AND r.item = j.item) AS rank, grade FROM {judgments} j WHERE grade > 0 AND (qid, item) IN (SELECT (qid, item) FROM {ranked})",
     "J15_lexical_outer_join": "SELECT qid, chunk_id, min(t) AS text_rank, min(s) AS symbol_rank FROM (SELECT qid, chunk_id, rank AS t, NULL AS s FROM {text_lane} UNION ALL SELECT qid, chunk_id, NULL, rank FROM {symbol_lane}) GROUP BY qid, chunk_id",
     "J16_lexical_vector_outer": "SELECT qid, parent, min(l) AS lexical_rank, min(v) AS vector_rank FROM (SELECT qid, parent, rank AS l, NULL AS v FROM {label_lane} UNION ALL SELECT qid, parent, NULL, rank FROM {vector_lane}) GROUP BY qid, parent",
     "J19_hit_to_node": "SELECT qid, parent AS node, rank FROM {vector_lane} WHERE parent IN (SELECT source FROM {edges})",
@@ -116,6 +101,5 @@ OTHER: dict[str, str] = {
     "R04_lane_sources": "SELECT qid, parent, CASE coalesce(CAST(lexical_rank > 0 AS INT), 0) + 2 * coalesce(CAST(vector_rank > 0 AS INT), 0) WHEN 3 THEN 'both' WHEN 2 THEN 'vector' ELSE 'fts' END AS score_source, rank FROM {hybrid_fused}",
     "R11_key_states": "SELECT parent, CAST(sum(ready) AS BIGINT) AS ready, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(1 - ready - pending) AS BIGINT) AS invalid FROM (SELECT parent, CAST(vec_id IN (SELECT vec_id FROM {cache} WHERE scale > 0) AS INT) AS ready, CAST(vec_id NOT IN (SELECT vec_id FROM {cache}) AS INT) AS pending FROM {vectors}) GROUP BY parent",
     "R12_terminal_history": "SELECT key, id, (SELECT count(*) FROM {log} m WHERE m.terminal AND m.key = l.key AND m.id <= l.id) AS attempt FROM {log} l WHERE terminal",
-    "R24_grading_complete": "SELECT qid, item FROM {ranked} WHERE rank <= 5 AND (qid, item) NOT IN (SELECT (qid, item) FROM {judgments})",
     "R27_source_reproof": "SELECT path, (path, sha) IN (SELECT (path, sha) FROM {live}) AS proven FROM {files}",
 }

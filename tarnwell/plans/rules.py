@@ -182,27 +182,6 @@ def _p21(d: Data) -> DataFrame:
     return out
 
 
-_CHANGES = (
-    ("{}", "none"),
-    ('{"rrf_k": 61}', "policy"),
-    ('{"vector_codec": "float32"}', "storage"),
-    ('{"dimensions": 512}', "space"),
-    ('{"embedding_model": "other"}', "source"),
-    ('{"segment_target_bytes": 2048}', "canonical"),
-    ('{"languages": ["go"]}', "index"),
-    ('{"schema_version": 6}', "schema"),
-    ('{"dimensions": 512, "rrf_k": 61}', "space"),
-)
-
-
-@frame("P20_config_impact", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{i}')" for c, i in _CHANGES) + ") AS t(change, impact)")
-def _p20(d: Data) -> DataFrame:
-    """What each change of the configuration requires."""
-    from tarnwell.sources.config import impact, resolve
-
-    return d.spark.createDataFrame([(c, impact(resolve("{}"), resolve(c))) for c, _ in _CHANGES], "change string, impact string")
-
-
 # --- guards, over relations in which violations are planted --------------------------------------
 
 
