@@ -1,4 +1,4 @@
-"""Command line: index, embed, search, status, span over a worktree."""
+"""Command line: index, embed, rematerialize, collect, search, status, span over a worktree."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import os
 from pyspark.sql import SparkSession
 
 from tarnwell.service import Index
-from tarnwell.sources.config import Config, resolve
+from tarnwell.sources.config import DIMENSIONS, Config, resolve
 from tarnwell.sources.http_embedding import HttpClient
 
 
@@ -22,7 +22,9 @@ def main(args: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("index").add_argument("--dry-run", action="store_true")
     sub.add_parser("status")
-    sub.add_parser("embed")
+    sub.add_parser("embed").add_argument("--retry-terminal", action="store_true")
+    sub.add_parser("rematerialize")
+    sub.add_parser("collect")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("-k", type=int)
@@ -41,14 +43,18 @@ def main(args: list[str] | None = None) -> int:
     client, key = None, os.environ.get("TARNWELL_EMBEDDING_KEY", "")
     if a.embedding_url and key:
         known = config or Config()
-        client = HttpClient(a.embedding_url, key, known.embedding_model, known.dimensions, "query" if a.command == "search" else "document")
+        client = HttpClient(a.embedding_url, key, known.embedding_model, max(DIMENSIONS), "query" if a.command == "search" else "document")
     index = Index(spark, a.root, a.folder or os.path.join(a.root, ".tarnwell"), config, client)
     if a.command == "index":
         out = index.reindex(a.dry_run).__dict__
     elif a.command == "status":
         out = index.status()
     elif a.command == "embed":
-        out = index.embed_documents()
+        out = index.embed_documents(a.retry_terminal)
+    elif a.command == "rematerialize":
+        out = {"generation": index.rematerialize()}
+    elif a.command == "collect":
+        out = {"folders": index.store.collect()}
     elif a.command == "search":
         out = index.search(a.query, a.k, a.max_inline_bytes, a.mode)
     else:

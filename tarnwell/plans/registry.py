@@ -5,6 +5,7 @@ from __future__ import annotations
 import tarnwell.plans.code  # noqa: F401  adds its plans
 import tarnwell.plans.diagnostics  # noqa: F401
 import tarnwell.plans.rules  # noqa: F401
+import tarnwell.plans.segments  # noqa: F401
 import tarnwell.plans.typed  # noqa: F401
 from tarnwell.plans.catalog import PORTABLE
 from tarnwell.plans.frames import FRAMES, runner

@@ -17,12 +17,12 @@ DDL = {
     "symbols": "chunk_id long, original_name string, normalized_name string",
     "postings": "chunk_id long, term string, length long, tf_symbols long, tf_body long",
     "row_lengths": "chunk_id long, length long",
-    "chunk_vectors": "hash string, dimensions int, codes array<int>, scale float, norm float",
-    "segments": "id long, chunk_id long, segment_number int, canonical_input_sha256 string, canonical_text_profile string, serving_profile string, display_start_byte int, display_end_byte int",
+    "chunk_vectors": "hash string, dimensions int, codes array<int>, scale float, norm float, unit array<float>",
+    "segments": "chunk_id long, number int, header long, start long, stop long, hash string",
     "segment_projections": "segment_id long, ordinal int, start_byte int, end_byte int",
     "vector_cache": "canonical_input_sha256 string, dimensions int, codec_id string, codec_version int, codes array<tinyint>, scale float, norm float, source_profile string, materialized_at string, serving_profile string",
-    "source_bank": "canonical_input_sha256 string, source_profile string, vector array<float>, crc32 long, sha256 string",
-    "embedding_failures": "id long, source_profile string, hash string, classification string, attempts int, error_class string, last_error string, last_attempted_at string",
+    "source_bank": "hash string, source_profile string, vector array<float>, sha256 string",
+    "embedding_failures": "id long, source_profile string, hash string, classification string, last_error string",
     "embedding_runs": "id long, status string, requested long, succeeded long, failed long, discarded long, actual_cost_usd double, started_at string, finished_at string",
     "index_run_files": "run_id long, path string, action string, outcome string",
     "occurrences": "id string, source string, target string, kind string, zone string, role string, flow string, execution string, control string, outcome string, ordinal int, start_byte int, end_byte int, context array<string>",

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import text as X
 from tarnwell.functions import vectors as V
-from tarnwell.operators import chunking, fusion, lexical, packing, store
+from tarnwell.operators import capture, chunking, fusion, lexical, packing, store
 from tarnwell.operators.query import effective_shape, plan_query
 from tarnwell.sources import worktree
 from tarnwell.sources.config import Config, profiles
 from tarnwell.sources.embedding import Client, Retryable, call, embed
-from tarnwell.sources.generations import GenerationStore
+from tarnwell.sources.generations import Delta, GenerationStore
+from tarnwell.sources.published import staged
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,9 @@ class Index:
     def reindex(self, dry_run: bool = False) -> Plan:
         """Bring the index to the worktree's state; only new and changed files are scanned again.
 
-        Postings and lengths of the new chunks are made once, here; those of kept chunks
-        are taken over. Vectors are kept by the hash of a chunk's text, so they outlive it.
+        What is written is in proportion to the change: rows of new chunks, their postings,
+        lengths and segments, and the keys of what goes. Vectors are kept by the hash of a
+        segment's text, so they outlive it.
         """
         at = self.store.active()
         live = self._live().cache()
@@ -57,27 +59,27 @@ class Index:
                 return Plan(**n, applied=False, generation=at["generation"])
             files = live.select(F.xxhash64("path").alias("id"), "path", "language", F.col("sha").alias("indexed_sha256"), F.lit(0).cast("long").alias("observed_mtime_ns"), F.col("size").cast("long").alias("observed_size"))
             fresh = live.join(plan.where("status IN ('added', 'changed')").select("path"), "path", "left_semi")
-            scanned = chunking.chunk_files(fresh).withColumn("file_id", F.xxhash64("path"))
+            scanned = chunking.chunk_files(fresh).withColumn("id", F.xxhash64("path", "qualified", "start_byte")).cache()
             new = scanned.select(
-                F.xxhash64("path", "qualified", "start_byte").alias("id"), "file_id", "kind", "symbol", F.col("qualified").alias("qualified_symbol"), "signature",
+                "id", F.xxhash64("path").alias("file_id"), "kind", "symbol", F.col("qualified").alias("qualified_symbol"), "signature",
                 *(F.col(c).cast("int").alias(c) for c in ("start_byte", "end_byte", "start_line", "end_line")), F.col("body").alias("source_body"),
-            ).cache()
-            keep = plan.where("status = 'reused'").select(F.xxhash64("path").alias("file_id"))
-            kept = self.store.read("chunks", at).join(keep, "file_id", "left_semi")
-            held = kept.select(F.col("id").alias("chunk_id"))
+            )
+            # Only what changed is written: new rows, and the keys of files and chunks that go.
+            left = plan.where("status IN ('changed', 'deleted')").select(F.xxhash64("path").alias("file_id")).cache()
+            lost = self.store.read("chunks", at).join(left, "file_id", "left_semi").select(F.col("id").alias("chunk_id"))
             rows = self._tokens(new)
-            postings = self.store.read("postings", at).join(held, "chunk_id", "left_semi").unionByName(lexical.postings(rows))
-            lengths = self.store.read("row_lengths", at).join(held, "chunk_id", "left_semi").unionByName(lexical.row_lengths(rows))
             tables = {
-                "files": files,
-                "chunks": kept.unionByName(new),
+                "files": Delta(files.join(plan.where("status IN ('added', 'changed')").select("path"), "path", "left_semi"), left.select(F.col("file_id").alias("id")), "id"),
+                "chunks": Delta(new, left, "file_id"),
                 # Ordered by term, so that a query reads the row groups of its terms only.
-                "postings": postings.repartitionByRange("term").sortWithinPartitions("term"),
-                "row_lengths": lengths,
+                "postings": Delta(lexical.postings(rows).repartitionByRange("term").sortWithinPartitions("term"), lost, "chunk_id"),
+                "row_lengths": Delta(lexical.row_lengths(rows), lost, "chunk_id"),
+                "segments": Delta(self._segments(scanned), lost, "chunk_id"),
             }
             digest = store.manifest_tree(live.select("path", "sha")).first()["manifest"]
             state = self.store.publish(at["generation"], tables, digest)
-            new.unpersist()
+            scanned.unpersist()
+            left.unpersist()
             return Plan(**n, applied=True, generation=state["generation"])
         finally:
             plan.unpersist()
@@ -88,38 +90,79 @@ class Index:
         named = X.normalize_identifier(F.concat_ws(" ", "symbol", "qualified_symbol"))
         return chunks.select(F.col("id").alias("chunk_id"), X.index_tokens(F.concat_ws(" ", "symbol", "qualified_symbol", named)).alias("symbol_tokens"), X.index_tokens(F.concat_ws(" ", "signature", "source_body")).alias("body_tokens"))
 
-    def _inputs(self, at: dict) -> DataFrame:
-        """(chunk_id, hash, text) of the chunks' canonical texts."""
+    @staticmethod
+    def _text(path: Column, qualified: Column, body: Column, header: Column, start: Column, stop: Column) -> Column:
+        """The canonical text of a segment: labels, the chunk's header and the segment's own bytes."""
+        head = F.when(header > 0, X.byte_slice(body, F.lit(0), header.cast("int"))).otherwise(F.lit(""))
+        return chunking.canonical_text(path=path, symbol=qualified, body=F.concat(head, X.byte_slice(body, start.cast("int"), stop.cast("int"))))
+
+    def _segments(self, scanned: DataFrame) -> DataFrame:
+        """Segments of chunks with the hash of each one's canonical text, made once, at indexing."""
+        cut = chunking.unit_segments(scanned, self.config.segment_target_bytes, "id")
+        rows = cut.join(scanned.select("id", "path", "qualified", "body"), "id")
+        text = self._text(F.col("path"), F.col("qualified"), F.col("body"), F.col("header"), F.col("start"), F.col("stop"))
+        return rows.select(F.col("id").alias("chunk_id"), F.col("number").cast("int").alias("number"), "header", "start", "stop", F.sha2(F.encode(text, "UTF-8"), 256).alias("hash"))
+
+    def _texts(self, at: dict, hashes: DataFrame) -> DataFrame:
+        """(hash, text) of those segments only."""
         files = self.store.read("files", at).select(F.col("id").alias("file_id"), "path")
-        rows = self.store.read("chunks", at).join(files, "file_id")
-        text = chunking.canonical_text(path=F.col("path"), symbol=F.col("qualified_symbol"), body=F.col("source_body"))
-        return rows.select(F.col("id").alias("chunk_id"), text.alias("text")).withColumn("hash", F.sha2(F.encode("text", "UTF-8"), 256))
+        one = self.store.read("segments", at).join(hashes, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("chunk_id", "number", "header", "start", "stop")).alias("s")).select("hash", "s.*")
+        rows = one.join(self.store.read("chunks", at).select(F.col("id").alias("chunk_id"), "file_id", "qualified_symbol", "source_body"), "chunk_id").join(files, "file_id")
+        return rows.select("hash", self._text(F.col("path"), F.col("qualified_symbol"), F.col("source_body"), F.col("header"), F.col("start"), F.col("stop")).alias("text"))
 
     def _profile(self) -> str:
         return profiles(self.config)["storage"]
 
-    def embed_documents(self) -> dict:
-        """Ask the provider for the vectors that are missing and publish them; the counts.
+    def _source(self) -> str:
+        return profiles(self.config)["source"]
+
+    def _bank(self, at: dict) -> DataFrame:
+        """Vectors of this source that are long enough for the configured dimensions."""
+        return self.store.read("source_bank", at).where((F.col("source_profile") == self._source()) & (F.size("vector") >= self.config.dimensions))
+
+    def embed_documents(self, retry_terminal: bool = False) -> dict:
+        """Ask the provider for the segments that the bank lacks, keep its answers, and serve what is there; the counts.
 
-        Vectors made under another profile are left behind. Texts that fail are counted
-        and asked for again the next time.
+        Answers are written to the bank and the failure log before anything is made of
+        them, so none is asked for twice, whatever is lost. A text that failed for good is
+        not asked for again unless ``retry_terminal``.
         """
         if self.client is None:
             raise ValueError("no embedding client")
-        at, client, size = self.store.active(), self.client, self.config.dimensions
-        stored = self.store.read("chunk_vectors", at) if at.get("profile") == self._profile() else self.store.read("chunk_vectors", {"tables": {}})
-        wanted = self._inputs(at).groupBy("hash").agg(F.min("text").alias("text"))
-        missing = wanted.join(stored.select("hash"), "hash", "left_anti")
-        answered = embed(missing, lambda: client, size, self.config.request_inputs, self.config.request_bytes, self.config.retry_seconds).cache()  # asked once
-        try:
-            unit = answered.where("error IS NULL").withColumn("unit", V.reduce_and_normalize(F.col("vector"), size))
-            coded = unit.withColumn("scale", V.scale_of(F.col("unit"))).withColumn("codes", V.codes_of(F.col("unit"), F.col("scale"))).withColumn("norm", V.code_norm(F.col("codes"), F.col("scale")))
-            new = coded.select("hash", F.lit(size).alias("dimensions"), F.col("codes").cast("array<int>").alias("codes"), F.col("scale").cast("float").alias("scale"), F.col("norm").cast("float").alias("norm"))
-            state = self.store.publish(at["generation"], {"chunk_vectors": stored.unionByName(new)}, profile=self._profile())
-            counts = answered.agg(F.count(F.lit(1)).alias("requested"), F.count("error").alias("failed")).first()
-        finally:
-            answered.unpersist()
-        return {"requested": counts["requested"], "failed": counts["failed"], "generation": state["generation"]}
+        at, client, c = self.store.active(), self.client, self.config
+        keys = self.store.read("segments", at).select("hash").distinct()
+        failures = self.store.read("embedding_failures", at).where(F.col("source_profile") == self._source())
+        wanted = capture.plan(keys, self._bank(at), failures, retry_terminal).where("action = 'request'").select("hash")
+        size = getattr(client, "dimensions", c.dimensions)
+        asked = failed = 0
+        if not wanted.isEmpty():
+            answers = staged(embed(self._texts(at, wanted), lambda: client, size, c.request_inputs, c.request_bytes, c.retry_seconds), "answers")
+            bank, bad = capture.kept(answers)
+            source = F.lit(self._source()).alias("source_profile")
+            before = self.store.read("embedding_failures", at).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            log = bad.select((F.lit(before) + F.row_number().over(Window.orderBy("hash"))).cast("long").alias("id"), source, "hash", "classification", "last_error")
+            self.store.publish(at["generation"], {"source_bank": Delta(bank.select("hash", source, "vector", "sha256")), "embedding_failures": Delta(log)})
+            counts = answers.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).first()
+            asked, failed = counts["n"], counts["bad"]
+        return {"requested": asked, "failed": failed, "generation": self.rematerialize(whole=False)}
+
+    def rematerialize(self, whole: bool = True) -> int:
+        """Make the serving vectors anew from the bank, without a provider, and publish them; the generation.
+
+        With ``whole`` every segment must have a vector in the bank, else nothing is
+        published. Rows of the new profile take the place of all others at once.
+        """
+        at, c = self.store.active(), self.config
+        keys = self.store.read("segments", at).select("hash").distinct()
+        bank = self._bank(at).groupBy("hash").agg(F.min_by("vector", "sha256").alias("vector"))
+        rows = keys.join(bank, "hash", "left")
+        if whole:
+            n = rows.agg(F.count(F.lit(1)).alias("n"), F.count("vector").alias("have")).first()
+            if n["have"] < n["n"]:
+                raise ValueError(f"the bank has {n['have']} of {n['n']} texts")
+        made = capture.materialize(rows.where("vector IS NOT NULL"), c.dimensions, c.vector_codec)
+        state = self.store.publish(at["generation"], {"chunk_vectors": made}, profile=self._profile())
+        return state["generation"]
 
     # --- search ----------------------------------------------------------------------
 
@@ -174,37 +217,51 @@ class Index:
             r["freshness"] = self._freshness(r["path"], r["sha"])
         return {"shape": shape, "hits": result, "used_bytes": sum(r["used_bytes"] for r in result), "fallback": why, "generation": at["generation"]}
 
-    @staticmethod
-    def _valid(size: int) -> Column:
-        return F.coalesce((F.col("dimensions") == size) & (F.size("codes") == size) & (F.col("scale") > 0) & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+    def _valid(self) -> Column:
+        size = self.config.dimensions
+        coded = (F.size("codes") == size) & (F.col("scale") > 0) & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
+        plain = (F.size("unit") == size) & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
+        return F.coalesce((F.col("dimensions") == size) & (plain if self.config.vector_codec == "float32" else coded), F.lit(False))
+
+    def _stored(self, at: dict) -> DataFrame:
+        """Each active text's hash with its serving vector, if there is one; no text is read."""
+        hashes = self.store.read("segments", at).select("hash").distinct()
+        return hashes.join(self.store.read("chunk_vectors", at), "hash", "left")
 
     def _vector_lane(self, text: str, at: dict) -> tuple[DataFrame | None, str | None]:
-        """(qid, chunk_id, score, rank) from the stored vectors and one request for the query's, or why there is none."""
-        c, size = self.config, self.config.dimensions
-        active = self._inputs(at).select("chunk_id", "hash")
-        stored = active.join(self.store.read("chunk_vectors", at), "hash", "left")
-        valid = self._valid(size)
+        """(qid, chunk_id, score, rank) from the stored vectors and one request for the query's, or why there is none.
+
+        A chunk has the score of its best segment; equal ones go by path, place, chunk and
+        segment.
+        """
+        c = self.config
+        stored, valid = self._stored(at), self._valid()
         flags = [F.lit(c.allow_paid_query_embedding), F.lit(at.get("profile") == self._profile()), F.lit(self.client is not None)]
-        counts = store.vector_counts(stored, F.col("scale").isNotNull(), valid) if c.allow_paid_query_embedding else self.spark.createDataFrame([(0, 0, 0)], "n long, good long, bad long")
+        counts = store.vector_counts(stored, F.col("dimensions").isNotNull(), valid) if c.allow_paid_query_embedding else self.spark.createDataFrame([(0, 0, 0)], "n long, good long, bad long")
         reason = counts.select(store.gate_reason(*flags).alias("reason")).first()["reason"]
         if reason:
             return None, reason
         try:
-            vector = call(self.client, [text], size, c.retry_seconds)[0]
+            vector = call(self.client, [text], getattr(self.client, "dimensions", c.dimensions), c.retry_seconds)[0]
         except (Retryable, ValueError, OSError):
             return None, store.EMBEDDING_FAILED
         if self.store.active().get("profile") != at.get("profile"):
             return None, store.PROFILE_CHANGED
-        unit = V.reduce_and_normalize(F.col("vector"), size)
-        query = self.spark.createDataFrame([(vector,)], "vector array<float>").withColumn("unit", unit)
-        query = query.withColumn("qs", V.scale_of(F.col("unit"))).withColumn("qc", V.codes_of(F.col("unit"), F.col("qs"))).withColumn("qn", V.code_norm(F.col("qc"), F.col("qs")))
-        both = stored.where(valid).join(F.broadcast(query.select("qs", "qc", "qn")))  # one row
-        score = V.code_cosine(V.code_dot(F.col("qc"), F.col("codes")), F.col("qs"), F.col("qn"), F.col("scale"), F.col("norm"))
-        order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-        lane = both.select(F.lit(0).cast("long").alias("qid"), "chunk_id", score.alias("score"))
+        query = self.spark.createDataFrame([(vector,)], "vector array<float>").withColumn("qu", V.reduce_and_normalize(F.col("vector"), c.dimensions))
+        query = query.withColumn("qs", V.scale_of(F.col("qu"))).withColumn("qc", V.codes_of(F.col("qu"), F.col("qs"))).withColumn("qn", V.code_norm(F.col("qc"), F.col("qs")))
+        both = stored.where(valid).join(F.broadcast(query.select("qu", "qs", "qc", "qn")))  # one row
+        coded = V.code_cosine(V.code_dot(F.col("qc"), F.col("codes")), F.col("qs"), F.col("qn"), F.col("scale"), F.col("norm"))
+        plain = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("qu"), F.col("unit"))))
+        scored = both.select("hash", (plain if c.vector_codec == "float32" else coded).alias("score"))
+        segments = self.store.read("segments", at).select("chunk_id", "number", "hash").join(scored, "hash")
+        best = segments.groupBy("chunk_id").agg(F.min(F.struct((-F.col("score")).alias("worse"), "number")).alias("b")).select("chunk_id", (-F.col("b.worse")).alias("score"), "b.number")
+        chunks = self.store.read("chunks", at).select(F.col("id").alias("chunk_id"), "file_id", "start_byte")
+        files = self.store.read("files", at).select(F.col("id").alias("file_id"), "path")
+        order = [F.desc("score"), F.asc("path"), F.asc("start_byte"), F.asc("chunk_id"), F.asc("number")]
+        lane = best.join(chunks, "chunk_id").join(files, "file_id").select(F.lit(0).cast("long").alias("qid"), "chunk_id", "score", "path", "start_byte", "number")
         # The top of one query: cut in every task first, then numbered.
-        lane = lane.orderBy(F.desc("score"), "chunk_id").limit(c.candidate_k).withColumn("rank", F.row_number().over(order))
-        return lane, None
+        lane = lane.orderBy(*order).limit(c.candidate_k).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+        return lane.select("qid", "chunk_id", "score", "rank"), None
 
     def _freshness(self, path: str, sha: str) -> str:
         try:
@@ -214,11 +271,10 @@ class Index:
 
     def evaluation_session(self) -> dict:
         """A generation to evaluate against: pinned, and refused unless every chunk has a valid vector of this profile."""
-        at, size = self.store.active(), self.config.dimensions
+        at = self.store.active()
         if at.get("profile") != self._profile():
             raise ValueError(store.RECONCILIATION_REQUIRED)
-        stored = self._inputs(at).select("hash").distinct().join(self.store.read("chunk_vectors", at), "hash", "left")
-        n = store.vector_counts(stored, F.col("scale").isNotNull(), self._valid(size)).first()
+        n = store.vector_counts(self._stored(at), F.col("dimensions").isNotNull(), self._valid()).first()
         if not n["n"] or n["good"] < n["n"]:
             raise ValueError(f"{n['good']} of {n['n']} texts have a valid vector")
         return at

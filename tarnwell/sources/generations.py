@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +20,25 @@ class Conflict(RuntimeError):
     """The base generation is no longer the active one."""
 
 
+@dataclass(frozen=True)
+class Delta:
+    """Rows to add to a table, and the keys (one column of that name) whose rows go first."""
+
+    rows: DataFrame
+    gone: DataFrame | None = None
+    key: str = ""
+
+
+#: Parts of a table from which on it is written anew as one.
+MOST_PARTS = 8
+
+
 class GenerationStore:
     """Tables of a folder by generation. Readers keep the generation that they opened.
 
-    Data is written by Spark to folders of its own. A generation is published by
+    Data is written by Spark to folders of its own, which never change. A table is a
+    list of parts, each rows with the keys that it takes from the parts before, so a
+    change writes in proportion to itself. A generation is published by
     creating its state file, which only one publisher can do; nothing is locked, so a
     publisher that dies leaves nothing to clear away. A state that was not written to its
     end carries no valid checksum and is passed over, as is a failed write of data.
@@ -64,21 +81,47 @@ class GenerationStore:
 
     def read(self, table: str, at: dict | None = None) -> DataFrame:
         """A table of a generation; empty, with its schema, before the first."""
-        where = (at or self.active())["tables"].get(table)
-        if where is None:
+        parts = (at or self.active())["tables"].get(table)
+        if not parts:
             return self.spark.createDataFrame([], schema(table))
-        return self.spark.read.parquet(where)
-
-    def publish(self, base: int, tables: dict[str, DataFrame], manifest: str | None = None, profile: str | None = None) -> dict:
-        """Make a new generation of the given tables; the others stay. Raises Conflict if ``base`` is not active."""
+        return self._joined(parts)
+
+    def _joined(self, parts: list[dict]) -> DataFrame:
+        """The parts' rows without those that a later part takes away."""
+        out = None
+        for k, part in enumerate(parts):
+            rows = self.spark.read.parquet(part["data"])
+            later = [p for p in parts[k + 1 :] if p["gone"]]
+            for p in later:
+                gone = self.spark.read.parquet(p["gone"])
+                rows = rows.join(gone, p["key"], "left_anti").select(*rows.columns)
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
+
+    def _write(self, df: DataFrame, name: str, base: int) -> str:
+        path = f"{self.root}/{name}-{base + 1}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return path
+
+    def publish(self, base: int, tables: dict[str, DataFrame | Delta], manifest: str | None = None, profile: str | None = None) -> dict:
+        """Make a new generation of the given tables; the others stay. Raises Conflict if ``base`` is not active.
+
+        A DataFrame is the whole table, a Delta is added to what is there. A table of
+        MOST_PARTS parts is written anew as one.
+        """
         now = self.active()
         if now["generation"] != base:
             raise Conflict(f"base {base}, active {now['generation']}")
         written = dict(now["tables"])
-        for name, df in tables.items():
-            path = f"{self.root}/{name}-{base + 1}-{uuid.uuid4().hex[:8]}"
-            df.write.parquet(path)
-            written[name] = path
+        for name, table in tables.items():
+            if isinstance(table, DataFrame):
+                written[name] = [{"data": self._write(table, name, base), "gone": None, "key": ""}]
+                continue
+            part = {"data": self._write(table.rows, name, base), "gone": self._write(table.gone, f"{name}-gone", base) if table.gone is not None and written.get(name) else None, "key": table.key}
+            parts = [*written.get(name, []), part]
+            if len(parts) >= MOST_PARTS:
+                parts = [{"data": self._write(self._joined(parts), name, base), "gone": None, "key": ""}]
+            written[name] = parts
         # Numbers of states that were not written to their end are not used again.
         number = max([base, *self._published()]) + 1
         state = {"generation": number, "tables": written, "manifest": now["manifest"] if manifest is None else manifest, "profile": now.get("profile", "") if profile is None else profile}
@@ -95,6 +138,27 @@ class GenerationStore:
             out.close()
         return state
 
+    def collect(self, keep: int = 2) -> int:
+        """Delete states older than the newest ``keep`` and the data that none of these names; the number of folders.
+
+        Readers of an older generation fail from then on. Data of a publication under
+        way is newer than the active generation and stays.
+        """
+        states = [s for n in self._published() if (s := self._state(n)) is not None]
+        kept, old = states[:keep], states[keep:]
+        named = {path for s in kept for parts in s["tables"].values() for part in parts for path in (part["data"], part["gone"]) if path}
+        newest = kept[0]["generation"] if kept else 0
+        gone = 0
+        for f in self._files.listStatus(self._paths(self.root)):
+            name = str(f.getPath().getName())
+            made = re.fullmatch(r"[a-z_-]+-(\d+)-[0-9a-f]{8}", name)
+            if made and int(made.group(1)) <= newest and f"{self.root}/{name}" not in named:
+                self._files.delete(f.getPath(), True)
+                gone += 1
+        for s in old:
+            self._files.delete(self._paths(f"{self.root}/generation-{s['generation']:09d}.json"), False)
+        return gone
+
 
 def replace_file(path: str, data: bytes) -> None:
     """Write a file so that a reader sees the old or the new one, whole."""
