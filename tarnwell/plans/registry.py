@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tarnwell.plans.code  # noqa: F401  adds its plans
+import tarnwell.plans.completing  # noqa: F401
 import tarnwell.plans.diagnostics  # noqa: F401
 import tarnwell.plans.rules  # noqa: F401
 import tarnwell.plans.segments  # noqa: F401
