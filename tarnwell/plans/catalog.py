@@ -212,7 +212,6 @@ add("R04_lane_sources", "SELECT qid, parent, CASE WHEN lexical_rank IS NOT NULL
 add("R11_key_states", "SELECT v.parent, count_if(c.scale > 0) AS ready, count_if(c.vec_id IS NULL) AS pending, count_if(c.scale = 0) AS invalid FROM {vectors} v LEFT JOIN {cache} c ON c.vec_id = v.vec_id GROUP BY v.parent")
 add("R12_terminal_history", "SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY id) AS attempt FROM {log} WHERE terminal")
 add("R14_migration", "SELECT vec_id, scale, norm, '' AS source_profile, profile AS serving_profile FROM {cache} WHERE scale > 0 AND norm > 0")
-add("R16_rematerialize", "SELECT v.vec_id, v.scale, v.norm, c.profile FROM {vectors} v JOIN {cache} c ON c.vec_id = v.vec_id AND c.profile = 2")
 add("R18_related_body", "SELECT e.source, f.file_id, CASE WHEN f.size <= 1024 THEN 'whole' ELSE 'too_large' END AS outcome, CASE WHEN f.size <= 1024 THEN f.size END AS bytes FROM (SELECT DISTINCT source, target FROM {edges}) e JOIN {files} f ON f.file_id = e.target")
 add("R19_node_traits", "SELECT p.p_partkey AS node, p.p_brand AS package, count(o.occ_id) AS n FROM {part} p LEFT JOIN {occurrences} o ON o.source = p.p_partkey AND o.zone = 'SIGNATURE' GROUP BY p.p_partkey, p.p_brand")
 add("R27_source_reproof", "SELECT f.path, l.sha IS NOT DISTINCT FROM f.sha AS proven FROM {files} f LEFT JOIN {live} l ON l.path = f.path")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as X
-from tarnwell.operators import graph, packing, traits
+from tarnwell.operators import capture, graph, packing, traits
 from tarnwell.plans.frames import frame
 from tarnwell.plans.lanes import TIER_ROWS
 from tarnwell.plans.relations import QUERY_STEP, SEGMENTS, Data, relation
@@ -708,6 +708,24 @@ def _p20(d: Data) -> DataFrame:
     return d.applied_profiles.select("id", F.coalesce(*cases, F.lit("none")).alias("impact"))
 
 
+_SMALL = 16
+_SMALL_UNIT = f"list_transform(embedding[1:{_SMALL}], lambda v: CAST(CAST(v AS DOUBLE) / len AS FLOAT))"
+
+
+@frame(
+    "R16_rematerialize",
+    f"""WITH u AS (SELECT vec_id, {_SMALL_UNIT} AS unit FROM (SELECT *, sqrt(list_reduce(list_transform(embedding[1:{_SMALL}], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda a, b: a + b)) AS len FROM {{embeddings}})),
+    s AS (SELECT *, CAST(list_max(list_transform(unit, lambda v: abs(CAST(v AS DOUBLE)))) / 127 AS FLOAT) AS scale FROM u),
+    c AS (SELECT *, list_transform(unit, lambda v: greatest(-127, least(127, CAST(round(CAST(v AS DOUBLE) / CAST(scale AS DOUBLE)) AS INT)))) AS codes FROM s)
+    SELECT vec_id, {_SMALL} AS dimensions, array_to_string(codes, ',') AS codes, scale, CAST(sqrt(CAST(list_sum(list_transform(codes, lambda c: c * c)) AS DOUBLE)) * CAST(scale AS DOUBLE) AS FLOAT) AS norm FROM c""",
+)
+def _r16(d: Data) -> DataFrame:
+    """Serving vectors of fewer dimensions made from the stored full ones, without a provider: reduced, normalized and coded anew."""
+    bank = d.embeddings.select(F.col("vec_id").alias("hash"), F.col("embedding").cast("array<float>").alias("vector"))
+    made = capture.materialize(bank, _SMALL)
+    return made.select(F.col("hash").alias("vec_id"), "dimensions", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"), "scale", "norm")
+
+
 # --- packaging cells ---------------------------------------------------------------------------------------------
 
 _COUNTS, _BYTES, _FILES = (1, 3, 5), (1024, 4096, 16384), (1, 2, 4)

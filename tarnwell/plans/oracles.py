@@ -102,4 +102,41 @@ OTHER: dict[str, str] = {
     "R11_key_states": "SELECT parent, CAST(sum(ready) AS BIGINT) AS ready, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(1 - ready - pending) AS BIGINT) AS invalid FROM (SELECT parent, CAST(vec_id IN (SELECT vec_id FROM {cache} WHERE scale > 0) AS INT) AS ready, CAST(vec_id NOT IN (SELECT vec_id FROM {cache}) AS INT) AS pending FROM {vectors}) GROUP BY parent",
     "R12_terminal_history": "SELECT key, id, (SELECT count(*) FROM {log} m WHERE m.terminal AND m.key = l.key AND m.id <= l.id) AS attempt FROM {log} l WHERE terminal",
     "R27_source_reproof": "SELECT path, (path, sha) IN (SELECT (path, sha) FROM {live}) AS proven FROM {files}",
+    # --- written last
+    "S06_parent_inventory": """SELECT chunk_id, (SELECT path FROM {files} f WHERE f.file_id = c.file_id) AS path, (SELECT language FROM {files} f WHERE f.file_id = c.file_id) AS language, symbol, qualified, end_byte - start_byte AS bytes, body
+    FROM {chunks} c WHERE file_id IN (SELECT file_id FROM {files})""",
+    "S27_migrate_rows": """SELECT vec_id, scale, norm, profile, '' AS lineage, 'ready' AS state, 5 AS schema_version FROM {cache} WHERE norm > 0 AND scale > 0
+    UNION ALL SELECT vec_id, scale, norm, profile, '', 'terminal', 5 FROM {cache} WHERE norm > 0 AND NOT scale > 0""",
+    "S28_rekey_reusable": "SELECT vec_id, profile AS old_profile, 9 AS new_profile FROM {cache} WHERE profile IN (0, 2) AND scale > 0 AND (vec_id, scale, norm) IN (SELECT (vec_id, scale, norm) FROM {vectors})",
+    "P05_effective_shape": """SELECT qid, CASE WHEN h > 0 THEN CASE WHEN t > 0 AND a > 1 THEN 'mixed' ELSE 'anchor' END WHEN l = 0 THEN 'descriptive' WHEN t > 0 OR k > 1 THEN 'mixed' ELSE 'anchor' END AS shape, h AS n_high, l AS n_lane FROM (
+    SELECT qid, (SELECT count(*) FROM {fragments} f WHERE f.qid = q.qid AND confidence = 'high') AS h, (SELECT count(*) FROM {fragments} f WHERE f.qid = q.qid AND confidence = 'text') AS t, (SELECT count(*) FROM {fragments} f WHERE f.qid = q.qid) AS a,
+      (SELECT count(*) FROM {query_terms} x WHERE x.qid = q.qid) AS k, (SELECT count(*) FROM {symbol_lane} x WHERE x.qid = q.qid) AS l FROM (SELECT qid FROM {fragments} INTERSECT SELECT qid FROM {query_terms}) q)""",
+    "P11_vector_validity": "SELECT vec_id, scale > 0 AND norm > 0 AND len(codes) = 32 AND abs(norm - CAST(sqrt(CAST(list_sum(list_transform(codes, lambda c: c * c)) AS DOUBLE)) * CAST(scale AS DOUBLE) AS FLOAT)) <= 0.000001 AS valid FROM {cache}",
+    "P12_row_violations": """SELECT 'chunk range' AS violation, count(*) - count(*) FILTER (end_byte >= start_byte AND start_byte >= 0) AS n FROM {chunks}
+    UNION ALL SELECT 'empty body', count(*) FILTER (end_byte - start_byte = 0) FROM {chunks}
+    UNION ALL SELECT 'duplicate path', count(DISTINCT path) FROM (SELECT path, count(*) OVER (PARTITION BY path) AS k FROM {files}) WHERE k > 1
+    UNION ALL SELECT 'occurrence ordinal', count(*) FILTER (NOT ordinal >= 1) FROM {occurrences}
+    UNION ALL SELECT 'duplicate occurrence', count(DISTINCT occ_id) FROM (SELECT occ_id, count(*) OVER (PARTITION BY occ_id) AS k FROM {occurrences}) WHERE k > 1""",
+    "J01_matches_chunks_files": """SELECT qid, chunk_id, chunk_id NOT IN (SELECT chunk_id FROM {chunks} WHERE file_id IN (SELECT file_id FROM {live})) AS orphaned,
+    (SELECT l.path FROM {chunks} c JOIN {live} l ON l.file_id = c.file_id WHERE c.chunk_id = s.chunk_id) AS path FROM {text_scores} s""",
+    "J04_segments_chunks_files": """SELECT vec_id, parent, (SELECT qualified FROM {chunks} c WHERE c.chunk_id = v.parent) AS qualified, (SELECT f.path FROM {chunks} c JOIN {files} f ON f.file_id = c.file_id WHERE c.chunk_id = v.parent) AS path
+    FROM {vectors} v WHERE parent IN (SELECT chunk_id FROM {chunks} WHERE file_id IN (SELECT file_id FROM {files}))""",
+    "J09_meta_singleton": "SELECT file_id, path, 2 AS active_generation, count(*) OVER () AS manifest_rows FROM {files}",
+    "J14_shared_key_fanout": """SELECT b.qid, f.sha, c.chunk_id, b.score FROM (SELECT DISTINCT ON (qid, parent) qid, parent, score FROM {scores} ORDER BY qid, parent, score DESC) b, {files} f, {chunks} c
+    WHERE c.file_id = f.file_id AND f.sha = (SELECT k.sha FROM {files} k WHERE k.file_id = b.parent)""",
+    "J24_attachments_labels": """SELECT qid, item, rank, (SELECT grade FROM {judgments} j WHERE j.qid = h.qid AND j.item = h.item) AS grade, (SELECT hard FROM {judgments} j WHERE j.qid = h.qid AND j.item = h.item) AS hard,
+    (SELECT answerable FROM {cases} c WHERE c.qid = h.qid) AS answerable FROM {ranked} h""",
+    "A02_matched_terms": "SELECT t.qid, p.chunk_id, count(*) AS matched_terms, any_value(s.n) AS selected_terms FROM {query_terms} t JOIN {postings} p USING (term) JOIN (SELECT qid, count(DISTINCT term) AS n FROM {query_terms} GROUP BY qid) s ON s.qid = t.qid GROUP BY t.qid, p.chunk_id",
+    "A11_embedding_plan": """WITH k AS (SELECT sha, max(size) AS size FROM {files} GROUP BY sha), ready AS (SELECT DISTINCT sha FROM {files} JOIN {cache} ON vec_id = file_id WHERE scale > 0), bad AS (SELECT DISTINCT sha FROM {files} WHERE file_id % 13 = 4),
+    pay AS (SELECT * FROM k WHERE sha NOT IN (SELECT sha FROM ready) AND sha NOT IN (SELECT sha FROM bad))
+    SELECT (SELECT count(*) FROM k) AS distinct_keys, (SELECT count(*) FROM ready) AS ready, (SELECT count(*) FROM bad WHERE sha NOT IN (SELECT sha FROM ready)) AS skipped, (SELECT count(*) FROM pay) AS payable, CAST((SELECT coalesce(sum(size), 0) FROM pay) AS BIGINT) AS token_bound""",
+    "A35_packaging_totals": """SELECT b.most, count(*) AS queries, count(*) FILTER (best <= b.most) AS complete, count(*) FILTER (best <= b.most AND best > 1) AS wins, count(*) FILTER (best > b.most AND best <= 1) AS losses FROM {budgets} b CROSS JOIN (
+    SELECT c.qid, coalesce(min(r.rank) FILTER (j.grade = 2), 1000000) AS best FROM {cases} c LEFT JOIN {ranked} r ON r.qid = c.qid LEFT JOIN {judgments} j ON j.qid = r.qid AND j.item = r.item GROUP BY c.qid) GROUP BY b.most""",
+    "A37_budget_controls": """SELECT qid, most, bytes, count(*) AS candidates, count(*) FILTER (fits) AS emitted, count(*) - count(*) FILTER (fits) AS omitted, CAST(coalesce(sum(size) FILTER (fits), 0) AS BIGINT) AS emitted_bytes FROM (
+    SELECT r.qid, b.most, b.bytes, f.size, NOT (r.rank > b.most OR f.size > b.bytes) AS fits FROM {lexical_fused} r, {files} f, {budgets} b WHERE f.file_id = r.chunk_id) GROUP BY qid, most, bytes""",
+    "W06_source_ordinals": "SELECT a.occ_id, a.source, count(*) AS source_ordinal FROM {occurrences} a JOIN {occurrences} b ON b.source = a.source AND (b.ordinal, b.bytes, b.occ_id) <= (a.ordinal, a.bytes, a.occ_id) GROUP BY a.occ_id, a.source",
+    "T12_prefix_rerank": """SELECT e.source, e.target, e.best_id, row_number() OVER (PARTITION BY e.source ORDER BY e.n DESC, e.best_id) AS rank FROM (SELECT *, list_position(['DECLARATION_CONTRACT', 'EXECUTABLE_DEPENDENCY', 'BODY_REFERENCE', 'DECLARATION_STRUCTURE'], tier) AS place FROM {edges}) e
+    JOIN (SELECT source, min(list_position(['DECLARATION_CONTRACT', 'EXECUTABLE_DEPENDENCY', 'BODY_REFERENCE', 'DECLARATION_STRUCTURE'], tier)) AS least FROM {edges} GROUP BY source) m ON m.source = e.source AND m.least = e.place""",
+    "R02_reference_scores": "SELECT qid, vec_id, max(score) FILTER (k = 1) AS score, max(score) FILTER (k = 2) AS reference FROM (SELECT qid, vec_id, score, 1 AS k FROM {scores} UNION ALL SELECT qid, vec_id, score, 2 FROM {exact_scores}) GROUP BY qid, vec_id HAVING count(*) = 2",
+    "R14_migration": "SELECT vec_id, scale, norm, '' AS source_profile, vec_id % 3 AS serving_profile FROM {vectors} WHERE vec_id % 7 <> 2 AND vec_id % 11 <> 5 AND scale > 0 AND norm > 0",
 }
