@@ -1,4 +1,4 @@
-"""Command line: index, embed, rematerialize, collect, search, status, span over a worktree."""
+"""Command line: index, embed, rematerialize, collect, search, status, span, info over a worktree."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from tarnwell.service import Index
 from tarnwell.sources.config import DIMENSIONS, Config, resolve
 from tarnwell.sources.http_embedding import HttpClient
+from tarnwell.sources.runtime import build_info, capabilities, repository_root
 
 
 def main(args: list[str] | None = None) -> int:
@@ -24,6 +25,7 @@ def main(args: list[str] | None = None) -> int:
     sub.add_parser("status")
     sub.add_parser("embed").add_argument("--retry-terminal", action="store_true")
     sub.add_parser("rematerialize")
+    sub.add_parser("info")
     sub.add_parser("collect")
     s = sub.add_parser("search")
     s.add_argument("query")
@@ -53,6 +55,8 @@ def main(args: list[str] | None = None) -> int:
         out = index.embed_documents(a.retry_terminal)
     elif a.command == "rematerialize":
         out = {"generation": index.rematerialize()}
+    elif a.command == "info":
+        out = {"build": build_info(), "root": repository_root(a.root), "capabilities": capabilities(spark, a.root, client)}
     elif a.command == "collect":
         out = {"folders": index.store.collect()}
     elif a.command == "search":

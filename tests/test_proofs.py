@@ -143,3 +143,24 @@ def test_promotion_needs_fresh_evidence(spark, tmp_path):
     open(name, "a").write(" ")
     with pytest.raises(ValueError, match="checksum"):
         P.check_promotion(folder, {"sorted": none, "unique": none}, {"ranks": ranks})
+
+
+def test_runtime_says_what_it_is(spark, tmp_path):
+    from tarnwell.sources import runtime
+    from tarnwell.sources.generations import verify_artifact, write_artifact
+
+    info = runtime.build_info()
+    assert len(info["source_sha256"]) == 64 and info == runtime.build_info()
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / "a" / ".git").mkdir()
+    assert runtime.repository_root(str(deep)) == os.path.realpath(tmp_path / "a") and runtime.repository_root("/") is None
+    found = runtime.capabilities(spark, str(deep))
+    assert found["git"] and found["repository"] and found["executors_share_it"] and found["arrow_workers"] and not found["embedding_provider"]
+    rows = spark.createDataFrame([(1, "a|b\nc"), (2, None)], "n int, what string")
+    report = runtime.markdown(rows.orderBy("n"), "Gates")
+    assert report.decode() == "# Gates\n\n| n | what |\n|-|-|\n| 1 | a\\|b c |\n| 2 |  |\n"
+    write_artifact(str(tmp_path / "r"), {"report.md": report})
+    verify_artifact(str(tmp_path / "r"))
+    with pytest.raises(ValueError):
+        runtime.markdown(spark.range(5), "x", most=3)
