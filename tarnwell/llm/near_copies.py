@@ -133,7 +133,8 @@ def _compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
     # Sorted and merged at every size, as the sets of many rows can't be sent to all tasks.
     whole = rows.join(parted_by(sets, rows, "node")[0].hint("merge"), "node").select("root", "piece", "side", "node", "grp", "shingles")
     whole = whole.repartition("root", "piece").sortWithinPartitions("root", "piece")
-    return stage(whole.mapInPandas(_compare, "a long, b long"), "links")
+    # Sets are as large as texts, so they too go through in small batches.
+    return stage(small_batches(whole).mapInPandas(_compare, "a long, b long"), "links")
 
 
 def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:

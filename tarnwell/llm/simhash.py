@@ -318,7 +318,7 @@ def near_copy_search(documents: int, missed: float = 0.002) -> SimHash:
     far less. The budgets lie well above the bits expected at 0.8 (8 of those behind a
     block, 39 of 256), so what is found is a candidate, to be compared exactly.
     """
-    lead = min(20, max(12, round(math.log2(max(1, documents))) - 6))
+    lead = min(32, max(12, round(math.log2(max(1, documents))) - 6))
     blocks = math.ceil(math.log(missed) / math.log(1 - (1 - APART) ** lead))
     words = max(4, math.ceil(blocks / (64 // lead)))
     return SimHash(width=5, words=words, budget=18, total_budget=64, rotations=64 // lead, lead_bits=lead, distinct=True)
