@@ -6,8 +6,9 @@ quantisation errors, known from their own rows. A pair whose quantised product i
 above the threshold by more than its bound is a link, one below by more is none,
 and only the rest is computed again in double precision.
 
-Equal vectors are one node from the start. Nodes are dealt to tiles, and each pair of
-tiles is one piece of work. Only codes, scales and errors are shuffled to the pairs; a
+Equal vectors are one node from the start. Nodes are dealt to tiles and tiles to groups;
+each pair of groups is one piece of work, in which every two tiles are multiplied. So a
+tile is sent once for each group, not once for each tile. Only codes, scales and errors are shuffled to the pairs; a
 tile's doubles are one file in the shared folder, which a piece opens where it has pairs
 near the threshold. It returns sums of links per node and a spanning forest of its links,
 never the links themselves.
@@ -29,6 +30,8 @@ from tarnwell.llm.common import connected_components, forget, hook, open_in, ope
 THRESHOLD = 0.95
 #: Vectors of a tile, and the bytes of its doubles above which it holds fewer (but LEAST_TILE at least).
 TILE, TILE_BYTES, LEAST_TILE = 16_384, 32 << 20, 1024
+#: Tiles are put into groups of so many at most, once a tile would else be sent to more than COPIES pieces.
+GROUP, COPIES = 16, 24
 #: Rows of the left tile that are multiplied at a time.
 STRIP = 256
 #: Bound on rounding of the float32 product of exact integers and of its scaling, at unit length.
@@ -134,24 +137,35 @@ def _opened(row, dim: int) -> Tile:
     return Tile(np.frombuffer(row.codes, np.int8).reshape(-1, dim), np.frombuffer(row.scale, "<f8"), np.frombuffer(row.error, "<f8"), load)
 
 
-def _compare(pair: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between two tiles, or within one: rows (node, links, root), root the tiles' spanning forest."""
-    pair = pair.sort_values("tile")
-    dim = int(pair["dim"].iloc[0])
-    nodes = [np.frombuffer(b, "<i8") for b in pair["nodes"]]
-    copies = [np.frombuffer(b, "<i8") for b in pair["copies"]]
-    tiles = [_opened(row, dim) for row in pair.itertuples()]
-    alone = len(tiles) == 1
-    if alone != (pair["a"].iloc[0] == pair["b"].iloc[0]):
-        return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")  # the other tile is empty
-    shift = 0 if alone else len(nodes[0])
+def _compare(piece: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between the tiles of two groups, or within one: rows (node, links, root), root the piece's spanning forest."""
+    piece = piece.sort_values("tile")
+    dim, a, b = int(piece["dim"].iloc[0]), int(piece["a"].iloc[0]), int(piece["b"].iloc[0])
+    nodes = [np.frombuffer(x, "<i8") for x in piece["nodes"]]
+    copies = [np.frombuffer(x, "<i8") for x in piece["copies"]]
+    tiles = [_opened(row, dim) for row in piece.itertuples()]
+    groups = piece["group"].tolist()
+    start = np.concatenate([[0], np.cumsum([len(n) for n in nodes])])
     ids, many = np.concatenate(nodes), np.concatenate(copies)
     links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for i, j, _, _ in tile_links(tiles[0], None if alone else tiles[1], threshold):
-        j = j + shift
-        np.add.at(links, i, many[j])
-        np.add.at(links, j, many[i])
-        labels = hook(labels, i, j)
+    ids_of = lambda k: np.arange(start[k], start[k + 1])
+    for x, left in enumerate(tiles):
+        for y in range(x, len(tiles)):
+            # Between two groups only pairs across them are compared.
+            if a != b and groups[x] == groups[y]:
+                continue
+            # Links of the two tiles are united among themselves first.
+            both = ids_of(x) if x == y else np.concatenate([ids_of(x), ids_of(y)])
+            own, shift = np.arange(len(both)), 0 if x == y else len(nodes[x])
+            for i, j, _, _ in tile_links(left, None if x == y else tiles[y], threshold):
+                np.add.at(links, i + start[x], many[j + start[y]])
+                np.add.at(links, j + start[y], many[i + start[x]])
+                own = hook(own, i, j + shift)
+            moved = np.flatnonzero(own != np.arange(len(own)))
+            labels = hook(labels, both[moved], both[own[moved]])
+            if y > x:
+                tiles[y].held = None  # doubles of two tiles are held at a time
+        left.held = None
     some = np.flatnonzero(links)
     return pd.DataFrame({"node": ids[some], "links": links[some], "root": ids[labels[some]]})
 
@@ -181,8 +195,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         folder = f"{shared_dir(vectors.sparkSession)}/tarnwell-doubles-{uuid.uuid4().hex}"
         forget(vectors.sparkSession, folder)
         whole = stage(dealt.groupBy("dim", "tile").applyInPandas(lambda r: _tile(r, folder), _TILE_ROW), "tiles")
-        pairs = whole.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-        pairs = pairs.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")}).drop("other", "tiles")
+        side = F.greatest(F.lit(1), F.least(F.lit(GROUP), F.expr(f"tiles div {COPIES}")))
+        pairs = whole.withColumn("side", side).withColumn("group", F.expr("CAST(tile div side AS INT)"))
+        pairs = pairs.withColumn("other", F.explode(F.expr("sequence(0, CAST((tiles - 1) div side AS INT))")))
+        pairs = pairs.withColumns({"a": F.least("group", "other"), "b": F.greatest("group", "other")}).drop("other", "tiles", "side")
         found = pairs.groupBy("dim", "a", "b").applyInPandas(lambda p: _compare(p, threshold), "node long, links long, root long")
         found = stage(found, "links")
         roots = stage(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")

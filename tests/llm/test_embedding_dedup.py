@@ -54,7 +54,7 @@ def test_against_brute_force(spark):
     random.Random(0).shuffle(rows)
     df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id long, embedding array<float>, component_id string, node int")
     want = sorted(brute(rows, 0.95), key=str)
-    for tile in (4096, 40):
+    for tile in (4096, 40, 3):  # one tile, one group a tile, groups of several tiles
         assert sorted(map(tuple, near_duplicates(df, tile=tile).collect()), key=str) == want
     assert near_duplicates(df.limit(0)).count() == 0
     assert [tuple(r) for r in near_duplicates(spark.createDataFrame([(1, None)], df.schema["vec_id"].name + " long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
