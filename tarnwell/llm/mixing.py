@@ -16,6 +16,7 @@ covers is arithmetic on its interval, so no block is ever a row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from tarnwell.llm.common import stage, word_count
 CYCLE = (5.0, 2.0, 1.0)
 #: The least target is made of so many blocks, so that a block is half a percent of it, or one word.
 BLOCKS = 200
+#: So many equal rows, and more, are numbered, so that they spread over the shards.
+MANY = 4096
 #: No target is above this many times its source's size.
 CEILING = 3
 
@@ -95,6 +98,28 @@ def _covered(upto: Column, start: Column, run: Column, words: Column) -> Column:
     return straight + wrapped
 
 
+def numbered_copies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``copy``: 0, and 0, 1, .. for the rows of a key that MANY rows or more share.
+
+    The rows of such a key are counted in each partition and the counts added up, so no
+    task orders more of them than a partition holds. Which of equal rows gets which
+    number is left open, and no result depends on it.
+    """
+    many = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= MANY).drop("_rows"), "many")
+    if many.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    of = many.select(*(F.col(k).alias(f"_of_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    some = stage(rows.withColumn("_at", F.spark_partition_id()).join(of, same, "left_semi"), "copies")
+    counts = some.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_at").alias("_of_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_at").orderBy("_at"))
+    some = some.withColumn("_within", within).join(counts, same & (F.col("_at") == F.col("_of_at")))
+    some = some.select(*rows.columns, (F.col("_before") + F.col("_within") - 1).cast("long").alias("copy"))
+    return rows.join(of, same, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(some)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = CYCLE, ceiling: int = CEILING, block: int = 32, shard_words: int = 1 << 18, fan_out: int = 1024, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
@@ -102,7 +127,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = CYCLE, ceiling: int = CEILIN
     to ``ceiling`` times its size. The order in a shard is by a seeded hash of
     doc_id, size and text, so reruns agree, and rows that share a doc_id or have none are
     spread like others; rows that are equal in all of these are told apart only by their
-    position, which changes nothing but which of them is taken, and come back as often. A null text has size
+    position, which changes nothing but which of them is taken, and come back as often;
+    MANY and more of these are numbered and spread over the shards. A null text has size
     0 and takes nothing; a null source is a source of its own, ranked last; a source
     without words has target 0. An empty table gives no rows. Only doc_id, text and
     source are read.
@@ -119,8 +145,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = CYCLE, ceiling: int = CEILIN
     sources = stage(sainte_lague(sources, ["_all"], ["source"], "target", "_seats", "blocks").drop("_all", "_seats"), "sources")
     at = sources.select(F.col("source").alias("of"), "n_shards")
     placed = sizes.join(at, sizes["source"].eqNullSafe(at["of"]), "left").drop("of")
+    placed = numbered_copies(placed, ["source", "doc_id", "size", "of_text"])
     placed = placed.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "of_text")).drop("of_text")
-    placed = stage(placed.withColumn("shard", F.expr("CAST(pmod(xxhash64(order), n_shards) AS INT)")).drop("n_shards"), "placed")
+    # Very many equal rows are spread by their number, others lie together.
+    spread = F.expr("CASE WHEN copy = 0 THEN xxhash64(order) ELSE xxhash64(order, copy) END")
+    placed = stage(placed.withColumn("shard", F.pmod(spread, F.col("n_shards")).cast("int")).drop("n_shards", "copy"), "placed")
 
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     blocks = sources.select(F.col("source").alias("of"), "block")

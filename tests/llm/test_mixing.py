@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import xxhash
 
+from tarnwell.llm import mixing
 from tarnwell.llm.mixing import mix, sainte_lague, targets
 
 
@@ -144,3 +145,22 @@ def test_small_sources_get_their_words(spark):
             taken[r.source] += r.taken
         for r in got:
             assert abs(taken[r.source] - r.target) <= max(1, 0.01 * r.target), (total, r)
+
+
+def test_very_many_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MANY", 500)
+    rows = [(None, "a b c", "x")] * 3000 + [(None, None, "x")] * 900 + [(7, "one two", "y")] * 600 + [(k, "p q", "z") for k in range(400)] + [(9, "s t", "z")] * 5
+    results = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        out = mixing.mix(df, shard_words=256)
+        equal = out.where("doc_id IS NULL AND size = 3").groupBy("shard").count().collect()
+        assert len(equal) > 20 and max(r["count"] for r in equal) < 400
+        assert out.where("doc_id IS NULL AND size = 0").select("shard").distinct().count() > 20
+        got = sorted(map(tuple, out.select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
+        assert len(got) == len(rows) and all(0 <= r[4] <= 3 * r[1] for r in got)
+        results.append(got)
+    assert results[0] == results[1]
+    taken = {s: sum(r[4] for r in results[0] if r[2] == s) for s in {r[2] for r in results[0]}}
+    for _, _, source_size, target, _ in results[0]:
+        assert abs(taken[source_size] - target) <= 0.05 * target + 2
