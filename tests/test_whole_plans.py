@@ -26,13 +26,36 @@ def same_as_sql(rows, name):
     return sorted((tuple(r[c] for c in names) for r in rows), key=str) == want
 
 
-def test_direct_bridges_of_all_edges(spark, data):
+def test_direct_bridges_join_the_two_anchors(spark, data):
+    """Every edge is held against the two anchors of every query; an edge with one anchor, or none, is no bridge."""
     got = QUERIES["J20_direct_bridge"](spark, TABLES).collect()
-    want = {}
-    for r in data.edges.collect():
-        pair = min(r.source, r.target), max(r.source, r.target)
-        want[pair] = want.get(pair, 0) + r.n
-    assert {(r.a, r.b): r.n for r in got} == want and same_as_sql(got, "J20_direct_bridge")
+    anchors = {}
+    for r in data.top_anchors.collect():
+        anchors.setdefault(r.qid, set()).add(r.parent)
+    edges = data.edges.collect()
+    want = {(q, e.source, e.target, e.kind, e.tier, e.n) for q, pair in anchors.items() for e in edges if len(pair) == 2 and {e.source, e.target} == pair}
+    assert {tuple(r) for r in got} == want and same_as_sql(got, "J20_direct_bridge")
+
+
+def test_bridges_are_reserved_and_selected(spark):
+    """A bridge that stronger edges leave out of its buckets displaces the last of them; policies choose or abstain."""
+    from tarnwell.operators import graph
+
+    rows = [(1, k, "CALL", "EXECUTABLE_DEPENDENCY", 9, f"b{k}", 1) for k in range(10, 13)] + [(k, 2, "CALL", "EXECUTABLE_DEPENDENCY", 9, f"c{k}", 1) for k in range(20, 23)]
+    rows += [(1, 2, "CALL", "EXECUTABLE_DEPENDENCY", 1, "a1", 1), (3, 4, "TYPE_REF", "DECLARATION_CONTRACT", 1, "t1", 1), (3, 5, "TYPE_REF", "DECLARATION_CONTRACT", 5, "t2", 1), (7, 5, "TYPE_REF", "DECLARATION_CONTRACT", 1, "t3", 1)]
+    edges = graph.statistics(spark.createDataFrame(rows, "source long, target long, kind string, tier string, n long, best_id string, roles long"))
+    anchors = spark.createDataFrame([(0, 1, 1, "FORWARD"), (0, 2, 2, "FORWARD"), (5, 3, 1, "FORWARD"), (6, 99, 1, "FORWARD")], "qid long, node long, anchor int, wanted string")
+    dense = spark.createDataFrame([(5, 4, 3)], "qid long, node long, rank int")
+    final = graph.frontier(graph.views(edges, anchors, dense))
+    found = {(r.qid, r.source, r.target): r for r in final.collect()}
+    assert {k for k in found if k[0] == 0} == {(0, 1, 10), (0, 1, 2), (0, 20, 2), (0, 21, 2)} and found[0, 1, 2].bridge
+    assert {k for k in found if k[0] == 5} == {(5, 3, 4), (5, 3, 5)}
+    queries = spark.createDataFrame([(0,), (5,), (6,)], "qid long")
+    chosen = {(r.qid, r.policy): (r.outcome, r.source, r.target) for r in graph.select_edge(final, queries).collect()}
+    assert chosen[0, "cap_only"] == ("SELECTED", 1, 10) and chosen[0, "bridge"] == ("SELECTED", 1, 2) and chosen[0, "graph_only"] == ("DIRECT_BRIDGE", 1, 2)
+    # One end of the two is in the dense ranks, so one edge is left.
+    assert chosen[5, "graph_only"] == ("ONE_WINNER", 3, 5) and chosen[5, "bridge"] == ("NO_DIRECT_ANCHOR_BRIDGE", None, None)
+    assert chosen[6, "cap_only"] == ("NO_FRONTIER_EDGE", None, None) and chosen[6, "graph_only"] == ("NO_CANDIDATE", None, None)
 
 
 def test_replacement_of_all_parents(spark, data):
