@@ -85,8 +85,9 @@ def _filled(templates: tuple[str, str]) -> F.Column:
 def code_files(d: Data) -> DataFrame:
     """One Go and one TypeScript file for each part, of two shapes."""
     name = F.concat(F.lit("pkg"), (F.col("p_partkey") % 50).cast("string"), F.lit("/f"), F.col("p_partkey").cast("string"))
-    go = d.part.select(F.concat(name, F.lit(".go")).alias("path"), F.lit("go").alias("language"), _filled(_GO).alias("body"))
-    return go.unionAll(d.part.select(F.concat(name, F.lit(".ts")), F.lit("ts"), _filled(_TS)))
+    part = chunking.spread(d.part.select("p_partkey", "p_size"), "p_partkey")
+    go = part.select(F.concat(name, F.lit(".go")).alias("path"), F.lit("go").alias("language"), _filled(_GO).alias("body"))
+    return go.unionAll(part.select(F.concat(name, F.lit(".ts")), F.lit("ts"), _filled(_TS)))
 
 
 _PATH = "'pkg' || (p_partkey % 50) || '/f' || p_partkey"
