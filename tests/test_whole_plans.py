@@ -103,3 +103,19 @@ def test_tail_after_head_is_cut_after_both(spark, monkeypatch):
     monkeypatch.setattr(Data, "__getattr__", lambda self, name: {"hybrid_fused": head, "vector_lane": lane}[name])
     rows = QUERIES["W12_tail_after_head"](spark, TABLES).collect()
     assert sorted((r["rank"], r["parent"]) for r in rows) == [(k, 100 + k if k <= 5 else k - 5) for k in range(1, 21)]
+
+
+def test_vectors_of_one_split_are_scored_by_many_tasks(spark):
+    """Tiles of vectors go to many tasks; nulls, other lengths and repeated ids stay as a sum over pairs has them."""
+    from tarnwell.operators import vector
+
+    kinds = "vec_id long, parent long, label int, codes array<int>, scale float, norm float"
+    odd = [(1, 1, 0, [1, 2, 3], 0.5, 2.0), (2, 1, 1, None, 0.5, 1.0), (3, None, 1, [1, None, 3], 0.5, 1.0), (4, 2, None, [1, 2], 0.5, 1.0), (4, 2, None, [-127, 127, 5], 0.5, 1.0)]
+    v = spark.createDataFrame(odd, kinds)
+    # Where there is no product the clamp gives 1, as it did before.
+    product = {(a[0], b[0], 1.0 if not a[3] or not b[3] or len(a[3]) != len(b[3]) or None in a[3] + b[3] else max(-1.0, min(1.0, round(sum(x * y for x, y in zip(a[3], b[3])) * a[4] * b[4] / (a[5] * b[5]), 6)))) for a in odd for b in odd}
+    rows = vector.score_all(v, v, block=2).collect()
+    assert len(rows) == 25 and {(r.qid, r.vec_id, r.score) for r in rows} == product
+    many = spark.range(0, 400, 1, 1).selectExpr("id AS vec_id", "id AS parent", "1 AS label", "array(1, 2) AS codes", "float(1) AS scale", "float(1) AS norm")
+    scored = vector.score_all(many.where("vec_id % 50 = 0"), many)
+    assert scored.count() == 3200 and scored.rdd.getNumPartitions() >= 8
