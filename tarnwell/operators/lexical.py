@@ -46,6 +46,12 @@ def corpus_size(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("length").alias("mean_length"))
 
 
+def term_weights(frequency: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, idf, mean_length) of (term, n); ``corpus`` is one row."""
+    idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    return frequency.join(F.broadcast(corpus)).select("term", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"), "mean_length")
+
+
 def bm25(found: DataFrame, corpus: DataFrame, query_terms: DataFrame, symbol_weight: float = SYMBOL_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
     """(qid, chunk_id, score, matched_terms, selected_terms): weighted BM25, higher is better.
 
@@ -54,9 +60,7 @@ def bm25(found: DataFrame, corpus: DataFrame, query_terms: DataFrame, symbol_wei
     either field; the floor keeps very common terms from counting against a row.
     The terms' weights are as many as the terms of the queries.
     """
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = frequency.join(F.broadcast(corpus)).select("term", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"), "mean_length")
+    weights = term_weights(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")), corpus)
     tf = symbol_weight * F.col("tf_symbols") + body_weight * F.col("tf_body")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     weighted = found.join(weights, "term").select("term", "chunk_id", part.alias("part"))
@@ -100,18 +104,23 @@ def symbol_lane(anchors: DataFrame, symbols: DataFrame, chunks: DataFrame, files
     """Chunks with a symbol equal to an anchor, raw or normalized, in five tiers.
 
     The disjunction is a union of two equi-joins, so that both hash instead of a
-    nested loop; the tier's minimum merges rows that match both ways.
+    nested loop; the tier's minimum merges rows that match both ways. What an anchor
+    finds depends on its text alone, so each different text is looked up and limited
+    once, however many queries ask for it.
     """
     names = symbols.select("chunk_id", "original_name", "normalized_name")
-    raw = anchors.join(names, anchors["raw"] == names["original_name"])
-    folded = anchors.join(names, anchors["normalized"] == names["normalized_name"])
+    texts = anchors.select("raw", "normalized").distinct()
+    raw = texts.join(names, texts["raw"] == names["original_name"])
+    folded = texts.join(names, texts["normalized"] == names["normalized_name"])
     rows = raw.unionByName(folded).distinct()
     rows = rows.join(chunks.select("chunk_id", "file_id", "symbol", "qualified", "start_byte"), "chunk_id").join(files.select("file_id", "path"), "file_id")
     same, alike = F.col("original_name") == F.col("raw"), F.col("normalized_name") == F.col("normalized")
     full, short = F.col("original_name") == F.col("qualified"), F.col("original_name") == F.col("symbol")
     tier = F.when(same & full, 1).when(same & short, 2).when(alike & full, 3).when(alike & short, 4).otherwise(5)
-    rows = rows.withColumn("tier", tier)
-    return _anchored(rows, [F.col("path"), F.col("qualified"), F.col("start_byte"), F.col("chunk_id")], limit)
+    order = [F.col("path"), F.col("qualified"), F.col("start_byte"), F.col("chunk_id")]
+    by_text = Window.partitionBy("raw", "normalized").orderBy("tier", *order)
+    rows = rows.withColumn("tier", tier).withColumn("k", F.row_number().over(by_text)).where(F.col("k") <= limit)
+    return _anchored(anchors.join(rows, ["raw", "normalized"]), order, limit)
 
 
 #: Letters of a piece of a path by which an infix finds the paths that may hold it.
@@ -144,7 +153,8 @@ def path_holds(anchors: DataFrame, files: DataFrame) -> DataFrame:
     words = F.split("normalized", " ")
     longest = F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     held = anchors.withColumns({"infix": infix, "gram": F.when(F.length(longest) >= GRAM, F.substring(longest, 1, GRAM))})
-    paths = files.select("file_id", "path", F.lower("path").alias("lower_path"))
+    # Dealt to tasks by number: paths are few bytes, what they are held against is not.
+    paths = files.select("file_id", "path", F.lower("path").alias("lower_path")).repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "file_id")
     starts = F.when(F.length("lower_path") >= GRAM, F.sequence(F.lit(1), F.length("lower_path") - GRAM + 1))
     cut = paths.withColumn("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("lower_path"), i, F.lit(GRAM))))))
     found = cut.join(held.where("gram IS NOT NULL"), F.col("piece") == F.col("gram")).drop("piece")
