@@ -1,9 +1,11 @@
 """Lanes of many queries by tiles, held against the lanes by joins and the control's definition."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as X
 from tarnwell.operators import lexical, tiles
+import tarnwell.plans.registry  # noqa: F401 - all relations
 from tarnwell.plans.relations import Data
 
 TABLES = "/root/testdata/sf0.001"
@@ -64,3 +66,15 @@ def test_queries_that_match_nothing(spark):
     docs = d.forward.withColumn("name", F.lit(None).cast("string"))
     assert tiles.text_lane(docs, none, spark.createDataFrame([], "qid long, normalized string")).count() == 0
     assert tiles.text_lane(docs.where("false"), none, spark.createDataFrame([], "qid long, normalized string")).count() == 0
+
+
+def test_control_by_tiles_is_the_control_by_joins(spark):
+    d, _ = _copied(spark)
+    words = {new: X.normalize_identifier(F.col(old)) for new, old in (("path_words", "path"), ("qualified_words", "qualified"), ("symbol_words_only", "symbol"))}
+    docs = d.forward.withColumns(words)
+    names = d.anchors.where("lane = 'symbol'").groupBy("qid").agg(*(F.min(F.when(F.col("ord") == k, F.col("normalized"))).alias(f"name_{k}") for k in (1, 2)))
+    rows = d.control.join(docs, "chunk_id").join(names, "qid", "left")
+    exact = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False)).desc()
+    order = [exact("qualified_words", "name_1"), exact("symbol_words_only", "name_2"), F.desc("path_matched"), F.desc("matched"), "path_words", "start_byte", "end_byte", "qualified", "sha", "path"]
+    want = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where("rank <= 20").select("qid", "chunk_id", "matched", "rank")
+    assert _rows(tiles.control_lane(docs, d.query_terms, names, rows=50, block=7)) == _rows(want)
