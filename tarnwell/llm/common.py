@@ -61,17 +61,17 @@ def forget(spark: SparkSession, path: str) -> None:
         scopes[-1].append(path)
 
 
-def write(df: DataFrame, name: str) -> str:
+def write(df: DataFrame, name: str, **options) -> str:
     """Write ``df`` to the shared folder; its path. It is deleted when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnwell-{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).options(**options).parquet(path)
     where, files = _hadoop_path(spark, path)
     files.deleteOnExit(where)
     return path
 
 
-def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage: work above a staged table is neither repeated for a
@@ -80,7 +80,7 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     ``scope``, or with the one around that if it is to be kept, else when the
     application ends.
     """
-    path = write(df, name)
+    path = write(df, name, **options)
     scopes = _scopes.get()
     if len(scopes) > keep:
         scopes[-1 - keep].append(path)
@@ -123,8 +123,8 @@ def scope(spark: SparkSession) -> Iterator[None]:
 TEXT_ROWS = 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df`` in a sibling of its session, whose Arrow batches have at most TEXT_ROWS rows.
+def small_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
+    """``df`` in a sibling of its session, whose Arrow batches have at most ``rows`` rows.
 
     The default of 10,000 rows of whole texts takes some 100 MB of each worker. The
     sibling has all settings of the caller's session, which itself stays as it is.
@@ -133,7 +133,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(own.conf.get(key))
-    own.conf.set(key, min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS)
+    own.conf.set(key, min(now, rows) if now > 0 else rows)
     plan = df._jdf.queryExecution().analyzed()
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan), own)
 
