@@ -13,20 +13,28 @@ marked and added up by phrase. Equal suffixes are counted together before they a
 shuffled. Single words are counted first, as the dictionary needs that anyway.
 
 Words are written as codes of one to three bytes, the most frequent ones in the
-fewest (a dictionary of bounded size), and others in full. Where the dictionary holds
-every word that is frequent enough for a phrase, suffixes end before any other word.
-Neither changes a result, only how much is shuffled.
+fewest (a dictionary of bounded size), and others in full. Suffixes end before words
+that are too rare for a phrase: those without a code, or, where there are more frequent
+words than codes, those that are not marked in a table of bounded size. Two words of one
+mark only let a suffix go on that could have ended.
+
+Texts are parsed, and words and suffixes counted, as whole columns of numpy and Arrow.
+So are the sorted suffixes before they come to the stack: of each only the words stay
+up to which its prefix is frequent, and what then is equal is added up. None of this
+changes a result, only how much is shuffled and stacked.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,21 +47,38 @@ TOP = 2000
 NO_LANG = "und"
 #: Words with a code of their own; so many are sent to all tasks (some tens of megabytes).
 CODES = 1 << 18
-#: Different suffixes or words that a task counts before it hands them on.
-HELD = 500_000
+#: Bits of a table of marks (16 MB); a power of two of at least 64.
+MARKS = 1 << 27
+#: Words, bytes of texts and suffixes that a task counts together before it hands them on.
+HELD_WORDS, HELD_BYTES, HELD_SUFFIXES = 2 << 20, 32 << 20, 1 << 20
 
-_BREAK = b"\xff"  # no byte of UTF-8
-# A-Z lowered, the ends of pieces, and tabs as spaces.
-_PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\v\f\r\t", bytes(range(97, 123)) + _BREAK * 10 + b" ")
+# A-Z lowered, the ends of pieces as line feeds, and tabs as spaces.
+_PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\v\f\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 #: First bytes of codes of two and three bytes and of a word in full; all others are codes of one byte.
 _TWO, _THREE, _FULL = 0x80, 0xC0, 0xF0
+#: Bytes of a code by its first byte; 0 of a word in full.
+_LENGTHS = np.repeat(np.array([1, 2, 3, 0]), np.diff([0, _TWO, _THREE, _FULL, 256]))
+#: Sorted suffixes that are looked at together before they come to the stack.
+STACKED = 1 << 18
 #: Sampled suffixes for each range.
 _SAMPLED = 100
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """The words of a text in order, and a mark wherever a piece ends."""
-    return (text or b"").translate(_PLAIN).replace(_BREAK, b" " + _BREAK + b" ").split()
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in order, and whether another of the same piece comes after each."""
+    plain = b"\n".join(texts).translate(_PLAIN)
+    letters = np.frombuffer(plain, np.uint8)
+    inside = np.zeros(len(letters) + 2, bool)
+    inside[1:-1] = (letters != 32) & (letters != 10)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts = edges[::2]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(edges[1::2] - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(plain.translate(None, b" \n"))])
+    goes_on = np.ones(len(starts) + 1, bool)
+    goes_on[np.searchsorted(starts, np.flatnonzero(letters == 10))] = False  # the first word of a piece
+    goes_on[-1] = False
+    return words, goes_on[1:]
 
 
 def code_of(place: int) -> bytes:
@@ -89,91 +114,199 @@ def _end(key: bytes, at: int) -> int:
     return at + 1 if first < _TWO else at + 2 if first < _THREE else at + 3 if first < _FULL else key.index(0, at) + 1
 
 
-class _Codes(dict):
-    """Codes of one language's words; none for what no phrase can hold."""
+class Marks:
+    """A set of numbers as bits of a table; it may seem to hold others of the same bit.
 
-    def __init__(self, lang: str, known: dict[bytes, int], complete: bool):
-        super().__init__((w, code_of(i)) for w, i in known.items())
-        self.lang, self.complete = lang, complete
+    Only the filled 64 bits of the table are sent, at most all of them.
+    """
+
+    def __init__(self, numbers: DataFrame, bits: int):
+        slots = numbers.select((F.col("number") % bits).alias("slot")).select(F.expr("slot >> 6").alias("at"), F.expr("shiftleft(1L, CAST(slot & 63 AS INT))").alias("bit"))
+        filled = slots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.bits, self.at, self.filled = bits, filled["at"].to_numpy(), filled["bits"].to_numpy().view(np.uint64)
 
-    def __missing__(self, word: bytes) -> bytes:
-        return b"" if self.complete or word == _BREAK else _in_full(self.lang, word)
+    def test(self):
+        """A function from an array of numbers to whether they are marked."""
+        table = np.zeros(self.bits >> 6, np.uint64)
+        table[self.at] = self.filled
 
+        def among(numbers: np.ndarray) -> np.ndarray:
+            slots = numbers.astype(np.uint64) & np.uint64(self.bits - 1)
+            return (table[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-def _grouped(piece: pa.RecordBatch) -> dict[str, list[bytes]]:
-    """The words of a piece of the table by language, a mark after each text."""
-    found: dict[str, list[bytes]] = defaultdict(list)
-    texts = piece.column("text").cast(pa.binary()).to_pylist()
-    for lang, text in zip(piece.column("lang").to_pylist(), texts):
-        if text:
-            found[lang] += words_of(text)
-            found[lang].append(_BREAK)
-    return found
+        return among
 
 
-def _counted(batches, each, schema: pa.Schema, unpack) -> Iterator[pa.RecordBatch]:
-    """Counts of what ``each`` gives of a piece, handed on when there are HELD different ones."""
-    counts: Counter = Counter()
+def _held_words(batches) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """What ``words_of`` gives of many texts of a language together, HELD_WORDS at a time."""
+    held: dict[str, list] = defaultdict(list)
+    n = size = 0
+
+    def joined(parts):
+        words, goes_on = zip(*parts)
+        return pa.concat_arrays(words), np.concatenate(goes_on)
 
     def hand_on():
-        columns = unpack(list(counts), list(counts.values()))
-        rows = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-        counts.clear()
-        for at in range(0, rows.num_rows, 10_000):
-            yield rows.slice(at, 10_000)
+        for lang in list(held):
+            yield lang, *joined(held.pop(lang))
+        pa.default_memory_pool().release_unused()
 
     for batch in batches:
         for piece in pieces(batch):
-            for keys in each(piece):
-                counts.update(keys)
-                if len(counts) >= HELD:
-                    yield from hand_on()
-    if counts:
-        yield from hand_on()
+            texts: dict[str, list[bytes]] = defaultdict(list)
+            for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
+                if text:
+                    texts[lang].append(text)
+            for lang, some in texts.items():
+                words, goes_on = words_of(some)
+                if len(words):
+                    held[lang].append((words, goes_on))
+                    n, size = n + len(words), size + sum(map(len, some))
+            if n >= HELD_WORDS or size >= HELD_BYTES:
+                yield from hand_on()
+                n = size = 0
+    yield from hand_on()
+
+
+def _rows(schema: pa.Schema, columns: list) -> Iterator[pa.RecordBatch]:
+    rows = pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    for at in range(0, rows.num_rows, 10_000):
+        yield rows.slice(at, 10_000)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """Occurrences of every word: lang, word (binary), n."""
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
-    def each(piece):
-        for lang, words in _grouped(piece).items():
-            counted = Counter(words)
-            counted.pop(_BREAK, None)
-            yield {(lang, w): n for w, n in counted.items()}
-
     def run(batches):
-        yield from _counted(batches, each, schema, lambda keys, n: [[k[0] for k in keys], [k[1] for k in keys], n])
+        for lang, words, _ in _held_words(batches):
+            counted = words.value_counts()
+            yield from _rows(schema, [pa.repeat(lang, len(counted)), counted.field("values"), counted.field("counts")])
 
     return docs.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _suffixes(docs: DataFrame, sent, most: int, bounds: list[bytes]) -> DataFrame:
-    """Different suffixes of two words and more of each task: key (codes), range, n."""
+class Dictionary:
+    """Coded words of each language, the most frequent ones, and marks of other frequent ones if there are more."""
+
+    def __init__(self, frequent: DataFrame, codes: int, marks: int):
+        # At most ``codes`` rows come to the driver: all that are frequent, or the most frequent.
+        chosen = frequent.orderBy(F.desc("n"), "lang", "word").limit(codes).select("lang", "word").toArrow()
+        langs = np.array(chosen["lang"].to_pylist(), object)
+        words = chosen["word"].combine_chunks().cast(pa.binary())
+        self.size = len(words)
+        self.coded = {lang: (words.take(pa.array(at)), at) for lang in set(langs.tolist()) for at in [np.flatnonzero(langs == lang)]}
+        others = frequent.select(F.crc32(F.concat(F.col("lang").cast("binary"), "word")).alias("number"))
+        self.marks = Marks(others, marks) if frequent.count() > codes else None
+
+    def spelled(self) -> dict[bytes, tuple[str, bytes]]:
+        return {code_of(i): (lang, w) for lang, (words, at) in self.coded.items() for w, i in zip(words.to_pylist(), at.tolist())}
+
+    def numbers(self):
+        """A function from a language and its words to numbers of the words: places of codes, higher ones of other words, -1 of those that no phrase holds."""
+        among = self.marks and self.marks.test()
+
+        def of(lang: str, words: pa.Array) -> np.ndarray:
+            numbers = np.full(len(words), -1, np.int64)
+            if lang in self.coded:
+                coded, at = self.coded[lang]
+                found = pc.fill_null(pc.index_in(words, value_set=coded), -1).to_numpy(zero_copy_only=False)
+                numbers[found >= 0] = at[found[found >= 0]]
+            if among:
+                rest, before = np.flatnonzero(numbers < 0), crc32(lang.encode())
+                crcs = np.fromiter((crc32(w, before) for w in words.take(pa.array(rest)).to_pylist()), np.int64, len(rest))
+                numbers[rest] = np.where(among(crcs), self.size + crcs, -1)
+            return numbers
+
+        return of
+
+
+def suffixes_of(docs: DataFrame, sent, most: int, bounds: list[bytes]) -> DataFrame:
+    """Different suffixes of two words and more that each task counts together: key (codes), range, n."""
     schema = pa.schema([("key", pa.binary()), ("range", pa.int32()), ("n", pa.int64())])
 
-    def each(piece, coders):
-        for lang, words in _grouped(piece).items():
-            if lang not in coders:
-                known, complete = sent.value
-                coders[lang] = _Codes(lang, known.get(lang, {}), complete)
-            codes = list(map(coders[lang].__getitem__, words))
-            at = np.zeros(len(codes) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)), out=at[1:])
-            there = at[1:] > at[:-1]
-            breaks = np.append(np.flatnonzero(~there), len(codes))
-            places = np.flatnonzero(there[:-1] & there[1:])  # a word with another after it
-            ends = np.minimum(places + most, breaks[np.searchsorted(breaks, places)])
-            joined = b"".join(codes)
-            yield [joined[a:b] for a, b in zip(at[places].tolist(), at[ends].tolist())]
+    def coded(lang, words, goes_on, of):
+        """Codes (the first one empty), the place of each word's code in them, places where suffixes begin, and whether each word ends one."""
+        known = words.dictionary_encode()
+        distinct, index = of(lang, known.dictionary), known.indices.to_numpy()
+        there = (distinct >= 0)[index]
+        places = np.flatnonzero(there[:-1] & there[1:] & goes_on[:-1])
+        ends = np.ones(len(index), bool)
+        ends[places] = False
+        used = np.flatnonzero(distinct >= 0)
+        spelled = zip(distinct[used].tolist(), known.dictionary.take(pa.array(used)).to_pylist())
+        codes = pa.array([b"", *(code_of(i) if i < sent.value.size else _in_full(lang, w) for i, w in spelled)], pa.binary())
+        code = np.zeros(len(distinct), np.int32)
+        code[used] = np.arange(1, len(used) + 1)
+        return codes, code[index], places, ends
+
+    def counted(codes, code, at, ends):
+        parts, here = [codes.take(pa.array(code[at]))], np.ones(len(at), bool)
+        for _ in range(1, most):
+            here = here & ~ends[at]
+            at = np.where(here, at + 1, at)
+            parts.append(codes.take(pa.array(np.where(here, code[at], 0))))
+        found = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.binary())).value_counts()
+        order = pc.sort_indices(found.field("values"))
+        keys = found.field("values").take(order)
+        cuts = [bisect_left(range(len(keys)), b, key=lambda i: keys[i].as_py()) for b in bounds]
+        return [keys, np.repeat(np.arange(len(bounds) + 1), np.diff([0, *cuts, len(keys)])), found.field("counts").take(order)]
 
     def run(batches):
-        coders: dict = {}
-        yield from _counted(batches, lambda piece: each(piece, coders), schema, lambda keys, n: [keys, [bisect_right(bounds, k) for k in keys], n])
+        of = sent.value.numbers()
+        for lang, words, goes_on in _held_words(batches):
+            codes, code, places, ends = coded(lang, words, goes_on, of)
+            del words, goes_on
+            for first in range(0, len(places), HELD_SUFFIXES):
+                yield from _rows(schema, counted(codes, code, places[first : first + HELD_SUFFIXES], ends))
 
     return docs.mapInArrow(run, "key binary, range int, n long")
 
 
+def shortened(keys: pa.Array, n: np.ndarray, least: int, most: int) -> Iterator[tuple[bytes, int]]:
+    """Sorted suffixes, each up to the words of its longest prefix of ``least`` occurrences, equal neighbours added up.
+
+    Those without such a prefix of two words are left out. Prefixes of the first and of the
+    last suffix may occur before or after, so suffixes that share one keep it.
+    """
+    rows, offsets = len(keys), np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    data = keys.buffers()[2].to_pybytes()
+    letters = np.frombuffer(data + b"\0", np.uint8)
+    starts, lengths = offsets[:-1], np.diff(offsets)
+    # Bytes in common with the suffix before.
+    common = np.zeros(rows, np.int64)
+    same, shorter = np.arange(1, rows), np.minimum(lengths[1:], lengths[:-1])
+    for at in range(int(shorter.max(initial=0))):
+        same = same[shorter[same - 1] > at]
+        same = same[letters[starts[same] + at] == letters[starts[same - 1] + at]]
+        if not len(same):
+            break
+        common[same] = at + 1
+    zeros = np.flatnonzero(letters == 0)
+    kept, upto, end = np.zeros(rows, bool), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for k in range(1, most + 1):
+        there = end < lengths
+        step = _LENGTHS[letters[starts + np.where(there, end, 0)]]
+        if len(full := np.flatnonzero(there & (step == 0))):
+            at = starts[full] + end[full]
+            step[full] = zeros[np.searchsorted(zeros, at)] + 1 - at
+        end = np.where(there, end + step, end)
+        if k > 1:
+            begins = ~there | (common < end)
+            begins[0] = True
+            run, total = np.cumsum(begins) - 1, np.add.reduceat(n, np.flatnonzero(begins))
+            total[[0, -1]] = least
+            now = there & (total >= least)[run]
+            kept |= now
+            upto[now] = end[now]
+    at = np.flatnonzero(kept)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (upto[at[1:]] != upto[at[:-1]]) | (common[at[1:]] < upto[at[1:]])
+    first = np.flatnonzero(new)
+    at, n = at[first], np.add.reduceat(n[at], first)
+    yield from zip([data[a:b] for a, b in zip(starts[at].tolist(), (starts[at] + upto[at]).tolist())], n.tolist())
+
+
 def prefix_counts(rows, least: int) -> Iterator[tuple[bytes, int, int, bool]]:
     """(prefix, words, count, open) of sorted (suffix, count): complete ones of ``least`` and more, and all open ones.
 
@@ -210,35 +343,40 @@ def prefix_counts(rows, least: int) -> Iterator[tuple[bytes, int, int, bool]]:
         yield pop()
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, codes: int = CODES) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, codes: int = CODES, marks: int = MARKS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of every phrase of up to ``most`` words and ``least`` occurrences, and (lang, n)."""
     spark = docs.sparkSession
     words = stage(word_counts(docs), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
-    complete = frequent.count() <= codes
-    # At most ``codes`` rows come to the driver: all that are frequent, or the most frequent.
-    chosen = frequent.orderBy(F.desc("n"), "lang", "word").limit(codes).collect()
-    known: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for i, row in enumerate(chosen):
-        known[row["lang"]][bytes(row["word"])] = i
-    sent = spark.sparkContext.broadcast((dict(known), complete))
+    sent = spark.sparkContext.broadcast(Dictionary(frequent, codes, marks))
     # Bounds of the ranges by a sample of texts; they change how even the tasks are and nothing else.
     n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     wanted = _SAMPLED * n_ranges
-    some = _suffixes(docs.sample(min(1.0, 50 * wanted / max(n_words, 1)), seed=1), sent, most, []).select("key")
+    some = suffixes_of(docs.sample(min(1.0, 50 * wanted / max(n_words, 1)), seed=1), sent, most, []).select("key")
     keys = sorted(bytes(r["key"]) for r in some.orderBy(F.xxhash64("key")).limit(wanted).collect())
     bounds = sorted({keys[k * len(keys) // n_ranges] for k in range(1, n_ranges)}) if keys else []
-    suffixes = _suffixes(docs, sent, most, bounds).repartitionById(len(bounds) + 1, F.col("range")).drop("range").sortWithinPartitions(F.desc("key"))
+    suffixes = suffixes_of(docs, sent, most, bounds).repartitionById(len(bounds) + 1, F.col("range")).drop("range").sortWithinPartitions(F.desc("key"))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64()), ("open", pa.bool_())])
 
+    def together(held):
+        keys = pa.concat_arrays([b.column("key").cast(pa.binary()) for b in held])
+        return shortened(keys, np.concatenate([b.column("n").to_numpy() for b in held]), least, most)
+
     def rows(batches):
+        held, size = [], 0
         for batch in batches:
-            yield from zip(batch.column("key").to_pylist(), batch.column("n").to_pylist())
+            held.append(batch)
+            size += batch.num_rows
+            if size >= STACKED:
+                yield from together(held)
+                held, size = [], 0
+        if size:
+            yield from together(held)
 
     def run(batches):
-        spelled = {code_of(i): (lang, w) for lang, of in sent.value[0].items() for w, i in of.items()}
+        spelled = sent.value.spelled()
         found = []
 
         def spell(key: bytes) -> tuple[str, str]:
@@ -269,7 +407,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, c
     return stage(counted.where("NOT open").drop("open").unionByName(parts).unionByName(single), "phrases", keep=True), totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, absorbed: int = ABSORBED, top: int = TOP, codes: int = CODES) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, absorbed: int = ABSORBED, top: int = TOP, codes: int = CODES, marks: int = MARKS) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score.
 
     A phrase of 2 to ``most`` words with ``least`` occurrences (a) is a candidate. Cut in
@@ -285,7 +423,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, ab
     """
     with scope(docs.sparkSession):
         slim = small_batches(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text")))
-        counts, totals = phrase_counts(slim, least, most, codes)
+        counts, totals = phrase_counts(slim, least, most, codes, marks)
         totals = stage(totals, "totals", keep=True)
     candidates = counts.where("words > 1")
     parted = F.split("phrase", " ")

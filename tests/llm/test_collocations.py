@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwell.llm import collocations as c
 
@@ -112,3 +115,46 @@ def test_empty(spark):
     got = c.collocations(docs)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and got.count() == 0
     assert c.collocations(spark.createDataFrame([(1, None, None, "", 0), (2, "a, b.", "en", "", 0)], SCHEMA)).count() == 0
+
+
+def test_stack_gets_what_is_frequent_only():
+    """Sorted suffixes, shortened in blocks, give the same counts of two words and more; most rows don't reach the stack."""
+    rng = random.Random(5)
+    codes = [c.code_of(k) for k in (0, 1, 2, 127, 128, 300, 1 << 14, 1 << 17)] + [c._in_full("l", b"q"), c._in_full("l", b"qq" * 90), c._in_full("", b"a\x00")]
+    for some, n_rows in ((codes, 4000), (codes[:2], 300), (codes, 1)):
+        keys = Counter(b"".join(rng.choice(some) for _ in range(rng.randrange(2, 6))) for _ in range(n_rows))
+        keys = sorted([*keys.items(), *list(keys.items())[::3]], reverse=True)
+        for least in (1, 3, 12, 40):
+            whole = [x for x in c.prefix_counts(iter(keys), least) if x[1] > 1]
+            for block in (1, 7, 1000, 10_000):
+                left = []
+                for at in range(0, len(keys), block):
+                    part = keys[at : at + block]
+                    left += c.shortened(pa.array([b"!", *(k for k, _ in part)], pa.binary())[1:], np.array([n for _, n in part]), least, 5)
+                assert sorted(x for x in c.prefix_counts(iter(left), least) if x[1] > 1) == sorted(whole)
+                assert len(left) < len(keys) / 8 or block < 10_000 or least < 40 or len(keys) < 1000
+
+
+def test_suffixes_end_before_rare_words(spark):
+    """With more frequent words than codes, rare words still end a suffix."""
+    rows = [(f"new york r{k} is big s{k}", lang) for lang in ("en", "und") for k in range(150)]
+    docs = spark.createDataFrame([(k, t, lang, "", 0) for k, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
+    for codes in (c.CODES, 3, 0):
+        sent = spark.sparkContext.broadcast(c.Dictionary(c.word_counts(docs).where("n >= 100"), codes, c.MARKS))
+        got = c.suffixes_of(docs, sent, 5, []).groupBy("key").agg(F.sum("n").alias("n")).collect()
+        assert [r.n for r in got] == [150] * 4
+
+
+@pytest.mark.parametrize(("codes", "marks"), [(1 << 18, 64), (6, 64), (6, 1 << 27), (0, 1 << 10)])
+def test_marks_of_few_bits_change_nothing(spark, codes, marks):
+    rows = texts(11, 400)
+    docs = spark.createDataFrame([(k, t, lang, "", 0) for k, (t, lang) in enumerate(rows)], SCHEMA).repartition(5)
+    assert sorted(map(tuple, c.collocations(docs, least=4, codes=codes, marks=marks).collect())) == plain(rows, 4, 5, 100, 2000)
+
+
+def test_words_and_pieces():
+    words, goes_on = c.words_of([b"\tThe  CAT.sat \xc3\xa9\x00\n\n", b"on", b" .", b"a\tb"])
+    assert words.to_pylist() == [b"the", b"cat", b"sat", b"\xc3\xa9\x00", b"on", b"a", b"b"]
+    assert goes_on.tolist() == [True, False, True, False, False, True, False]
+    words, goes_on = c.words_of([b" .", b"\n"])
+    assert len(words) == len(goes_on) == 0
