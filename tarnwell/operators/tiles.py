@@ -20,6 +20,8 @@ from tarnwell.operators import lexical
 
 #: Rows and tokens of a tile, and queries that are held against it at a time.
 ROWS, TOKENS, BLOCK = 8192, 4_000_000, 20_000
+#: Queries that are held against a tile at a time if all that they match leaves it.
+MATCH_BLOCK = 2048
 #: Decimals of a score, and how far below a kept score one may lie that rounds to the same.
 DECIMALS = 6
 MARGIN = 2 * 10.0**-DECIMALS
@@ -150,6 +152,57 @@ def _control_tile(limit: int, schema: pa.Schema):
     return pick
 
 
+def _match_tile(schema: pa.Schema, scored: bool):
+    """Every row that holds a term of a query, a list of them for each query; rows of one chunk_id are one chunk."""
+
+    def pick(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        if not docs.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        chunks = pc.dictionary_encode(docs["chunk_id"].combine_chunks(), null_encoding="encode")
+        code = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n, vocabulary, terms = len(chunks.dictionary), *_coded(asked["terms"])
+        lists = Lists([docs["symbol_words"], docs["body_words"], docs["path_words"]], vocabulary)
+        # Pairs of chunk and term; a chunk of several rows has their counts together.
+        width = max(1, len(vocabulary))
+        pairs, at = np.unique(code[lists.rows] * width + lists.terms, return_inverse=True)
+        counts = [np.bincount(at, c, len(pairs)) for c in lists.counts]
+        owner, term = pairs // width, pairs % width
+        order = np.argsort(term, kind="stable")
+        ends = np.searchsorted(term[order], np.arange(width + 1))[1:-1]
+        by_term = lambda values: np.split(values[order], ends)
+        rows, in_path, part, times = by_term(owner), by_term(counts[2] > 0), None, np.ones(n, np.int64)
+        if scored:
+            idf = np.zeros(width)
+            idf[np.concatenate(terms)] = asked["idfs"].combine_chunks().flatten().to_numpy()
+            mean = asked["mean_length"][0].as_py()
+            by_code, times = np.argsort(code, kind="stable"), np.bincount(code, minlength=n)
+            first = np.cumsum(times) - times
+            pair = np.repeat(np.arange(len(pairs)), times[owner])
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(times[owner]) - times[owner], times[owner])
+            length = docs["length"].to_numpy()[by_code[first[owner[pair]] + place]]
+            tf = (lexical.SYMBOL_WEIGHT * counts[0] + lexical.BODY_WEIGHT * counts[1])[pair]
+            each = idf[term[pair]] * tf * (lexical.K1 + 1) / (tf + lexical.K1 * (1 - lexical.B + lexical.B * length / mean))
+            part = by_term(np.bincount(pair, each, len(pairs)))
+        found, sizes = [], []
+        for own in terms:
+            matched, more = np.zeros(n, np.int64), np.zeros(n, float if scored else bool)
+            for t in own:
+                matched[rows[t]] += 1
+                if scored:
+                    more[rows[t]] += part[t]
+                else:
+                    more[rows[t][in_path[t]]] = True
+            kept = np.flatnonzero(matched)
+            sizes.append(len(kept))
+            found.append((kept, matched[kept] * times[kept], more[kept]))
+        kept, matched, more = (np.concatenate(x) for x in zip(*found))
+        offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        listed = pa.StructArray.from_arrays([chunks.dictionary.take(pa.array(kept)), pa.array(matched), pa.array(more)], fields=list(schema.field("found").type.value_type))
+        return pa.table([asked["qid"], pa.ListArray.from_arrays(offsets, listed).cast(schema.field("found").type)], schema=schema)
+
+    return pick
+
+
 def _against(docs: DataFrame, queries: DataFrame, n_queries: int, make, limit: int, columns: str, rows: int, block: int) -> DataFrame:
     """``make``'s rows of every tile with every block of queries; ``docs`` have chunk_id and length, ``queries`` qid."""
     from pyspark.sql import types as T
@@ -187,6 +240,41 @@ def frequencies(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
     return found.join(query_terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _weighted(docs: DataFrame, query_terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, t, mean_length), the terms of each query that rows hold with their weights, and (qid, selected_terms)."""
+    weights = lexical.term_weights(frequencies(docs, query_terms), lexical.corpus_size(docs))
+    asked = query_terms.select("qid", "term").distinct()
+    selected = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("selected_terms"))
+    lists = asked.join(weights, "term").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"), F.max("mean_length").alias("mean_length"))
+    return lists, selected
+
+
+def scores(docs: DataFrame, query_terms: DataFrame, rows: int = ROWS, block: int = MATCH_BLOCK) -> DataFrame:
+    """All scores of ``lexical.bm25``: (qid, chunk_id, score, matched_terms, selected_terms), for which no match is shuffled.
+
+    ``docs`` have chunk_id, length, symbol_words and body_words (space-joined).
+    """
+    lists, selected = _weighted(docs, query_terms)
+    queries = lists.select("qid", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs"), "mean_length")
+    held = docs.select("chunk_id", "length", "symbol_words", "body_words", F.lit("").alias("path_words"))
+    columns = "qid long, found array<struct<chunk_id:long,matched_terms:long,sum:double>>"
+    found = _against(held, queries, selected.count(), lambda _, schema: _match_tile(schema, True), 0, columns, rows, block)
+    found = found.join(selected, "qid").select("qid", F.explode("found").alias("f"), "selected_terms")
+    return found.select("qid", "f.chunk_id", F.round("f.sum", DECIMALS).alias("score"), "f.matched_terms", "selected_terms")
+
+
+def matches(docs: DataFrame, query_terms: DataFrame, rows: int = ROWS, block: int = MATCH_BLOCK) -> DataFrame:
+    """(qid, chunk_id, matched, path_matched): chunks with any term of a query, how many different ones, and whether one is in the path.
+
+    ``docs`` have chunk_id, length, symbol_words, body_words and path_words; a chunk may have several rows.
+    """
+    queries = query_terms.select("qid", "term").distinct().groupBy("qid").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    columns = "qid long, found array<struct<chunk_id:long,matched:long,path_matched:boolean>>"
+    held = docs.select("chunk_id", "length", "symbol_words", "body_words", "path_words")
+    found = _against(held, queries, queries.select("qid").count(), lambda _, schema: _match_tile(schema, False), 0, columns, rows, block)
+    return found.select("qid", F.explode("found").alias("f")).select("qid", "f.*")
+
+
 def text_lane(docs: DataFrame, query_terms: DataFrame, names: DataFrame, limit: int = lexical.CANDIDATES, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """The lane of ``lexical.text_lane`` over the scores of ``lexical.bm25``, of many queries.
 
@@ -194,10 +282,7 @@ def text_lane(docs: DataFrame, query_terms: DataFrame, names: DataFrame, limit:
     the normalized qualified name; ``names`` are (qid, normalized) that make a row exact.
     """
     docs = docs.where("chunk_id IS NOT NULL")
-    weights = lexical.term_weights(frequencies(docs, query_terms), lexical.corpus_size(docs))
-    asked = query_terms.select("qid", "term").distinct()
-    selected = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("selected_terms"))
-    lists = asked.join(weights, "term").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"), F.max("mean_length").alias("mean_length"))
+    lists, selected = _weighted(docs, query_terms)
     exact = names.groupBy("qid").agg(F.collect_set("normalized").alias("names"))
     queries = lists.join(selected, "qid").join(exact, "qid", "left")
     queries = queries.select("qid", "selected_terms", "mean_length", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))

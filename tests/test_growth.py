@@ -1,6 +1,6 @@
 """Plans whose memory or shuffles must not grow with the tables as they did."""
 
-from tarnwell.operators import chunking, resolution
+from tarnwell.operators import chunking, resolution, tiles
 from tarnwell.plans import shapes
 
 
@@ -23,3 +23,59 @@ def test_no_table_of_the_resolution_is_broadcast(spark, monkeypatch):
     assert sum("SortMergeJoin" in p for p in plans) > 5
     assert not any("Broadcast" in p for p in plans)
     assert rows.count() == 3 * 191
+
+
+WORDS = "chunk_id long, symbol_words string, body_words string, path_words string, length long"
+
+
+def word_rows(spark):
+    rows = [(k, "a b" if k % 3 else "", " ".join("abcd"[j % 4] for j in range(k % 5)), "", 2 * (k % 3 > 0) + k % 5) for k in range(1, 20)]
+    return spark.createDataFrame([*rows, (None, "a", "c", "", 2), (30, None, None, "", 0), (31, "a", "", "", 1), (31, "", "a b", "", 2)], WORDS)
+
+
+def test_all_scores_of_many_queries_by_tiles(spark):
+    from collections import Counter
+    from math import log
+
+    docs = word_rows(spark)
+    terms = spark.createDataFrame([(1, "a", 1), (1, "c", 2), (2, "b", 1), (3, "nowhere", 1), (4, "a", 1), (4, "nowhere", 2)], "qid long, term string, rank long")
+    asked = {1: "ac", 2: "b", 3: [], 4: "a"}
+    rows = docs.where("chunk_id IS NULL OR chunk_id <> 31").collect()
+    held = [(r.chunk_id, Counter((r.symbol_words or "").split()), Counter((r.body_words or "").split()), r.length) for r in rows]
+    mean = sum(r[3] for r in held) / len(held)
+    want = set()
+    for q, own in asked.items():
+        for c, s, b, length in held:
+            score = 0.0
+            for t in (t for t in own if s[t] + b[t]):
+                n, tf = sum(1 for x in held if x[1][t] + x[2][t]), 5 * s[t] + b[t]
+                idf = log((len(held) - n + 0.5) / (n + 0.5))
+                score += (idf if idf > 0 else 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+            if any(s[t] + b[t] for t in own):
+                want.add((q, c, round(score, 5), sum(1 for t in own if s[t] + b[t]), 2 if q in (1, 4) else 1))
+    got = tiles.scores(docs.where("chunk_id IS NULL OR chunk_id <> 31"), terms, rows=5, block=2).collect()
+    assert len(got) == len(want) and {(r.qid, r.chunk_id, round(r.score, 5), r.matched_terms, r.selected_terms) for r in got} == want
+
+
+def test_no_match_of_a_query_is_shuffled(spark):
+    """What leaves the tiles is the plan's rows: no exchange stands above them."""
+    from tarnwell.plans.registry import QUERIES
+
+    for name in ("A02_matched_terms", "A18_lexical_control"):
+        plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Generate explode(found" in plan and plan.index("Generate explode(found") < plan.index("Exchange")
+
+
+def test_all_matches_of_the_control_by_tiles(spark):
+    docs = word_rows(spark).unionByName(spark.createDataFrame([(2, "", "", "a x", 0), (30, "", "", "c", 0)], WORDS))
+    terms = spark.createDataFrame([(1, "a", 1), (1, "c", 2), (2, "x", 1), (3, "nowhere", 1)], "qid long, term string, rank long")
+    asked, want = {1: {"a", "c"}, 2: {"x"}}, {}
+    for r in docs.collect():
+        path = set(r.path_words.split())
+        for q, own in asked.items():
+            hit, in_path = want.get((q, r.chunk_id), (set(), False))
+            hit = hit | (own & ({*(r.symbol_words or "").split(), *(r.body_words or "").split()} | path))
+            want[q, r.chunk_id] = (hit, in_path or bool(own & path))
+    want = {(*k, len(hit), p) for k, (hit, p) in want.items() if hit}
+    got = tiles.matches(docs, terms, rows=4, block=1).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
