@@ -1,7 +1,9 @@
 """Plans whose memory or shuffles must not grow with the tables as they did."""
 
-from tarnwell.operators import chunking, resolution, tiles
+from tarnwell.operators import chunking, fusion, resolution, tiles, vector
 from tarnwell.plans import shapes
+from tarnwell.plans.registry import QUERIES
+from tarnwell.plans.relations import Data
 
 
 def plan_of(df):
@@ -59,8 +61,6 @@ def test_all_scores_of_many_queries_by_tiles(spark):
 
 def test_no_match_of_a_query_is_shuffled(spark):
     """What leaves the tiles is the plan's rows: no exchange stands above them."""
-    from tarnwell.plans.registry import QUERIES
-
     for name in ("A02_matched_terms", "A18_lexical_control"):
         plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "Generate explode(found" in plan and plan.index("Generate explode(found") < plan.index("Exchange")
@@ -79,3 +79,54 @@ def test_all_matches_of_the_control_by_tiles(spark):
     want = {(*k, len(hit), p) for k, (hit, p) in want.items() if hit}
     got = tiles.matches(docs, terms, rows=4, block=1).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def few_vectors(spark, n=300):
+    """Many equal vectors, so that ties reach over the cut, some null ones and some of another length."""
+    import random
+
+    rng = random.Random(5)
+    some = [[rng.randint(-3, 3) or 1 for _ in range(4)] for _ in range(12)]
+    rows = []
+    for k in range(n):
+        codes = None if k % 41 == 7 else [1, 2] if k % 67 == 3 else some[rng.randrange(12)]
+        unit = None if codes is None else [c / 7 for c in codes]
+        rows.append((k, k // 10, k % 4, codes, None if codes is None else 1.0, None if codes is None else 5.5, unit))
+    return spark.createDataFrame(rows, "vec_id long, parent long, label int, codes array<int>, scale float, norm float, unit array<float>")
+
+
+def test_first_of_a_tile_are_the_first_of_all(spark, monkeypatch):
+    monkeypatch.setattr(vector, "WIDE", 64)
+    monkeypatch.setattr(vector, "AT_ONCE", 3)
+    v = few_vectors(spark)
+    q = v.where("vec_id % 20 IN (0, 7)")
+    for score, limit in ((vector.score_all, 20), (vector.score_exact, 20), (vector.score_all, 5), (vector.score_exact, 400)):
+        every = score(q, v)
+        key = lambda rows: sorted(map(str, rows.select("qid", "parent", "vec_id", "score", "rank").collect()))
+        assert key(vector.first_segments(score, q, v, limit, 10)) == key(vector.segment_ranks(every).where(f"rank <= {limit}"))
+        assert key(vector.first_parents(score, q, v, limit)) == key(vector.vector_lane(every, limit))
+    ends = {r.qid: (r.least, r.most) for r in every_ends(vector.score_all(q, v)).collect()}
+    assert {r.qid: (r.least, r.most) for r in vector.score_ends(q, v).collect()} == ends
+    pairs = q.selectExpr("vec_id AS qid", "(vec_id + 3) % 30 AS parent")
+    want = vector.score_all(q, v).join(pairs, ["qid", "parent"]).select("qid", "vec_id", "score")
+    assert sorted(map(str, vector.score_pairs(pairs, q, v).select("qid", "vec_id", "score").collect())) == sorted(map(str, want.collect()))
+
+
+def every_ends(scores):
+    from pyspark.sql import functions as F
+
+    return scores.groupBy("qid").agg(F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+def test_grades_and_label_lanes_score_no_vector(spark):
+    d = Data(spark, "/root/testdata/sf0.001")
+    for rows in (d.judgments, d.label_lane, d.spans):
+        assert "MapInArrow" not in plan_of(rows)
+
+
+def test_fused_lanes_cut_before_the_fusion_are_the_fusion_of_all(spark):
+    d = Data(spark, "/root/testdata/sf0.01")
+    same = d.scores.where("label = query_label").groupBy("qid", "parent").count()
+    ranks = same.selectExpr("qid", "parent", "row_number() OVER (PARTITION BY qid ORDER BY count DESC, parent) AS rank")
+    want = fusion.fuse([("lexical", ranks), ("vector", vector.vector_lane(d.scores))], "parent", 20, ["lexical", "vector"])
+    assert sorted(map(str, d.hybrid_fused.collect())) == sorted(map(str, want.collect()))
