@@ -14,4 +14,4 @@ from tarnwell.plans.oracles import OTHER
 from tarnwell.plans.relations import oracle, portable
 
 QUERIES = {name: portable(sql) for name, sql in PORTABLE.items()} | {name: runner(build) for name, (build, _) in FRAMES.items()}
-ORACLES = {name: oracle(OTHER.get(name, sql)) for name, sql in PORTABLE.items()} | {name: oracle(sql) for name, (_, sql) in FRAMES.items() if sql}
+ORACLES = {name: oracle(OTHER.get(name, sql)) for name, sql in PORTABLE.items()} | {name: oracle(OTHER.get(name, sql)) for name, (_, sql) in FRAMES.items() if sql}

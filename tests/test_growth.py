@@ -130,3 +130,26 @@ def test_fused_lanes_cut_before_the_fusion_are_the_fusion_of_all(spark):
     ranks = same.selectExpr("qid", "parent", "row_number() OVER (PARTITION BY qid ORDER BY count DESC, parent) AS rank")
     want = fusion.fuse([("lexical", ranks), ("vector", vector.vector_lane(d.scores))], "parent", 20, ["lexical", "vector"])
     assert sorted(map(str, d.hybrid_fused.collect())) == sorted(map(str, want.collect()))
+
+
+def test_both_scores_of_all_pairs_need_no_join(spark):
+    v = few_vectors(spark, 80)
+    v = v.unionByName(v.where("vec_id IN (20, 33)"))
+    q = v.where("vec_id % 20 = 0")
+    want = vector.score_all(q, v).join(vector.score_exact(q, v).select("qid", "vec_id", "score").withColumnRenamed("score", "reference"), ["qid", "vec_id"])
+    got = vector.score_both(q, v)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("qid", "vec_id", "score", "reference").collect()))
+    top = plan_of(QUERIES["R02_reference_scores"](spark, "/root/testdata/sf0.001"))
+    assert top.index("MapInArrow") < top.index("Exchange") and "SortMergeJoin" not in top[: top.index("MapInArrow")]
+
+
+def test_best_scores_of_parents_leave_their_tile(spark):
+    from pyspark.sql import functions as F
+
+    v = few_vectors(spark)
+    q = v.where("vec_id % 20 IN (0, 7)")
+    for queries in (q, q.unionByName(q.where("vec_id = 40"))):
+        want = vector.score_all(queries, v).groupBy("qid", "parent").agg(F.max("score").alias("score"))
+        got = vector.best_scores(queries, v)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert plan_of(vector.best_scores(q, v)).index("MapInArrow") < plan_of(vector.best_scores(q, v)).index("Exchange")
